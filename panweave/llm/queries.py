@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from panweave.llm import mixing, sharding
+from panweave.llm import minhash, mixing, sharding
 
 QUERIES = {
+    "op2_minhash_neardup": minhash.query,
     "op6_sharding": sharding.query,
     "op7_mixing": mixing.query,
 }
 ORACLES = {
+    "op2_minhash_neardup": minhash.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
