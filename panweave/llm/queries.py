@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from panweave.llm import minhash, mixing, sharding
+from panweave.llm import embed, minhash, mixing, sharding
 
 QUERIES = {
+    "op1_embedding_neardup": embed.query,
     "op2_minhash_neardup": minhash.query,
     "op6_sharding": sharding.query,
     "op7_mixing": mixing.query,
 }
 ORACLES = {
+    "op1_embedding_neardup": embed.ORACLE_SQL,
     "op2_minhash_neardup": minhash.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
