@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from panweave.llm import embed, minhash, mixing, sharding
+from panweave.llm import embed, minhash, mixing, rules, sharding
 
 QUERIES = {
     "op1_embedding_neardup": embed.query,
     "op2_minhash_neardup": minhash.query,
     "op6_sharding": sharding.query,
     "op7_mixing": mixing.query,
+    "op9_quality_rules": rules.query,
 }
 ORACLES = {
     "op1_embedding_neardup": embed.ORACLE_SQL,
     "op2_minhash_neardup": minhash.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
+    "op9_quality_rules": rules.ORACLE_SQL,
 }
