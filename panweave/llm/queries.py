@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from panweave.llm import embed, minhash, mixing, rules, sharding
+from panweave.llm import embed, langid, minhash, mixing, quality, rules, sharding
 
 QUERIES = {
     "op1_embedding_neardup": embed.query,
     "op2_minhash_neardup": minhash.query,
+    "op4_quality_classifier": quality.query,
+    "op5_language_id": langid.query,
     "op6_sharding": sharding.query,
     "op7_mixing": mixing.query,
     "op9_quality_rules": rules.query,
