@@ -88,7 +88,8 @@ class Net:
                 data, valid = np.zeros(len(own) * WINDOW + _conv.HALO, np.uint8), np.zeros(len(own), np.int64)
                 for k, d in enumerate(own.tolist()):
                     begin = int(r.integers(0, max(1, len(raw[d]) - WINDOW // 2)))
-                    part = raw[d][begin : begin + WINDOW]
+                    size = WINDOW if r.random() < 0.7 else int(r.integers(16, WINDOW // 2))  # short texts are learnt too
+                    part = raw[d][begin : begin + size]
                     data[k * WINDOW : k * WINDOW + len(part)] = np.frombuffer(part, np.uint8)
                     valid[k] = len(part)
                 opt.step(self._grads(data, valid, target[own]))

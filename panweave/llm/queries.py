@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from panweave.llm import embed, langid, minhash, mixing, quality, rules, sharding
+from panweave.llm import embed, langid, minhash, mixing, packing, quality, rules, sharding
 
 QUERIES = {
     "op1_embedding_neardup": embed.query,
     "op2_minhash_neardup": minhash.query,
+    "op3_best_fit_packing": packing.query,
     "op4_quality_classifier": quality.query,
     "op5_language_id": langid.query,
     "op6_sharding": sharding.query,
