@@ -12,7 +12,7 @@ inside a cell, so a length that a third of all pieces share is not one task's wo
 unless the caller carries ids along.
 
 Tokenising: pre-tokens repeat, so each worker keeps a bounded cache from pre-token to ids; texts with any character
-outside the ranges where the splitting pattern is plain go to the tokenizer whole. The results are the tokenizer's own.
+outside the ranges where the splitting pattern is plain go to the tokenizer whole. The ids are the tokenizer's own.
 
 Defined cases: a null or empty text is its end id alone; strings that look like special tokens are ordinary text;
 repeated rows are pieces of their own; a null id is packed like any other; an empty table packs into nothing; other
@@ -21,8 +21,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from panweave.llm._spark import Tables, read
 
 LENGTH, END_ID = 1024, 2
 SALTS = 256
-CACHE = 300_000
+CACHE = 400_000
 
 # Letters, digits and spaces of the ranges in PLAIN, and the splitting pattern over them.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -46,25 +48,37 @@ SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N
 ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-ɏ‐-‧‰-⁞€]")
 
 
-def tokenizer_path() -> str:
+def tokenizer_paths() -> tuple[str, str]:
+    """The default tokenizer and the rank file of the same vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 class Encoder:
-    """Text -> ids as little-endian uint32 bytes."""
+    """Text -> ids as little-endian uint32 bytes.
 
-    def __init__(self, path: str):
+    `ranks` names the same vocabulary as a rank file: then a text is split here, and pre-tokens that the cache doesn't
+    hold go through the merges alone. Without it every text goes to the tokenizer whole.
+    """
+
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        encode = self._encode
+        self.plain = ranks is not None
+        if not self.plain:
+            return
+        import tiktoken
+
+        with open(ranks, "rb") as f:
+            order = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
+        merge = tiktoken.Encoding("ranks", pat_str="", mergeable_ranks=order, special_tokens={})._encode_single_piece
 
         class Cache(dict):
             def __missing__(self, piece: str) -> bytes:
-                ids = encode(piece)
+                ids = array("I", merge(piece)).tobytes()
                 if len(piece) <= 48:
                     if len(self) >= CACHE:
                         self.clear()
@@ -73,31 +87,32 @@ class Encoder:
 
         self.cache = Cache()
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if ODD.search(text):
-            return self._encode(text)
+        if not self.plain or ODD.search(text):
+            return self.whole(text)
         return b"".join(map(self.cache.__getitem__, SPLIT.findall(text)))
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ranks: str | None) -> Encoder:
     """One encoder a worker process: its cache outlives a task."""
-    return Encoder(path)
+    return Encoder(path, ranks)
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian uint32)."""
-    path = path or tokenizer_path()
+    if path is None:
+        path, ranks = tokenizer_paths()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(path)
+        encode = encoder(path, ranks)
         for batch in batches:
             ids, texts, n, held = batch.column(0), batch.column(1), batch.num_rows, 0
             rows, piece, start, size, blob = [], [], [], [], []
@@ -209,10 +224,10 @@ def assign(tables: Tables, rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return ranked.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids if asked for)."""
     tables = Tables(docs.sparkSession, "pack")
-    cut = pieces(docs, id_col, text_col, path, length, end_id).withColumn("ids_crc32", F.crc32("ids"))
+    cut = pieces(docs, id_col, text_col, path, ranks, length, end_id).withColumn("ids_crc32", F.crc32("ids"))
     narrow = tables.save(cut.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])))
     return assign(tables, narrow, length)
 
