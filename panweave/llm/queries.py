@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panweave.llm import embed, langid, minhash, mixing, packing, quality, rules, sharding
+from panweave.llm import embed, langid, minhash, mixing, packing, quality, rules, secrets, sharding
 
 QUERIES = {
     "op1_embedding_neardup": embed.query,
@@ -12,11 +12,13 @@ QUERIES = {
     "op5_language_id": langid.query,
     "op6_sharding": sharding.query,
     "op7_mixing": mixing.query,
+    "op8_secret_scans": secrets.query,
     "op9_quality_rules": rules.query,
 }
 ORACLES = {
     "op1_embedding_neardup": embed.ORACLE_SQL,
     "op2_minhash_neardup": minhash.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
+    "op8_secret_scans": secrets.ORACLE_SQL,
     "op9_quality_rules": rules.ORACLE_SQL,
 }
