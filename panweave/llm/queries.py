@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panweave.llm import embed, langid, minhash, mixing, packing, quality, rules, secrets, sharding
+from panweave.llm import chat, embed, langid, minhash, mixing, packing, quality, rules, secrets, sharding
 
 QUERIES = {
     "op1_embedding_neardup": embed.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_mixing": mixing.query,
     "op8_secret_scans": secrets.query,
     "op9_quality_rules": rules.query,
+    "op10_chat_formatting": chat.query,
 }
 ORACLES = {
     "op1_embedding_neardup": embed.ORACLE_SQL,
@@ -21,4 +22,5 @@ ORACLES = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op8_secret_scans": secrets.ORACLE_SQL,
     "op9_quality_rules": rules.ORACLE_SQL,
+    "op10_chat_formatting": chat.ORACLE_SQL,
 }
