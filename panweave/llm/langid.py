@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panweave.llm import _conv, _text
 from panweave.llm._spark import read
@@ -128,7 +129,7 @@ def has_letter(column):
 
 
 def identify(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, and the columns of `keep` under their own names."""
+    """One row per document: doc_id, held_out, lang_pred, score, and the columns of `keep` as keep_0, keep_1, ..."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*net.languages, UNKNOWN], dtype=object)
         for batch in batches:
@@ -143,14 +144,17 @@ def identify(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str =
                     best, score = np.zeros(len(c), np.int64), np.zeros(len(c))
                 best, score = np.where(known, best, len(net.languages)), np.where(known, np.clip(score, 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part], batch.column(1)[part], pa.array(names[best].tolist(), pa.string()), pa.array(score), *[batch.column(4 + k)[part] for k in range(len(keep))]],
+                    [batch.column(0)[part], batch.column(1)[part], pa.array(names[best].tolist(), pa.string()), pa.array(score), *[batch.column(at)[part] for at in places]],
                     names=["doc_id", "held_out", "lang_pred", "score", *[f"keep_{k}" for k in range(len(keep))]])
 
+    # the text goes to the workers once, also if it is kept
+    others = [c for c in keep if c != text_col]
+    places = [2 if c == text_col else 4 + others.index(c) for c in keep]
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _conv.held_out(F.col(id_col)).alias("held_out"), text.alias("text"), has_letter(text).alias("letter"), *[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)])
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", keep_{k} {kinds[f'keep_{k}']}" for k in range(len(keep)))
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _conv.held_out(F.col(id_col)).alias("held_out"), text.alias("text"), has_letter(text).alias("letter"), *[F.col(c).alias(f"other_{k}") for k, c in enumerate(others)])
+    kinds = [rows.schema["text"].dataType if c == text_col else rows.schema[f"other_{others.index(c)}"].dataType for c in keep]
+    fixed = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, T.StructType([*fixed.fields, *[T.StructField(f"keep_{k}", kind) for k, kind in enumerate(kinds)]]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
