@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,18 +37,39 @@ def dedup_identical(seqs: DataFrame) -> DataFrame:
     return seqs.select("seq_id", h.alias("h")).join(first, "h").select("seq_id", "rep_id", "copies")
 
 
-def contained(seqs: DataFrame, seed: int = 12) -> DataFrame:
-    """(seq_id, container): sequences that are a proper substring of another.
+def contained(seqs: DataFrame, gram: int = 12, window: int = 12) -> DataFrame:
+    """(seq_id, container): sequences that are a proper substring of another, for those of at least gram + window - 1 bytes.
 
-    Candidates share the shorter one's first `seed` characters somewhere in the longer: an equi-join on k-mers, with the
-    longer side exploded. No pair is compared without such a hit; shorter sequences than the seed use their whole text.
+    Of every `window` successive grams the one with the smallest hash is kept (its minimiser). A text shares the minimisers
+    of its own windows with every text that contains it, so one of them finds all containers by an equi-join, and only
+    about 2 in window + 1 positions of the longer texts are shuffled. Hits are confirmed on the texts.
     """
-    short = seqs.filter(F.length("seq") >= seed).select(F.col("seq_id"), F.col("seq").alias("s"), F.substr("seq", F.lit(1), F.lit(seed)).alias("k"))
-    wanted = short.select("k").distinct()
-    long = seqs.filter(F.length("seq") > seed).select(F.col("seq_id").alias("container"), F.col("seq").alias("t"),
-        F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - seed + 1), lambda i: F.substr("seq", i, F.lit(seed))))).alias("k"))
-    hit = long.join(wanted, "k", "left_semi").join(short, "k")
-    return hit.filter((F.length("t") > F.length("s")) & F.contains(F.col("t"), F.col("s"))).groupBy("seq_id").agg(F.min("container").alias("container"))
+    least = gram + window - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(gram)], np.uint64)
+        for batch in batches:
+            owner, marks, firsts = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                data = np.frombuffer(text.as_py().encode(), np.uint8).astype(np.uint64)
+                if len(data) < least:
+                    continue
+                h = sum((data[k : len(data) - gram + 1 + k] * power[k] for k in range(gram)), np.zeros(len(data) - gram + 1, np.uint64))
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                low = np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1)
+                kept = np.unique(low)
+                owner.append(np.full(len(kept), i))
+                marks.append(kept)
+                firsts.append(kept == low[0])
+            if owner:
+                at = np.concatenate(owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(firsts))], names=["seq_id", "mark", "first"])
+
+    marks = seqs.select(F.col("seq_id").cast("long").alias("seq_id"), "seq").filter("seq IS NOT NULL").mapInArrow(run, "seq_id long, mark long, first boolean")
+    pairs = marks.filter("first").select("seq_id", "mark").join(marks.select(F.col("seq_id").alias("container"), "mark"), "mark").filter("seq_id <> container").select("seq_id", "container").distinct()
+    text = seqs.select("seq_id", "seq")
+    both = pairs.join(text.select("seq_id", F.col("seq").alias("s")), "seq_id").join(text.select(F.col("seq_id").alias("container"), F.col("seq").alias("t")), "container")
+    return both.filter((F.length("t") > F.length("s")) & F.contains(F.col("t"), F.col("s"))).groupBy("seq_id").agg(F.min("container").alias("container"))
 
 
 def longest_per_group(rows: DataFrame, group: str, used: str | None = None) -> DataFrame:
@@ -61,7 +86,7 @@ def by_length(seqs: DataFrame, least: int = 20, most: int = 25_000) -> DataFrame
 
 def neighbours(genes: DataFrame) -> DataFrame:
     """genes(seq_id, contig, start, strand) with the ids and strands of the genes before and after on the contig."""
-    w = W.partitionBy("contig").orderBy("start", "seq_id")
+    w = W.partitionBy("contig").orderBy("start", "seq_id", "strand")
     return genes.select("*", F.lag("seq_id").over(w).alias("left_id"), F.lag("strand").over(w).alias("left_strand"), F.lead("seq_id").over(w).alias("right_id"), F.lead("strand").over(w).alias("right_strand"))
 
 

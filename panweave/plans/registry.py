@@ -307,7 +307,7 @@ def dedup_identical(spark, d):
 
 @query("""SELECT a.doc_id AS seq_id, min(b.doc_id) AS container FROM documents a JOIN documents b ON length(b.text) > length(a.text) AND contains(b.text, a.text) WHERE length(a.text) >= 24 GROUP BY ALL""")
 def contained_sequences(spark, d):
-    return Q.contained(V.sequences(spark, d), seed=24)
+    return Q.contained(V.sequences(spark, d))
 
 
 @query("""SELECT lang, doc_id AS seq_id, length FROM (SELECT lang, doc_id, length(text) AS length, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id) AS n FROM documents WHERE text IS NOT NULL) WHERE n = 1""")
@@ -322,7 +322,7 @@ def taxon_ranges(spark, d):
 
 
 @query("""WITH g AS (SELECT l_orderkey * 10 + l_linenumber AS seq_id, l_orderkey AS contig, l_linenumber::BIGINT AS "start", CASE WHEN l_quantity > 25 THEN 1 ELSE -1 END::BIGINT AS strand FROM lineitem)
-  SELECT *, lag(seq_id) OVER w AS left_id, lag(strand) OVER w AS left_strand, lead(seq_id) OVER w AS right_id, lead(strand) OVER w AS right_strand FROM g WINDOW w AS (PARTITION BY contig ORDER BY "start", seq_id)""")
+  SELECT *, lag(seq_id) OVER w AS left_id, lag(strand) OVER w AS left_strand, lead(seq_id) OVER w AS right_id, lead(strand) OVER w AS right_strand FROM g WINDOW w AS (PARTITION BY contig ORDER BY "start", seq_id, strand)""")
 def neighbour_lag_lead(spark, d):
     return Q.neighbours(V.genes(spark, d))
 

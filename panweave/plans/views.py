@@ -64,7 +64,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(aln, name, seq): the first 60 characters of each text that long, by language, letters and gaps only."""
     d = table(spark, sf_dir, "documents").filter(F.length("text") >= 60)
-    return d.select(F.col("lang").alias("aln"), F.col("doc_id").alias("name"), F.regexp_replace(F.upper(F.substring("text", 1, 60)), "[^A-Z]", "-").alias("seq"))
+    return d.select(F.col("lang").alias("aln"), F.col("doc_id").alias("name"), F.regexp_replace(F.translate(F.substring("text", 1, 60), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "[^A-Z]", "-").alias("seq"))
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,5 +99,5 @@ INTERVALS_SQL = """
 iv AS (SELECT user_id, event_id, s AS "start", s + 60 * ((props->>'$.k')::BIGINT + 1) - 1 AS "end" FROM (
   SELECT *, (epoch_us(ts) - 1704067200000000) // 1000000 AS s FROM events))"""
 ALIGNMENT_SQL = """
-msa AS (SELECT lang AS aln, doc_id AS name, regexp_replace(upper(substr(text, 1, 60)), '[^A-Z]', '-', 'g') AS seq FROM documents WHERE length(text) >= 60),
+msa AS (SELECT lang AS aln, doc_id AS name, regexp_replace(translate(substr(text, 1, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '-', 'g') AS seq FROM documents WHERE length(text) >= 60),
 ch AS (SELECT aln, name, i AS pos, substr(seq, i, 1) AS ch FROM msa, unnest(range(1, 61)) AS t(i))"""
