@@ -63,9 +63,11 @@ class Net:
         out = np.zeros((len(lay), len(LAGS)), np.float32)
         data = lay.bytes[:n]
         alive = data != 0
+        head = lay.first[:-1, None] * BLOCK
         for i, lag in enumerate(LAGS):
             same = np.zeros(n, np.uint8)
-            np.logical_and(data[lag:] == data[:-lag], alive[lag:], out=same[lag:].view(bool)) if n > lag else None
+            np.logical_and(data[lag:] == data[:-lag], alive[lag:], out=same[lag:].view(bool))
+            same[(head + np.arange(lag)).ravel()] = 0  # there the place before lies in another document
             out[:, i] = same.reshape(-1, BLOCK).sum(axis=1)
         return out
 
