@@ -12,18 +12,23 @@ HALO = 8  # bytes of padding after the last block, for filters that look ahead
 
 
 class Layout:
-    """Documents of a chunk, each padded with zero bytes to whole blocks; an empty document has one empty block."""
+    """Documents of a chunk, each padded with zero bytes to whole blocks; an empty document has one empty block.
+
+    Document i has blocks[i] blocks from first[i] on. At least HALO zero bytes follow its text, if need be in one more
+    block that isn't its own, so that no filter looks into the next document.
+    """
 
     def __init__(self, chunk: _text.Chunk, block: int):
         sizes = np.diff(chunk.bounds)
         self.block = block
         self.blocks = np.maximum(1, -(-sizes // block))
-        self.first = np.concatenate(([0], np.cumsum(self.blocks)))
+        padded = np.maximum(1, -(-(sizes + HALO) // block))
+        self.first = np.concatenate(([0], np.cumsum(padded)))
         total = int(self.first[-1])
         self.bytes = np.zeros(total * block + HALO, np.uint8)
         self.bytes[np.repeat(self.first[:-1] * block - chunk.bounds[:-1], sizes) + np.arange(len(chunk.data))] = chunk.data
-        within = np.arange(total) - np.repeat(self.first[:-1], self.blocks)
-        self.valid = np.clip(np.repeat(sizes, self.blocks) - within * block, 0, block)
+        within = np.arange(total) - np.repeat(self.first[:-1], padded)
+        self.valid = np.clip(np.repeat(sizes, padded) - within * block, 0, block)
 
     def __len__(self) -> int:
         return len(self.valid)

@@ -71,7 +71,8 @@ class Net:
         for a in range(0, len(lay), PIECE):
             b = min(len(lay), a + PIECE)
             prob[a:b] = self._soft(self._pool(lay.bytes[a * WINDOW : b * WINDOW + _conv.HALO], lay.valid[a:b], looked)[0])
-        weight = np.maximum(lay.valid, 1).astype(np.float64)
+        weight = lay.valid.astype(np.float64)
+        weight[lay.first[:-1]] = np.maximum(weight[lay.first[:-1]], 1)
         return np.add.reduceat(prob * weight[:, None], lay.first[:-1], axis=0) / np.add.reduceat(weight, lay.first[:-1])[:, None]
 
     def fit(self, texts: list[str], labels: list[str], epochs: int = EPOCHS) -> Net:

@@ -76,7 +76,7 @@ class Net:
         chunks = np.maximum(1, lay.blocks - 1)
         first_chunk = np.concatenate(([0], np.cumsum(chunks)))
         start = np.repeat(lay.first[:-1] - first_chunk[:-1], chunks) + np.arange(first_chunk[-1])
-        second = np.minimum(start + 1, np.repeat(lay.first[1:] - 1, chunks))
+        second = np.minimum(start + 1, np.repeat(lay.first[:-1] + lay.blocks - 1, chunks))
         pair = (second > start)[:, None]
         size = (lay.valid[start] + np.where(second > start, lay.valid[second], 0)).astype(np.float64)
         scale = 1 / np.maximum(size, 1)[:, None]
@@ -134,7 +134,8 @@ class Net:
         g["mixer"] = x[used].T @ d_hidden + 1e-4 * p["mixer"]
         g["mixer_bias"] = d_hidden.sum(axis=0)
         d_x = (d_hidden @ p["mixer"].T)[:, :FILTERS] / np.maximum(size[used], 1)[:, None]
-        last = np.minimum(start[used] + 1, lay.first[np.searchsorted(lay.first, start[used], side="right")] - 1)
+        own = np.searchsorted(lay.first, start[used], side="right") - 1
+        last = np.minimum(start[used] + 1, lay.first[own] + lay.blocks[own] - 1)
         block = np.concatenate((start[used], last[last > start[used]]))
         d_block = np.concatenate((d_x, d_x[last > start[used]]))
         d_z = (d_block[:, None, :] * (z[block] > 0)).reshape(-1, FILTERS)

@@ -117,9 +117,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     candidate = F.lit(False)
     for pattern in KINDS.values():
         candidate = candidate | text.rlike(pattern)
-    found = find(tables, docs.filter(candidate), text, source_key(owner_col), source_key(repo_col), columns, example_owners)
+    # the row travels as one struct, so that its names can't clash with the scan's
+    boxed = docs.filter(candidate).select(F.struct(*[F.col(c) for c in columns]).alias("_doc"), text.alias("_text"), source_key(owner_col).alias("_o"), source_key(repo_col).alias("_r"))
+    found = find(tables, boxed, F.col("_text"), F.col("_o"), F.col("_r"), ["_doc", "_text"], example_owners)
     live = F.filter("_judged", lambda s: s["live"])
-    body = F.col(text_col)
+    body = F.col("_text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -128,8 +130,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     cut = F.aggregate(live, start, step, lambda acc: F.concat(acc["out"], body.substr(acc["at"] + 1, F.length(body))))
-    clean = F.when(F.size(F.coalesce(live, F.array())) > 0, cut).otherwise(body)
-    done = found.withColumn("_clean", clean).select(*[F.col("_clean").alias(c) if c == text_col else F.col(c) for c in columns])
+    clean = F.when(F.size(live) > 0, cut).otherwise(body)
+    done = found.withColumn("_clean", clean).select(*[F.col("_clean").alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in columns])
     return docs.filter(~candidate).select(*columns).unionByName(done)
 
 
