@@ -105,7 +105,7 @@ def binomial_mixture(histogram: list[int], components: int, core_detection: floa
         best = nelder_mead(loss, best)
     p, (_, mix), ll = density(best), split(best), -loss(best)
     pan = y.sum() / (1 - p[0])
-    return {"components": components, "log_likelihood": ll, "bic": -2 * ll + math.log(y.sum()) * (2 * components - 2), "core": round(pan * mix[-1]), "pan": round(pan)}
+    return {"components": components, "log_likelihood": ll, "bic": -2 * ll + math.log(y.sum()) * (2 * components - 1), "core": round(pan * mix[-1]), "pan": round(pan)}
 
 
 def gauss_newton(f, x: np.ndarray, y: np.ndarray, start: list[float], rounds: int = 200) -> tuple[np.ndarray, float]:

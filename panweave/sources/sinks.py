@@ -62,7 +62,7 @@ def presence_csv(pan: DataFrame) -> DataFrame:
     grid = _grid(pan)
     head = grid.select("taxon").distinct().agg(_ordered("taxon", F.col("taxon").cast("string"), ",").alias("t")).select(F.lit(0).alias("ord"), F.concat(F.lit(",".join(PRESENCE_COLUMNS) + ","), "t").alias("value"))
     body = grid.groupBy("cluster").agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("iso"), F.sum("n").alias("seqs"), _ordered("taxon", F.when(F.col("n") > 0, "1").otherwise("0"), ",").alias("bits"))
-    line = F.concat_ws(",", F.col("cluster").cast("string"), F.lit(""), F.lit(""), "iso", "seqs", F.format_number(F.col("seqs") / F.col("iso"), "0.00"), F.lit(",,,,,,,"), "bits")
+    line = F.concat_ws(",", F.col("cluster").cast("string"), F.lit(""), F.lit(""), "iso", "seqs", F.format_string("%.2f", F.col("seqs") / F.col("iso")), F.lit(",,,,,,,"), "bits")
     return head.unionByName(body.select(F.row_number().over(W.orderBy("cluster")).alias("ord"), line.alias("value")))
 
 

@@ -123,7 +123,7 @@ def _wide(spark: SparkSession, path: str, value: Column, name: str) -> DataFrame
 
 def drop_separators(pan: DataFrame) -> DataFrame:
     """Without the clusters that are NA in any taxon (chromosome separators of external matrices)."""
-    return pan.join(pan.filter("n IS NULL").select("cluster").distinct(), "cluster", "left_anti")
+    return pan.join(pan.filter("n IS NULL").select("cluster").distinct(), "cluster", "left_anti").select(*pan.columns)
 
 
 def cluster_list(spark: SparkSession, path: str) -> DataFrame:
@@ -134,7 +134,7 @@ def cluster_list(spark: SparkSession, path: str) -> DataFrame:
     t = _lines(spark, path)
     get = lambda p: F.when(F.col("value").rlike(p), F.regexp_extract("value", p, 1))
     amino = F.coalesce(get(r"aminofile: (\S+)"), get(r"pepfile: (\S+)"), F.when(~F.col("value").contains("aminofile:"), get(r"(?<![a-z])file: (\S+)")))
-    dna = F.coalesce(get(r"dnafile: (\S+)"), get(r"cdsfile: (\S+)"), F.when(F.col("value").contains("aminofile:"), get(r"(?<![a-z])file: (\S+)")))
+    dna = F.coalesce(get(r"(?<![a-z])dnafile: (\S+)"), get(r"cdsfile: (\S+)"), F.when(F.col("value").contains("aminofile:"), get(r"(?<![a-z])file: (\S+)")))
     head = F.when(F.col("value").startswith("cluster "), F.struct(
         F.regexp_extract("value", r"^cluster (\S+)", 1).alias("name"), F.regexp_extract("value", r"size=(\d+)", 1).cast("int").alias("size"), F.regexp_extract("value", r"taxa=(\d+)", 1).cast("int").alias("taxa"),
         F.filter(F.split(F.coalesce(get(r"Pfam=(\S+)"), F.lit("")), ","), lambda x: x != "").alias("domains"), F.nullif(amino, F.lit("void")).alias("file"), F.nullif(dna, F.lit("void")).alias("dnafile")))
