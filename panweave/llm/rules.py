@@ -86,6 +86,16 @@ class Features:
         sums = np.concatenate(([0], np.cumsum(_LETTER[self.data], dtype=np.int64)))
         return self._per_doc(sums[self.words.end] > sums[self.words.start], self.words.bounds)
 
+    def _n_stutter_words(self) -> np.ndarray:
+        """Words equal to the word before them in the same document."""
+        w = self.words
+        key = self._hashes(w.start, w.end)
+        same = np.zeros(len(key), bool)
+        same[1:] = key[1:] == key[:-1]
+        first = w.bounds[:-1]
+        same[first[first < len(key)]] = False
+        return self._per_doc(same, w.bounds)
+
     @property
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the lines that hold a word, and the document of each."""
@@ -145,7 +155,8 @@ RULES = (
     Rule("many_symbols", ("n_symbols", "n_words"), lambda f: 100 * f["n_symbols"] > 30 * f["n_words"]),
     Rule("word_length", ("word_chars", "n_words"), lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 25 * f["n_words"])),
     Rule("few_letter_words", ("n_alpha_words", "n_words"), lambda f: 100 * f["n_alpha_words"] < 60 * f["n_words"]),
-    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda f: 100 * f["n_dup_lines"] > 30 * f["n_lines"]),
+    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda f: (f["n_dup_lines"] >= 3) & (100 * f["n_dup_lines"] > 30 * f["n_lines"])),
+    Rule("stutter", ("n_stutter_words", "n_words"), lambda f: 100 * f["n_stutter_words"] > 30 * f["n_words"]),
 )
 BASE = Rule("base", ("n_words", "n_repeat_words"), lambda f: (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"]))
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -222,11 +233,12 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM h, range(5) AS t(k) GROUP B
 m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-        len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_alpha
+        len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_alpha,
+        len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_stutter
       FROM w LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (100 * n_symbols > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
-         OR 100 * n_alpha < 60 * n_words OR 100 * n_dup_lines > 30 * n_lines) AS kept
+         OR 100 * n_alpha < 60 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) OR 100 * n_stutter > 30 * n_words) AS kept
 FROM b
 """
