@@ -224,11 +224,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "centre", F.ceil(F.col("all_n") / block_shingles).cast("int").alias("q"), F.ceil(F.col("ask_n") / block_shingles).cast("int").alias("p"))
     part = lambda seed, k: F.pmod(F.xxhash64(F.lit(seed), "member"), F.col(k)).cast("int")
     spread = judged.join(load, "centre").withColumns({"i": part(1, "p"), "j": part(2, "q")})
-    to_answer = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("answers")))
-    to_ask = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("answers")))
-    roles = F.when(F.col("linked"), to_answer).otherwise(F.concat(to_answer, to_ask))
-    placed = spread.withColumn("t", F.explode(roles)).groupBy("centre", "member", "linked", "t.i", "t.j").agg(F.max("t.asks").alias("asks"), F.max("t.answers").alias("answers"))
-    placed = placed.select(F.xxhash64("centre", "i", "j").alias("task"), "member", "linked", "asks", "answers").join(member_sets, "member")
+    # a member answers in the tasks of its own answer block, and asks, if unlinked, in those of its own ask block
+    role = lambda i, j, asks, answers: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), answers.alias("answers"))
+    to_answer = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: role(i, F.col("j"), ~F.col("linked") & (i == F.col("i")), F.lit(True)))
+    others = F.filter(F.sequence(F.lit(0), F.col("q") - 1), lambda j: j != F.col("j"))
+    to_ask = F.transform(others, lambda j: role(F.col("i"), j, F.lit(True), F.lit(False)))
+    placed = spread.withColumn("t", F.explode(F.when(F.col("linked"), to_answer).otherwise(F.concat(to_answer, to_ask))))
+    placed = placed.select(F.xxhash64("centre", "t.i", "t.j").alias("task"), "member", "linked", "t.asks", "t.answers").join(member_sets, "member")
     found = keyed_streams(placed, "task").mapInArrow(_balls(percent), "a long, b long")
 
     links = judged.filter("linked").select(F.col("centre").alias("a"), F.col("member").alias("b")).unionByName(found)
