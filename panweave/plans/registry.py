@@ -374,3 +374,10 @@ def set_enrichment_fisher(spark, d):
 def score_normalisation(spark, d):
     h = V.hits(spark, d).select("q", "s", "bits", (F.col("q") % 97 + 50).alias("qlen"), (F.col("s") % 89 + 50).alias("slen"))
     return ST.normalise_scores(h).select("q", "s", F.round("norm", 4).alias("norm"))
+
+
+def _load() -> None:
+    from panweave.plans import filters_and_sinks  # noqa: F401  registers its queries
+
+
+_load()
