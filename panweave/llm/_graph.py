@@ -1,50 +1,10 @@
-"""Connected components of a link table by alternating large and small stars."""
+"""Components: of link tables (from the library) and of a block in memory."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from panweave.llm._spark import Tables
-
-MAX_ROUNDS = 60
-
-
-def components(tables: Tables, links: DataFrame) -> DataFrame:
-    """links(a long, b long) -> (node long, component long) for every node of a link; component is its smallest node.
-
-    A large star hangs every larger neighbour of a node on the smallest node around it, a small star does so with the
-    smaller neighbours; both keep components whole and the number of links falls or stays. Each round is written out, so
-    lineage stays short. Minima are partial aggregates and the joins are plain equi-joins that AQE can split, so a hub
-    with very many links is no single task's work.
-    """
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = tables.save(edges)
-    state = _state(edges)
-    for _ in range(MAX_ROUNDS):
-        if state[0] == 0:
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("n")).withColumnRenamed("a", "k")
-        small = large.join(low, F.col("a") == F.col("k")).select(
-            F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("n").alias("v")), F.struct(F.col("b").alias("u"), F.col("n").alias("v")))).alias("e"))
-        new = tables.save(small.select("e.u", "e.v").filter("u <> v").distinct())
-        tables.drop(edges)
-        edges, before, state = new, state, _state(new)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def _state(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return r["n"], int(r["s"] or 0)
+from panweave.operators.graph import components  # noqa: F401
 
 
 def settle(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

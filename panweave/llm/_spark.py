@@ -1,73 +1,18 @@
-"""Sessions, written intermediates and grouped streaming for the operators of this subpackage."""
+"""Reading, grouping keys and grouped streaming for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panweave.tables import Tables  # noqa: F401  the operators here take it from this module
+
 #: Words are runs of anything but space and the five ASCII controls 0x09-0x0D (RE2 and java.util.regex agree on it).
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    place = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if place:
-        return place.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="panweave-")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Tables:
-    """Intermediate tables written as Parquet to the shared folder: they cut lineage and outlive executors.
-
-    A table that the result still reads stays until the application ends; the others go with drop().
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/panweave-{label}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
-        if not _written:
-            atexit.register(_clean)
-        _written.append((spark, self.root))
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._panweave_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            _remove(self.spark, t._panweave_path)
-
-
-def _clean() -> None:
-    for spark, root in _written:
-        try:
-            _remove(spark, root)
-        except Exception:  # noqa: BLE001  the session may have gone
-            return
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
