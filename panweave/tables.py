@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
         return place.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="panweave-")
+    return "file://" + _temporary()
+
+
+@functools.cache
+def _temporary() -> str:
+    place = tempfile.mkdtemp(prefix="panweave-")
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    return place
 
 
 def _remove(spark: SparkSession, path: str) -> None:
