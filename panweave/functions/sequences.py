@@ -20,7 +20,7 @@ def reverse_complement(seq: Column) -> Column:
 def translate(seq: Column, frame: int = 0) -> Column:
     """Protein of a frame (0-2); unknown codons give X, an incomplete last codon is left out."""
     table = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
-    dna = F.substr(F.translate(F.upper(seq), "U", "T"), F.lit(frame + 1))
+    dna = F.substr(F.translate(seq, "acgtuU", "ACGTTT"), F.lit(frame + 1))
     codons = F.regexp_extract_all(dna, F.lit("(?s)..."), F.lit(0))  # cut once, so each codon is read once
     return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
 

@@ -63,14 +63,14 @@ def contained_reference(spark, d):
     return C.contained_in_one(ref, li.select(F.col("l_partkey").alias("seq_id"), F.col("l_suppkey").alias("cluster_id")).distinct())
 
 
-@query("""WITH m AS (SELECT DISTINCT l_partkey % 200 AS cluster_id, l_orderkey * 10 + l_linenumber AS seq_id, l_returnflag AS taxon FROM lineitem WHERE l_orderkey <= 4000),
+@query("""WITH m AS (SELECT DISTINCT l_suppkey AS cluster_id, l_orderkey * 10 + l_linenumber AS seq_id, l_returnflag AS taxon FROM lineitem),
   t AS (SELECT cluster_id, string_agg(DISTINCT taxon, ',' ORDER BY taxon) AS t, count(DISTINCT taxon) AS k FROM m GROUP BY ALL),
   g AS (SELECT a.seq_id AS x, b.seq_id AS y FROM m a JOIN m b ON b.seq_id IN (a.seq_id - 1, a.seq_id + 1)),
   p AS (SELECT a.cluster_id, b.cluster_id AS other, count(DISTINCT a.taxon) AS met FROM m a JOIN g ON g.x = a.seq_id JOIN m b ON b.seq_id = g.y WHERE a.cluster_id <> b.cluster_id GROUP BY ALL)
   SELECT DISTINCT p.cluster_id FROM p JOIN t a ON a.cluster_id = p.cluster_id JOIN t b ON b.cluster_id = p.other WHERE a.t = b.t AND met = a.k""")
 def syntenic_clusters(spark, d):
-    li = V.table(spark, d, "lineitem").filter("l_orderkey <= 4000")
-    m = li.select((F.col("l_partkey") % 200).alias("cluster_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("seq_id"), F.col("l_returnflag").alias("taxon")).distinct()
+    li = V.table(spark, d, "lineitem")
+    m = li.select(F.col("l_suppkey").alias("cluster_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("seq_id"), F.col("l_returnflag").alias("taxon")).distinct()
     ids = m.select("seq_id").distinct()
     near = ids.select("seq_id", F.explode(F.array(F.col("seq_id") - 1, F.col("seq_id") + 1)).alias("neighbour")).join(ids.withColumnRenamed("seq_id", "neighbour"), "neighbour").select("seq_id", "neighbour")
     return C.syntenic(m, near)
@@ -133,7 +133,7 @@ def alignment_variant_counts(spark, d):
 
 
 @query(f"""WITH {V.ALIGNMENT_SQL}, e AS (SELECT *, length(regexp_extract(seq, '^(-*)', 1)) AS a, length(regexp_extract(seq, '(-*)$', 1)) AS z FROM msa), c AS (SELECT aln, max(a) AS a, max(z) AS z FROM e GROUP BY ALL)
-  SELECT msa.aln, name, substr(seq, c.a + 1, greatest(60 - c.a - c.z, 0)) AS seq FROM msa JOIN c ON c.aln = msa.aln""")
+  SELECT msa.aln, name, substr(seq, c.a + 1, greatest(length(seq) - c.a - c.z, 0)) AS seq FROM msa JOIN c ON c.aln = msa.aln""")
 def blunt_alignment(spark, d):
     return A.blunt(V.alignment(spark, d))
 
@@ -204,6 +204,12 @@ def taxon_by_range(spark, d):
     return Q.taxon_of_id(V.table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("seq_id")), b)
 
 
-@query()
+_CODONS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in S.CODONS.items()) + "}"
+
+
+@query(f"""WITH s AS (SELECT doc_id AS seq_id, text AS t, reverse(translate(text, 'acgtACGT', 'tgcaTGCA')) AS r FROM documents WHERE text IS NOT NULL),
+  f AS (SELECT seq_id, k AS frame, t AS x, k AS o FROM s, unnest([1, 2, 3]) AS u(k) UNION ALL SELECT seq_id, -k, r, k FROM s, unnest([1, 2, 3]) AS u(k)),
+  g AS (SELECT seq_id, frame, substr(translate(x, 'acgtuU', 'ACGTTT'), o) AS x FROM f)
+  SELECT seq_id, frame, array_to_string(list_transform(range(0, length(x) // 3), lambda i: coalesce(({_CODONS})[substr(x, 3 * i + 1, 3)], 'X')), '') AS protein FROM g""")
 def six_frame_translation(spark, d):
-    return V.sequences(spark, d).filter("length(seq) < 2000").select("seq_id", F.explode(S.six_frames(F.col("seq"))).alias("f")).select("seq_id", "f.frame", "f.protein")
+    return V.sequences(spark, d).select("seq_id", F.explode(S.six_frames(F.col("seq"))).alias("f")).select("seq_id", "f.frame", "f.protein")

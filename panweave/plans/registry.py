@@ -361,9 +361,16 @@ def set_enrichment_counts(spark, d):
     return _enrichment(spark, d)
 
 
-@query()
+@query("""WITH c AS (SELECT p_brand AS domain, count(DISTINCT l_orderkey) FILTER (l_returnflag = 'R') AS a, count(DISTINCT l_orderkey) FILTER (l_returnflag = 'N') AS b
+    FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag IN ('R', 'N') GROUP BY ALL),
+  t AS (SELECT *, (sum(a) OVER ())::BIGINT AS c, (sum(b) OVER ())::BIGINT AS d FROM c), u AS (SELECT *, a + b AS r, a + c AS k, a + b + c + d AS n FROM t),
+  x AS (SELECT *, unnest(range(a, least(r, k) + 1)) AS i FROM u),
+  p AS (SELECT domain, a, b, c, d, least(1.0, sum(exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + lgamma(n - k + 1) - lgamma(r - i + 1) - lgamma(n - k - r + i + 1)
+      - lgamma(n + 1) + lgamma(r + 1) + lgamma(n - r + 1)))) AS p FROM x GROUP BY ALL),
+  q AS (SELECT *, count(*) OVER () * p / (count(*) OVER () - row_number() OVER (ORDER BY p DESC, domain) + 1) AS v, row_number() OVER (ORDER BY p DESC, domain) AS o FROM p)
+  SELECT domain, a AS exp, b AS ctrl, c AS exp_total, d AS ctrl_total, round(p, 6) AS p, round(least(1.0, min(v) OVER (ORDER BY o)), 6) AS q FROM q""")
 def set_enrichment_fisher(spark, d):
-    return ST.enrichment(_enrichment(spark, d), cutoff=1.0)
+    return ST.enrichment(_enrichment(spark, d), cutoff=1.0).withColumns({"p": F.round("p", 6), "q": F.round("q", 6)})
 
 
 @query(f"""WITH {V.HITS_SQL}, x AS (SELECT q, s, bits, (q % 97 + 50)::DOUBLE * (s % 89 + 50) AS lp FROM hits WHERE bits >= 100), c AS (SELECT CASE WHEN count(*) < 100 THEN count(*) WHEN count(*) > 5000 THEN 1000 WHEN count(*) > 1000 THEN 200 ELSE 20 END AS k FROM x),

@@ -62,9 +62,10 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(aln, name, seq): the first 60 characters of each text that long, by language, letters and gaps only."""
-    d = table(spark, sf_dir, "documents").filter(F.length("text") >= 60)
-    return d.select(F.col("lang").alias("aln"), F.col("doc_id").alias("name"), F.regexp_replace(F.translate(F.substring("text", 1, 60), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "[^A-Z]", "-").alias("seq"))
+    """(aln, name, seq): vectors as aligned sequences, a letter a component, by label; components near 0 are gaps."""
+    x = lambda v: v.cast("double")
+    letter = lambda v: F.when(F.abs(x(v)) < 0.005, "-").when(x(v) < -0.1, "A").when(x(v) < 0, "C").when(x(v) < 0.1, "G").otherwise("T")
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("aln"), F.col("vec_id").alias("name"), F.array_join(F.transform("embedding", letter), "").alias("seq"))
 
 
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,5 +100,6 @@ INTERVALS_SQL = """
 iv AS (SELECT user_id, event_id, s AS "start", s + 60 * ((props->>'$.k')::BIGINT + 1) - 1 AS "end" FROM (
   SELECT *, (epoch_us(ts) - 1704067200000000) // 1000000 AS s FROM events))"""
 ALIGNMENT_SQL = """
-msa AS (SELECT lang AS aln, doc_id AS name, regexp_replace(translate(substr(text, 1, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '-', 'g') AS seq FROM documents WHERE length(text) >= 60),
-ch AS (SELECT aln, name, i AS pos, substr(seq, i, 1) AS ch FROM msa, unnest(range(1, 61)) AS t(i))"""
+msa AS (SELECT label AS aln, vec_id AS name, array_to_string(list_transform(embedding, lambda v: CASE WHEN abs(v::DOUBLE) < 0.005 THEN '-' WHEN v::DOUBLE < -0.1 THEN 'A'
+        WHEN v::DOUBLE < 0 THEN 'C' WHEN v::DOUBLE < 0.1 THEN 'G' ELSE 'T' END), '') AS seq FROM embeddings),
+ch AS (SELECT aln, name, pos, substr(seq, pos, 1) AS ch FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS pos FROM msa))"""
