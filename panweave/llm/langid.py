@@ -27,6 +27,7 @@ from panweave.llm._spark import read
 
 WINDOW, DEPTH, WIDTHS, FILTERS = 256, 8, (2, 3, 4, 5), 10
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE, SEED = 3000, 16_384, 16, 64, 8e-3, 5
+MIN_STEPS = 1500  # a small sample is passed over more often
 PER_DOC = 3  # windows drawn from a document in an epoch
 PIECE = 256  # windows
 UNKNOWN = "und"
@@ -81,7 +82,7 @@ class Net:
         r = np.random.default_rng(SEED)
         raw = [t.encode() for t in texts]
         target = np.array([self.languages.index(v) for v in labels])
-        opt = _conv.Adam(self.p, RATE)
+        opt, epochs = _conv.Adam(self.p, RATE), max(epochs, -(-MIN_STEPS * BATCH // (PER_DOC * len(raw))))
         for epoch in range(epochs):
             opt.rate = RATE * (1 - epoch / epochs) ** 0.5
             doc = r.permutation(np.repeat(np.arange(len(raw)), PER_DOC))

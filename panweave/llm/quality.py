@@ -29,6 +29,7 @@ from panweave.llm._spark import read
 BLOCK, WIDTH, DEPTH, FILTERS, HIDDEN = 64, 6, 8, 16, 16
 LAGS = tuple(range(2, 26))
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE, SEED = 3000, 16_384, 9, 16, 5e-3, 7
+MIN_STEPS = 1500  # a small sample is passed over more often
 THRESHOLD = 0.3
 PIECE = 1024  # blocks
 
@@ -105,7 +106,7 @@ class Net:
             chunk = next(_text.chunks(pa.array([texts[i] for i in own], pa.large_string()), 1 << 40))
             lay = _conv.Layout(chunk, BLOCK)
             batches.append((lay, self.lags(lay), y_all[own]))
-        opt = _conv.Adam(self.p, RATE)
+        opt, epochs = _conv.Adam(self.p, RATE), max(epochs, -(-MIN_STEPS // len(batches)))
         for epoch in range(epochs):
             opt.rate = RATE * (1 - epoch / epochs) ** 0.5
             for b in r.permutation(len(batches)):
