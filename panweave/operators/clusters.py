@@ -113,3 +113,8 @@ def intergenic_clusters(segments: DataFrame, clusters: DataFrame) -> DataFrame:
     size = clusters.groupBy(F.col("cluster_id").alias("c1")).agg(F.count(F.lit(1)).alias("size"))
     groups = turned.groupBy("c1", "c2", "s1", "s2").agg(F.sort_array(F.collect_list("seg_id")).alias("segments")).join(size, "c1")
     return groups.filter(F.size("segments") == F.col("size")).select("c1", "c2", "segments")
+
+
+def by_leading_number(names: DataFrame) -> DataFrame:
+    """Clusters in order of the whole number their names begin with; names without one come first."""
+    return names.orderBy(F.asc_nulls_first(F.nullif(F.regexp_extract("name", r"^(\d+)", 1), F.lit("")).cast("long")), "name")

@@ -190,3 +190,9 @@ def median_length(members: DataFrame) -> DataFrame:
     med = F.get(F.transform("m", lambda x: x["length"]), F.floor(F.size("m") / 2).cast("int"))
     g = g.withColumn("median", med)
     return g.select("cluster", "median", F.array_min(F.transform(F.filter("m", lambda x: x["length"] == F.col("median")), lambda x: x["seq_id"])).alias("rep"))
+
+
+def totals(seqs: DataFrame, redundant: DataFrame | None = None) -> DataFrame:
+    """(taxon, total, residues) of a set of sequences, without redundant ones if they are given."""
+    kept = seqs.join(redundant.select("seq_id"), "seq_id", "left_anti") if redundant is not None else seqs
+    return kept.groupBy("taxon").agg(F.count(F.lit(1)).alias("total"), F.sum(F.length("seq")).cast("long").alias("residues"))

@@ -121,3 +121,21 @@ def remove_gap_columns(msa: DataFrame) -> DataFrame:
     full = ch.groupBy("aln", "pos").agg(F.max(F.when(F.col("ch") != "-", 1).otherwise(0)).alias("some")).filter("some = 1").select("aln", "pos")
     kept = ch.join(full, ["aln", "pos"], "left_semi")
     return kept.groupBy("aln", "name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]), "").alias("seq"))
+
+
+def include(seqs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Only listed taxa, numbered anew in the list's order: listed(ord, taxon)."""
+    pos = seqs.join(listed.select("taxon", "ord"), "taxon").select("taxon", "ord", F.col("seq_id").alias("pos"), *[c for c in seqs.columns if c not in ("taxon", "seq_id")])
+    return number(pos.withColumnRenamed("taxon", "file"), ["pos"]).withColumnRenamed("file", "taxon").select(*seqs.columns)
+
+
+def representatives(records: DataFrame) -> DataFrame:
+    """Pre-clustered files: the first record of each stands for it; all keep its id as rep_id."""
+    return records.withColumn("rep_id", F.min("seq_id").over(W.partitionBy("file")))
+
+
+def without_redundant(hsps: DataFrame, redundant: DataFrame) -> DataFrame:
+    """Segments neither end of which is redundant."""
+    for side in ("q", "s"):
+        hsps = hsps.join(redundant.select(F.col("seq_id").alias(side)).distinct(), side, "left_anti")
+    return hsps.select("q", "s", *[c for c in hsps.columns if c not in ("q", "s")])

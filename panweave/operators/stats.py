@@ -99,3 +99,8 @@ def trend(rates: DataFrame) -> DataFrame:
     tot = g.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sq"))
     anova = tot.select((((F.col("sq") - F.col("N") * F.col("gm") * F.col("gm")) / (F.col("k") - 1)) / (F.col("within") / (F.col("N") - F.col("k")))).alias("f"))
     return rates.agg(F.corr("occ", "omega").alias("r"), F.regr_slope("omega", "occ").alias("slope"), F.regr_intercept("omega", "occ").alias("intercept")).crossJoin(anova)
+
+
+def merge_tools(stats: DataFrame, tools: list[str]) -> DataFrame:
+    """stats(domain, tool, n) of several tools side by side, 0 where a tool has none."""
+    return stats.groupBy("domain").pivot("tool", tools).agg(F.sum("n")).na.fill(0)

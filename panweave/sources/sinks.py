@@ -112,3 +112,10 @@ def orthoxml(clusters: DataFrame, origin: str = "panweave") -> DataFrame:
     groups = clusters.groupBy("cluster_id").agg(_ordered("seq_id", ref, "").alias("r")).agg(
         _ordered("cluster_id", F.concat(F.lit('<orthologGroup id="'), F.col("cluster_id").cast("string"), F.lit('">'), "r", F.lit("</orthologGroup>")), "").alias("groups"))
     return species.crossJoin(groups).select(F.lit(0).alias("ord"), F.concat(F.lit(f'<?xml version="1.0" encoding="utf-8"?><orthoXML xmlns="http://orthoXML.org/2011/" version="0.3" origin="{origin}" originVersion="1">'), "species", F.lit("<groups>"), "groups", F.lit("</groups></orthoXML>")).alias("value"))
+
+
+def enriched_fasta(members: DataFrame, enriched: DataFrame) -> DataFrame:
+    """members(cluster, seq_id, header, seq, domains) that carry an enriched domain, with cluster and domains in the header."""
+    hit = members.select("*", F.explode(F.array_distinct("domains")).alias("domain")).join(enriched.select("domain").distinct(), "domain", "left_semi")
+    rows = hit.groupBy("cluster", "seq_id", "header", "seq").agg(F.array_join(F.sort_array(F.collect_set("domain")), ",").alias("d"))
+    return fasta_lines(rows.select("cluster", F.concat_ws(" ", "header", F.concat(F.lit("cluster="), F.col("cluster").cast("string")), F.concat(F.lit("domains="), "d")).alias("header"), "seq"))

@@ -181,3 +181,21 @@ def test_statistics(spark):
     occ = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 3.0), (2, 4.0)], "occ int, omega double")
     t = stats.trend(occ).first()
     assert t["f"] == pytest.approx(8.0) and t["slope"] == pytest.approx(2.0)
+
+
+def test_small_operators(spark):
+    from panweave.operators import clusters, matrix
+
+    s = spark.createDataFrame([(1, "a", "h", "ACGT"), (2, "b", "h", "AC"), (3, "b", "h", "A"), (4, "c", "h", "T")], "seq_id long, taxon string, header string, seq string")
+    listed = spark.createDataFrame([(1, "b"), (2, "a")], "ord int, taxon string")
+    assert values(sequences.include(s, listed).select("seq_id", "taxon", "seq")) == [(1, "b", "AC"), (2, "b", "A"), (3, "a", "ACGT")]
+    assert values(sequences.representatives(s.withColumnRenamed("taxon", "file")).select("seq_id", "rep_id")) == [(1, 1), (2, 2), (3, 2), (4, 4)]
+    h = spark.createDataFrame([(1, 2, 9.0), (2, 3, 9.0), (1, 4, 9.0)], "q long, s long, bits double")
+    assert values(sequences.without_redundant(h, spark.createDataFrame([(3,)], "seq_id long"))) == [(1, 2, 9.0), (1, 4, 9.0)]
+    n = spark.createDataFrame([("10_b",), ("9_a",), ("x",)], "name string")
+    assert [r["name"] for r in clusters.by_leading_number(n).collect()] == ["x", "9_a", "10_b"]
+    assert values(matrix.totals(s, spark.createDataFrame([(3,)], "seq_id long"))) == [("a", 1, 4), ("b", 1, 2), ("c", 1, 1)]
+    t = spark.createDataFrame([("PF1", "x", 2), ("PF1", "y", 3), ("PF2", "y", 1)], "domain string, tool string, n long")
+    assert values(stats.merge_tools(t, ["x", "y"])) == [("PF1", 2, 3), ("PF2", 0, 1)]
+    m = spark.createDataFrame([("c1", 1, "h1", "MK", ["PF1", "PF2"]), ("c2", 2, "h2", "MV", [])], "cluster string, seq_id long, header string, seq string, domains array<string>")
+    assert [r["value"] for r in sinks.enriched_fasta(m, t.filter("tool = 'x'")).collect()] == [">h1 cluster=c1 domains=PF1\nMK"]
