@@ -32,8 +32,8 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: Rows of the sample that orders the rules.
-SAMPLE_ROWS = 256
+#: The sample that orders the rules: so many rows of at most so many bytes.
+SAMPLE_ROWS, SAMPLE_BYTES = 256, 1 << 16
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -191,7 +191,8 @@ def run_cascade(features: Features, rules: list[Rule]) -> np.ndarray:
 
 
 def sample_texts(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[str | None]:
-    return [r[0] for r in docs.select(F.col(text_col).cast("string")).limit(rows).collect()]
+    text = docs.select(F.col(text_col).cast("string").alias("text"))
+    return [r[0] for r in text.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).limit(rows).collect()]
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
