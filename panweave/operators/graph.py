@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panweave.tables import Tables
 
+if TYPE_CHECKING:  # pandas is imported where a grouped fold runs, not by every worker that loads this module
+    import pandas as pd
+
 MAX_ROUNDS = 60
 
 
@@ -53,6 +55,8 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 def markov_clusters(links: pd.DataFrame, inflation: float, rounds: int = 100) -> pd.DataFrame:
     """Markov clustering of one component: links(a, b, w) -> (node, cluster). Expansion, inflation, pruning."""
+    import pandas as pd
+
     nodes, flat = np.unique(np.concatenate((links["a"], links["b"])), return_inverse=True)
     a, b = flat[: len(links)], flat[len(links) :]
     m = np.zeros((len(nodes), len(nodes)))
@@ -133,6 +137,8 @@ def greedy_absorb(pairs: DataFrame, group_col: str) -> DataFrame:
     The order makes it sequential, so each group (a taxon) is one fold over its own pairs.
     """
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         rep: dict[int, int] = {}
         for q, s in part.sort_values(["q", "s"])[["q", "s"]].itertuples(index=False):
             if q not in rep and s not in rep:
