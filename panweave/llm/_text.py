@@ -29,10 +29,10 @@ _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least; kept for the life of the worker up to 4M entries."""
+    """base**i and base**-i modulo 2**64 for i below n at least; kept for the life of the worker up to 2M entries."""
     if len(_POWERS[0]) >= n:
         return _POWERS[0], _POWERS[1]
-    size = max(1 << 21, 1 << (n - 1).bit_length())
+    size = max(1 << 20, 1 << (n - 1).bit_length())
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         p = np.empty(size, np.uint64)
@@ -43,7 +43,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[done : done + step] = p[:step] * np.uint64(pow(base, done, 1 << 64))
             done += step
         out.append(p)
-    if size <= 1 << 22:
+    if size <= 1 << 21:
         _POWERS[:] = out
     return out[0], out[1]
 
@@ -80,7 +80,7 @@ class Words:
         return np.diff(self.bounds)
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[Chunk]:
     """Whole documents of a string column, about `limit` bytes at a time; nulls count as empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

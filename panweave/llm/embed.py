@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panweave.llm._graph import components, settle
-from panweave.llm._spark import Tables, keyed_streams, read, runs
+from panweave.llm._spark import Tables, keyed_streams, read, runs, tidy
 
 COSINE = 0.98
 PROJECTIONS, MISSES = 32, 3
@@ -202,7 +202,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         dims = grid_dims(largest, window, projections // groups)
 
-    placed = classes.select("rep", "label", "weight", "v").mapInArrow(_project(seed, projections, groups, dims, window), PLACED)
+    placed = classes.select("rep", "label", "weight", "v").mapInArrow(tidy(_project(seed, projections, groups, dims, window)), PLACED)
     cell = ["label", "dim", "grp", "cell"]
     placed = placed.withColumn("spot", F.xxhash64(*cell))
     load = placed.select("spot").groupBy("spot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("p", F.ceil(F.col("n") / block).cast("int"))
@@ -213,7 +213,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         F.least("i", j).alias("x"), F.greatest("i", j).alias("y"), (F.col("i") <= j).alias("asks"), (F.col("i") >= j).alias("answers")))
     tasks = spread.withColumn("t", F.explode(roles)).select(
         F.xxhash64(*cell, "t.x", "t.y").alias("task"), "rep", "weight", "dim", "grp", "cell", "vector", "marks", "t.asks", "t.answers")
-    found = tables.save(keyed_streams(tasks, "task").mapInArrow(_links(cosine, projections, groups, misses, dims, window), "rep long, n long, root long"))
+    found = tables.save(keyed_streams(tasks, "task").mapInArrow(tidy(_links(cosine, projections, groups, misses, dims, window)), "rep long, n long, root long"))
 
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = components(tables, found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")

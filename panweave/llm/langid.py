@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panweave.llm import _conv, _text
-from panweave.llm._spark import read
+from panweave.llm._spark import read, tidy
 
 WINDOW, DEPTH, WIDTHS, FILTERS = 256, 8, (2, 3, 4, 5), 10
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE, SEED = 3000, 16_384, 16, 64, 8e-3, 5
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _conv.held_out(F.col(id_col)).alias("held_out"), text.alias("text"), has_letter(text).alias("letter"), *[F.col(c).alias(f"other_{k}") for k, c in enumerate(others)])
     kinds = [rows.schema["text"].dataType if c == text_col else rows.schema[f"other_{others.index(c)}"].dataType for c in keep]
     fixed = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, T.StructType([*fixed.fields, *[T.StructField(f"keep_{k}", kind) for k, kind in enumerate(kinds)]]))
+    return rows.mapInArrow(tidy(run), T.StructType([*fixed.fields, *[T.StructField(f"keep_{k}", kind) for k, kind in enumerate(kinds)]]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

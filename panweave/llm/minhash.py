@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from panweave.llm import _text
 from panweave.llm._graph import components, settle
-from panweave.llm._spark import Tables, keyed_streams, read, runs
+from panweave.llm._spark import Tables, keyed_streams, read, runs, tidy
 
 BANDS, ROWS = 21, 6
 WIDTH = 5
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     tables = Tables(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = tables.save(texts.mapInArrow(_sign(bands, rows, width), SIGNED))
+    signed = tables.save(texts.mapInArrow(tidy(_sign(bands, rows, width)), SIGNED))
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
 
     # Classes of equal sets, by 128 bits of sums over their hashes and their size.
@@ -210,11 +210,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Full sets of the documents in a star; confirmation of every centre-member pair.
     wanted = stars.select(F.explode(F.array("centre", "member")).alias("doc_id")).distinct()
-    sets = tables.save(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles binary").dropDuplicates(["rep"]))
+    sets = tables.save(texts.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(_sets(width)), "rep long, shingles binary").dropDuplicates(["rep"]))
     member_sets = sets.select(F.col("rep").alias("member"), "shingles")
     centre_sets = sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("centre_shingles"))
     pairs = stars.join(member_sets, "member").join(centre_sets, "centre").select("centre", "member", "shingles", "centre_shingles")
-    judged = tables.save(pairs.mapInArrow(_confirm(percent), "centre long, member long, linked boolean"))
+    judged = tables.save(pairs.mapInArrow(tidy(_confirm(percent)), "centre long, member long, linked boolean"))
 
     # Balls with members that don't link to their centre: those against all, in blocks.
     n = F.octet_length("shingles") / 8
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to_ask = F.transform(others, lambda j: role(F.col("i"), j, F.lit(True), F.lit(False)))
     placed = spread.withColumn("t", F.explode(F.when(F.col("linked"), to_answer).otherwise(F.concat(to_answer, to_ask))))
     placed = placed.select(F.xxhash64("centre", "t.i", "t.j").alias("task"), "member", "linked", "t.asks", "t.answers").join(member_sets, "member")
-    found = keyed_streams(placed, "task").mapInArrow(_balls(percent), "a long, b long")
+    found = keyed_streams(placed, "task").mapInArrow(tidy(_balls(percent)), "a long, b long")
 
     links = judged.filter("linked").select(F.col("centre").alias("a"), F.col("member").alias("b")).unionByName(found)
     parts = components(tables, links)

@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from panweave.llm._spark import Tables, read
+from panweave.llm._spark import Tables, read, tidy
 
 LENGTH, END_ID = 1024, 2
 SALTS = 256
-CACHE = 400_000
+CACHE = 200_000
 
 # Letters, digits and spaces of the ranges in PLAIN, and the splitting pattern over them.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -63,11 +63,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.plain = ranks is not None
+        self.path, self.plain = path, ranks is not None
         if not self.plain:
             return
         import tiktoken
@@ -87,6 +83,15 @@ class Encoder:
 
         self.cache = Cache()
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Loaded when a text first needs it: beside the ranks it would only take memory."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -134,7 +139,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                                                      names=["doc_id", "piece", "start", "length", "ids"])
                     rows, piece, start, size, blob, held = [], [], [], [], [], 0
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def fullest(room: int, counts: dict[int, int]) -> dict[int, int]:
@@ -221,7 +226,7 @@ def assign(tables: Tables, rows: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(row[:, 2] + turn // np.maximum(row[:, 3], 1)), pa.array(row[:, 4] + turn % np.maximum(row[:, 3], 1) * size)], names=[*names, "sequence_id", "offset"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidy(run), schema)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panweave.llm import _conv, _text
-from panweave.llm._spark import read
+from panweave.llm._spark import read, tidy
 
 BLOCK, WIDTH, DEPTH, FILTERS, HIDDEN = 64, 6, 8, 16, 16
 LAGS = tuple(range(2, 26))
 TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE, SEED = 3000, 16_384, 9, 16, 5e-3, 7
-MIN_STEPS = 1500  # a small sample is passed over more often
+MIN_STEPS = 900  # a small sample is passed over more often
 THRESHOLD = 0.3
 PIECE = 1024  # blocks
 
@@ -167,7 +167,7 @@ def classify(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str =
                                                  names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _conv.held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

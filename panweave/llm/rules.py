@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panweave.llm import _text
-from panweave.llm._spark import read
+from panweave.llm._spark import read, tidy
 
 # The symbols that the base counts.
 SYMBOLS = b"#*$%&|<>"
@@ -217,7 +217,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.rows.start, len(c)), *map(pa.array, base), pa.array(failed), pa.array(kept)],
                                                  names=["doc_id", *COLUMNS, "base_failed", "kept"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
