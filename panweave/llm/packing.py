@@ -38,7 +38,7 @@ from panweave.llm._spark import Tables, read, tidy
 
 LENGTH, END_ID = 1024, 2
 SALTS = 256
-CACHE = 200_000
+CACHE = 100_000
 
 # Letters, digits and spaces of the ranges in PLAIN, and the splitting pattern over them.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     blob.append(coded[4 * at : 4 * (at + step)])
                     at, k = at + step, k + 1
                 held += len(coded)
-                if held > 1 << 22 or i == n - 1:
+                if held > 1 << 20 or i == n - 1:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(blob, pa.binary())],
                                                      names=["doc_id", "piece", "start", "length", "ids"])
                     rows, piece, start, size, blob, held = [], [], [], [], [], 0
