@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from panweave.llm import langid, minhash, mixing, packing, secrets
 from panweave.llm._spark import Tables, read
 
+#: The stage's law: five words, a similarity of 0.8 or more. A pair at 0.8 shares one of 25 buckets with probability
+#: 1 - (1 - 0.8**5)**25 > 0.9999. (op2's own law is 0.85.)
+NEAR = {"percent": 80, "width": 5, "bands": 25, "rows": 5}
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier can't give a language (no text, no letter) go."""
@@ -25,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id; of repeated rows one stays."""
     tables = Tables(spark, "dedup")
-    found = minhash.near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    found = minhash.near_duplicates(docs, **NEAR).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     marked = tables.save(found.filter("NOT kept OR n > 1"))
     once = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     again = marked.filter("kept").select("doc_id")
