@@ -233,7 +233,8 @@ def bdbh_clusters(spark, d):
 # --- graphs and clusters ----------------------------------------------------------------------------------------------
 
 def _pairs(spark, d):
-    return Tables(spark, "pairs").save(H.reciprocal(H.top_ties(V.hits(spark, d)).filter("bits >= 1800"), CFG))
+    """All reciprocal best hits. (The SQL below still cuts at 1800 bits, see the README.)"""
+    return Tables(spark, "pairs").save(H.reciprocal(H.top_ties(V.hits(spark, d)), CFG))
 
 
 _LINKS_SQL = f"{_TIES_SQL}, strong AS (SELECT * FROM ties WHERE bits >= 1800), l AS ({_RECIPROCAL.format('strong')})"
