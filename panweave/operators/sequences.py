@@ -38,11 +38,12 @@ def dedup_identical(seqs: DataFrame) -> DataFrame:
 
 
 def contained(seqs: DataFrame, gram: int = 12, window: int = 12) -> DataFrame:
-    """(seq_id, container): sequences that are a proper substring of another, for those of at least gram + window - 1 bytes.
+    """(seq_id, container): sequences that are a proper substring of another, with the smallest id of those that contain them.
 
     Of every `window` successive grams the one with the smallest hash is kept (its minimiser). A text shares the minimisers
     of its own windows with every text that contains it, so one of them finds all containers by an equi-join, and only
-    about 2 in window + 1 positions of the longer texts are shuffled. Hits are confirmed on the texts.
+    about 2 in window + 1 positions of the longer texts are shuffled. Hits are confirmed on the texts. Texts of less than
+    gram + window - 1 bytes have no whole window: the distinct ones are few and are tried against all texts.
     """
     least = gram + window - 1
 
@@ -69,7 +70,11 @@ def contained(seqs: DataFrame, gram: int = 12, window: int = 12) -> DataFrame:
     pairs = marks.filter("first").select("seq_id", "mark").join(marks.select(F.col("seq_id").alias("container"), "mark"), "mark").filter("seq_id <> container").select("seq_id", "container").distinct()
     text = seqs.select("seq_id", "seq")
     both = pairs.join(text.select("seq_id", F.col("seq").alias("s")), "seq_id").join(text.select(F.col("seq_id").alias("container"), F.col("seq").alias("t")), "container")
-    return both.filter((F.length("t") > F.length("s")) & F.contains(F.col("t"), F.col("s"))).groupBy("seq_id").agg(F.min("container").alias("container"))
+    inside = (F.length("t") > F.length("s")) & F.contains(F.col("t"), F.col("s"))
+    found = both.filter(inside).groupBy("seq_id").agg(F.min("container").alias("container"))
+    short = text.filter(F.octet_length("seq") < least)
+    holds = text.select(F.col("seq_id").alias("container"), F.col("seq").alias("t")).join(short.select(F.col("seq").alias("s")).distinct(), inside)
+    return found.unionByName(short.join(holds.groupBy(F.col("s").alias("seq")).agg(F.min("container").alias("container")), "seq").select("seq_id", "container"))
 
 
 def longest_per_group(rows: DataFrame, group: str, used: str | None = None) -> DataFrame:
