@@ -1,0 +1,10 @@
+"""k-mers that very many sequences hold count towards candidates."""
+
+from panweave.operators import search
+
+
+def test_frequent_kmers_count(spark):
+    rows = [(i, "ACGTAC") for i in range(40)] + [(i, "ACGTAC" + format(i, "b").translate({48: "T", 49: "G"})) for i in range(1000, 1990)] + [(5000, "ACGTTTTT"), (5001, "CCCCCCCC")]
+    got = search.candidates(spark.createDataFrame(rows, "seq_id long, seq string")).filter("(q < 40 OR q >= 5000) AND (s < 40 OR s >= 5000)").collect()
+    want = {(a, b, 3) for a in range(40) for b in range(40) if a != b}
+    assert {tuple(r) for r in got} == want
