@@ -167,8 +167,8 @@ def pending_pairs(spark, d):
   SELECT o.sample, o.g, count(*) AS new FROM g JOIN ord o USING (taxon) LEFT JOIN f ON f.q = g.seq_id AND f.sample = o.sample WHERE f.f IS NULL OR f.f >= o.g GROUP BY ALL""")
 def pan_increments(spark, d):
     li = V.table(spark, d, "lineitem")
-    genes = li.filter("l_quantity > 49").select(F.col("l_partkey").alias("seq_id"), F.month("l_shipdate").cast("long").alias("taxon")).distinct()
-    hom = li.filter("l_quantity < 3").select(F.col("l_partkey").alias("q"), F.month("l_shipdate").cast("long").alias("ts")).distinct()
+    genes = li.select(F.col("l_partkey").alias("seq_id"), F.month("l_shipdate").cast("long").alias("taxon")).distinct()
+    hom = li.select(F.col("l_partkey").alias("q"), F.month("l_shipdate").cast("long").alias("ts")).distinct()
     orders = R._orders(V.pangenome(spark, d))
     return GR.pan_increments(genes, hom, spark.createDataFrame([], "seq_id long"), orders).select(F.col("sample").cast("long").alias("sample"), F.col("g").cast("long").alias("g"), "new")
 
