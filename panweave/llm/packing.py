@@ -12,17 +12,19 @@ inside a cell, so a length that a third of all pieces share is not one task's wo
 unless the caller carries ids along.
 
 Tokenising: pre-tokens repeat, so each worker keeps a bounded cache from pre-token to ids; texts with any character
-outside the ranges where the splitting pattern is plain go to the tokenizer whole. The ids are the tokenizer's own.
+outside the ranges where the splitting pattern is plain, and texts with the string of a special token, go to the
+tokenizer whole. The ids are the tokenizer's own, as it is loaded: a special token's string in a text is that token.
 
-Defined cases: a null or empty text is its end id alone; strings that look like special tokens are ordinary text;
-repeated rows are pieces of their own; a null id is packed like any other; an empty table packs into nothing; other
-columns are ignored.
+Defined cases: a null or empty text is its end id alone; repeated rows are pieces of their own (cells are salted by a
+row number, so equal rows are dealt over all of a length's cells); a null id is packed like any other; an empty table
+packs into nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -45,7 +47,7 @@ _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
 _S = "\\t\\n\\r\\x20"
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-ɏ‐-‧‰-⁞€]")
+ODD = "[^\\t\\n\\r\\x20-\\x7e¡-ɏ‐-‧‰-⁞€]"
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -59,7 +61,8 @@ class Encoder:
     """Text -> ids as little-endian uint32 bytes.
 
     `ranks` names the same vocabulary as a rank file: then a text is split here, and pre-tokens that the cache doesn't
-    hold go through the merges alone. Without it every text goes to the tokenizer whole.
+    hold go through the merges alone. Without it every text goes to the tokenizer whole, as do texts that hold the
+    string of one of its special tokens.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -68,9 +71,12 @@ class Encoder:
             return
         import tiktoken
 
+        with open(path, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f).get("added_tokens", ())]
+        self.odd = re.compile("|".join([ODD, *map(re.escape, added)]))
         with open(ranks, "rb") as f:
             order = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
-        merge = tiktoken.Encoding("ranks", pat_str="", mergeable_ranks=order, special_tokens={})._encode_single_piece
+        merge = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=order, special_tokens={}).encode_ordinary
 
         class Cache(dict):
             def __missing__(self, piece: str) -> bytes:
@@ -88,15 +94,13 @@ class Encoder:
         """Loaded when a text first needs it: beside the ranks it would only take memory."""
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(self.path)
-        tokenizer.encode_special_tokens = True
-        return tokenizer
+        return Tokenizer.from_file(self.path)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not self.plain or ODD.search(text):
+        if not self.plain or self.odd.search(text):
             return self.whole(text)
         return b"".join(map(self.cache.__getitem__, SPLIT.findall(text)))
 
@@ -200,23 +204,23 @@ def plan_bins(counts: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[
 
 
 def assign(tables: Tables, rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rows(doc_id, piece, length, ...) with sequence_id and offset added; other columns ride along.
+    """rows(_row, length, ...) with sequence_id and offset in place of _row; other columns ride along.
 
-    `rows` should be a written table, since it is read for the counts and again for the ranks.
+    `rows` should be a written table, since it is read for the counts and again for the ranks; _row numbers its rows.
     """
-    key = F.xxhash64("doc_id", "piece")
-    cells = rows.withColumn("_salt", F.pmod(key, F.lit(SALTS)).cast("int"))
+    cells = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
     counts = tables.save(cells.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # `length` rows at most
     stretches, _ = plan_bins(histogram, length)
     before = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    order = W.partitionBy("length", "_salt").orderBy(key, "doc_id", "piece", *[c for c in rows.columns if c == "ids_crc32"])
+    order = W.partitionBy("length", "_salt").orderBy("_row")
     ranked = cells.withColumn("_within", F.row_number().over(order) - 1).join(starts, ["length", "_salt"])
-    ranked = ranked.select(*rows.columns, (F.col("_begin") + F.col("_within")).alias("_rank"))
+    names = [c for c in rows.columns if c != "_row"]
+    ranked = ranked.select(*names, (F.col("_begin") + F.col("_within")).alias("_rank"))
     plan = np.array(sorted(stretches), np.int64).reshape(-1, 5)
     edge = plan[:, 0] * (1 << 48) + plan[:, 1]
-    names, at = list(rows.columns), rows.columns.index("length")
+    at = names.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +229,7 @@ def assign(tables: Tables, rows: DataFrame, length: int = LENGTH) -> DataFrame:
             turn = rank - row[:, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(row[:, 2] + turn // np.maximum(row[:, 3], 1)), pa.array(row[:, 4] + turn % np.maximum(row[:, 3], 1) * size)], names=[*names, "sequence_id", "offset"])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(tidy(run), schema)
 
 
@@ -233,7 +237,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids if asked for)."""
     tables = Tables(docs.sparkSession, "pack")
     cut = pieces(docs, id_col, text_col, path, ranks, length, end_id).withColumn("ids_crc32", F.crc32("ids"))
-    narrow = tables.save(cut.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])))
+    narrow = tables.save(cut.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])))
     return assign(tables, narrow, length)
 
 

@@ -40,9 +40,51 @@ def test_plan_covers_the_histogram():
     assert packing.plan_bins({}) == ([], 0)
 
 
+def test_every_bin_is_the_fullest_of_what_is_left():
+    """Replays the bins in order: each takes the largest length left and, by brute force, the fullest rest."""
+    rng = random.Random(8)
+    for _ in range(30):
+        counts = Counter(rng.randrange(1, 40) for _ in range(14))
+        stretches, bins = packing.plan_bins(dict(counts), 40)
+        held = {}
+        for size, first, at, k, _ in stretches:
+            later = [x for x in stretches if x[0] == size and x[1] > first]
+            end = min((x[1] for x in later), default=counts[size])
+            for rank in range(first, end):
+                held.setdefault(at + (rank - first) // k, []).append(size)
+        left = Counter(counts)
+        for b in range(bins):
+            top = max(s for s in left if left[s])
+            assert top in held[b]
+            left[top] -= 1
+            sizes = sorted(left.elements())
+            best = max(sum(c) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n) if sum(c) <= 40 - top)
+            assert sum(held[b]) == top + best
+            left[top] += 1
+            left -= Counter(held[b])
+        assert not +left
+
+
+def test_equal_rows_are_dealt_over_the_cells(spark):
+    rows = spark.range(20_000, numPartitions=4).selectExpr("id AS _row", "7L AS doc_id", "0 AS piece", "0L AS start", "3L AS length", "1L AS ids_crc32")
+    cells = rows.selectExpr(f"pmod(xxhash64(_row), {packing.SALTS}) AS salt").groupBy("salt").count().toPandas()
+    assert cells["count"].max() < 200
+    got = packing.assign(packing.Tables(spark, "t"), packing.Tables(spark, "t").save(rows), 9).toPandas()
+    assert got.groupby("sequence_id").size().max() == 3 and got["sequence_id"].nunique() == 6667 and not got.duplicated(["sequence_id", "offset"]).any()
+
+
+def test_special_tokens_are_as_the_tokenizer_gives_them(spark):
+    ids = np.array([64, 220, 50256, 275], "<u4").tobytes()
+    assert packing.Encoder(*packing.tokenizer_paths())("a <|endoftext|> b") == ids
+    r = packing.pack(make(spark, [(1, "a <|endoftext|> b", "en", "a")])).first()
+    assert (r["length"], r["ids_crc32"]) == (5, zlib.crc32(ids + np.array([2], "<u4").tobytes()))
+
+
 def check(rows, got, length=1024):
-    slow = packing.Encoder(packing.tokenizer_paths()[0])
-    whole = Counter((d, slow(t or "") + np.array([2], "<u4").tobytes()) for d, t, *_ in rows)
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    whole = Counter((d, np.array([*slow.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for d, t, *_ in rows)
     want = Counter()
     for (d, ids), n in whole.items():
         total, at, k = len(ids) // 4, 0, 0
