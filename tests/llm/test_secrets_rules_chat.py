@@ -39,6 +39,39 @@ def test_ownership(spark):
     assert clean[10] == "[secret]" and clean[11] == f"plain [secret] text {shared}"
 
 
+def test_repositories_decide_too(spark):
+    """One owner: a value in many different texts is an example; in many exact copies of one text it isn't."""
+    pasted, own = "0011223344556677" * 2, "8899aabbccddeeff" * 2
+    rows = [(i, f"note {i} secret={pasted}", "en", "hot") for i in range(secrets.EXAMPLE_REPOS)] + [(1000 + i, f"secret={own}", "en", "hot") for i in range(2 * secrets.EXAMPLE_REPOS)]
+    got = {r["doc_id"]: r for r in secrets.scan(make(spark, rows)).collect()}
+    assert (got[0]["n_live"], got[0]["owners"], got[0]["repositories"]) == (0, "1,1", f"{secrets.EXAMPLE_REPOS},{secrets.EXAMPLE_REPOS}")
+    assert (got[1000]["n_live"], got[1000]["owners"], got[1000]["repositories"]) == (2, "1,1", "1,1")
+
+
+def test_many_matches_in_one_text(spark):
+    """50,000 values in one text: spans and redaction in time that grows with the text, not with its square."""
+    import time
+
+    text = "é ".join(f"{i:032x} key{i:05d}" for i in range(50_000))
+    doc = make(spark, [(1, text, "en", "a"), (2, "clean", "en", "a")])
+    began = time.monotonic()
+    r = {r["doc_id"]: r for r in secrets.scan(doc).collect()}[1]
+    assert time.monotonic() - began < 20
+    assert r["n_hex"] == 50_000 and r["base_sha256"] == hashlib.sha256(",".join(f"{b[0]}:{b[1]}:{b[2]}" for b in base(text)).encode()).hexdigest()
+    began = time.monotonic()
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(doc).collect()}
+    assert time.monotonic() - began < 20
+    varied = [i for i in range(50_000) if len(set(f"{i:032x}")) >= secrets.MIN_DISTINCT]
+    want = re.sub(r"[0-9a-f]{32}", lambda m: "[secret]" if len(set(m[0])) >= secrets.MIN_DISTINCT else m[0], text)
+    assert varied and clean[1] == want and clean[2] == "clean"
+
+
+def test_overlapping_live_spans_get_one_mark(spark):
+    token, key = "Ab3-" + "Zx9_Kq8" * 4, "AKIA" + "QWERTY123456ZXCV"
+    rows = [(1, f"é password={key} and {token}é{key}.", "en", "a")]
+    assert secrets.redact(make(spark, rows)).first()["text"] == "é [secret] and [secret]é[secret]."
+
+
 def test_redact_keeps_everything_else(edge, empty):
     out = secrets.redact(edge)
     assert out.columns == edge.columns
