@@ -80,14 +80,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labelled: DataFrame, rows: int, max_bytes: int) -> list[tuple[int, str, object]]:
-    """(doc_id, text, label) of at most `rows` labelled documents of at most `max_bytes` bytes, chosen by hash of the id.
+    """(doc_id, text, label) of at most `rows` labelled texts of at most `max_bytes` bytes, chosen by hash of the id.
 
-    The ids come from the narrow label table alone; then one scan fetches their texts, so what reaches the driver is
-    bounded by rows * max_bytes whatever the input.
+    The ids come from the narrow label table alone: at most `rows` of them, which is what the broadcast holds. One scan
+    joins their texts, and of those again at most `rows` reach the driver: rows * max_bytes whatever the input. An id
+    with several labels or texts gives each pair of them.
     """
-    picked = labelled.filter(~held_out(F.col("doc_id")) & F.col("label").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows).collect()
-    label = {r["doc_id"]: r["label"] for r in picked}
-    if not label:
-        return []
-    text = docs.filter(F.col("doc_id").isin(list(label)) & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text").collect()
-    return sorted({(r["doc_id"], r["text"], label[r["doc_id"]]) for r in text})
+    picked = labelled.filter(~held_out(F.col("doc_id")) & F.col("label").isNotNull()).select("doc_id", "label")
+    picked = picked.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "label").limit(rows).distinct()
+    fit = docs.filter(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text")
+    pairs = fit.join(F.broadcast(picked), "doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "label", "text").limit(rows)
+    return sorted((r["doc_id"], r["text"], r["label"]) for r in pairs.collect())

@@ -120,7 +120,7 @@ class Net:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Net:
     """docs(doc_id, text, lang)."""
-    sample = _conv.training_rows(docs, docs.select("doc_id", F.col("lang").alias("label")), rows, max_bytes)
+    sample = _conv.training_rows(docs.select("doc_id", "text"), docs.select("doc_id", F.col("lang").alias("label")), rows, max_bytes)
     sample = [(t, v) for _, t, v in sample if any(map(str.isalpha, t))]
     return Net(sorted({v for _, v in sample})).fit([t for t, _ in sample], [v for _, v in sample])
 

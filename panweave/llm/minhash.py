@@ -2,7 +2,7 @@
 
 1. Each text gives its sorted set of 64-bit shingle hashes. One pass cuts the hash range into BANDS * ROWS bins and
    keeps each bin's smallest value; empty bins copy the bin that a fixed hash sequence of their number finds first.
-2. Equal sets are one class. Its smallest document stands for it from here on.
+2. Equal sets are one class with a number of its own. A text of its smallest document stands for it from here on.
 3. A bucket is one band's value. Every bucket's smallest member is its centre, and the other members pair with it: a
    bucket of k members gives k - 1 candidate pairs. A member meets the same centre in many bands but is paired once.
 4. Pairs are confirmed on the full sets. Where all members of a centre link to it there is nothing left to find: they
@@ -12,10 +12,12 @@
 5. Components of the links.
 
 With 21 bands of 6 rows a pair at the threshold 0.85 shares a bucket with probability 1 - (1 - 0.85**6)**21 > 0.9999.
+Full sets are sets of 64-bit hashes: two sets of n and m shingles have a false match with a probability of at most
+n * m / 2**64 (2e-11 for 20,000 shingles each); sets count as equal if their sizes and 128 bits of sums agree.
 
 Defined cases: a null, empty or wordless text has an empty set, links with nothing and is kept; fewer than five words
 make one shingle; a null id can't be named in a component, so its row is never compared, has a null component and is
-kept; rows that repeat an id are one document; ties go to the smallest id; other columns are ignored.
+kept; rows that repeat an id are compared each by its own text; ties go to the smallest id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ PERCENT = 85
 BLOCK_SHINGLES = 1 << 20
 PROBES = 48
 
-SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+SIGNED = "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
 def _probes(bins: int) -> np.ndarray:
@@ -83,6 +85,13 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _text.mix(total ^ _text.mix(np.arange(1, bands + 1, dtype=np.uint64))[None, :])
 
 
+def _sums(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set, as signed numbers: equal for equal sets."""
+    k1 = [int(s.sum(dtype=np.uint64)) for s in sets]
+    k2 = [int(_text.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in sets]
+    return np.array(k1, np.uint64).view(np.int64), np.array(k2, np.uint64).view(np.int64)
+
+
 def _sign(bands: int, rows: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,25 +100,29 @@ def _sign(bands: int, rows: int, width: int):
                 n = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(n)
                 filled = [sets[i] for i in some]
-                k1, k2 = (np.zeros(len(sets), np.uint64) for _ in range(2))
-                k1[some] = [int(s.sum(dtype=np.uint64)) for s in filled]
-                k2[some] = [int(_text.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in filled]
+                k1, k2 = (np.zeros(len(sets), np.int64) for _ in range(2))
+                k1[some], k2[some] = _sums(filled)
                 keys = band_keys(signatures(filled, bands * rows), bands, rows) if len(some) else np.zeros((0, bands), np.uint64)
                 ends = np.zeros(len(sets) + 1, np.int32)
                 np.cumsum(np.where(n > 0, bands, 0), out=ends[1:])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(chunk.rows.start, len(chunk)), pa.array(n), pa.array(k1.view(np.int64), mask=n == 0), pa.array(k2.view(np.int64), mask=n == 0),
+                    batch.column(0).slice(chunk.rows.start, len(chunk)), batch.column(2).slice(chunk.rows.start, len(chunk)), pa.array(n), pa.array(k1, mask=n == 0), pa.array(k2, mask=n == 0),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
-                ], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+                ], names=["doc_id", "text_hash", "n_shingles", "k1", "k2", "bands"])
     return run
 
 
 def _sets(width: int):
+    """Rows (node, text, k1, k2) -> the full sets of those texts that are of the node's class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            node, want1, want2 = (batch.column(i).to_numpy() for i in (0, 2, 3))
             for chunk in _text.chunks(batch.column(1)):
                 sets, _ = _text.shingle_sets(chunk, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.rows.start, len(chunk)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
+                own = slice(chunk.rows.start, chunk.rows.start + len(chunk))
+                k1, k2 = _sums(sets)
+                some = np.flatnonzero((k1 == want1[own]) & (k2 == want2[own]))
+                yield pa.RecordBatch.from_arrays([pa.array(node[own][some]), pa.array([sets[i].tobytes() for i in some], pa.binary())], names=["node", "shingles"])
     return run
 
 
@@ -191,34 +204,41 @@ def _balls(percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text) and group_id.
+
+    Rows have one group_id if they are of one component, also where they share an id with rows of another component; it
+    is null for empty sets and null ids.
+    """
     spark = docs.sparkSession
     tables = Tables(spark, "minhash")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     signed = tables.save(texts.mapInArrow(tidy(_sign(bands, rows, width)), SIGNED))
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
 
     # Classes of equal sets, by 128 bits of sums over their hashes and their size.
     first = usable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = tables.save(first)
-    reps = usable.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
+    classes = tables.save(first.withColumn("node", F.monotonically_increasing_id()))
+    reps = usable.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "n_shingles", "node"), ["doc_id", "k1", "k2", "n_shingles"]).select("node", "bands")
 
-    # Buckets and their stars.
-    spots = reps.select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
+    # Buckets and their stars. (Rows that repeat id and text repeat their class here; distinct() takes that back.)
+    spots = reps.select(F.col("node").alias("member"), F.explode("bands").alias("bucket"))
     centres = spots.groupBy("bucket").agg(F.min("member").alias("centre"), F.max("member").alias("other")).filter("centre <> other").select("bucket", "centre")
     stars = tables.save(spots.join(centres, "bucket").filter("member <> centre").select("centre", "member").distinct())
 
     # Full sets of the documents in a star; confirmation of every centre-member pair.
-    wanted = stars.select(F.explode(F.array("centre", "member")).alias("doc_id")).distinct()
-    sets = tables.save(texts.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(_sets(width)), "rep long, shingles binary").dropDuplicates(["rep"]))
-    member_sets = sets.select(F.col("rep").alias("member"), "shingles")
-    centre_sets = sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("centre_shingles"))
+    wanted = stars.select(F.explode(F.array("centre", "member")).alias("node")).distinct()
+    wanted = classes.join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node", "k1", "k2")
+    held = texts.join(wanted, "doc_id").select("node", "text", "k1", "k2")
+    sets = tables.save(held.mapInArrow(tidy(_sets(width)), "node long, shingles binary").dropDuplicates(["node"]))
+    member_sets = sets.select(F.col("node").alias("member"), "shingles")
+    centre_sets = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("centre_shingles"))
     pairs = stars.join(member_sets, "member").join(centre_sets, "centre").select("centre", "member", "shingles", "centre_shingles")
     judged = tables.save(pairs.mapInArrow(tidy(_confirm(percent)), "centre long, member long, linked boolean"))
 
     # Balls with members that don't link to their centre: those against all, in blocks.
     n = F.octet_length("shingles") / 8
-    sized = judged.join(sets.select(F.col("rep").alias("member"), n.alias("n")), "member")
+    sized = judged.join(sets.select(F.col("node").alias("member"), n.alias("n")), "member")
     load = sized.groupBy("centre").agg(F.sum("n").alias("all_n"), F.sum(F.when(~F.col("linked"), F.col("n"))).alias("ask_n"), F.count(F.lit(1)).alias("size"))
     load = load.filter("ask_n IS NOT NULL AND size > 1").select(
         "centre", F.ceil(F.col("all_n") / block_shingles).cast("int").alias("q"), F.ceil(F.col("ask_n") / block_shingles).cast("int").alias("p"))
@@ -235,15 +255,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = judged.filter("linked").select(F.col("centre").alias("a"), F.col("member").alias("b")).unionByName(found)
     parts = components(tables, links)
-    named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    least = parts.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    parts = parts.join(least, "component")
+    named = tables.save(classes.join(parts, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "node").alias("group_id")))
+    out = signed.select("doc_id", "text_hash", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
+    known = F.col("doc_id").isNotNull()
+    component = F.when(known, F.coalesce("component_id", "doc_id"))
     tables.drop(sets)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash", F.when(known, F.col("group_id")).alias("group_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE_SQL = r"""

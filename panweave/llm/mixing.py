@@ -10,8 +10,9 @@ stretch of sizes gives its share; the running sum of expected copies plus one ra
 integers, and a document comes once per integer that its own stretch crosses. Copies per document differ by one at
 most, and a source misses its target by about one document.
 
-The running sum is rank times rate, and the rank comes from two levels: counts of small cells (source, leading digits
-of the size, salt of the id) give offsets, and a row number inside a cell gives the rest. No task sees a whole source.
+The running sum is rank times rate, and the rank comes from levels: counts of small cells (source, leading digits of the
+size and of the id's hash) give offsets, counts of equal ids and sizes inside a cell the next, and a row number the rest.
+No task sees a whole source. The sources themselves, one row each, are ranked in one task.
 
 Defined cases: null or wordless texts have size 0 and are taken 0 times; a null source is a source of its own, last;
 repeated rows are documents of their own; an empty table gives an empty result; other columns are ignored.
@@ -29,6 +30,7 @@ WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 CAP = 2
 SEED = "mix-1"
+TIES = 64
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: int = CAP) -> DataFrame:
@@ -57,48 +59,58 @@ def offset(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total: float = TOTAL, cap: int = CAP, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, size, source, source_size, target, copies, taken; `carry` names columns to keep along.
+def plan(tables: Tables, rows: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """rows(_row, _id, _size, _source), a written table -> with source_size, target, copies and taken.
 
-    Carried columns ride through the two narrow shuffles; leave it empty and join by id where ids are unique.
+    Documents of one id and size in one source are interchangeable; they are counted in TIES parts by their number, so
+    that a repeated row is no single task's work either.
     """
-    spark = docs.sparkSession
-    tables = Tables(spark, "mix")
-    base = docs.select(
-        F.col(id_col).alias("_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
-        F.col(source_col).cast("string").alias("_source"), F.struct(*[F.col(c) for c in carry]).alias("_carry") if carry else F.lit(None).cast("boolean").alias("_carry"),
-    )
-    narrow = base if carry else tables.save(base)
-    sizes = narrow.withColumn("skey", source_key("_source"))
+    sizes = rows.withColumns({"skey": source_key("_source"), "mark": F.md5(F.coalesce(F.col("_id").cast("string"), F.lit(""))), "tie": F.pmod("_row", F.lit(TIES))})
     sources = sizes.groupBy("skey").agg(F.first("_source", ignorenulls=True).alias("source"), F.sum("_size").alias("source_size"))
     targets = tables.save(source_targets(sources, weights, total, cap))
 
+    # Ranks in three levels: rows before a cell (leading digits of the size, leading digits of the id's hash), those
+    # before a tie in its cell, and the row's number in its tie.
+    tie, cell = ["skey", "_size", "mark", "tie"], ["skey", "len", "lead", "salt"]
     digits = F.col("_size").cast("string")
-    mark = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))
-    cells = sizes.withColumns({"len": F.length(digits), "lead": F.substring(digits, 1, 2), "mark": mark, "salt": F.substring(mark, 1, 2)})
-    cell = ["skey", "len", "lead", "salt"]
-    counts = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    ties = sizes.groupBy(*tie).agg(F.count(F.lit(1)).alias("n")).withColumns({"len": F.length(digits), "lead": F.substring(digits, 1, 2), "salt": F.substring("mark", 1, 2)})
+    ties = tables.save(ties.withColumn("begin", F.sum("n").over(W.partitionBy(*cell).orderBy("_size", "mark", "tie").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")))
+    counts = ties.groupBy(*cell).agg(F.sum("n").alias("n"))
     before = W.partitionBy("skey").orderBy("len", "lead", "salt").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = W.partitionBy(*cell).orderBy("_size", "mark")
-    ranked = cells.withColumn("within", F.row_number().over(inside) - 1).join(starts, cell)
-    planned = ranked.join(targets, "skey")
+    starts = counts.withColumn("cell_begin", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    starts = ties.join(starts, cell).select(*tie, (F.col("begin") + F.col("cell_begin")).alias("begin"))
+    ranked = sizes.withColumn("within", F.row_number().over(W.partitionBy(*tie).orderBy("_row")) - 1).join(starts, tie).join(targets, "skey")
     place = (F.col("begin") + F.col("within")).cast("double")
     shift = offset(F.col("skey"), seed)
     copies = F.floor(F.col("rate") * (place + 1.0) + shift) - F.floor(F.col("rate") * place + shift)
     copies = F.when(F.col("_size") > 0, copies).otherwise(F.lit(0)).cast("long")
-    return planned.select(
-        F.col("_id").alias(id_col), *([F.col("_carry")] if carry else []), F.col("_size").alias("size"), F.col("_source").alias("source"), "source_size", "target",
-        copies.alias("copies"), (copies * F.col("_size")).alias("taken"),
-    )
-
-
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: the rows of `docs`, each as often as it is taken, with their own columns."""
-    columns = docs.columns
-    plan = mix(docs, carry=tuple(columns), **options)
-    rows = plan.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*[F.col("_carry")[c].alias(c) for c in columns])
+    return ranked.select("_row", "_id", "_size", "_source", "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return [F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), size.alias("_size"), F.col(source_col).cast("string").alias("_source")]
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row per document: id, size, source, source_size, target, copies, taken."""
+    tables = Tables(docs.sparkSession, "mix")
+    rows = tables.save(docs.select(*_sized(docs, id_col, text_col, source_col)))
+    return plan(tables, rows, **options).select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source").alias("source"), "source_size", "target", "copies", "taken")
+
+
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed corpus itself: the rows of `docs`, each as often as it is taken, with their own columns.
+
+    The rows are written once with a number and their size. The plan reads those narrow columns alone, and the rows meet
+    their number of copies in one join.
+    """
+    tables, columns = Tables(docs.sparkSession, "mix"), docs.columns
+    # a row's own columns travel as one struct, so that their names can't clash with the plan's
+    rows = tables.save(docs.select(*_sized(docs, id_col, text_col, source_col), F.struct(*[F.col(c) for c in columns]).alias("_doc")))
+    taken = plan(tables, rows.select("_row", "_id", "_size", "_source"), **options).filter("copies > 0").select("_row", "copies")
+    out = rows.select("_row", "_doc").join(taken, "_row")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

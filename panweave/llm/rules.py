@@ -1,10 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule reads one or two per-document features and says which documents it rejects. On a bounded sample every rule's
-cost (CPU time of its features a document, measured alone) and selectivity (share rejected) are estimated; rules run in
-order of rejection per cost, and each runs only on the documents that all earlier rules let through: a batch is cut down
-to the survivors before the next feature is computed. The order changes what the run costs, never its verdict, since a
-document is kept if no rule rejects it.
+Each rule reads one or two per-document features and says which documents it rejects. On a sample of about SAMPLE_ROWS
+documents, drawn from the whole table, every feature's cost and every rule's verdicts are taken where the rules meet
+them: on the documents that pass the base limits, whose base counts, words and lines are known by then. The order is
+built greedily: next comes the rule with the most rejection per cost, its selectivity counted among the survivors of the
+rules before it and its cost being that of the features which they haven't computed. Each rule runs only on the documents
+that all earlier rules let through: a batch is cut down to the survivors, with the words and lines already found, before
+the next feature is computed. The order changes what the run costs, never its verdict, since a document is kept if no
+rule rejects it. The sample is profiled where it lies; the driver sees at most 2 ** rules verdict counts and one row of
+costs a batch of it.
 
 The features are numpy kernels over the bytes of many documents at once (see _text); a batch is worked on in pieces of
 about a megabyte, so memory doesn't grow with the input.
@@ -32,8 +36,8 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: The sample that orders the rules: so many rows of at most so many bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 256, 1 << 16
+#: The sample that orders the rules: about so many rows of the whole table, whatever their length.
+SAMPLE_ROWS, SAMPLE_SEED = 1000, 17
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -42,18 +46,33 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 class Features:
-    """Lazily computed features of the documents of a chunk; per-document values are kept through take()."""
+    """Lazily computed features of the documents of a chunk; values, words and lines are kept through take()."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, known: dict[str, np.ndarray] | None = None):
         self.data, self.bounds, self.known = data, bounds, known or {}
-        self._words = self._sums = self._lines = None
+        self._words = self._word_keys = self._lines = None
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
     def take(self, keep: np.ndarray) -> Features:
+        """The documents at `keep`; places of words and lines move down by the bytes left out before them."""
         sizes = np.diff(self.bounds)
-        return Features(self.data[np.repeat(keep, sizes)], np.concatenate(([0], np.cumsum(sizes[keep]))), {k: v[keep] for k, v in self.known.items()})
+        out = Features(self.data[np.repeat(keep, sizes)], np.concatenate(([0], np.cumsum(sizes[keep]))), {k: v[keep] for k, v in self.known.items()})
+        gone = np.cumsum(np.where(keep, 0, sizes))  # up to and with each document
+        if self._words is not None:
+            w = self._words
+            per_doc = w.per_doc
+            own, down = np.repeat(keep, per_doc), np.repeat(gone[keep], per_doc[keep])
+            out._words = _text.Words(w.start[own] - down, w.end[own] - down, np.concatenate(([0], np.cumsum(per_doc[keep]))))
+            if self._word_keys is not None:
+                out._word_keys = self._word_keys[own]
+        if self._lines is not None:
+            start, end, doc = self._lines
+            own = keep[doc]
+            down = gone[doc[own]]
+            out._lines = start[own] - down, end[own] - down, (np.cumsum(keep) - 1)[doc[own]]
+        return out
 
     def __getitem__(self, name: str) -> np.ndarray:
         if name not in self.known:
@@ -66,8 +85,12 @@ class Features:
             self._words = _text.words(self.data, self.bounds)
         return self._words
 
-    def _hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _text.span_hash(self.data, start, end)
+    @property
+    def word_keys(self) -> np.ndarray:
+        """A hash of every word."""
+        if self._word_keys is None:
+            self._word_keys = _text.span_hash(self.data, self.words.start, self.words.end)
+        return self._word_keys
 
     def _per_doc(self, marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(marks, dtype=np.int64)))
@@ -88,8 +111,7 @@ class Features:
 
     def _n_stutter_words(self) -> np.ndarray:
         """Words equal to the word before them in the same document."""
-        w = self.words
-        key = self._hashes(w.start, w.end)
+        w, key = self.words, self.word_keys
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
         first = w.bounds[:-1]
@@ -119,14 +141,14 @@ class Features:
         start, end, doc = self.lines
         if not len(start):
             return np.zeros(len(self), np.int64)
-        key = self._hashes(start, end)
+        key = _text.span_hash(self.data, start, end)
         order = np.lexsort((key, doc))
         again = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
         return np.bincount(doc[order][1:][again], minlength=len(self))
 
     def _n_repeat_words(self) -> np.ndarray:
         w = self.words
-        key = _text.window_hash(self._hashes(w.start, w.end), WINDOW)
+        key = _text.window_hash(self.word_keys, WINDOW)
         at = np.flatnonzero(_text.inside(w.bounds, WINDOW, len(w.start)))
         doc = np.searchsorted(w.bounds, at, side="right") - 1
         key = _text.mix(key[at] ^ _text.mix(doc.astype(np.uint64) + np.uint64(1)))
@@ -162,17 +184,62 @@ BASE = Rule("base", ("n_words", "n_repeat_words"), lambda f: (f["n_words"] < MIN
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def plan_cascade(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a document, share rejected), the most rejection per cost first."""
-    chunks = list(_text.chunks(pa.array(texts, pa.large_string())))
-    docs = max(1, len(texts))
-    found = []
-    for rule in rules:
-        began, rejected = time.process_time(), 0
-        for c in chunks:
-            rejected += int(rule.rejects(Features(c.data, c.bounds)).sum())
-        found.append((rule, max(time.process_time() - began, 1e-9) / docs, rejected / docs))
-    return sorted(found, key=lambda x: (-x[2] / x[1], x[1]))
+def profile(features: Features, rules: tuple[Rule, ...] = RULES) -> tuple[np.ndarray, dict[str, float]]:
+    """Of the documents that pass the base limits: which rules reject each (bit i for rule i), and the CPU seconds of
+    every feature that the base counts don't give."""
+    for name in COLUMNS:
+        features[name]
+    alive = features.take(~BASE.rejects(features))
+    cost: dict[str, float] = {}
+    for name in sorted({f for r in rules for f in r.features} - set(COLUMNS)):
+        began = time.process_time()
+        alive[name]
+        cost[name] = time.process_time() - began
+    mask = np.zeros(len(alive), np.int64)
+    for i, rule in enumerate(rules):
+        mask |= rule.rejects(alive).astype(np.int64) << i
+    return mask, cost
+
+
+def plan_cascade(masks: dict[int, int], cost: dict[str, float], rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds a document, share of the survivors rejected) in the order to run: masks holds how many sampled
+    documents have which verdicts, cost the seconds of the features on all of them.
+
+    A rule on known features alone still has to compare, which counts as a hundredth of the cheapest feature.
+    """
+    docs = max(1, sum(masks.values()))
+    least = min((c for c in cost.values() if c > 0), default=1e-6) / 100
+    left, known, alive, out = list(range(len(rules))), set(COLUMNS), dict(masks), []
+    while left:
+        n = sum(alive.values())
+
+        def worth(i: int) -> tuple[float, float, float]:
+            seconds = (least + sum(cost.get(f, 0.0) for f in rules[i].features if f not in known)) / docs
+            share = sum(k for m, k in alive.items() if m >> i & 1) / n if n else 0.0
+            return share / seconds, seconds, share
+
+        best = max(left, key=lambda i: (worth(i)[0], -worth(i)[1], -i))
+        out.append((rules[best], *worth(best)[1:]))
+        left.remove(best)
+        known |= set(rules[best].features)
+        alive = {m: k for m, k in alive.items() if not m >> best & 1}
+    return out
+
+
+def measure(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> tuple[dict[int, int], dict[str, float]]:
+    """The verdicts and costs of a sample of about `rows` documents of the whole table, for plan_cascade()."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in _text.chunks(batch.column(0)):
+                mask, cost = profile(Features(c.data, c.bounds), rules)
+                value, n = np.unique(mask, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.tolist() + [None] * len(cost), pa.int64()), pa.array([None] * len(value) + list(cost), pa.string()), pa.array(n.tolist() + list(cost.values()), pa.float64())],
+                                                 names=["mask", "feature", "n"])
+
+    text = docs.select(F.col(text_col).cast("string").alias("text"))
+    share = min(1.0, rows / max(1, text.count()))
+    found = text.sample(fraction=share, seed=SAMPLE_SEED).mapInArrow(tidy(run), "mask long, feature string, n double").groupBy("mask", "feature").agg(F.sum("n").alias("n")).collect()  # 2 ** rules + features rows at most
+    return {r["mask"]: int(r["n"]) for r in found if r["mask"] is not None}, {r["feature"]: r["n"] for r in found if r["feature"] is not None}
 
 
 def run_cascade(features: Features, rules: list[Rule]) -> np.ndarray:
@@ -190,17 +257,12 @@ def run_cascade(features: Features, rules: list[Rule]) -> np.ndarray:
     return kept
 
 
-def sample_texts(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[str | None]:
-    text = docs.select(F.col(text_col).cast("string").alias("text"))
-    return [r[0] for r in text.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).limit(rows).collect()]
-
-
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: the base counts, base_failed and kept."""
-    order = [r.name for r, _, _ in plan_cascade(sample_texts(docs, text_col, sample_rows), rules)]
+    order = [r.name for r, _, _ in plan_cascade(*measure(docs, text_col, rules, sample_rows), rules)]
     by_name = {r.name: r for r in rules}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

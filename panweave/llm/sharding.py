@@ -9,7 +9,8 @@ With slack above 0 a shard holds at most (1 + slack) times its even share and fe
 
 Only the counts of the ring's places (a fixed number, whatever the input) reach the driver, which walks the ring once
 and returns stretches (place, from, to) -> shard. Documents find their stretch by their rank within the place; places
-are cut into salted cells, so no task ranks a whole place. Texts never enter a shuffle.
+are cut into cells by the number of the row, so no task ranks a whole place, also where one id or one row repeats in a
+third of the table. Texts never enter a shuffle.
 
 Defined cases: null text has 0 bytes and checksum 0; a null id hashes like an empty key; repeated rows are rows of their
 own; an empty table gives an empty result; other columns are ignored. Equal texts (groups) aren't kept together, since
@@ -29,7 +30,7 @@ from panweave.llm._spark import Tables, read
 
 PLACES = 1 << 14
 VNODES = 128
-SALTS = 16
+SALTS = 64
 
 
 def ring(shards: int, vnodes: int = VNODES, places: int = PLACES) -> list[tuple[int, int]]:
@@ -94,15 +95,15 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     narrow = tables.save(docs.select(
         F.col(id_col).alias("_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(key), F.lit(places)).cast("int").alias("place"), F.xxhash64(F.lit(7), key).alias("mark"),
-    )).withColumn("salt", F.pmod(F.xxhash64("mark", "text_crc32"), F.lit(SALTS)))
+        F.pmod(F.xxhash64(key), F.lit(places)).cast("int").alias("place"), F.monotonically_increasing_id().alias("row"),
+    )).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
     cells = narrow.groupBy("place", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("place").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     starts = cells.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     counts = {r["place"]: r["n"] for r in cells.groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator()}  # `places` rows at most
     stretches = plan_ring(counts, shards, slack, vnodes, places)
     plan = spark.createDataFrame(stretches, "place int, lo long, hi long, shard int, base long")
-    within = F.row_number().over(W.partitionBy("place", "salt").orderBy("mark", "size", "text_crc32")) - 1
+    within = F.row_number().over(W.partitionBy("place", "salt").orderBy("row")) - 1
     ranked = narrow.withColumn("within", within).join(starts, ["place", "salt"]).withColumn("rank", F.col("begin") + F.col("within"))
     placed = ranked.join(plan, (ranked["place"] == plan["place"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select(

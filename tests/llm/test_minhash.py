@@ -14,29 +14,28 @@ def shingles(text):
 
 
 def brute(rows):
-    sets = {}
-    for d, t, *_ in rows:
-        if d is not None:
-            sets[d] = shingles(t)
+    sets = [(d, shingles(t)) for d, t, *_ in rows]
     out = []
     for d, t, *_ in rows:
         n = len(shingles(t))
         if d is None:
             out.append((None, n, None, True))
             continue
-        seen, todo = {d}, [d]
+        first = shingles(t)
+        seen, todo = {i for i, (e, s) in enumerate(sets) if e == d and s == first}, [first]
         while todo:
-            a = sets[todo.pop()]
-            for b, s in sets.items():
-                if b not in seen and a and s and 100 * len(a & s) >= 85 * len(a | s):
-                    seen.add(b)
-                    todo.append(b)
-        out.append((d, n, min(seen), d == min(seen)))
+            a = todo.pop()
+            for i, (e, s) in enumerate(sets):
+                if i not in seen and e is not None and a and s and 100 * len(a & s) >= 85 * len(a | s):
+                    seen.add(i)
+                    todo.append(s)
+        least = min(sets[i][0] for i in seen)
+        out.append((d, n, least, d == least))
     return sorted(out, key=str)
 
 
 def result(df, **options):
-    return sorted([tuple(r) for r in minhash.near_duplicates(df, **options).collect()], key=str)
+    return sorted([tuple(r)[:4] for r in minhash.near_duplicates(df, **options).collect()], key=str)
 
 
 def chains(seed, groups=25, copies=12):
@@ -66,5 +65,15 @@ def test_small_blocks_change_nothing(spark):
     assert result(make(spark, rows), block_shingles=300) == brute(rows)
 
 
+def test_one_id_with_unlike_texts(spark):
+    rng = random.Random(4)
+    a, b, c = (words(rng, 60, 10_000) for _ in range(3))
+    rows = [(7, a, "en", "s"), (7, b, "en", "s"), (9, a, "en", "s"), (5, b + " more", "en", "s"), (8, c, "en", "s"), (8, c, "en", "s"), (8, None, "en", "s")]
+    assert result(make(spark, rows)) == brute(rows)
+    found = minhash.near_duplicates(make(spark, rows)).collect()
+    groups = {(r["doc_id"], r["component_id"]): r["group_id"] for r in found}
+    assert groups[7, 7] == groups[9, 7] and groups[7, 5] == groups[5, 5] != groups[7, 7]
+
+
 def test_empty(empty):
     assert result(empty) == []

@@ -43,3 +43,13 @@ def test_pairs_from_080_on_are_copies(spark):
 def test_chains_match_brute_force(spark):
     rows = list({r[0]: r for r in chains(4)}.values())
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, make(spark, rows), "").collect()) == kept(rows)
+
+
+def test_one_id_with_unlike_texts_keeps_both(spark):
+    rng = random.Random(6)
+    a, b, c = (words(rng, 60, 10_000) for _ in range(3))
+    rows = [(7, a, "en", "s"), (7, b, "en", "s"), (9, a, "de", "s"), (7, a, "de", "t"), (7, a, "de", "t"), (None, a, "en", "s"), (None, a, "en", "s"), (3, b + " x", "en", "s"), (4, c, "en", "s"), (5, "", "en", "s"), (5, None, "en", "s")]
+    out = corpus_pipeline.near_dedup(spark, make(spark, rows), "")
+    assert out.columns == make(spark, rows).columns
+    got = sorted(((r["doc_id"], r["text"], r["lang"]) for r in out.collect()), key=str)
+    assert got == sorted([(7, a, "de"), (None, a, "en"), (None, a, "en"), (3, b + " x", "en"), (4, c, "en"), (5, "", "en"), (5, None, "en")], key=str)

@@ -110,8 +110,56 @@ def test_cascade_order_never_changes_the_verdict():
     for c in _text.chunks(pa.array(texts, pa.large_string())):
         verdicts = {tuple(rules.run_cascade(rules.Features(c.data, c.bounds), list(order))) for order in (rules.RULES, rules.RULES[::-1])}
         assert len(verdicts) == 1
-    plan = rules.plan_cascade(texts)
-    assert [p[2] / p[1] for p in plan] == sorted((p[2] / p[1] for p in plan), reverse=True)
+
+
+def test_survivors_carry_words_and_lines():
+    """take() gives what a fresh look at the same documents finds."""
+    import numpy as np
+    import pyarrow as pa
+
+    from panweave.llm import _text
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["ab ", "é", "\n", "c d ", "##", "x y x y "]) for _ in range(rng.randrange(0, 40))) for _ in range(40)]
+    names = [*rules.COLUMNS, "n_alpha_words", "n_stutter_words", "n_lines"]
+    fresh = lambda some: next(rules.Features(c.data, c.bounds) for c in _text.chunks(pa.array(some, pa.large_string()), 1 << 30))
+    for _ in range(20):
+        keep = np.array([rng.random() < 0.6 for _ in texts])
+        f = fresh(texts)
+        f.words, f.lines, f.word_keys  # noqa: B018  found before the cut
+        cut, plain = f.take(keep), fresh([t for t, k in zip(texts, keep, strict=True) if k])
+        for name in names:
+            assert cut[name].tolist() == plain[name].tolist(), name
+        assert cut.words.start.tolist() == plain.words.start.tolist() and [x.tolist() for x in cut.lines] == [x.tolist() for x in plain.lines]
+
+
+def test_cascade_is_the_greedy_order():
+    """Rejection per cost among the survivors, against all rules tried at each step."""
+    rng = random.Random(13)
+    known = set(rules.COLUMNS)
+    for _ in range(100):
+        masks = {rng.randrange(32): rng.randrange(1, 50) for _ in range(8)}
+        cost = {f: rng.random() for f in ("n_alpha_words", "n_lines", "n_stutter_words")}
+        plan = rules.plan_cascade(masks, cost)
+        assert sorted(r.name for r, *_ in plan) == sorted(r.name for r in rules.RULES)
+        alive, seen = dict(masks), set(known)
+        for at, (rule, seconds, share) in enumerate(plan):
+            best = 0.0
+            for other, *_ in plan[at:]:
+                i = rules.RULES.index(other)
+                paid = (min(cost.values()) / 100 + sum(cost[f] for f in other.features if f not in seen)) / sum(masks.values())
+                out = sum(n for m, n in alive.items() if m >> i & 1) / max(1, sum(alive.values()))
+                best = max(best, out / paid)
+            assert abs(share / seconds - best) < 1e-9
+            alive = {m: n for m, n in alive.items() if not m >> rules.RULES.index(rule) & 1}
+            seen |= set(rule.features)
+
+
+def test_the_sample_is_of_the_whole_table(spark):
+    """Long texts and late rows take part; masks count the verdicts of those that pass the base limits."""
+    rows = [(i, f"a{i} b c d e f g h i j k l {i}", "en", "a") for i in range(300)] + [(999, " ".join(f"w{i} ##" for i in range(30_000)), "en", "a")]
+    masks, cost = rules.measure(make(spark, rows), rows=10_000)
+    assert sum(masks.values()) == 301 and sum(n for m, n in masks.items() if m & 1) == 1 and set(cost) == {"n_alpha_words", "n_lines", "n_stutter_words"}
 
 
 TURNS = "conv_id long, turn long, role string, text string, w int, k string, n int, block string, system int"

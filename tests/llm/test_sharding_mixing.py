@@ -46,6 +46,66 @@ def test_slack_moves_less():
     assert max(held.values()) <= 1.05 * (20_000 / 24 + 1) + 1
 
 
+def walk(counts, shards, slack):
+    """The ring as it is told, a document at a time: first every document to its own shard while it has room, place by
+    place, then what is left over clockwise to the next shard with room."""
+    nodes, total = sharding.ring(shards), sum(counts.values())
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    if slack:
+        room = [int(r * (1 + slack)) + 1 for r in room]
+    home, over = {}, []
+    for place in sorted(counts):
+        first = next((i for i, (p, _) in enumerate(nodes) if p >= place), 0)
+        for k in range(counts[place]):
+            if room[nodes[first][1]]:
+                room[nodes[first][1]] -= 1
+                home[place, k] = nodes[first][1]
+            else:
+                over.append((place, k, first))
+    for place, k, at in over:
+        while not room[nodes[at][1]]:
+            at = (at + 1) % len(nodes)
+        room[nodes[at][1]] -= 1
+        home[place, k] = nodes[at][1]
+    return home
+
+
+def planned(counts, shards, slack):
+    return {(p, k): s for p, lo, hi, s, _ in sharding.plan_ring(counts, shards, slack) for k in range(lo, hi)}
+
+
+def test_plan_is_the_ring_walked_a_document_at_a_time():
+    rng = random.Random(3)
+    counts = Counter(rng.randrange(sharding.PLACES) for _ in range(1500))
+    counts[77] += 750  # one place holds a third
+    for shards, slack in ((5, 0.0), (7, 0.1), (3, 2.0)):
+        assert planned(counts, shards, slack) == walk(counts, shards, slack)
+
+
+def test_one_shard_more_moves_few_rows():
+    """The even share of a new shard is 1 / 25; even counts (slack 0) make overflow move besides."""
+    rng = random.Random(4)
+    counts = Counter(rng.randrange(sharding.PLACES) for _ in range(20_000))
+
+    def moved(slack):
+        before, after = planned(counts, 24, slack), planned(counts, 25, slack)
+        return sum(before[k] != after[k] for k in before) / 20_000
+
+    assert moved(0.25) <= 1.5 / 25 and moved(0.0) <= 2.5 / 25
+    assert moved(1000.0) <= 1.5 / 25
+
+
+def test_equal_rows_are_dealt_over_the_cells(spark):
+    """A row that repeats lies in SALTS cells of its place, and in TIES parts of a mix's cell."""
+    rows = [(7, "the same words", "en", "a")] * 6400 + [(i, "x y", "en", "b") for i in range(10)]
+    cells = spark.range(6400).selectExpr(f"pmod(xxhash64(id), {sharding.SALTS}) AS salt", f"pmod(id, {mixing.TIES}) AS tie")
+    assert cells.groupBy("salt").count().agg({"count": "max"}).first()[0] < 160 and cells.groupBy("tie").count().agg({"count": "max"}).first()[0] <= 6400 / mixing.TIES
+    check_shards(rows, sharding.shard(make(spark, rows), shards=7).collect(), 7)
+    got = mixing.mix(make(spark, rows)).collect()
+    check_mix(rows, got)
+    assert Counter(r["copies"] for r in got if r["doc_id"] == 7).most_common(1)[0][1] >= 3000
+
+
 def targets(sizes, weights=(5, 2, 1), total=1.5, cap=2):
     """The sharing as it is told: give by weight, stop at the cap, share the excess again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -94,6 +154,7 @@ def test_emit(spark, edge):
     plan = Counter()
     for r in mixing.mix(edge).collect():
         plan[r["doc_id"]] += r["copies"]
+    assert sum(r["copies"] for r in mixing.mix(make(spark, edge_rows() * 3)).collect()) == mixing.emit(make(spark, edge_rows() * 3)).count()
     out = mixing.emit(edge)
     assert out.columns == edge.columns
     assert Counter(r["doc_id"] for r in out.collect()) == +plan
