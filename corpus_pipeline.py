@@ -20,37 +20,62 @@ NEAR = {"percent": 80, "width": 5, "bands": 25, "rows": 5}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier can't give a language (no text, no letter) go."""
+    """Documents that the classifier can't give a language (no text, no letter) go; the network's score rejects nothing.
+
+    Null ids and repeated rows are judged like any other; extra columns stay; without labelled rows every document is
+    without a language and goes.
+    """
     columns = docs.columns
     found = langid.identify(docs, langid.train(docs), keep=tuple(columns))
     return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(columns)])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id; of repeated rows one stays."""
+    """One document of each group of near copies stays: the smallest id, and of its texts in the group the smallest hash.
+
+    Rows of one id are judged each by its own text, so unlike texts of one id all stay. Of rows that repeat id and text
+    one stays, the first by its other columns as JSON. Null ids, which name no document, all stay; texts without a word
+    are copies of nothing; extra columns stay.
+    """
     tables = Tables(spark, "dedup")
-    found = minhash.near_duplicates(docs, **NEAR).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    marked = tables.save(found.filter("NOT kept OR n > 1"))
-    once = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    again = marked.filter("kept").select("doc_id")
-    if again.isEmpty():
-        return once
-    return once.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    found = minhash.near_duplicates(docs, **NEAR).filter("doc_id IS NOT NULL")
+    texts = tables.save(found.groupBy("doc_id", "text_hash").agg(F.min("group_id").alias("group_id"), F.count(F.lit(1)).alias("n")))
+    first = texts.filter("group_id IS NOT NULL").groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    stays = F.coalesce(F.struct("doc_id", "text_hash") == F.col("first"), F.lit(True))
+    marked = tables.save(texts.join(first, "group_id", "left").select("doc_id", "text_hash", stays.alias("stays"), "n").filter("NOT stays OR n > 1"))
+    # docs has the caller's column names, so the two keys get names of their own
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("near_id"), F.xxhash64(F.col("text").cast("string")).alias("near_hash"))
+    key = (F.col("near_id") == F.col("doc_id")) & (F.col("near_hash") == F.col("text_hash"))
+    once, repeated = rows.join(marked, key, "left_anti").select("row"), marked.filter("stays")
+    if repeated.isEmpty():
+        return once.select("row.*")
+    again = rows.join(repeated, key, "left_semi").groupBy("near_id", "near_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.unionByName(again.select("row")).select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking secrets are masked in the texts; widely copied examples and all documents stay."""
+    """Live-looking secrets are masked in the texts; widely copied examples and all documents stay.
+
+    A null text stays null; null ids and repeated rows are rows like any other; extra columns stay.
+    """
     done = secrets.redact(docs)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix to target weights takes it."""
+    """Each document as often as the mix to target weights takes it.
+
+    Null and wordless texts are taken no time; a null source is a source of its own; repeated rows and rows of one id
+    are documents of their own; ties in size go by the id's hash; extra columns stay.
+    """
     return mixing.emit(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its sequence and its place there."""
+    """One row per piece of a document, with its sequence and its place there.
+
+    A null or empty text is its end id alone; null ids and repeated rows are packed like any other; extra columns go.
+    """
     return packing.pack(docs)
 
 
