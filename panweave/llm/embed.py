@@ -14,13 +14,16 @@ goes into the next lower cell where its window reaches over the border) and by s
 many vectors is cut into blocks, and tasks compare two blocks. A pair is counted once: in the first group, and there in
 the one cell, that holds it. Tasks return sums of links per vector and a forest of the links, never pairs.
 
-Cosines are computed in double precision from the stored components. Equal vectors of a label are one class from the
-start, with its size as weight.
+Vectors and projections are written once. Placing vectors in cells and cells in blocks moves only numbers; the vectors
+join the tasks by their class at the end, so each travels once a group and block that needs it.
+
+Cosines are computed in double precision from the stored components (of either width). Equal vectors of a label are one
+class from the start, with its size as weight.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label,
 link with nothing; vectors of different lengths don't link; a null vec_id can't be named, so such a row links with
-nothing, has a null component and isn't kept; rows that repeat a vec_id with equal vectors count as separate vectors;
-other columns are ignored.
+nothing, has a null component and isn't kept; rows that repeat a vec_id count as separate vectors; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panweave.llm._graph import components, settle
 from panweave.llm._spark import Tables, keyed_streams, read, runs, tidy
@@ -62,8 +66,8 @@ def grid_dims(largest: int, window: float, group: int) -> int:
     return max(1, min(group, math.ceil(math.log(max(1.0, largest / BLOCK)) / -math.log(min(share, 0.9)))))
 
 
-def _project(dim_seed: int, projections: int, groups: int, dims: int, window: float):
-    """Rows (rep, label, weight, vector) -> one row per group and cell, with vector and projections as bytes."""
+def _project(dim_seed: int, projections: int, groups: int, dims: int, window: float, width: type):
+    """Rows (node, label, weight, vector) -> vector and projections as bytes, and the cells of every group."""
     size = projections // groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +77,7 @@ def _project(dim_seed: int, projections: int, groups: int, dims: int, window: fl
             lengths = np.diff(vectors.offsets.to_numpy())
             for dim in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == dim)
-                flat = np.concatenate([np.asarray(vectors[int(i)].values.to_numpy(zero_copy_only=False), np.float32) for i in at]).reshape(len(at), dim)
+                flat = np.concatenate([np.asarray(vectors[int(i)].values.to_numpy(zero_copy_only=False), width) for i in at]).reshape(len(at), dim)
                 if dim not in made:
                     made[dim] = np.random.default_rng([dim_seed, dim]).standard_normal((dim, projections))
                 exact = flat.astype(np.float64)
@@ -81,9 +85,10 @@ def _project(dim_seed: int, projections: int, groups: int, dims: int, window: fl
                 unit = exact / scale
                 unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
                 proj = (unit @ made[dim]).astype(np.float32)
-                rep, label, weight = (batch.column(i).take(pa.array(at)) for i in range(3))
+                node, label, weight = (batch.column(i).take(pa.array(at)) for i in range(3))
                 blobs = pa.array([v.tobytes() for v in flat], pa.binary())
                 marks = pa.array([v.tobytes() for v in proj], pa.binary())
+                row, group, cells = [], [], []
                 for g in range(groups):
                     own = proj[:, g * size : g * size + dims].astype(np.float64)
                     home, low = np.floor(own / (2 * window)).astype(np.int64), np.floor((own - window) / (2 * window)).astype(np.int64)
@@ -91,14 +96,18 @@ def _project(dim_seed: int, projections: int, groups: int, dims: int, window: fl
                         lower = np.array([(mask >> d) & 1 for d in range(dims)], bool)
                         there = np.where(lower, low, home)
                         keep = np.flatnonzero(((low < home) | ~lower).all(axis=1))
-                        pick = pa.array(keep)
-                        yield pa.RecordBatch.from_arrays([
-                            rep.take(pick), label.take(pick), weight.take(pick), pa.array(np.full(len(keep), dim, np.int32)), pa.array(np.full(len(keep), g, np.int32)),
-                            pa.array(there[keep].tolist(), pa.list_(pa.int64())), blobs.take(pick), marks.take(pick)], names=["rep", "label", "weight", "dim", "grp", "cell", "vector", "marks"])
+                        row.append(keep)
+                        group.append(np.full(len(keep), g, np.int32))
+                        cells.append(there[keep])
+                row, group, cells = np.concatenate(row), np.concatenate(group), np.concatenate(cells)
+                order = np.argsort(row, kind="stable")
+                cell = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * dims), pa.array(cells[order].ravel()))
+                spots = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(len(at) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(group[order]), cell], names=["grp", "cell"]))
+                yield pa.RecordBatch.from_arrays([node, label, weight, pa.array(np.full(len(at), dim, np.int32)), blobs, marks, spots], names=["node", "label", "weight", "dim", "vector", "marks", "spots"])
     return run
 
 
-PLACED = "rep long, label string, weight long, dim int, grp int, cell array<long>, vector binary, marks binary"
+MARKED = "node long, label string, weight long, dim int, vector binary, marks binary, spots array<struct<grp:int,cell:array<long>>>"
 
 
 def _pairs(proj: np.ndarray, asks: np.ndarray, answers: np.ndarray, g: int, size: int, window: float, misses: int, home: np.ndarray, dims: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -137,23 +146,23 @@ def _pairs(proj: np.ndarray, asks: np.ndarray, answers: np.ndarray, g: int, size
             yield x[good], y[good]
 
 
-def _links(cosine: float, projections: int, groups: int, misses: int, dims: int, window: float):
+def _links(cosine: float, projections: int, groups: int, misses: int, dims: int, window: float, width: type):
     size = projections // groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "task", BLOCK):
             task = table["task"].to_numpy()
-            rep, weight, grp, dim = (table[c].to_numpy() for c in ("rep", "weight", "grp", "dim"))
+            node, weight, grp, dim = (table[c].to_numpy() for c in ("node", "weight", "grp", "dim"))
             first, second = table["asks"].to_numpy(), table["answers"].to_numpy()
             cells, vectors, marks = table["cell"], table["vector"].combine_chunks(), table["marks"].combine_chunks()
             cuts = np.concatenate(([0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]))
-            out_rep, out_n, out_root = [], [], []
+            out_node, out_n, out_root = [], [], []
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if hi - lo < 2:
                     continue
                 rows = hi - lo
                 proj = np.frombuffer(b"".join(marks.slice(lo, rows).to_pylist()), np.float32).reshape(rows, projections).astype(np.float64)
-                exact = np.frombuffer(b"".join(vectors.slice(lo, rows).to_pylist()), np.float32).reshape(rows, int(dim[lo])).astype(np.float64)
+                exact = np.frombuffer(b"".join(vectors.slice(lo, rows).to_pylist()), width).reshape(rows, int(dim[lo])).astype(np.float64)
                 exact = exact / np.abs(exact).max(axis=1, keepdims=True)
                 norm = np.sqrt((exact * exact).sum(axis=1))
                 asks, answers = np.flatnonzero(first[lo:hi]), np.flatnonzero(second[lo:hi])
@@ -171,11 +180,11 @@ def _links(cosine: float, projections: int, groups: int, misses: int, dims: int,
                 if a and n.any():
                     root = settle(rows, np.concatenate(a), np.concatenate(b))
                     some = np.flatnonzero(n)
-                    out_rep.append(rep[lo:hi][some])
+                    out_node.append(node[lo:hi][some])
                     out_n.append(n[some])
-                    out_root.append(rep[lo:hi][root[some]])
-            if out_rep:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_rep, out_n, out_root)], names=["rep", "n", "root"])
+                    out_root.append(node[lo:hi][root[some]])
+            if out_node:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_node, out_n, out_root)], names=["node", "n", "root"])
     return run
 
 
@@ -188,37 +197,42 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         raise ValueError("projections must be a multiple of misses + 1")
     window = calibrate(projections, misses, recall) * math.sqrt(2 - 2 * cosine)
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
+    single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull)
+    kind, width = ("float", np.float32) if single else ("double", np.float64)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     # 0 and -0 are equal components
-    plain = F.when(usable, F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x)))
+    plain = F.when(usable, F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)))
     rows = rows.select("vec_id", "label", plain.alias("v"))
     key = [F.xxhash64("label", "v").alias("k1"), F.xxhash64(F.lit(1), "v", "label").alias("k2")]
     narrow = rows.select("vec_id", *[F.when(F.col("v").isNotNull(), k).alias(n) for k, n in zip(key, ("k1", "k2"), strict=True)])
     classes = tables.save(rows.filter("v IS NOT NULL").select("vec_id", "label", "v", *key).groupBy("k1", "k2").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("v").alias("v")))
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id()))
     if dims is None:
         largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         dims = grid_dims(largest, window, projections // groups)
 
-    placed = classes.select("rep", "label", "weight", "v").mapInArrow(tidy(_project(seed, projections, groups, dims, window)), PLACED)
+    marked = tables.save(classes.select("node", "label", "weight", "v").mapInArrow(tidy(_project(seed, projections, groups, dims, window, width)), MARKED))
     cell = ["label", "dim", "grp", "cell"]
-    placed = placed.withColumn("spot", F.xxhash64(*cell))
+    placed = marked.select("node", "label", "dim", F.explode("spots").alias("s")).select("node", "label", "dim", "s.grp", "s.cell").withColumn("spot", F.xxhash64(*cell))
     load = placed.select("spot").groupBy("spot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("p", F.ceil(F.col("n") / block).cast("int"))
-    part = F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("p")).cast("int")
+    part = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("p")).cast("int")
     spread = placed.join(load.select("spot", "p"), "spot").withColumn("i", part)
     # block i asks the blocks from its own on; a row stands once in each task that has its block
     roles = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda j: F.struct(
         F.least("i", j).alias("x"), F.greatest("i", j).alias("y"), (F.col("i") <= j).alias("asks"), (F.col("i") >= j).alias("answers")))
     tasks = spread.withColumn("t", F.explode(roles)).select(
-        F.xxhash64(*cell, "t.x", "t.y").alias("task"), "rep", "weight", "dim", "grp", "cell", "vector", "marks", "t.asks", "t.answers")
-    found = tables.save(keyed_streams(tasks, "task").mapInArrow(tidy(_links(cosine, projections, groups, misses, dims, window)), "rep long, n long, root long"))
-
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    parts = components(tables, found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    known = classes.select("k1", "k2", "rep", "weight").join(counts, "rep", "left").join(parts, "rep", "left").select(
-        "k1", "k2", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        F.xxhash64(*cell, "t.x", "t.y").alias("task"), "node", "grp", "cell", "t.asks", "t.answers")
+    tasks = tasks.join(marked.select("node", "weight", "dim", "vector", "marks"), "node")
+    found = tables.save(keyed_streams(tasks, "task").mapInArrow(tidy(_links(cosine, projections, groups, misses, dims, window, width)), "node long, n long, root long"))
+
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    parts = components(tables, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    least = parts.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    parts = parts.join(least, "component").select("node", "component_id")
+    known = classes.select("k1", "k2", "node", "rep", "weight").join(counts, "node", "left").join(parts, "node", "left").select(
+        "k1", "k2", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = narrow.join(known, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

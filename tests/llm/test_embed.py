@@ -5,11 +5,11 @@ import numpy as np
 from panweave.llm import embed
 
 
-def brute(rows):
+def brute(rows, kind=np.float32):
     ok = {}
     for i, (v, e, label) in enumerate(rows):
         if v is not None and e is not None and label is not None and all(x is not None and math.isfinite(x) for x in e) and any(e):
-            ok[i] = np.array(e, np.float32).astype(float)
+            ok[i] = np.array(e, kind).astype(float)
     near = {i: [] for i in ok}
     for i in ok:
         for j in ok:
@@ -62,6 +62,25 @@ def test_blocks_and_grid_change_nothing(spark):
     assert result(frame(spark, rows), block=1000, dims=1) == want
 
 
+def test_double_vectors_are_compared_as_they_are(spark):
+    """Pairs on both sides of the threshold that single precision can't tell apart, and components beyond its range."""
+    rows = []
+    for i, d in enumerate((-3e-9, -1e-12, 1e-12, 3e-9)):
+        c = 0.98 + d
+        rows.append((10 + i, [c * 1e60, math.sqrt(1 - c * c) * 1e60], str(i)))
+        rows.append((20 + i, [1.0, 0.0], str(i)))
+    rows += [(40, [1e-300, 2e-300], "9"), (41, [1.0, 2.0], "9"), (42, [1.0, 2.0 + 1e-9], "9"), (43, [3.0, 1.0], "9"), (43, [1.0, 3.0], "9"), (44, [1.0, 3.0001], "9")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    want = []
+    near = lambda x, y: x[2] == y[2] and sum(a * b for a, b in zip(x[1], y[1], strict=True)) / math.hypot(*x[1]) / math.hypot(*y[1]) >= 0.98
+    for i, x in enumerate(rows):
+        links = [j for j, y in enumerate(rows) if j != i and near([x[0], [v / max(map(abs, x[1])) for v in x[1]], x[2]], [y[0], [v / max(map(abs, y[1])) for v in y[1]], y[2]])]
+        least = min([x[0], *[rows[j][0] for j in links]])
+        want.append((x[0], len(links), least, x[0] == least))
+    assert result(df) == sorted(want, key=str)
+    assert [r[1] for r in result(df) if 20 <= r[0] < 24] == [0, 0, 1, 1]
+
+
 def test_empty(spark):
     assert result(frame(spark, [])) == []
     assert result(frame(spark, [(1, None, None)])) == [(1, 0, 1, True)]
