@@ -57,9 +57,10 @@ def keyed(sets: DataFrame, member: Column, trim: int = 0) -> DataFrame:
     return keys.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("dir", "key"))).filter("_n = 1").drop("_n")
 
 
-def intersection(keys: DataFrame, n_dirs: int) -> DataFrame:
-    """Keys that all dirs have, with the smallest cluster id."""
-    return keys.groupBy("key").agg(F.count_distinct("dir").alias("dirs"), F.min("cluster_id").alias("cluster_id"), F.max("size").alias("size")).filter(F.col("dirs") == n_dirs).drop("dirs")
+def intersection(keys: DataFrame, n_dirs: int, exactly: bool = True) -> DataFrame:
+    """Keys that n_dirs dirs have (that many or more if not exactly), with the smallest cluster id."""
+    g = keys.groupBy("key").agg(F.count_distinct("dir").alias("dirs"), F.min("cluster_id").alias("cluster_id"), F.max("size").alias("size"))
+    return g.filter(F.col("dirs") == n_dirs if exactly else F.col("dirs") >= n_dirs).drop("dirs")
 
 
 def sectors(keys: DataFrame, dirs: list[str]) -> DataFrame:
@@ -115,6 +116,11 @@ def intergenic_clusters(segments: DataFrame, clusters: DataFrame) -> DataFrame:
     return groups.filter(F.size("segments") == F.col("size")).select("c1", "c2", "segments")
 
 
+def leading_number(name: Column) -> Column:
+    """The whole number that a name begins with, null if it has none."""
+    return F.nullif(F.regexp_extract(name, r"^(\d+)", 1), F.lit("")).cast("long")
+
+
 def by_leading_number(names: DataFrame) -> DataFrame:
     """Clusters in order of the whole number their names begin with; names without one come first."""
-    return names.orderBy(F.asc_nulls_first(F.nullif(F.regexp_extract("name", r"^(\d+)", 1), F.lit("")).cast("long")), "name")
+    return names.orderBy(F.asc_nulls_first(leading_number(F.col("name"))), "name")

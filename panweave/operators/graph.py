@@ -94,35 +94,62 @@ def mcl(tables: Tables, links: DataFrame, inflation: float = 1.5) -> DataFrame:
 
 
 def triangles(links: DataFrame) -> DataFrame:
-    """links(a, b, ta, tb) with a < b -> triangles (x, y, z) over three different taxa, x < y < z."""
-    e = links.select("a", "b", "ta", "tb").distinct()
-    one = e.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("ta").alias("tx"), F.col("tb").alias("ty"))
-    two = e.select(F.col("a").alias("y"), F.col("b").alias("z"), F.col("tb").alias("tz"))
-    three = e.select(F.col("a").alias("x"), F.col("b").alias("z"))
-    return one.join(two, "y").join(three, ["x", "z"]).filter("tx <> ty AND ty <> tz AND tx <> tz").select("x", "y", "z")
+    """links(a, b, ta, tb) with a < b -> triangles (x, y, z) over three different taxa, x < y < z.
+
+    Every link points from its end with fewer links to the other (the smaller id on ties). A node then has at most
+    sqrt(2 * links) links of its own to pair up, also where it is a hub of many more, and each triangle is found at the
+    one corner that both of its links leave.
+    """
+    tables = Tables(links.sparkSession, "wedges")
+    e = tables.save(links.select("a", "b", "ta", "tb").distinct())
+    degree = e.select(F.explode(F.array("a", "b")).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("d"))
+    both = e.join(degree.select(F.col("i").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("i").alias("b"), F.col("d").alias("db")), "b")
+    low = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    out = tables.save(both.select(*[F.when(low, F.col(p)).otherwise(F.col(q)).alias(n) for p, q, n in (("a", "b", "u"), ("b", "a", "v"), ("ta", "tb", "tu"), ("tb", "ta", "tv"))]))
+    one = out.select("u", F.col("v").alias("p"), "tu", F.col("tv").alias("tp"))
+    two = out.select("u", F.col("v").alias("q"), F.col("tv").alias("tq"))
+    wedges = one.join(two, "u").filter("p < q AND tu <> tp AND tu <> tq AND tp <> tq")
+    closed = wedges.join(e.select(F.col("a").alias("p"), F.col("b").alias("q")), ["p", "q"])
+    corner = F.sort_array(F.array("u", "p", "q"))
+    return closed.select(*[F.get(corner, F.lit(i)).alias(n) for i, n in enumerate("xyz")])
 
 
 def triangle_clusters(tables: Tables, links: DataFrame) -> DataFrame:
     """(cluster_id, seq_id): triangles that share a side grow together; a sequence may be in several clusters.
 
-    Sides are the nodes of the graph whose links are triangles; its components are the clusters.
+    cluster_id is the smallest hash of the cluster's sides. Sides are the nodes of the graph whose links are triangles; its components are the clusters.
     """
     found = tables.save(triangles(links).withColumn("t", F.xxhash64("x", "y", "z")))
     side = lambda u, v: F.xxhash64(u, v)
     sides = found.select(side("x", "y").alias("s1"), side("y", "z").alias("s2"), side("x", "z").alias("s3"))
     parts = components(tables, sides.select(F.col("s1").alias("a"), F.col("s2").alias("b")).unionByName(sides.select(F.col("s1").alias("a"), F.col("s3").alias("b"))))
-    members = found.withColumn("node", side("x", "y")).join(parts, "node").select("component", F.explode(F.array("x", "y", "z")).alias("seq_id")).distinct()
-    first = members.groupBy("component").agg(F.min("seq_id").alias("least"), F.min(F.xxhash64("component")).alias("tie"))
-    named = first.withColumn("cluster_id", F.row_number().over(W.orderBy("least", "tie")).cast("long"))
-    return members.join(named.select("component", "cluster_id"), "component").select("cluster_id", "seq_id")
-
-
-def allot(clusters: DataFrame) -> DataFrame:
-    """Each sequence goes to the one cluster with the most members; where two tie it is dropped from all of them."""
-    size = clusters.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("cluster_id")))
-    top = size.withColumn("r", F.rank().over(W.partitionBy("seq_id").orderBy(F.desc("size")))).filter("r = 1")
-    alone = top.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("seq_id"))).filter("k = 1")
-    return alone.select("cluster_id", "seq_id")
+    members = found.withColumn("node", side("x", "y")).join(parts, "node").select(F.col("component").alias("cluster_id"), F.explode(F.array("x", "y", "z")).alias("seq_id"))
+    return members.distinct()
+
+
+def allot(clusters: DataFrame, taxa: DataFrame) -> DataFrame:
+    """clusters(cluster_id, seq_id), taxa(seq_id, taxon) -> (cluster_id, seq_id), each sequence in one cluster at most.
+
+    A sequence goes to its cluster with the most genomes and, among those, the most members; where two tie it is dropped
+    from all of them. Clusters are named by the smallest sequence that they keep.
+    """
+    tables = Tables(clusters.sparkSession, "allot")
+    named = tables.save(clusters.join(taxa.select("seq_id", "taxon"), "seq_id"))
+    size = named.groupBy("cluster_id").agg(F.count_distinct("taxon").alias("genomes"), F.count(F.lit(1)).alias("size"))
+    order = W.partitionBy("seq_id").orderBy(F.desc("genomes"), F.desc("size"))
+    top = named.join(size, "cluster_id").withColumn("r", F.rank().over(order)).filter("r = 1")
+    alone = tables.save(top.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("seq_id"))).filter("k = 1").select("cluster_id", "seq_id"))
+    first = alone.groupBy("cluster_id").agg(F.min("seq_id").alias("first"))
+    return alone.join(first, "cluster_id").select(F.col("first").alias("cluster_id"), "seq_id")
+
+
+def merge_expansions(clusters: DataFrame, expansions: DataFrame) -> DataFrame:
+    """clusters(cluster_id, seq_id) after allotment, expansions(seq_id, seed): lineage-specific copies join the cluster
+    of their seed; those whose seed is in none make one of their own, named by the seed."""
+    of = clusters.select(F.col("seq_id").alias("seed"), "cluster_id")
+    loose = expansions.join(clusters.select("seq_id"), "seq_id", "left_anti")
+    added = loose.join(of, "seed", "left").select(F.coalesce("cluster_id", "seed").alias("cluster_id"), "seq_id", "seed", F.col("cluster_id").isNull().alias("new"))
+    return clusters.select("cluster_id", "seq_id").unionByName(added.select("cluster_id", "seq_id")).unionByName(added.filter("new").select("cluster_id", F.col("seed").alias("seq_id")).distinct())
 
 
 def split_by_attribute(clusters: DataFrame, attributes: DataFrame) -> DataFrame:

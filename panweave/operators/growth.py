@@ -41,12 +41,48 @@ def growth(pan: DataFrame, orders: DataFrame, soft_core: float | None = None) ->
     out = out.withColumn("pan", F.sum("new").over(W.partitionBy("sample").orderBy("g").rowsBetween(W.unboundedPreceding, 0)))
     if soft_core is None:
         return out.select("sample", "g", "core", "pan")
-    # a cluster counts as soft core at every g from its k-th taxon on, until that is too few
+    # A cluster with k taxa counts as soft core at every g from its k-th taxon on, until k are too few or it has k + 1.
+    # Per sample, k, and these two ends the clusters are counted first; the stretch is one row in and one row out.
     last = F.coalesce(F.col("next_g") - 1, F.col("n_g") - 1)
     sizes = orders.groupBy("sample").agg((F.max("g") + 1).alias("n_g"))
-    held = seen.join(sizes, "sample").withColumn("at", F.explode(F.sequence("g", last))).filter(F.col("k") >= F.floor((F.col("at") + 1) * F.lit(soft_core)))
-    soft = held.groupBy("sample", F.col("at").alias("g")).agg(F.count(F.lit(1)).alias("soft"))
-    return out.join(soft, ["sample", "g"], "left").select("sample", "g", "core", "pan", F.coalesce("soft", F.lit(0)).cast("long").alias("soft"))
+    kinds = seen.groupBy("sample", "k", "g", "next_g").agg(F.count(F.lit(1)).alias("n")).join(sizes, "sample").withColumn("last", last)
+    # the last g that k taxa are enough for: taxa of it times the share, rounded down, is at most k
+    enough = F.aggregate(F.sequence(F.col("g"), F.col("last")), F.col("g") - 1, lambda m, at: F.when(F.floor((at + 1) * F.lit(soft_core)) <= F.col("k"), at).otherwise(m))
+    held = kinds.withColumn("upto", enough).filter("upto >= g")
+    turns = held.select("sample", "g", F.col("n").alias("d")).unionByName(held.select("sample", (F.col("upto") + 1).alias("g"), (-F.col("n")).alias("d")))
+    turns = turns.groupBy("sample", "g").agg(F.sum("d").alias("d"))
+    along = W.partitionBy("sample").orderBy("g").rowsBetween(W.unboundedPreceding, 0)
+    out = out.join(turns, ["sample", "g"], "left").withColumn("soft", F.sum(F.coalesce("d", F.lit(0))).over(along).cast("long"))
+    return out.select("sample", "g", "core", "pan", "soft")
+
+
+def extra_copies(clusters: DataFrame) -> DataFrame:
+    """(seq_id) of the genes whose taxon has two or more in their cluster, but for the cluster's first gene of all."""
+    many = clusters.withColumns({"k": F.count(F.lit(1)).over(W.partitionBy("cluster_id", "taxon")), "first": F.min("seq_id").over(W.partitionBy("cluster_id"))})
+    return many.filter("k > 1 AND seq_id <> first").select("seq_id").distinct()
+
+
+def later_copies(clusters: DataFrame) -> DataFrame:
+    """(seq_id) of the genes that aren't the first of their taxon in their cluster."""
+    return clusters.withColumn("first", F.min("seq_id").over(W.partitionBy("cluster_id", "taxon"))).filter("seq_id <> first").select("seq_id").distinct()
+
+
+def initial_size(genes: DataFrame, extras: DataFrame, orders: DataFrame) -> DataFrame:
+    """(sample, g = 0, core, pan): genes of a sample's first taxon that aren't extra copies, where both curves begin."""
+    kept = genes.join(extras, "seq_id", "left_anti").join(orders.filter("g = 0"), "taxon").groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
+    return orders.select("sample").distinct().join(kept, "sample", "left").select("sample", F.lit(0).alias("g"), *[F.coalesce("n", F.lit(0)).cast("long").alias(c) for c in ("core", "pan")])
+
+
+def star_core(orthologs: DataFrame, orders: DataFrame) -> DataFrame:
+    """(sample, g, core) for g > 0: genes of a sample's first taxon with an ortholog in every taxon added up to g.
+
+    orthologs(seq_id, taxon, other): a gene, its taxon, and a taxon in which it has a reciprocal best hit.
+    """
+    first = orders.filter("g = 0").select("sample", "taxon")
+    met = orthologs.distinct().join(first, "taxon").join(orders.select("sample", "g", F.col("taxon").alias("other")), ["sample", "other"])
+    seen = met.withColumn("k", F.row_number().over(W.partitionBy("sample", "seq_id").orderBy("g")))
+    core = seen.filter("k = g").groupBy("sample", "g").agg(F.count(F.lit(1)).alias("core"))
+    return orders.filter("g > 0").select("sample", "g").join(core, ["sample", "g"], "left").select("sample", "g", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
 
 
 def pan_increments(genes: DataFrame, homologs: DataFrame, extras: DataFrame, orders: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panweave.config import Config
+from panweave.tables import Tables
 
 
 def ranked(hits: DataFrame, own_first: bool = False) -> DataFrame:
@@ -52,7 +53,8 @@ def best(hits: DataFrame, cfg: Config, domains: DataFrame | None = None, rescue:
     """Best hits between taxa that pass the cutoffs.
 
     rescue: poor coverage or E-value is accepted if the reverse hit among the ties passes. domains(seq_id, domains): both
-    ends must carry the same domain string (missing counts as empty). first_only: one surviving row a query and taxon.
+    ends must carry the same domain string (missing counts as empty). first_only: one surviving row a query and taxon;
+    ties in rk, which hits collapsed to seeds can have, go by E-value, subject and the rest of the row.
     """
     ties = top_ties(hits)
     if domains is not None:
@@ -62,14 +64,14 @@ def best(hits: DataFrame, cfg: Config, domains: DataFrame | None = None, rescue:
     good_cover, good_e = coverage_ok(cfg), F.col("evalue") <= cfg.evalue
     if rescue:
         back = ties.groupBy(F.col("s").alias("q"), F.col("q").alias("s")).agg(
-            F.min_by(F.struct("qcov", "scov", "evalue"), F.struct("rk")).alias("back"))
+            F.min(F.struct("rk", "evalue", "qcov", "scov")).alias("back"))
         ties = ties.join(back, ["q", "s"], "left")
         good_cover = good_cover | F.coalesce(coverage_ok(cfg, F.col("back.qcov"), F.col("back.scov")), F.lit(False))
         good_e = good_e | F.coalesce(F.col("back.evalue") <= cfg.evalue, F.lit(False))
     out = ties.filter((F.col("pident") >= cfg.identity) & good_cover & good_e)
     out = out.drop("back") if rescue else out
     if first_only:
-        out = out.withColumn("_n", F.row_number().over(W.partitionBy("q", "ts").orderBy("rk"))).filter("_n = 1").drop("_n")
+        out = out.withColumn("_n", F.row_number().over(W.partitionBy("q", "ts").orderBy("rk", "evalue", "s", "pident", "qcov", "scov"))).filter("_n = 1").drop("_n")
     return out
 
 
@@ -123,12 +125,16 @@ def bdbh_clusters(hits: DataFrame, taxa: DataFrame, reference: str, cfg: Config)
     """(cluster_id, seq_id, taxon): bidirectional best hits of a reference taxon, with inparalogs.
 
     Inparalogs of every taxon are found first and hits are collapsed to their seeds; each reference gene with an ortholog
-    leads a cluster of its orthologs, the inparalogs whose seed is one of them, and its own inparalogs.
+    leads a cluster of its orthologs, the inparalogs whose seed is one of them, and its own inparalogs. Each step that is
+    read twice is written out, so hits (a written table, too) are read for the prefix and for the best hits alone.
     """
-    seed = seeds(inparalogs(hits, cfg))
-    pairs = reciprocal(best(collapse_to_seeds(hits, seed), cfg, rescue=True, first_only=True), cfg)
+    tables = Tables(hits.sparkSession, "bdbh")
+    seed = tables.save(seeds(reciprocal(tables.save(prefix_before_foreign(hits, cfg)), cfg)))
+    ties = tables.save(top_ties(collapse_to_seeds(hits, seed)))
+    pairs = tables.save(reciprocal(tables.save(best(ties, cfg, rescue=True, first_only=True)), cfg))
     star = pairs.filter(F.col("ta") == reference).select(F.col("a").alias("cluster_id"), F.col("b").alias("seq_id")).unionByName(
         pairs.filter(F.col("tb") == reference).select(F.col("b").alias("cluster_id"), F.col("a").alias("seq_id"))).distinct()
+    star = tables.save(star)
     core = star.unionByName(star.select("cluster_id", F.col("cluster_id").alias("seq_id")).distinct())
     extra = core.join(seed.select(F.col("seed").alias("seq_id"), F.col("seq_id").alias("copy")), "seq_id").select("cluster_id", F.col("copy").alias("seq_id"))
     return core.unionByName(extra).distinct().join(taxa.select("seq_id", "taxon"), "seq_id").select("cluster_id", "seq_id", "taxon")
@@ -137,12 +143,14 @@ def bdbh_clusters(hits: DataFrame, taxa: DataFrame, reference: str, cfg: Config)
 def omcl_edges(hits: DataFrame, cfg: Config) -> DataFrame:
     """(a, b, ta, tb, kind, w): ortholog and inparalog edges, each weight over the mean of its pair of taxa or taxon.
 
-    The mean of a taxon's inparalog weights runs over pairs with an end that has an ortholog, if there are any.
+    The mean of a taxon's inparalog weights runs over pairs with an end that has an ortholog, if there are any. Best and
+    prefix hits are written out, since each is joined to itself; hits should be a written table.
     """
-    orth = reciprocal(best(hits, cfg), cfg)
+    tables = Tables(hits.sparkSession, "edges")
+    orth = tables.save(reciprocal(tables.save(best(hits, cfg)), cfg))
     low, high = F.least("ta", "tb"), F.greatest("ta", "tb")
     orth = orth.withColumn("w", F.col("w") / F.avg("w").over(W.partitionBy(low, high))).withColumn("kind", F.lit("ortholog"))
-    para = inparalogs(hits, cfg)
+    para = reciprocal(tables.save(prefix_before_foreign(hits, cfg)), cfg)
     has = orth.select(F.explode(F.array("a", "b")).alias("seq_id")).distinct()
     for side in ("a", "b"):
         para = para.join(has.select(F.col("seq_id").alias(side), F.lit(True).alias(f"h{side}")), side, "left")

@@ -66,6 +66,17 @@ def absent_in_b(pan: DataFrame, b: list[str]) -> DataFrame:
     return pan.groupBy("cluster").agg(has(in_b).alias("b"), has(~in_b).alias("o")).filter("b = 0 AND o = 1").select("cluster")
 
 
+def occupied(pan: DataFrame, least: int) -> DataFrame:
+    """The rows of clusters in at least `least` taxa: the occupancy limit of contrasts and intersections."""
+    keep = occupancy(pan).filter(F.col("occ") >= least).select("cluster")
+    return pan.join(keep, "cluster", "left_semi").select(*pan.columns)
+
+
+def taxa_like(pan: DataFrame, pattern: str) -> DataFrame:
+    """The rows of taxa whose name matches a regular expression."""
+    return pan.filter(F.col("taxon").cast("string").rlike(pattern))
+
+
 def present_a_absent_b(pan: DataFrame, a: list[str], b: list[str], present: float = 100, absent: float = 100) -> DataFrame:
     """Clusters that at least `present` % of a have and at least `absent` % of b lack."""
     count = lambda taxa: F.count_distinct(F.when(F.col("taxon").isin(taxa) & (F.col("n") > 0), F.col("taxon")))
@@ -123,6 +134,14 @@ def mean_identity(pairs: DataFrame) -> DataFrame:
     return one.join(back, ["t1", "t2"], "full").select("t1", "t2", F.coalesce("ani", "other").alias("ani")).filter("t1 <> t2")
 
 
+def clustered_identity(clusters: DataFrame, hits: DataFrame) -> DataFrame:
+    """(t1, t2, ani) over the hits between sequences of one cluster, each pair once."""
+    member = clusters.select("cluster_id", F.col("seq_id").alias("q"), F.col("taxon").alias("ta"))
+    other = clusters.select("cluster_id", F.col("seq_id").alias("s"), F.col("taxon").alias("tb"))
+    pairs = member.join(other, "cluster_id").filter("q < s").select("q", "s", "ta", "tb").distinct()
+    return mean_identity(pairs.join(hits.select("q", "s", "pident"), ["q", "s"]))
+
+
 def square(cells: DataFrame, taxa: DataFrame, value: str) -> DataFrame:
     """Every pair of taxa: 100 on the diagonal, null where there is no cell. Size: taxa squared, as the matrix has."""
     t = taxa.select("taxon").distinct()
@@ -163,17 +182,27 @@ def binary_strings(pan: DataFrame) -> DataFrame:
 def distances(pan: DataFrame) -> DataFrame:
     """(t1, t2, manhattan, euclid2, gower) for t1 < t2, absent as 0.
 
-    From per-taxon sums and a join on shared clusters alone: |x - y| = x + y - 2 min(x, y).
+    From per-taxon sums and a join on shared clusters alone: |x - y| = x + y - 2 min(x, y). Gower's distance is the mean
+    over all clusters of |x - y| by the cluster's range of copies; clusters without a range add nothing. Its parts are
+    taken in whole millionths of a cluster, so that sums don't depend on their order.
     """
     x = pan.filter("n > 0")
-    one = x.groupBy("taxon").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    shared = _pairs(pan).filter("t1 < t2").groupBy("t1", "t2").agg(F.sum(F.least("n1", "n2")).alias("m"), F.sum(F.col("n1") * F.col("n2")).alias("d"))
+    taxa_n = x.agg(F.count_distinct("taxon").alias("all_taxa"))
+    ranges = x.groupBy("cluster").agg((F.max("n") - F.min("n")).alias("seen"), F.max("n").alias("hi"), F.count_distinct("taxon").alias("occ")).crossJoin(F.broadcast(taxa_n))
+    ranges = ranges.select("cluster", F.when(F.col("occ") < F.col("all_taxa"), F.col("hi")).otherwise(F.col("seen")).alias("span"))
+    x = x.join(ranges, "cluster").withColumn("g", F.when(F.col("span") > 0, F.round(1e6 * F.col("n") / F.col("span"))).otherwise(0).cast("long"))
+    n_clusters = ranges.agg(F.count(F.lit(1)).alias("n_clusters"))
+    one = x.groupBy("taxon").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.sum("g").alias("gs"))
+    left, right = (x.select(F.col("taxon").alias(f"t{i}"), "cluster", F.col("n").alias(f"n{i}"), F.col("g").alias(f"g{i}")) for i in (1, 2))
+    both = left.join(right, "cluster").filter("t1 < t2")
+    shared = both.groupBy("t1", "t2").agg(F.sum(F.least("n1", "n2")).alias("m"), F.sum(F.col("n1") * F.col("n2")).alias("d"), F.sum(F.least("g1", "g2")).alias("gm"))
     taxa = one.select("taxon")
     every = taxa.select(F.col("taxon").alias("t1")).crossJoin(taxa.select(F.col("taxon").alias("t2"))).filter("t1 < t2")
-    out = every.join(shared, ["t1", "t2"], "left").fillna(0, ["m", "d"])
+    out = every.join(shared, ["t1", "t2"], "left").fillna(0, ["m", "d", "gm"])
     for k in ("t1", "t2"):
-        out = out.join(one.select(F.col("taxon").alias(k), F.col("s").alias(f"s_{k}"), F.col("q").alias(f"q_{k}")), k)
-    return out.select("t1", "t2", (F.col("s_t1") + F.col("s_t2") - 2 * F.col("m")).alias("manhattan"), (F.col("q_t1") + F.col("q_t2") - 2 * F.col("d")).alias("euclid2"))
+        out = out.join(one.select(F.col("taxon").alias(k), F.col("s").alias(f"s_{k}"), F.col("q").alias(f"q_{k}"), F.col("gs").alias(f"gs_{k}")), k)
+    gower = (F.col("gs_t1") + F.col("gs_t2") - 2 * F.col("gm")) / 1e6 / F.col("n_clusters")
+    return out.crossJoin(F.broadcast(n_clusters)).select("t1", "t2", (F.col("s_t1") + F.col("s_t2") - 2 * F.col("m")).alias("manhattan"), (F.col("q_t1") + F.col("q_t2") - 2 * F.col("d")).alias("euclid2"), gower.alias("gower"))
 
 
 def match_reference(pairs: DataFrame, sizes: DataFrame, identity: float, coverage: float, best_only: bool = False) -> DataFrame:
@@ -184,10 +213,10 @@ def match_reference(pairs: DataFrame, sizes: DataFrame, identity: float, coverag
     return ok.join(sizes, "ref").groupBy("cluster").agg(F.sum("size").alias("n"), F.array_join(F.sort_array(F.collect_list("ref")), ",").alias("refs"))
 
 
-def median_length(members: DataFrame) -> DataFrame:
-    """(cluster, median, rep): the upper median of the lengths and the first sequence that has it."""
+def median_length(members: DataFrame, lower: bool = False) -> DataFrame:
+    """(cluster, median, rep): the upper (or lower) median of the lengths and the first sequence that has it."""
     g = members.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("length", "seq_id"))).alias("m"))
-    med = F.get(F.transform("m", lambda x: x["length"]), F.floor(F.size("m") / 2).cast("int"))
+    med = F.get(F.transform("m", lambda x: x["length"]), F.floor((F.size("m") - (1 if lower else 0)) / 2).cast("int"))
     g = g.withColumn("median", med)
     return g.select("cluster", "median", F.array_min(F.transform(F.filter("m", lambda x: x["length"] == F.col("median")), lambda x: x["seq_id"])).alias("rep"))
 

@@ -45,7 +45,7 @@ def blunt(msa: DataFrame) -> DataFrame:
 
 
 def common_block(msa: DataFrame, least: int = 100) -> DataFrame:
-    """Each alignment cut to the block that all of its sequences reach; equal blocks of a taxon count once.
+    """Each alignment cut to the block that all of its sequences reach; equal blocks of a taxon count once, by the first name.
 
     msa(aln, taxon, name, seq). Of each taxon the sequence with most residues sets the block.
     """
@@ -54,7 +54,7 @@ def common_block(msa: DataFrame, least: int = 100) -> DataFrame:
     lead, tail = F.length(F.regexp_extract("seq", "^(-*)", 1)), F.length(F.regexp_extract("seq", "(-*)$", 1))
     block = long.groupBy("aln").agg(F.max(lead).alias("lo"), F.min(F.length("seq") - tail).alias("hi")).filter(F.col("hi") - F.col("lo") >= least)
     cut = msa.join(block, "aln").withColumn("seq", F.substr("seq", F.col("lo") + 1, F.col("hi") - F.col("lo")))
-    return cut.filter(2 * F.length(F.regexp_replace("seq", "-", "")) >= F.length("seq")).dropDuplicates(["aln", "taxon", "seq"]).select("aln", "taxon", "name", "seq")
+    return cut.filter(2 * F.length(F.regexp_replace("seq", "-", "")) >= F.length("seq")).groupBy("aln", "taxon", "seq").agg(F.min("name").alias("name")).select("aln", "taxon", "name", "seq")
 
 
 def collapse_fragments(msa: DataFrame, min_overlap: int = 40, max_mismatches: int = 0, max_gaps: int = 2) -> DataFrame:

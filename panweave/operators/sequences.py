@@ -84,9 +84,20 @@ def longest_per_group(rows: DataFrame, group: str, used: str | None = None) -> D
 
 
 def by_length(seqs: DataFrame, least: int = 20, most: int = 25_000) -> DataFrame:
-    """Sequences of allowed length with ids in order of length, the longest first."""
-    kept = seqs.filter(F.length("seq").between(least, most))
-    return kept.repartitionByRange(F.desc(F.length("seq"))).sortWithinPartitions(F.desc(F.length("seq")), "seq_id")
+    """Sequences of allowed length with their place from 1 on, the longest first; ties by the hash of the id.
+
+    Counts of cells (length, leading digits of the hash) give offsets, a row number inside a cell the rest, so a length
+    that very many sequences have is split.
+    """
+    kept = seqs.filter(F.length("seq").between(least, most)).withColumns({"_length": F.length("seq"), "_mark": F.md5(F.col("seq_id").cast("string"))})
+    cells = kept.withColumn("_cell", F.substring("_mark", 1, 2))
+    sizes = cells.groupBy("_length", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    inside = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("_length").orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
+    per = sizes.groupBy("_length").agg(F.sum("_n").alias("_all"))  # one row a length, `most` at most
+    longer = per.select("_length", (F.sum("_all").over(W.orderBy(F.desc("_length")).rowsBetween(W.unboundedPreceding, 0)) - F.col("_all")).alias("_longer"))
+    begin = inside.join(longer, "_length").select("_length", "_cell", (F.col("_before") + F.col("_longer")).alias("_begin"))
+    ranked = cells.withColumn("_i", F.row_number().over(W.partitionBy("_length", "_cell").orderBy("_mark", "seq_id"))).join(begin, ["_length", "_cell"])
+    return ranked.select(*seqs.columns, (F.col("_begin") + F.col("_i")).cast("long").alias("place"))
 
 
 def neighbours(genes: DataFrame) -> DataFrame:

@@ -89,8 +89,8 @@ def rate_summary(rates: DataFrame) -> DataFrame:
 
 
 def by_occupancy(rates: DataFrame) -> DataFrame:
-    """rates(occ, omega): mean, extremes, median and standard deviation per occupancy."""
-    return rates.groupBy("occ").agg(F.count(F.lit(1)).alias("n"), F.avg("omega").alias("mean"), F.min("omega").alias("least"), F.max("omega").alias("most"), F.median("omega").alias("median"), F.stddev_samp("omega").alias("sd"))
+    """rates(occ, omega): mean, extremes, median and standard deviation (of a sample and of a population) per occupancy."""
+    return rates.groupBy("occ").agg(F.count(F.lit(1)).alias("n"), F.avg("omega").alias("mean"), F.min("omega").alias("least"), F.max("omega").alias("most"), F.median("omega").alias("median"), F.stddev_samp("omega").alias("sd"), F.stddev_pop("omega").alias("population_sd"))
 
 
 def trend(rates: DataFrame) -> DataFrame:

@@ -54,12 +54,12 @@ def small_cluster_flags(spark, d):
     return C.small_cluster_members(part, V.order_clusters(spark, d), 7)
 
 
-@query("""WITH r AS (SELECT DISTINCT l_suppkey * 100000 + l_partkey % 50 AS ref_id, l_partkey AS m FROM lineitem WHERE l_quantity > 45), c AS (SELECT DISTINCT l_partkey AS m, l_suppkey AS cluster_id FROM lineitem),
+@query("""WITH r AS (SELECT DISTINCT l_suppkey * 100000 + l_partkey % 50 AS ref_id, l_partkey AS m FROM lineitem), c AS (SELECT DISTINCT l_partkey AS m, l_suppkey AS cluster_id FROM lineitem),
   s AS (SELECT ref_id, count(*) AS s FROM r GROUP BY ALL), h AS (SELECT ref_id, cluster_id, count(*) AS n FROM r JOIN c USING (m) GROUP BY ALL)
   SELECT ref_id, min(cluster_id) AS cluster_id FROM h JOIN s USING (ref_id) WHERE n = s GROUP BY ref_id HAVING count(*) = 1""")
 def contained_reference(spark, d):
     li = V.table(spark, d, "lineitem")
-    ref = li.filter("l_quantity > 45").select((F.col("l_suppkey") * 100000 + F.col("l_partkey") % 50).alias("ref_id"), F.col("l_partkey").alias("seq_id")).distinct()
+    ref = li.select((F.col("l_suppkey") * 100000 + F.col("l_partkey") % 50).alias("ref_id"), F.col("l_partkey").alias("seq_id")).distinct()
     return C.contained_in_one(ref, li.select(F.col("l_partkey").alias("seq_id"), F.col("l_suppkey").alias("cluster_id")).distinct())
 
 
@@ -102,7 +102,7 @@ def aligned_span(spark, d):
     return I.span(V.intervals(spark, d).withColumn("grp", F.col("event_id") % 3), ["user_id", "grp"])
 
 
-@query(f"""WITH {V.HITS_SQL}, s AS (SELECT * FROM hits WHERE bits >= 1200), p AS (SELECT DISTINCT least(q, s) AS a, greatest(q, s) AS b FROM s WHERE bits >= 2000),
+@query(f"""WITH {V.HITS_SQL}, s AS (SELECT * FROM hits), p AS (SELECT DISTINCT least(q, s) AS a, greatest(q, s) AS b FROM s),
   l AS (SELECT a, b, s, round_even(log10(bits), 0) AS va FROM p JOIN s ON s.q = p.a), r AS (SELECT a, b, s, round_even(log10(bits), 0) AS vb FROM p JOIN s ON s.q = p.b),
   f AS (SELECT coalesce(l.a, r.a) AS a, coalesce(l.b, r.b) AS b, coalesce(va, round_even(log10(28.0), 0)) AS va, coalesce(vb, round_even(log10(28.0), 0)) AS vb FROM l FULL JOIN r ON l.a = r.a AND l.b = r.b AND l.s = r.s)
   SELECT a, b, round(CASE WHEN corr(va, vb) IS NULL OR isnan(corr(va, vb)) THEN 1 ELSE corr(va, vb) END, 7) AS r FROM f GROUP BY ALL""")
@@ -144,16 +144,18 @@ def rate_summary(spark, d):
     return ST.rate_summary(r).withColumn("omega", F.round("omega", 6))
 
 
-@query("""SELECT l_linenumber AS occ, count(*) AS n, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS least, max(l_quantity) AS most, median(l_quantity) AS median, round(stddev_samp(l_quantity), 6) AS sd FROM lineitem GROUP BY ALL""")
+@query("""SELECT l_linenumber AS occ, count(*) AS n, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS least, max(l_quantity) AS most, median(l_quantity) AS median, round(stddev_samp(l_quantity), 6) AS sd, round(stddev_pop(l_quantity), 6) AS population_sd FROM lineitem GROUP BY ALL""")
 def rates_by_occupancy(spark, d):
     r = V.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("occ"), F.col("l_quantity").alias("omega"))
-    return ST.by_occupancy(r).withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
+    return ST.by_occupancy(r).withColumns({c: F.round(c, 6) for c in ("mean", "sd", "population_sd")})
 
 
-@query("SELECT round(corr(l_linenumber, l_quantity), 6) AS r, round(regr_slope(l_quantity, l_linenumber), 6) AS slope, round(regr_intercept(l_quantity, l_linenumber), 6) AS intercept FROM lineitem")
+@query("""WITH g AS (SELECT l_linenumber AS occ, count(*) AS n, avg(l_quantity) AS m, var_pop(l_quantity) AS v FROM lineitem GROUP BY ALL), t AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS gm FROM g),
+  a AS (SELECT (sum(g.n * (m - gm) * (m - gm)) / (any_value(k) - 1)) / (sum(g.n * v) / (any_value(t.n) - any_value(k))) AS f FROM g, t)
+  SELECT round(corr(l_linenumber, l_quantity), 6) AS r, round(regr_slope(l_quantity, l_linenumber), 6) AS slope, round(regr_intercept(l_quantity, l_linenumber), 6) AS intercept, round(any_value(a.f), 4) AS f FROM lineitem, a""")
 def rate_trend(spark, d):
     r = V.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("occ"), F.col("l_quantity").alias("omega"))
-    return ST.trend(r).select(*[F.round(c, 6).alias(c) for c in ("r", "slope", "intercept")])
+    return ST.trend(r).select(*[F.round(c, 6).alias(c) for c in ("r", "slope", "intercept")], F.round("f", 4).alias("f"))
 
 
 @query(f"WITH {V.PAN_SQL}, s AS (SELECT DISTINCT taxon AS ta, taxon % 3 + 1 AS tb FROM pan) SELECT a.taxon AS ta, b.taxon AS tb FROM (SELECT DISTINCT taxon FROM pan) a, (SELECT DISTINCT taxon FROM pan) b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.ta = a.taxon AND s.tb = b.taxon)")
@@ -162,15 +164,15 @@ def pending_pairs(spark, d):
     return incremental.pending_pairs(taxa, taxa.select(F.col("taxon").alias("ta"), (F.col("taxon") % 3 + 1).alias("tb")))
 
 
-@query(f"""WITH {V.PAN_SQL}, {R._ORDERS_SQL}, g AS (SELECT DISTINCT l_partkey AS seq_id, month(l_shipdate)::BIGINT AS taxon FROM lineitem WHERE l_quantity > 49),
-  h AS (SELECT DISTINCT l_partkey AS q, month(l_shipdate)::BIGINT AS ts FROM lineitem WHERE l_quantity < 3), f AS (SELECT q, sample, min(g) AS f FROM h JOIN ord ON ord.taxon = ts GROUP BY ALL)
-  SELECT o.sample, o.g, count(*) AS new FROM g JOIN ord o USING (taxon) LEFT JOIN f ON f.q = g.seq_id AND f.sample = o.sample WHERE f.f IS NULL OR f.f >= o.g GROUP BY ALL""")
+@query(f"""WITH {V.PAN_SQL}, {R._ORDERS_SQL}, g AS (SELECT DISTINCT l_partkey AS seq_id, month(l_shipdate)::BIGINT AS taxon FROM lineitem),
+  h AS (SELECT DISTINCT l_partkey AS q, month(l_shipdate)::BIGINT AS ts FROM lineitem), f AS (SELECT q, sample, min(g) AS f FROM h JOIN ord ON ord.taxon = ts GROUP BY ALL)
+  SELECT o.sample, o.g, count(*) AS new FROM (SELECT * FROM g WHERE seq_id % 13 <> 0) g JOIN ord o USING (taxon) LEFT JOIN f ON f.q = g.seq_id AND f.sample = o.sample WHERE f.f IS NULL OR f.f >= o.g GROUP BY ALL""")
 def pan_increments(spark, d):
     li = V.table(spark, d, "lineitem")
     genes = li.select(F.col("l_partkey").alias("seq_id"), F.month("l_shipdate").cast("long").alias("taxon")).distinct()
     hom = li.select(F.col("l_partkey").alias("q"), F.month("l_shipdate").cast("long").alias("ts")).distinct()
     orders = R._orders(V.pangenome(spark, d))
-    return GR.pan_increments(genes, hom, spark.createDataFrame([], "seq_id long"), orders).select(F.col("sample").cast("long").alias("sample"), F.col("g").cast("long").alias("g"), "new")
+    return GR.pan_increments(genes, hom, genes.filter("seq_id % 13 = 0").select("seq_id").distinct(), orders).select(F.col("sample").cast("long").alias("sample"), F.col("g").cast("long").alias("g"), "new")
 
 
 @query(f"""WITH {V.PAN_SQL}, c AS (SELECT DISTINCT cluster FROM pan), t AS (SELECT DISTINCT taxon FROM pan), f AS (SELECT t.taxon, c.cluster, coalesce(n, 0) AS n FROM t, c LEFT JOIN pan ON pan.taxon = t.taxon AND pan.cluster = c.cluster)
@@ -198,18 +200,15 @@ def fasta_lines(spark, d):
 
 
 @query("""WITH b AS (SELECT o_orderstatus AS taxon, min(o_orderkey) AS f, max(o_orderkey) AS l FROM orders GROUP BY ALL)
-  SELECT l_orderkey AS seq_id, taxon FROM lineitem JOIN b ON l_orderkey BETWEEN f AND l WHERE l_linenumber = 1""")
+  SELECT l_orderkey AS seq_id, taxon FROM lineitem JOIN b ON l_orderkey BETWEEN f AND l """)
 def taxon_by_range(spark, d):
     b = V.table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("taxon")).agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
-    return Q.taxon_of_id(V.table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("seq_id")), b)
-
-
-_CODONS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in S.CODONS.items()) + "}"
+    return Q.taxon_of_id(V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq_id")), b)
 
 
 @query(f"""WITH s AS (SELECT doc_id AS seq_id, text AS t, reverse(translate(text, 'acgtACGT', 'tgcaTGCA')) AS r FROM documents WHERE text IS NOT NULL),
   f AS (SELECT seq_id, k AS frame, t AS x, k AS o FROM s, unnest([1, 2, 3]) AS u(k) UNION ALL SELECT seq_id, -k, r, k FROM s, unnest([1, 2, 3]) AS u(k)),
   g AS (SELECT seq_id, frame, substr(translate(x, 'acgtuU', 'ACGTTT'), o) AS x FROM f)
-  SELECT seq_id, frame, array_to_string(list_transform(range(0, length(x) // 3), lambda i: coalesce(({_CODONS})[substr(x, 3 * i + 1, 3)], 'X')), '') AS protein FROM g""")
+  SELECT seq_id, frame, array_to_string(list_transform(range(0, length(x) // 3), lambda i: coalesce(({R.CODON_MAP})[substr(x, 3 * i + 1, 3)], 'X')), '') AS protein FROM g""")
 def six_frame_translation(spark, d):
     return V.sequences(spark, d).select("seq_id", F.explode(S.six_frames(F.col("seq"))).alias("f")).select("seq_id", "f.frame", "f.protein")

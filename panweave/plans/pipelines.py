@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panweave.config import Config
 from panweave.operators import clusters as C
-from panweave.operators import graph, growth, homology, matrix
+from panweave.operators import graph, growth, homology, matrix, sequences
 from panweave.tables import Tables
 
 
@@ -39,7 +39,7 @@ def cluster(spark: SparkSession, hits: DataFrame, seqs: DataFrame, cfg: Config,
         return found.select(F.col("cluster").alias("cluster_id"), F.col("node").alias("seq_id")).join(taxa, "seq_id").select("cluster_id", "seq_id", "taxon")
     if algorithm == "cog":
         pairs = tables.save(homology.reciprocal(homology.best(hits, cfg), cfg))
-        return graph.allot(graph.triangle_clusters(tables, pairs)).join(taxa, "seq_id").select("cluster_id", "seq_id", "taxon")
+        return graph.allot(graph.triangle_clusters(tables, pairs), taxa).join(taxa, "seq_id").select("cluster_id", "seq_id", "taxon")
     raise ValueError(algorithm)
 
 
@@ -55,12 +55,66 @@ def run(spark: SparkSession, hits: DataFrame, seqs: DataFrame, cfg: Config, algo
     kept = C.min_taxa(found, min_taxa)
     kept = tables.save((C.without_inparalogs(kept) if exclude_inparalogs else kept).select("cluster_id", "seq_id", "taxon"))
     pan = tables.save(C.copy_number(kept).select("taxon", F.col("cluster_id").cast("string").alias("cluster"), "n"))
-    member = kept.select("cluster_id", F.col("seq_id").alias("q"), F.col("taxon").alias("ta"))
-    other = kept.select("cluster_id", F.col("seq_id").alias("s"), F.col("taxon").alias("tb"))
-    pairs = member.join(other, "cluster_id").filter("q < s").join(hits.select("q", "s", "pident"), ["q", "s"])
     totals = seqs.groupBy("taxon").agg(F.count(F.lit(1)).alias("total"))
     taxa = seqs.select("taxon").distinct()
-    return Result(kept, pan, matrix.square(matrix.mean_identity(pairs), taxa, "ani"), matrix.square(matrix.pocp(pan, totals), taxa, "pocp"), matrix.compartments(pan, cfg.soft_core))
+    return Result(kept, pan, matrix.square(matrix.clustered_identity(kept, hits), taxa, "ani"), matrix.square(matrix.pocp(pan, totals), taxa, "pocp"), matrix.compartments(pan, cfg.soft_core))
+
+
+def transcripts(spark: SparkSession, hits: DataFrame, seqs: DataFrame, spans: DataFrame, cfg: Config | None = None, algorithm: str = "omcl", min_taxa: int = 2, samples: int | None = None, seed: int = 0) -> Result:
+    """The transcript analysis: isoforms go first, one side's coverage is enough, growth leaves cloud genes out.
+
+    spans: hits of single segments for isoform_pairs(). Of a taxon's isoforms the first in order absorbs the others; hits
+    and sequences without the absorbed ones are clustered. extra holds the redundant sequences, the cloud genes (in no
+    cluster of min_taxa taxa), the initial sizes and the increments of the growth curves.
+    """
+    cfg, tables = cfg or Config.transcripts(), Tables(spark, "transcripts")
+    redundant = tables.save(graph.greedy_absorb(homology.isoform_pairs(spans, cfg), "tq"))
+    lone = seqs.join(redundant.select("seq_id"), "seq_id", "left_anti")
+    kept = tables.save(homology.ranked(sequences.without_redundant(hits, redundant).drop("rk")))
+    out = run(spark, kept, lone, cfg, algorithm, min_taxa)
+    genes = lone.select("seq_id", "taxon")
+    cloud = tables.save(C.singletons(genes, out.clusters).select("seq_id"))
+    taxa = [r[0] for r in genes.select("taxon").distinct().orderBy("taxon").collect()]  # one row a taxon
+    orders = growth.permutations(spark, taxa, samples or cfg.growth_samples, seed)
+    homologs = homology.homologs(kept, cfg).select("q", "ts")
+    counted = genes.join(cloud, "seq_id", "left_anti")
+    out.extra |= {
+        "redundant": redundant, "cloud": cloud, "initial": growth.initial_size(counted, growth.later_copies(out.clusters), orders),
+        "increments": growth.pan_increments(counted, homologs, growth.extra_copies(out.clusters), orders),
+    }
+    return out
+
+
+def nonredundant(tables: Tables, pan: DataFrame, lengths: DataFrame, pairs: DataFrame, identity: float, coverage: float, short: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The non-redundant pangenome: (taxon, cluster, n), (cluster, name, members) and clusters in order of length.
+
+    lengths(cluster, length) of the representatives; pairs(q, s, pident, qcov, scov) between them. The longer of two
+    similar clusters (the first by name on ties) absorbs the other; coverage is that of the longer one, or of the shorter.
+    Clusters that none absorbs stay. Their counts add those that they absorb themselves, one level; their names list all
+    that hang on them, over all levels.
+    """
+    size = lengths.select("cluster", "length")
+    both = pairs.join(size.select(F.col("cluster").alias("q"), F.col("length").alias("lq")), "q").join(size.select(F.col("cluster").alias("s"), F.col("length").alias("ls")), "s")
+    query_side = (F.col("lq") < F.col("ls")) if short else (F.col("lq") > F.col("ls"))
+    cover = F.when(query_side, F.col("qcov")).otherwise(F.col("scov"))
+    later = (F.col("lq") < F.col("ls")) | ((F.col("lq") == F.col("ls")) & (F.col("q") > F.col("s")))  # q comes after s
+    direct = tables.save(both.filter(later & (F.col("pident") >= identity) & (cover >= coverage)).select(F.col("s").alias("keep"), F.col("q").alias("gone")).distinct())
+    gone = direct.select(F.col("gone").alias("cluster")).distinct()
+    stays = tables.save(size.join(gone, "cluster", "left_anti"))
+    own = pan.select("taxon", "cluster", "n")
+    added = own.withColumnRenamed("cluster", "gone").join(direct, "gone").select("taxon", F.col("keep").alias("cluster"), "n")
+    counts = own.unionByName(added).join(stays.select("cluster"), "cluster", "left_semi").groupBy("taxon", "cluster").agg(F.sum("n").alias("n"))
+
+    # all levels: what a kept cluster reaches, a round a level
+    reach = front = tables.save(direct.join(stays.select(F.col("cluster").alias("keep")), "keep", "left_semi").select(F.col("keep").alias("root"), "gone"))
+    while not front.isEmpty():
+        step = front.select("root", F.col("gone").alias("keep")).join(direct, "keep").select("root", "gone").distinct()
+        front = tables.save(step.join(reach, ["root", "gone"], "left_anti"))
+        reach = tables.save(reach.unionByName(front))
+    held = reach.groupBy(F.col("root").alias("cluster")).agg(F.sort_array(F.collect_set("gone")).alias("members"))
+    named = stays.select("cluster").join(held, "cluster", "left").withColumn("members", F.coalesce("members", F.array().cast(held.schema["members"].dataType)))
+    name = F.when(F.size("members") > 0, F.concat(F.col("cluster").cast("string"), F.lit("+"), F.size("members").cast("string"))).otherwise(F.col("cluster").cast("string"))
+    return counts, named.select("cluster", name.alias("name"), "members"), stays.orderBy(F.desc("length"), "cluster")
 
 
 def compare(sets: DataFrame, dirs: list[str], trim: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -93,5 +147,6 @@ def pairs_to_clusters(tables: Tables, pairs: DataFrame) -> DataFrame:
                 home.setdefault(b, home[a])
         return pd.DataFrame({"cluster_id": list(home.values()), "member": list(home)}, dtype=object)
 
-    joined = numbered.join(parts.withColumnRenamed("node", "x"), "x")
+    # a gene that is paired with itself alone has no link, and is a part of its own
+    joined = numbered.join(parts.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     return joined.select("component", "ord", "a", "b").groupBy("component").applyInPandas(fold, "cluster_id string, member string")

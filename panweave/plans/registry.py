@@ -24,6 +24,7 @@ ORACLES: dict[str, str] = {}
 
 #: Thresholds of the planned queries on the driver's tables, whose E-values are 1 / score.
 CFG = Config(evalue=0.01, identity=60, coverage=45, homology_coverage=40)
+CODON_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in S.CODONS.items()) + "}"
 GROUP_A, GROUP_B = [1, 2, 3], [4, 5, 6]
 
 
@@ -117,10 +118,12 @@ def binary_matrix_string(spark, d):
 
 
 @query(f"""WITH {V.PAN_SQL}, c AS (SELECT DISTINCT cluster FROM pan), t AS (SELECT DISTINCT taxon FROM pan),
-  f AS (SELECT t.taxon, c.cluster, coalesce(n, 0) AS n FROM t, c LEFT JOIN pan ON pan.taxon = t.taxon AND pan.cluster = c.cluster)
-  SELECT a.taxon AS t1, b.taxon AS t2, sum(abs(a.n - b.n))::BIGINT AS manhattan, sum((a.n - b.n) * (a.n - b.n))::BIGINT AS euclid2 FROM f a JOIN f b USING (cluster) WHERE a.taxon < b.taxon GROUP BY ALL""")
+  f AS (SELECT t.taxon, c.cluster, coalesce(n, 0) AS n FROM t, c LEFT JOIN pan ON pan.taxon = t.taxon AND pan.cluster = c.cluster),
+  h AS (SELECT taxon, cluster, n, CASE WHEN hi > lo THEN round(1000000.0::DOUBLE * n / (hi - lo)) ELSE 0 END::BIGINT AS g FROM f JOIN (SELECT cluster, max(n) AS hi, min(n) AS lo FROM f GROUP BY cluster) USING (cluster))
+  SELECT a.taxon AS t1, b.taxon AS t2, sum(abs(a.n - b.n))::BIGINT AS manhattan, sum((a.n - b.n) * (a.n - b.n))::BIGINT AS euclid2,
+    round((sum(abs(a.g - b.g)))::BIGINT / 1000000.0::DOUBLE / (SELECT count(*) FROM c), 6) AS gower FROM h a JOIN h b USING (cluster) WHERE a.taxon < b.taxon GROUP BY ALL""")
 def pairwise_distance(spark, d):
-    return M.distances(V.pangenome(spark, d))
+    return M.distances(V.pangenome(spark, d)).withColumn("gower", F.round("gower", 6))
 
 
 @query(f"WITH {V.PAN_SQL} SELECT taxon, 'a:' || cluster AS cluster, n FROM pan UNION ALL SELECT taxon, 'b:' || cluster, n FROM pan WHERE taxon <= 6")
@@ -165,8 +168,8 @@ def matrix_add(spark, d):
 
 # --- hits -------------------------------------------------------------------------------------------------------------
 
-_TIES_SQL = f"{V.HITS_SQL}, ties AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY q, ts ORDER BY evalue) AS r FROM hits WHERE tq <> ts) WHERE r = 1)"
-_BEST_SQL = _TIES_SQL + ", best AS (SELECT * FROM ties WHERE pident >= 60 AND least(qcov, scov) >= 45 AND evalue <= 0.01)"
+_TIES_SQL = f"{V.HITS_SQL}, ties AS MATERIALIZED (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY q, ts ORDER BY evalue) AS r FROM hits WHERE tq <> ts) WHERE r = 1)"
+_BEST_SQL = _TIES_SQL + ", best AS MATERIALIZED (SELECT * FROM ties WHERE pident >= 60 AND least(qcov, scov) >= 45 AND evalue <= 0.01)"
 _RECIPROCAL = "SELECT x.q AS a, x.s AS b, x.tq AS ta, x.ts AS tb, ((-log10(x.evalue)) + (-log10(y.evalue))) / 2 AS w FROM {0} x JOIN {0} y ON x.q = y.s AND x.s = y.q WHERE x.q < x.s"
 
 
@@ -177,7 +180,7 @@ def rbh_ties(spark, d):
 
 @query(f"WITH {_BEST_SQL} SELECT a, b, ta, tb, round(w, 6) AS w FROM ({_RECIPROCAL.format('best')})")
 def rbh_pairs(spark, d):
-    return H.reciprocal(H.best(V.hits(spark, d), CFG), CFG).withColumn("w", F.round("w", 6))
+    return H.reciprocal(Tables(spark, "best").save(H.best(V.hits(spark, d), CFG)), CFG).withColumn("w", F.round("w", 6))
 
 
 @query(f"""WITH {V.HITS_SQL} SELECT q, s, ts FROM (SELECT *, row_number() OVER (PARTITION BY q, ts ORDER BY rk) AS n FROM hits WHERE tq <> ts AND evalue <= 0.01 AND pident >= 0 AND least(qcov, scov) >= 40) WHERE n = 1""")
@@ -190,17 +193,17 @@ def prefix_before_foreign(spark, d):
     return H.prefix_before_foreign(V.hits(spark, d)).select("q", "s")
 
 
-_PARA_SQL = V.HITS_SQL + """, pre AS (SELECT * FROM (SELECT *, sum((tq <> ts OR evalue > 0.01 OR pident < 60)::INT) OVER (PARTITION BY q ORDER BY rk) AS f FROM hits) WHERE f = 0 AND least(qcov, scov) >= 45)"""
+_PARA_SQL = V.HITS_SQL + """, pre AS MATERIALIZED (SELECT * FROM (SELECT *, sum((tq <> ts OR evalue > 0.01 OR pident < 60)::INT) OVER (PARTITION BY q ORDER BY rk) AS f FROM hits) WHERE f = 0 AND least(qcov, scov) >= 45)"""
 
 
 @query(f"WITH {_PARA_SQL} SELECT a, b, round(w, 6) AS w FROM ({_RECIPROCAL.format('pre')})")
 def inparalog_pairs(spark, d):
-    return H.inparalogs(V.hits(spark, d), CFG).select("a", "b", F.round("w", 6).alias("w"))
+    return H.reciprocal(Tables(spark, "prefix").save(H.prefix_before_foreign(V.hits(spark, d), CFG)), CFG).select("a", "b", F.round("w", 6).alias("w"))
 
 
 @query(f"WITH {V.HITS_SQL}, pre AS (SELECT * FROM hits WHERE tq = ts) SELECT b AS seq_id, min(a) AS seed FROM ({_RECIPROCAL.format('pre')}) GROUP BY b")
 def inparalog_seed(spark, d):
-    return H.seeds(H.reciprocal(V.hits(spark, d).filter("tq = ts"), CFG))
+    return H.seeds(H.reciprocal(Tables(spark, "own").save(V.hits(spark, d).filter("tq = ts")), CFG))
 
 
 @query(f"""WITH {_BEST_SQL}, o AS ({_RECIPROCAL.format('best')}), pre AS (SELECT * FROM (SELECT *, sum((tq <> ts OR evalue > 0.01 OR pident < 60)::INT) OVER (PARTITION BY q ORDER BY rk) AS f FROM hits) WHERE f = 0 AND least(qcov, scov) >= 45),
@@ -209,7 +212,7 @@ def inparalog_seed(spark, d):
   SELECT a, b, 'ortholog' AS kind, round(w / avg(w) OVER (PARTITION BY least(ta, tb), greatest(ta, tb)), 6) AS w FROM o UNION ALL
   SELECT a, b, 'inparalog', round(w / coalesce(avg(w) FILTER (l) OVER (PARTITION BY ta), avg(w) OVER (PARTITION BY ta)), 6) FROM h""")
 def omcl_weights(spark, d):
-    return H.omcl_edges(V.hits(spark, d), CFG).select("a", "b", "kind", F.round("w", 6).alias("w"))
+    return H.omcl_edges(V.saved_hits(spark, d), CFG).select("a", "b", "kind", F.round("w", 6).alias("w"))
 
 
 @query(f"WITH {V.HITS_SQL} SELECT q, s, tq, ts FROM (SELECT *, row_number() OVER (PARTITION BY q, ts ORDER BY rk) AS n FROM hits) WHERE n <= 2")
@@ -217,27 +220,37 @@ def topn_hits_per_group(spark, d):
     return H.top_n(V.hits(spark, d), 2).select("q", "s", "tq", "ts")
 
 
-@query(f"""WITH {V.HITS_SQL}, f AS (SELECT q, s, ts FROM (SELECT *, row_number() OVER (PARTITION BY q, ts ORDER BY rk) AS n FROM hits WHERE tq = 'Brand#11') WHERE n <= 1)
+@query(f"""WITH {V.HITS_SQL}, f AS (SELECT q, s, ts FROM (SELECT *, row_number() OVER (PARTITION BY q, ts ORDER BY rk) AS n FROM hits) WHERE n <= 1)
   SELECT f.q, f.s, f.ts, b.rk AS back_rk FROM f LEFT JOIN hits b ON b.q = f.s AND b.s = f.q""")
 def inspect_best_hits(spark, d):
-    h = V.hits(spark, d)
-    return H.inspect(h, h.filter("tq = 'Brand#11'").select("q").distinct(), 1).select("q", "s", "ts", F.col("back_rk").cast("long").alias("back_rk"))
-
-
-@query()
+    h = V.saved_hits(spark, d)
+    return H.inspect(h, h.select("q").distinct(), 1).select("q", "s", "ts", F.col("back_rk").cast("long").alias("back_rk"))
+
+
+@query(f"""WITH {_PARA_SQL}, p AS ({_RECIPROCAL.format('pre')}), seed AS (SELECT b AS i, min(a) AS seed FROM p GROUP BY b),
+  col AS MATERIALIZED (SELECT coalesce(x.seed, q) AS q, coalesce(y.seed, s) AS s, tq, ts, evalue, pident, qcov, scov, rk FROM hits LEFT JOIN seed x ON x.i = q LEFT JOIN seed y ON y.i = s),
+  t AS MATERIALIZED (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY q, ts ORDER BY evalue) AS r FROM col WHERE tq <> ts) WHERE r = 1),
+  back AS (SELECT s AS q, q AS s, min({{'rk': rk, 'e': evalue, 'qc': qcov, 'sc': scov}}) AS b FROM t GROUP BY ALL),
+  ok AS (SELECT t.* FROM t LEFT JOIN back USING (q, s) WHERE pident >= 60 AND (least(qcov, scov) >= 45 OR coalesce(least(b.qc, b.sc) >= 45, false)) AND (evalue <= 0.01 OR coalesce(b.e <= 0.01, false))),
+  one AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, ts ORDER BY rk, evalue, s, pident, qcov, scov) AS n FROM ok) WHERE n = 1),
+  pairs AS (SELECT DISTINCT x.q AS a, x.s AS b, x.tq AS ta, x.ts AS tb FROM one x JOIN one y ON x.q = y.s AND x.s = y.q WHERE x.q < x.s),
+  star AS (SELECT a AS c, b AS i FROM pairs WHERE ta = 'Brand#11' UNION SELECT b, a FROM pairs WHERE tb = 'Brand#11'), core AS (SELECT c, i FROM star UNION SELECT c, c FROM star),
+  m AS (SELECT c, i FROM core UNION SELECT c, seed.i FROM core JOIN seed ON seed.seed = core.i)
+  SELECT c AS cluster_id, i AS seq_id, p_brand AS taxon FROM m JOIN part ON p_partkey = i""")
 def bdbh_clusters(spark, d):
     part = V.table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_brand").alias("taxon"))
-    return H.bdbh_clusters(V.hits(spark, d), part, "Brand#11", CFG)
+    return H.bdbh_clusters(V.saved_hits(spark, d), part, "Brand#11", CFG)
 
 
 # --- graphs and clusters ----------------------------------------------------------------------------------------------
 
 def _pairs(spark, d):
-    """All reciprocal best hits. (The SQL below still cuts at 1800 bits, see the README.)"""
-    return Tables(spark, "pairs").save(H.reciprocal(H.top_ties(V.hits(spark, d)), CFG))
+    """All reciprocal best hits."""
+    tables = Tables(spark, "pairs")
+    return tables.save(H.reciprocal(tables.save(H.top_ties(V.hits(spark, d))), CFG))
 
 
-_LINKS_SQL = f"{_TIES_SQL}, strong AS (SELECT * FROM ties WHERE bits >= 1800), l AS ({_RECIPROCAL.format('strong')})"
+_LINKS_SQL = f"{_TIES_SQL}, l AS MATERIALIZED ({_RECIPROCAL.format('ties')})"
 
 
 @query(f"""WITH RECURSIVE {_LINKS_SQL}, e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
@@ -256,9 +269,16 @@ def sbh_triangles(spark, d):
     return G.triangles(_pairs(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINKS_SQL}, t AS MATERIALIZED (SELECT x.a AS x, x.b AS y, y.b AS z FROM l x JOIN l y ON x.b = y.a JOIN l z ON z.a = x.a AND z.b = y.b WHERE x.ta <> x.tb AND y.ta <> y.tb AND x.ta <> y.tb),
+  sides AS (SELECT x || '-' || y AS s, t FROM (SELECT *, x || '-' || y || '-' || z AS t FROM t) UNION SELECT y || '-' || z, t FROM (SELECT *, x || '-' || y || '-' || z AS t FROM t) UNION SELECT x || '-' || z, t FROM (SELECT *, x || '-' || y || '-' || z AS t FROM t)),
+  e AS MATERIALIZED (SELECT DISTINCT a.t AS a, b.t AS b FROM sides a JOIN sides b USING (s)), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+  c AS (SELECT node, min(seen) AS c FROM r GROUP BY node), m AS (SELECT DISTINCT c, unnest([x, y, z]) AS i FROM t JOIN c ON node = x || '-' || y || '-' || z),
+  n AS (SELECT m.*, p_brand FROM m JOIN part ON p_partkey = i), g AS (SELECT c, count(DISTINCT p_brand) AS genomes, count(*) AS size FROM n GROUP BY c),
+  k AS (SELECT c, i FROM (SELECT *, count(*) OVER (PARTITION BY i) AS k FROM (SELECT n.*, rank() OVER (PARTITION BY i ORDER BY genomes DESC, size DESC) AS r FROM n JOIN g USING (c)) WHERE r = 1) WHERE k = 1)
+  SELECT min(i) OVER (PARTITION BY c) AS cluster_id, i AS seq_id FROM k""")
 def triangle_clusters(spark, d):
-    return G.allot(G.triangle_clusters(Tables(spark, "triangles"), _pairs(spark, d)))
+    part = V.table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_brand").alias("taxon"))
+    return G.allot(G.triangle_clusters(Tables(spark, "triangles"), _pairs(spark, d)), part)
 
 
 @query(f"WITH {V.ORDER_CLUSTERS_SQL} SELECT min(seq_id) OVER (PARTITION BY cluster_id, taxon) AS cluster_id, seq_id, taxon AS attribute FROM clusters")
@@ -277,9 +297,9 @@ def cluster_set_key(spark, d):
     return C.keyed(V.order_sets(spark, d), F.col("member"))
 
 
-@query(f"WITH {V.ORDER_SETS_SQL} SELECT key, min(cluster_id) AS cluster_id, max(size) AS size FROM keys WHERE dir IN ('F', 'O') GROUP BY key HAVING count(DISTINCT dir) = 2")
+@query(f"WITH {V.ORDER_SETS_SQL} SELECT key, min(cluster_id) AS cluster_id, max(size) AS size FROM keys GROUP BY key HAVING count(DISTINCT dir) >= 2")
 def cluster_intersection(spark, d):
-    return C.intersection(C.keyed(V.order_sets(spark, d), F.col("member")).filter("dir IN ('F', 'O')"), 2)
+    return C.intersection(C.keyed(V.order_sets(spark, d), F.col("member")), 2, exactly=False)
 
 
 @query(f"""WITH {V.ORDER_SETS_SQL}, m AS (SELECT key, sum(CASE dir WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END)::BIGINT AS sector FROM (SELECT DISTINCT key, dir FROM keys) GROUP BY key)
@@ -306,7 +326,7 @@ def dedup_identical(spark, d):
     return Q.dedup_identical(V.sequences(spark, d))
 
 
-@query("""SELECT a.doc_id AS seq_id, min(b.doc_id) AS container FROM documents a JOIN documents b ON length(b.text) > length(a.text) AND contains(b.text, a.text) WHERE length(a.text) >= 24 GROUP BY ALL""")
+@query("""SELECT a.doc_id AS seq_id, min(b.doc_id) AS container FROM documents a JOIN documents b ON length(b.text) > length(a.text) AND contains(b.text, a.text) GROUP BY ALL""")
 def contained_sequences(spark, d):
     return Q.contained(V.sequences(spark, d))
 
@@ -334,7 +354,12 @@ def interval_union_length(spark, d):
     return I.union_length(V.intervals(spark, d), "user_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.INTERVALS_SQL}, g AS (SELECT user_id AS q, event_id % 5 AS s, row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY event_id DESC) AS i, event_id, "start" AS a, "end" AS b FROM iv),
+  f AS (SELECT q, s, i, [{{'a': a, 'b': b, 'id': event_id}}] AS kept FROM g WHERE i = 1 UNION ALL
+    SELECT g.q, g.s, g.i, CASE WHEN len(list_filter(kept, lambda k: (g.a + g.b) / 2.0::DOUBLE BETWEEN k.a AND k.b)) > 0 THEN kept ELSE list_append(kept, {{'a': g.a, 'b': g.b, 'id': g.event_id}}) END FROM f JOIN g ON g.q = f.q AND g.s = f.s AND g.i = f.i + 1),
+  z AS (SELECT q, s, kept, list_sum(list_transform(kept, lambda k: k.b - k.a + 1))::BIGINT AS span FROM (SELECT *, max(i) OVER (PARTITION BY q, s) AS top FROM f) WHERE i = top)
+  SELECT q, s, 1.0::DOUBLE / (kept[1].id + 1) AS evalue, round(list_sum(list_transform(kept, lambda k: (k.b - k.a)::DOUBLE)) / len(kept), 2) AS pident, round_even(100.0::DOUBLE * span / 2700000, 0) AS qcov, round_even(100.0::DOUBLE * span / 2700000, 0) AS scov,
+    2700000 AS qlen, 2700000 AS slen, array_to_string(list_transform(kept, lambda k, i: i || ':' || k.a || '-' || k.b || ':' || k.a || '-' || k.b || '.'), '') AS simspan, list_sum(list_transform(kept, lambda k: k.id::DOUBLE)) AS bits FROM z""")
 def hsp_fold(spark, d):
     iv = V.intervals(spark, d)
     seg = iv.select(F.col("user_id").alias("q"), (F.col("event_id") % 5).alias("s"), (F.col("end") - F.col("start")).cast("double").alias("pident"), F.lit(0).alias("alen"), F.lit(2_700_000).alias("qlen"), F.lit(2_700_000).alias("slen"),
@@ -380,12 +405,12 @@ def set_enrichment_fisher(spark, d):
   f AS (SELECT regr_slope(log10(bits), log10(lp)) AS m, regr_intercept(log10(bits), log10(lp)) AS i FROM r WHERE r <= greatest(floor(n * 5 / 100), 1))
   SELECT q, s, round(100 * bits / (pow(10, i) * pow((q % 97 + 50)::DOUBLE * (s % 89 + 50), m)), 4) AS norm FROM hits, f""")
 def score_normalisation(spark, d):
-    h = V.hits(spark, d).select("q", "s", "bits", (F.col("q") % 97 + 50).alias("qlen"), (F.col("s") % 89 + 50).alias("slen"))
+    h = V.saved_hits(spark, d).select("q", "s", "bits", (F.col("q") % 97 + 50).alias("qlen"), (F.col("s") % 89 + 50).alias("slen"))
     return ST.normalise_scores(h).select("q", "s", F.round("norm", 4).alias("norm"))
 
 
 def _load() -> None:
-    from panweave.plans import filters_and_sinks  # noqa: F401  registers its queries
+    from panweave.plans import files, filters_and_sinks, further  # noqa: F401  register their queries
 
 
 _load()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panweave.operators import homology
+from panweave.tables import Tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,11 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return homology.ranked(shaped)
 
 
+def saved_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hits() as a written table, for plans that read it more than once."""
+    return Tables(spark, "hits").save(hits(spark, sf_dir))
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.filter("text IS NOT NULL").select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("taxon"), F.col("source").alias("header"), F.col("text").alias("seq"))
@@ -86,9 +92,9 @@ cut AS (SELECT n_taxa, floor(n_taxa * 0.95::DOUBLE)::BIGINT AS softcorepos,
         coalesce((SELECT occ + 1 FROM hist WHERE occ + 1 < floor(n_taxa * 0.95::DOUBLE) AND n > 0 ORDER BY n DESC, occ LIMIT 1), -1) AS cloudpos FROM nt),
 comp AS (SELECT cluster, occ, CASE WHEN occ >= softcorepos THEN 'softcore' WHEN occ <= cloudpos THEN 'cloud' ELSE 'shell' END AS compartment, occ = n_taxa AS core FROM occ, cut)"""
 HITS_SQL = """
-raw AS (SELECT a.l_partkey AS q, b.l_partkey AS s, sum(a.l_quantity::BIGINT * b.l_quantity::BIGINT)::BIGINT AS b
+raw AS MATERIALIZED (SELECT a.l_partkey AS q, b.l_partkey AS s, sum(a.l_quantity::BIGINT * b.l_quantity::BIGINT)::BIGINT AS b
         FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey GROUP BY ALL),
-hits AS (SELECT q, s, x.p_brand AS tq, y.p_brand AS ts, 1.0::DOUBLE / b AS evalue, (b % 51 + 50)::DOUBLE AS pident, ((b * 7) % 71 + 30)::DOUBLE AS qcov, ((b * 13) % 71 + 30)::DOUBLE AS scov,
+hits AS MATERIALIZED (SELECT q, s, x.p_brand AS tq, y.p_brand AS ts, 1.0::DOUBLE / b AS evalue, (b % 51 + 50)::DOUBLE AS pident, ((b * 7) % 71 + 30)::DOUBLE AS qcov, ((b * 13) % 71 + 30)::DOUBLE AS scov,
         b::DOUBLE AS bits, row_number() OVER (PARTITION BY q ORDER BY 1.0::DOUBLE / b, s) AS rk
         FROM raw JOIN part x ON x.p_partkey = q JOIN part y ON y.p_partkey = s)"""
 ORDER_SETS_SQL = """

@@ -13,13 +13,33 @@ from pyspark.sql import Window as W
 from panweave.functions import sequences as S
 from panweave.sources.text import base_name
 
-SCHEMA = "file string, contig string, organism string, size int, ord int, type string, start int, end int, strand int, parts array<struct<a:int,b:int>>, quals map<string,string>, dna string"
+SCHEMA = ("file string, contig string, organism string, size int, ord int, type string, start int, end int, strand int, "
+          "parts array<struct<a:int,b:int,strand:int>>, quals map<string,string>, dna string")
+_COMPLEMENT = str.maketrans("acgtACGT", "tgcaTGCA")
 
 
-def _location(text: str) -> tuple[int, list[tuple[int, int]]]:
-    strand = -1 if text.startswith("complement") else 1
-    parts = [(int(a), int(b or a)) for a, b in re.findall(r"<?(\d+)(?:\.\.>?(\d+))?", re.sub(r"[A-Za-z_0-9.]+:", "", text))]
-    return strand, parts
+def _location(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, strand) of the parts in the order in which they are spliced.
+
+    complement() turns what it holds, be it one part or a join: the parts come in reverse order, each on the other
+    strand. Parts of other records, marks of open ends and unknown functions don't matter to the places.
+    """
+    text = re.sub(r"[A-Za-z_0-9.]+:", "", text)
+    head, inner = text.partition("(")[0], text[text.find("(") + 1 : text.rfind(")")]
+    if "(" not in text:
+        m = re.match(r"[<>]?(\d+)(?:[.^]+[<>]?(\d+))?", text)
+        return [(int(m[1]), int(m[2] or m[1]), 1)] if m else []
+    parts, depth, at = [], 0, 0
+    for i, c in enumerate(inner + ","):
+        depth += (c == "(") - (c == ")")
+        if c == "," and depth == 0:
+            parts += _location(inner[at:i])
+            at = i + 1
+    return [(a, b, -s) for a, b, s in reversed(parts)] if head.strip() == "complement" else parts
+
+
+def _spliced(dna: str, parts: list[tuple[int, int, int]]) -> str:
+    return "".join(dna[a - 1 : b] if s > 0 else dna[a - 1 : b][::-1].translate(_COMPLEMENT) for a, b, s in parts)
 
 
 def parse(text: str) -> Iterator[dict]:
@@ -50,13 +70,17 @@ def parse(text: str) -> Iterator[dict]:
                     place += line
                 else:
                     quals[name] += ("" if name == "translation" else " ") + line.strip('"')
-            strand, parts = _location(place.replace(" ", ""))
+            parts = _location(place.replace(" ", ""))
             if parts:
-                yield {"contig": version[1] if version else locus[1], "organism": organism[1].strip() if organism else None, "size": int(locus[2]), "ord": k, "type": kind, "start": min(a for a, _ in parts), "end": max(b for _, b in parts),
-                       "strand": strand, "parts": [{"a": a, "b": b} for a, b in parts], "quals": quals, "dna": "".join(dna[a - 1 : b] for a, b in parts)}
+                yield {
+                    "contig": version[1] if version else locus[1], "organism": organism[1].strip() if organism else None, "size": int(locus[2]), "ord": k, "type": kind,
+                    "start": min(a for a, _, _ in parts), "end": max(b for _, b, _ in parts), "strand": -1 if all(s < 0 for *_, s in parts) else 1,
+                    "parts": [{"a": a, "b": b, "strand": s} for a, b, s in parts], "quals": quals, "dna": _spliced(dna, parts),
+                }
 
 
 def features(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row a feature; dna is spliced in the order and on the strand of the location, strand -1 if all of it is."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, text in zip(batch["file"], batch["value"], strict=True):
@@ -65,8 +89,7 @@ def features(spark: SparkSession, path: str | list[str]) -> DataFrame:
                     yield rows.assign(file=name)[["file", "contig", "organism", "size", "ord", "type", "start", "end", "strand", "parts", "quals", "dna"]]
 
     whole = spark.read.text(path, wholetext=True).select(base_name(F.col("_metadata.file_path")).alias("file"), "value")
-    found = whole.mapInPandas(run, SCHEMA)
-    return found.withColumn("dna", F.when(F.col("strand") == -1, S.reverse_complement(F.col("dna"))).otherwise(F.col("dna")))
+    return whole.mapInPandas(run, SCHEMA)
 
 
 def contains_cds(spark: SparkSession, path: str) -> DataFrame:

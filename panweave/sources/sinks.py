@@ -62,7 +62,7 @@ def presence_csv(pan: DataFrame) -> DataFrame:
     grid = _grid(pan)
     head = grid.select("taxon").distinct().agg(_ordered("taxon", F.col("taxon").cast("string"), ",").alias("t")).select(F.lit(0).alias("ord"), F.concat(F.lit(",".join(PRESENCE_COLUMNS) + ","), "t").alias("value"))
     body = grid.groupBy("cluster").agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("iso"), F.sum("n").alias("seqs"), _ordered("taxon", F.when(F.col("n") > 0, "1").otherwise("0"), ",").alias("bits"))
-    line = F.concat_ws(",", F.col("cluster").cast("string"), F.lit(""), F.lit(""), "iso", "seqs", F.format_string("%.2f", F.col("seqs") / F.col("iso")), F.lit(",,,,,,,"), "bits")
+    line = F.concat_ws(",", F.col("cluster").cast("string"), F.lit(""), F.lit(""), "iso", "seqs", F.format_string("%.2f", F.bround(F.col("seqs") / F.col("iso"), 2)), F.lit(",,,,,,,"), "bits")
     return head.unionByName(body.select(F.row_number().over(W.orderBy("cluster")).alias("ord"), line.alias("value")))
 
 
@@ -79,6 +79,14 @@ def fasta_lines(seqs: DataFrame, width: int = 0) -> DataFrame:
     return seqs.withColumn("value", F.concat(F.lit(">"), "header", F.lit("\n"), body))
 
 
+def cluster_files(members: DataFrame) -> DataFrame:
+    """members(name, seq_id, header, protein, dna): lines of each cluster's .faa, and of its .fna if all members have DNA."""
+    whole = members.groupBy("name").agg(F.bool_and(F.coalesce(F.col("dna") != "", F.lit(False))).alias("whole")).filter("whole").select("name")
+    faa = members.select(F.concat("name", F.lit(".faa")).alias("file"), "seq_id", "header", F.col("protein").alias("seq"))
+    fna = members.join(whole, "name", "left_semi").select(F.concat("name", F.lit(".fna")).alias("file"), "seq_id", "header", F.col("dna").alias("seq"))
+    return fasta_lines(faa.unionByName(fna)).select("file", "seq_id", "value")
+
+
 def write_cluster_fasta(members: DataFrame, path: str) -> None:
     """One folder per cluster with its FASTA: members(name, header, seq). Rows meet by cluster before the write."""
     fasta_lines(members).repartition("name").sortWithinPartitions("name", "header").select("name", "value").write.mode("overwrite").partitionBy("name").text(path)
@@ -95,16 +103,22 @@ def growth_lines(growth: DataFrame, value: str) -> DataFrame:
     return head.unionByName(growth.groupBy("sample").agg(_ordered("g", F.col(value).cast("string"), "\t").alias("value")).select(F.col("sample").cast("int").alias("ord"), "value"))
 
 
-def square_lines(cells: DataFrame, value: str) -> DataFrame:
+def square_lines(cells: DataFrame, value: str, decimals: int = 2) -> DataFrame:
     """A square matrix of (t1, t2, value): two decimals, NA for null."""
-    cell = F.coalesce(F.format_string("%.2f", F.col(value)), F.lit("NA"))
-    head = cells.select("t2").distinct().agg(F.concat(F.lit("genomes\t"), _ordered("t2", F.col("t2"), "\t")).alias("value")).select(F.lit(0).alias("ord"), "value")
+    cell = F.when(F.col(value).isNull(), "NA").otherwise(F.format_string(f"%.{decimals}f", F.col(value)))
+    head = cells.select("t2").distinct().agg(F.concat(F.lit("genomes\t"), _ordered("t2", F.col("t2").cast("string"), "\t")).alias("value")).select(F.lit(0).alias("ord"), "value")
     return head.unionByName(cells.groupBy("t1").agg(_ordered("t2", cell, "\t").alias("v")).select(F.row_number().over(W.orderBy("t1")).alias("ord"), F.concat_ws("\t", "t1", "v").alias("value")))
 
 
+def _xml(c: Column) -> Column:
+    for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(plain), F.lit(code))
+    return c
+
+
 def orthoxml(clusters: DataFrame, origin: str = "panweave") -> DataFrame:
     """One XML text: species with their genes, then ortholog groups. clusters(cluster_id, seq_id, taxon, name)."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    esc = _xml
     gene = F.concat(F.lit('<gene id="'), F.col("seq_id").cast("string"), F.lit('" protId="'), esc(F.col("name")), F.lit('"/>'))
     species = clusters.select("seq_id", "taxon", "name").distinct().groupBy("taxon").agg(_ordered("seq_id", gene, "").alias("g")).agg(
         _ordered("taxon", F.concat(F.lit('<species name="'), esc(F.col("taxon")), F.lit('"><database name="'), esc(F.col("taxon")), F.lit('"><genes>'), "g", F.lit("</genes></database></species>")), "").alias("species"))
@@ -114,6 +128,36 @@ def orthoxml(clusters: DataFrame, origin: str = "panweave") -> DataFrame:
     return species.crossJoin(groups).select(F.lit(0).alias("ord"), F.concat(F.lit(f'<?xml version="1.0" encoding="utf-8"?><orthoXML xmlns="http://orthoXML.org/2011/" version="0.3" origin="{origin}" originVersion="1">'), "species", F.lit("<groups>"), "groups", F.lit("</groups></orthoXML>")).alias("value"))
 
 
+def seqxml(members: DataFrame, tag: str = "AAseq") -> DataFrame:
+    """One SeqXML text a taxon: members(seq_id, taxon, name, seq) as entries in order of their ids."""
+    entry = F.concat(F.lit('<entry id="'), _xml(F.col("name")), F.lit('" source="'), _xml(F.col("taxon")), F.lit(f'"><{tag}>'), "seq", F.lit(f"</{tag}></entry>"))
+    body = members.groupBy("taxon").agg(_ordered("seq_id", entry, "").alias("v"))
+    head = '<seqXML seqXMLversion="0.4" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:noNamespaceSchemaLocation="http://www.seqxml.org/0.4/seqxml.xsd">'
+    return body.select("taxon", F.concat(F.lit(head), "v", F.lit("</seqXML>")).alias("value"))
+
+
+def genbank_lines(features: DataFrame, contigs: DataFrame) -> DataFrame:
+    """GenBank flat records: contigs(contig, organism, dna), features(contig, ord, type, place, quals) -> (contig, value).
+
+    place is a location such as `complement(join(1..9,20..30))`, quals an array of (name, value). A contig without
+    features is a record with an empty table. One record is one row, as large as its contig.
+    """
+    indent = "\n" + " " * 21
+    qual = lambda q: F.concat(F.lit(indent + "/"), q["name"], F.lit('="'), q["value"], F.lit('"'))
+    feature = F.concat(F.lit("\n     "), F.rpad("type", 16, " "), "place", F.array_join(F.transform("quals", qual), ""))
+    table = features.groupBy("contig").agg(_ordered("ord", feature, "").alias("table"))
+    chunks = F.regexp_extract_all(F.lower("dna"), F.lit("(?s).{1,60}"), F.lit(0))
+    origin = F.array_join(F.transform(chunks, lambda c, i: F.concat(F.lit("\n"), F.lpad((i * 60 + 1).cast("string"), 9, " "), F.lit(" "), F.regexp_replace(c, "(.{10})(?=.)", "$1 "))), "")
+    head = F.concat(F.lit("LOCUS       "), "contig", F.lit(" "), F.length("dna").cast("string"), F.lit(" bp    DNA\nVERSION     "), "contig", F.lit("\n  ORGANISM  "), "organism")
+    return contigs.join(table, "contig", "left").select("contig", F.concat(head, F.lit("\nFEATURES             Location/Qualifiers"), F.coalesce("table", F.lit("")), F.lit("\nORIGIN"), origin, F.lit("\n//")).alias("value"))
+
+
+def write_reports(lines: DataFrame, path: str) -> str:
+    """lines(file, ord, value): one text file per `file` in a folder of its own; returns the pattern that reads them."""
+    lines.repartition("file").sortWithinPartitions("file", "ord").select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
+    return f"{path}/*"
+
+
 def enriched_fasta(members: DataFrame, enriched: DataFrame) -> DataFrame:
     """members(cluster, seq_id, header, seq, domains) that carry an enriched domain, with cluster and domains in the header."""
     hit = members.select("*", F.explode(F.array_distinct("domains")).alias("domain")).join(enriched.select("domain").distinct(), "domain", "left_semi")

@@ -35,6 +35,69 @@ def fasta(spark: SparkSession, path: str | list[str], skip_peptides: bool = Fals
     return out.filter(~F.col("seq").rlike("(?i)[QEIPDFHLV]")) if skip_peptides else out
 
 
+def packed_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """fasta() for files whose names don't tell that they are compressed: gzip and bzip2 by their first bytes.
+
+    A file of this kind can't be split, so one task reads it as a stream of records. pos orders the records of a file.
+    """
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import bz2
+        import gzip
+        import io
+
+        for part in parts:
+            for name, content in zip(part["file"], part["content"], strict=True):
+                raw = io.BytesIO(content)
+                stream = gzip.open(raw) if content[:2] == b"\x1f\x8b" else bz2.open(raw) if content[:3] == b"BZh" else raw
+                rows, header, lines = [], None, []
+                for line in io.TextIOWrapper(stream, encoding="utf-8", errors="replace"):
+                    if not line.startswith(">"):
+                        if not line.startswith("#"):
+                            lines.append(line)
+                        continue
+                    if header is not None:
+                        rows.append((name, len(rows), header, "".join(lines)))
+                    header, lines = line[1:].strip(), []
+                if header is not None:
+                    rows.append((name, len(rows), header, "".join(lines)))
+                for at in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[at : at + 10_000], columns=["file", "pos", "header", "seq"])
+
+    found = spark.read.format("binaryFile").load(path).select(base_name(F.col("path")).alias("file"), "content").mapInPandas(run, "file string, pos long, header string, seq string")
+    return found.withColumn("seq", S.clean(F.col("seq"))).filter("header <> '' AND NOT header LIKE '#%' AND seq <> ''")
+
+
+def by_taxon(records: DataFrame) -> DataFrame:
+    """One file of records with [taxon] headers, split: (taxon, ord, seq_id, header, seq).
+
+    Taxa stand in order of name, records in order of pos inside them, numbered from 1 on through all taxa; a label may be
+    one word. Nucleotide sequences are left out.
+    """
+    own = records.withColumn("taxon", S.taxon_of(F.col("header"), True)).filter(F.col("taxon").isNotNull() & ~S.is_nucleotide(F.col("seq")))
+    sizes = own.groupBy("taxon").agg(F.count(F.lit(1)).alias("n"))  # one row a taxon
+    along = W.orderBy("taxon")
+    sizes = sizes.select("taxon", F.row_number().over(along).alias("ord"), (F.sum("n").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("begin"))
+    inside = F.row_number().over(W.partitionBy("taxon").orderBy("pos", "header"))
+    return own.withColumn("i", inside).join(sizes, "taxon").select("taxon", "ord", (F.col("begin") + F.col("i")).cast("long").alias("seq_id"), "header", "seq")
+
+
+def isoforms(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(gene, isoform, length, seq) of a FASTA whose headers are `isoform ... gene:ID ...`; the version of an id is cut."""
+    records = fasta(spark, path)
+    gene = F.regexp_extract("header", r"gene:([^\s.]+)", 1)
+    return records.filter(gene != "").select(gene.alias("gene"), F.regexp_extract("header", r"^([^\s]+)", 1).alias("isoform"), F.length("seq").cast("long").alias("length"), "seq")
+
+
+def store_hits(hits: DataFrame, path: str) -> None:
+    """Hits in a folder per query taxon, so that a read of some taxa opens those folders alone."""
+    hits.repartition("tq").write.mode("overwrite").partitionBy("tq").parquet(path)
+
+
+def stored_hits(spark: SparkSession, path: str, taxa: list[str] | None = None) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col("tq").isin(taxa)) if taxa is not None else rows
+
+
 def taxa_of(records: DataFrame, single_words: bool = False) -> DataFrame:
     """(taxon, n): the bracketed labels of headers with how many records carry them."""
     return records.withColumn("taxon", S.taxon_of(F.col("header"), single_words)).filter("taxon IS NOT NULL").groupBy("taxon").agg(F.count(F.lit(1)).alias("n"))
@@ -94,7 +157,8 @@ def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(base_name(F.col("_metadata.file_path")).alias("file"), F.regexp_replace("value", "\r", "").alias("v"))
+    """(file, line, value): file is the whole path, since two folders may hold files of one name."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("v"))
     return whole.select("file", F.posexplode(F.split("v", "\n")).alias("line", "value"))
 
 

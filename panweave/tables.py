@@ -14,11 +14,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset and driver and executors are one process."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, else the folder set by setCheckpointDir(); a temporary folder only where neither is set and
+    driver and executors are one process."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if place:
         return place.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + _temporary()
 
@@ -55,6 +56,10 @@ class Tables:
         out._panweave_path = path
         return out
 
+    def folder(self, name: str) -> str:
+        """A folder of this label's own for other files, removed with its tables when the application ends."""
+        return f"{self.root}/{name}"
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _remove(self.spark, t._panweave_path)
