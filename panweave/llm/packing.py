@@ -11,9 +11,9 @@ A piece finds its bin by its rank among the pieces of its length. Ranks come fro
 inside a cell, so a length that a third of all pieces share is not one task's work. Texts and ids are never shuffled
 unless the caller carries ids along.
 
-Tokenising: pre-tokens repeat, so each worker keeps a bounded cache from pre-token to ids; texts with any character
-outside the ranges where the splitting pattern is plain, and texts with the string of a special token, go to the
-tokenizer whole. The ids are the tokenizer's own, as it is loaded: a special token's string in a text is that token.
+Tokenising: the rank file of the same vocabulary encodes texts of plain characters; other texts, and those with the
+string of a special token, go to the tokenizer. The ids are the tokenizer's own, as it is loaded: a special token's
+string in a text is that token.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are pieces of their own (cells are salted by a
 row number, so equal rows are dealt over all of a length's cells); a null id is packed like any other; an empty table
@@ -40,14 +40,12 @@ from panweave.llm._spark import Tables, read, tidy
 
 LENGTH, END_ID = 1024, 2
 SALTS = 256
-CACHE = 100_000
 
-# Letters, digits and spaces of the ranges in PLAIN, and the splitting pattern over them.
-_L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_N = "0-9²³¹¼-¾"
-_S = "\\t\\n\\r\\x20"
-SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-ODD = "[^\\t\\n\\r\\x20-\\x7e¡-ɏ‐-‧‰-⁞€]"
+# The vocabulary's splitting pattern, and the characters that are classed alike by every Unicode version.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-ɏ‐-‧‰-⁞€]")
+#: Runs of white space that the splitting's backtracking may not hold.
+RUN, LONG_RUN = 100_000, re.compile(r"(?<!\s)\s{100000}")
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -60,34 +58,22 @@ def tokenizer_paths() -> tuple[str, str]:
 class Encoder:
     """Text -> ids as little-endian uint32 bytes.
 
-    `ranks` names the same vocabulary as a rank file: then a text is split here, and pre-tokens that the cache doesn't
-    hold go through the merges alone. Without it every text goes to the tokenizer whole, as do texts that hold the
-    string of one of its special tokens.
+    `ranks` names the same vocabulary as a rank file, which encodes the texts of plain characters. All others, those that
+    hold the string of a special token or an endless run of white space, and without a rank file every text go to the
+    tokenizer.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        self.path, self.plain = path, ranks is not None
-        if not self.plain:
+        self.path, self.ranks = path, None
+        if ranks is None:
             return
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            added = [t["content"] for t in json.load(f).get("added_tokens", ())]
-        self.odd = re.compile("|".join([ODD, *map(re.escape, added)]))
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", ())]
         with open(ranks, "rb") as f:
             order = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
-        merge = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=order, special_tokens={}).encode_ordinary
-
-        class Cache(dict):
-            def __missing__(self, piece: str) -> bytes:
-                ids = array("I", merge(piece)).tobytes()
-                if len(piece) <= 48:
-                    if len(self) >= CACHE:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.cache = Cache()
+        self.ranks = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=order, special_tokens={})
 
     @functools.cached_property
     def tokenizer(self):
@@ -96,18 +82,17 @@ class Encoder:
 
         return Tokenizer.from_file(self.path)
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
     def __call__(self, text: str) -> bytes:
-        if not self.plain or self.odd.search(text):
-            return self.whole(text)
-        return b"".join(map(self.cache.__getitem__, SPLIT.findall(text)))
+        if self.ranks is None or any(s in text for s in self.added) or ODD.search(text) or (len(text) > RUN and LONG_RUN.search(text)):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ranks.encode_ordinary(text)
+        return array("I", ids).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, ranks: str | None) -> Encoder:
-    """One encoder a worker process: its cache outlives a task."""
+    """One encoder a worker process."""
     return Encoder(path, ranks)
 
 

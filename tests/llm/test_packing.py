@@ -15,8 +15,11 @@ def test_encoder_is_the_tokenizer():
     rng = random.Random(1)
     odd = ["", " ", "  a  b\n\n c", "it's  we'll 12½ x²\t\t y", "naïve—café “q”", "emoji 😀 x", "<|endoftext|> hi", " \n \n\na", "日本語 text", "a b", "x" * 300]
     mixed = ["".join(rng.choice(["a", "é", " ", "\n", "'s", "'", "1", "½", "—", "\t", "|", "\r", "ll"]) for _ in range(60)) for _ in range(60)]
-    for text in odd + mixed:
-        assert fast(text) == slow(text), text
+    wild = ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0x3100), rng.randrange(0xE000, 0x20000), 32, 39, 115, 10])) for _ in range(40)) for _ in range(300)]
+    plain = ["".join(rng.choice("ab éß½² \t\n'sll.!0—") for _ in range(80)) for _ in range(300)]
+    long = [" " * 300_000 + "a", "\n" * 300_000, "ab" * 200_000, "\t \n" * 100_000 + "x", "!?" * 100_000, "a" + "\n" * 1_500_000]
+    for text in odd + mixed + wild + plain + long:
+        assert fast(text) == slow(text), text[:100]
 
 
 def test_fullest_is_optimal():
