@@ -50,7 +50,7 @@ def hits_between_seeds(spark, d):
     return H.collapse_to_seeds(V.hits(spark, d), seeds).select("q", "s", F.col("bits").cast("long").alias("bits"))
 
 
-_SPAN_SQL = """sp AS (SELECT q, s, tq, ts, CASE WHEN bits % 3 = 0 THEN 100.0 ELSE pident END AS pident, (1 + bits % 2)::INT AS qs, (1 + bits % 5 // 4)::INT AS ss, (90 + q % 10)::INT AS qe, (90 + s % 10)::INT AS se, (q % 20 + 85)::INT AS qlen, (s % 20 + 85)::INT AS slen, 1 AS n_segments FROM hits)"""
+_SPAN_SQL = """sp AS (SELECT q, s, tq, ts, CASE WHEN bits % 3 = 0 THEN 100.0 ELSE pident END AS pident, (1 + bits::BIGINT % 2)::INT AS qs, (1 + (bits::BIGINT % 5) // 4)::INT AS ss, (90 + q % 10)::INT AS qe, (90 + s % 10)::INT AS se, (q % 20 + 85)::INT AS qlen, (s % 20 + 85)::INT AS slen, 1 AS n_segments FROM hits)"""
 
 
 def _spans(spark, d):

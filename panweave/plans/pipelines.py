@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -132,21 +133,30 @@ def pairs_to_clusters(tables: Tables, pairs: DataFrame) -> DataFrame:
     """pairs(ord, a, b) in file order -> (cluster_id, member): a pair joins its second gene to the first one's cluster.
 
     Two clusters that exist already never merge, so this isn't a component; the fold runs inside each component, which
-    holds every pair that could matter to it.
+    holds every pair that could matter to it. Components lie together and in order in their partition and are folded one
+    after the other, so memory holds one at a time.
     """
     numbered = pairs.select("ord", F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"), "a", "b")
     parts = graph.components(tables, numbered.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         home: dict[str, str] = {}
-        for a, b in part.sort_values("ord")[["a", "b"]].itertuples(index=False):
-            if a not in home and b in home:
-                home[a] = home[b]
-            else:
-                home.setdefault(a, a)
-                home.setdefault(b, home[a])
-        return pd.DataFrame({"cluster_id": list(home.values()), "member": list(home)}, dtype=object)
+        current = None
+        for batch in batches:
+            done: list[tuple[str, str]] = []
+            for part, a, b in batch[["component", "a", "b"]].itertuples(index=False):
+                if part != current:
+                    done += [(c, m) for m, c in home.items()]
+                    home, current = {}, part
+                if a not in home and b in home:
+                    home[a] = home[b]
+                else:
+                    home.setdefault(a, a)
+                    home.setdefault(b, home[a])
+            yield pd.DataFrame(done, columns=["cluster_id", "member"], dtype=object)
+        yield pd.DataFrame([(c, m) for m, c in home.items()], columns=["cluster_id", "member"], dtype=object)
 
     # a gene that is paired with itself alone has no link, and is a part of its own
     joined = numbered.join(parts.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    return joined.select("component", "ord", "a", "b").groupBy("component").applyInPandas(fold, "cluster_id string, member string")
+    together = joined.select("component", "ord", "a", "b").repartition("component").sortWithinPartitions("component", "ord")
+    return together.mapInPandas(fold, "cluster_id string, member string")
