@@ -79,3 +79,126 @@ def test_held_out(spark):
     from panweave.llm import _conv
 
     assert all(r["h"] == held(r["doc_id"]) for r in df.withColumn("h", _conv.held_out(F.col("doc_id"))).collect())
+
+
+def chunk(texts):
+    return next(_text.chunks(pa.array(texts, pa.large_string()), 1 << 30))
+
+
+SMALL = ["", "a", "the cat — sat é on the mat " * 9, "x" * 64, "y z" * 50, "stutter stutter stutter stutter " * 12]
+
+
+def plain_quality(net, text):
+    """The network as its docstring tells it, a byte at a time."""
+    p, data = net.p, text.encode()
+    z = np.zeros((len(data), quality.FILTERS))
+    for i in range(len(data)):
+        for j in range(quality.WIDTH):
+            z[i] += p["emb"][data[i + j] if i + j < len(data) else 0] @ p["filters"][j]
+    z = np.maximum(z + p["bias"], 0)
+    same = np.array([[float(i >= lag and data[i] == data[i - lag]) for lag in quality.LAGS] for i in range(len(data))]).reshape(len(data), len(quality.LAGS))
+    blocks, size = max(1, -(-len(data) // quality.BLOCK)), quality.BLOCK
+    units = []
+    for b in range(max(1, blocks - 1)):
+        own = slice(b * size, (b + 2) * size)
+        n = max(1, len(z[own]))
+        lag = same[own].sum(axis=0) / n
+        x = np.concatenate((z[own].sum(axis=0) / n, [2 * lag.max(initial=0), 4 * lag.mean()]))
+        units.append(np.tanh(x @ p["mixer"] + p["mixer_bias"]))
+    return 1 / (1 + np.exp(-(np.max(units, axis=0) @ p["out"] + p["prior"][0])))
+
+
+def plain_language(net, text):
+    data, total, out = text.encode(), 0, 0
+    for a in range(0, max(1, len(data)), langid.WINDOW):
+        part = data[a : a + langid.WINDOW]
+        pooled = []
+        for w in langid.WIDTHS:
+            best = np.zeros(langid.FILTERS)
+            for i in range(len(part)):
+                z = net.p[f"b{w}"].copy()
+                for j in range(w):
+                    at = a + i + j  # a filter looks on into the next window
+                    z += net.p["emb"][data[at] if at < len(data) else 0] @ net.p[f"f{w}"][j]
+                best = np.maximum(best, z)
+            pooled.append(best)
+        logit = np.concatenate(pooled) @ net.p["out"] + net.p["out_bias"]
+        e = np.exp(logit - logit.max())
+        out, total = out + e / e.sum() * max(1, len(part)), total + max(1, len(part))
+    return out / total
+
+
+def test_forward_passes_match_a_plain_version():
+    net = quality.Net()
+    net.p["bias"] += 0.1
+    assert np.allclose(net.score(chunk(SMALL)), [plain_quality(net, t) for t in SMALL], atol=1e-5)
+    net = langid.Net(["a", "b", "c"])
+    assert np.allclose(net.score(chunk(SMALL)), [plain_language(net, t) for t in SMALL], atol=1e-5)
+
+
+def numeric(loss, array, places, step=1e-3):
+    out = []
+    for at in places:
+        kept = array[at]
+        array[at] = kept + step
+        high = loss()
+        array[at] = kept - step
+        low = loss()
+        array[at] = kept
+        out.append((high - low) / (2 * step))
+    return np.array(out)
+
+
+def test_quality_gradients_are_those_of_the_loss():
+    from panweave.llm import _conv
+
+    net, y = quality.Net(), np.array([1.0, 0.0, 1.0, 0.0, 1.0, 0.0])
+    lay = _conv.Layout(chunk(SMALL), quality.BLOCK)
+    lags = net.lags(lay)
+    grads = net._grads(lay, lags, y)
+
+    def loss():
+        prob = net.score(chunk(SMALL))
+        decay = 0.5e-4 * ((net.p["out"] ** 2).sum() + (net.p["mixer"] ** 2).sum())
+        return -np.mean(y * np.log(prob) + (1 - y) * np.log(1 - prob)) + decay
+
+    r = np.random.default_rng(1)
+    for name, array in net.p.items():
+        places = [tuple(r.integers(0, n) for n in array.shape) for _ in range(12)]
+        if name == "emb":
+            places = [(ord(c), k) for c in "xtsy" for k in range(3)]
+        want = numeric(loss, array, places)
+        assert np.allclose([grads[name][p] for p in places], want, atol=2e-4, rtol=0.03), name
+
+
+def test_language_gradients_are_those_of_the_loss():
+    from panweave.llm import _conv
+
+    net, texts = langid.Net(["a", "b", "c"]), [t for t in SMALL if t]
+    data, valid = np.zeros(len(texts) * langid.WINDOW + _conv.HALO, np.uint8), np.zeros(len(texts), np.int64)
+    for k, t in enumerate(texts):
+        part = t.encode()[: langid.WINDOW - _conv.HALO]
+        data[k * langid.WINDOW : k * langid.WINDOW + len(part)] = np.frombuffer(part, np.uint8)
+        valid[k] = len(part)
+    y = np.array([0, 1, 2, 0, 1])
+    grads = net._grads(data, valid, y)
+
+    def loss():
+        prob = net._soft(net._pool(data, valid, net._looked())[0])
+        return -np.mean(np.log(prob[np.arange(len(y)), y])) + 0.5e-4 * (net.p["out"] ** 2).sum()
+
+    r = np.random.default_rng(2)
+    for name, array in net.p.items():
+        places = [(ord(c), k) for c in "xtsy" for k in range(3)] if name == "emb" else [tuple(r.integers(0, n) for n in array.shape) for _ in range(12)]
+        assert np.allclose([grads[name][p] for p in places], numeric(loss, array, places), atol=5e-4, rtol=0.05), name
+
+
+def test_an_id_with_two_labels_or_texts_gives_each_pair(spark):
+    from panweave.llm import _conv
+
+    docs = spark.createDataFrame([(1, "one"), (1, "two"), (2, "three"), (3, "x" * 50), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, 1), (4, 1), (9, 1), (2, None)], "doc_id long, label int")
+    want = {(d, t, v) for d, t, v in [(1, "one", 0), (1, "one", 1), (1, "two", 0), (1, "two", 1), (2, "three", 1)] if not held(d)}
+    got = _conv.training_rows(docs, labels, 100, 20)
+    assert set(got) == want and len(got) == len(want)
+    assert len(_conv.training_rows(docs, labels, 1, 20)) <= 1
