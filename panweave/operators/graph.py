@@ -79,18 +79,59 @@ def markov_clusters(links: pd.DataFrame, inflation: float, rounds: int = 100) ->
     return pd.DataFrame({"node": nodes, "cluster": [first[v] for v in label]})
 
 
-def mcl(tables: Tables, links: DataFrame, inflation: float = 1.5) -> DataFrame:
-    """links(a, b, w) -> (node, cluster). Flow never leaves a component, so components are clustered apart, each in memory.
+#: Components of up to this many nodes are clustered as matrices in memory (8 bytes a cell: 32 MB a matrix).
+DENSE = 2000
 
-    A component of n nodes takes n * n doubles; similarity graphs split into small ones, which is what the method needs.
+
+def mcl(tables: Tables, links: DataFrame, inflation: float = 1.5, dense: int = DENSE, select: int = 64) -> DataFrame:
+    """links(a, b, w) -> (node, cluster). Flow never leaves a component, so components are clustered apart.
+
+    Those of up to `dense` nodes are matrices in memory, one a call; larger ones go through sparse_mcl() together.
     """
-    parts = components(tables, links)
-    placed = links.join(parts.withColumnRenamed("node", "a"), "a")
+    parts = tables.save(components(tables, links))
+    big = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("big", F.col("n") > dense).select("component", "big")
+    placed = tables.save(links.join(parts.withColumnRenamed("node", "a"), "a").join(big, "component").select("component", "big", "a", "b", "w"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return markov_clusters(part.sort_values(["a", "b"]), inflation)
 
-    return placed.select("component", "a", "b", "w").groupBy("component").applyInPandas(run, "node long, cluster long")
+    small = placed.filter("NOT big").groupBy("component").applyInPandas(run, "node long, cluster long")
+    large = placed.filter("big").select("a", "b", "w")
+    return small if large.isEmpty() else small.unionByName(sparse_mcl(tables, large, inflation, select))
+
+
+def sparse_mcl(tables: Tables, links: DataFrame, inflation: float = 1.5, select: int = 64, prune: float = 1e-4, rounds: int = 60, still: float = 1e-3) -> DataFrame:
+    """Markov clustering of graphs of any size as joins over cells (row, col, p): (node, cluster).
+
+    A round squares the matrix by an equi-join and an aggregate, inflates, and keeps the `select` largest cells of a
+    column from `prune` on, as sparse implementations do; so a column has at most `select` cells and a round at most
+    select ** 2 products a node. It ends when every column is all but one value repeated (largest cell against sum of
+    squares). Nodes drawn to one attractor are one cluster, named by its smallest node.
+    """
+    column = W.partitionBy("col")
+    both = links.select(F.col("a").alias("row"), F.col("b").alias("col"), F.col("w").alias("p")).unionByName(links.select(F.col("b").alias("row"), F.col("a").alias("col"), F.col("w").alias("p")))
+    both = both.groupBy("row", "col").agg(F.max("p").alias("p"))
+    loops = both.groupBy("col").agg(F.max("p").alias("p")).select(F.col("col").alias("row"), "col", "p")
+    cells = both.unionByName(loops).withColumn("p", F.col("p") / F.sum("p").over(column))
+
+    def kept(c: DataFrame) -> DataFrame:
+        ranked = c.withColumn("r", F.row_number().over(column.orderBy(F.desc("p"), "row"))).filter((F.col("r") <= select) & ((F.col("p") >= prune) | (F.col("r") == 1)))
+        return tables.save(ranked.select("row", "col", (F.col("p") / F.sum("p").over(column)).alias("p")))
+
+    m = kept(cells)
+    for _ in range(rounds):
+        left, right = m.select("row", F.col("col").alias("via"), F.col("p").alias("x")), m.select(F.col("row").alias("via"), "col", F.col("p").alias("y"))
+        squared = left.join(right, "via").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
+        powered = squared.withColumn("p", F.pow("p", F.lit(inflation)))
+        old, m = m, kept(powered.withColumn("p", F.col("p") / F.sum("p").over(column)))
+        tables.drop(old)
+        chaos = m.groupBy("col").agg((F.max("p") - F.sum(F.col("p") * F.col("p"))).alias("c")).agg(F.max("c")).first()[0]
+        if chaos is None or chaos < still:
+            break
+    pull = m.filter(F.col("p") > 1e-6).select(F.col("row").alias("a"), F.col("col").alias("b"))
+    joined = components(tables, pull)
+    nodes = m.select(F.col("col").alias("node")).distinct()
+    return nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
 
 
 def triangles(links: DataFrame) -> DataFrame:

@@ -10,6 +10,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from panweave.tables import Tables
+
+
+def positions(keys: DataFrame, key: str) -> DataFrame:
+    """(key, pos): the distinct keys numbered from 0 in their order, without one task that sees all of them.
+
+    Keys are dealt by range and sorted; written rows carry the number of their part and their place in it, and the parts'
+    sizes (one row a part) give the offsets.
+    """
+    tables = Tables(keys.sparkSession, "positions")
+    dealt = keys.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
+    rows = tables.save(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    begin = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_begin"))
+    return rows.withColumn("_part", part).join(begin, "_part").select(key, (F.col("_begin") + inside).alias("pos"))
+
+
+def row_texts(cells: DataFrame, row: str, col: str, text: Column, blank: str, sep: str, places: DataFrame) -> DataFrame:
+    """(row, text): the cells of a row in order of their columns, with `blank` for those that it lacks.
+
+    places: positions() of the columns. Only cells that exist are moved; the blanks between two of them come from the
+    distance of their places.
+    """
+    total = places.agg(F.count(F.lit(1)).alias("_total"))
+    held = cells.select(row, col, text.alias("_t")).join(places, col).groupBy(row).agg(F.sort_array(F.collect_list(F.struct("pos", "_t"))).alias("_v")).crossJoin(F.broadcast(total))
+    before = lambda i: F.coalesce(F.get("_v", i - 1)["pos"], F.lit(-1))
+    gap = lambda n: F.repeat(F.lit(blank + sep), n.cast("int"))
+    pieces = F.transform("_v", lambda x, i: F.concat(gap(x["pos"] - F.when(i == 0, F.lit(-1)).otherwise(before(i)) - 1), x["_t"]))
+    tail = F.repeat(F.lit(sep + blank), (F.col("_total") - 1 - F.element_at("_v", -1)["pos"]).cast("int"))
+    return held.select(row, F.concat(F.array_join(pieces, sep), tail).alias("text"))
+
 
 def occupancy(pan: DataFrame) -> DataFrame:
     return pan.filter("n > 0").groupBy("cluster").agg(F.count_distinct("taxon").alias("occ"))
@@ -174,9 +206,8 @@ def drop_redundant(cells: DataFrame, taxa: DataFrame, value: str, cutoff: float)
 
 def binary_strings(pan: DataFrame) -> DataFrame:
     """(taxon, bits): presence as 0/1 characters over all clusters in order of their names."""
-    every = pan.select("taxon").distinct().crossJoin(pan.select("cluster").distinct())
-    cells = every.join(pan.filter("n > 0").select("taxon", "cluster", F.lit("1").alias("c")).distinct(), ["taxon", "cluster"], "left")
-    return cells.groupBy("taxon").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cluster", F.coalesce("c", F.lit("0")).alias("c")))), lambda x: x["c"]), "").alias("bits"))
+    cells = pan.groupBy("taxon", "cluster").agg(F.max("n").alias("n"))
+    return row_texts(cells, "taxon", "cluster", F.when(F.col("n") > 0, "1").otherwise("0"), "0", "", positions(pan, "cluster")).withColumnRenamed("text", "bits")
 
 
 def distances(pan: DataFrame) -> DataFrame:

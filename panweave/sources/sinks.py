@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from panweave.operators.matrix import positions, row_texts
+
 
 def wide(pan: DataFrame, clusters: list[str]) -> DataFrame:
     """taxon x clusters with 0 for absent; the column list is given, so no extra job finds it."""
@@ -16,41 +18,42 @@ def _ordered(key: str, item: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), item.alias("v")))), lambda x: x["v"]), sep)
 
 
-def _grid(pan: DataFrame) -> DataFrame:
-    t, c = pan.select("taxon").distinct(), pan.select("cluster").distinct()
-    return t.crossJoin(c).join(pan.groupBy("taxon", "cluster").agg(F.sum("n").alias("n")), ["taxon", "cluster"], "left").na.fill(0, ["n"])
+def _heading(places: DataFrame, col: str, sep: str) -> Column:
+    return _ordered("pos", F.col(col).cast("string"), sep)
 
 
 def matrix_lines(pan: DataFrame, source: str, transposed: bool = False) -> DataFrame:
     """(ord, value): lines of the tab-separated matrix, the header first; built as text, so columns need no schema."""
     row, col = ("cluster", "taxon") if transposed else ("taxon", "cluster")
-    grid = _grid(pan)
-    head = grid.select(col).distinct().agg(F.concat(F.lit(f"source:{source}\t"), _ordered(col, F.col(col).cast("string"), "\t")).alias("value")).select(F.lit(0).alias("ord"), "value")
-    body = grid.groupBy(row).agg(_ordered(col, F.col("n").cast("string"), "\t").alias("v")).select((F.row_number().over(W.orderBy(row))).alias("ord"), F.concat_ws("\t", row, "v").alias("value"))
-    return head.unionByName(body)
+    cells, places = pan.groupBy("taxon", "cluster").agg(F.sum("n").alias("n")), positions(pan, col)
+    head = places.agg(F.concat(F.lit(f"source:{source}\t"), _heading(places, col, "\t")).alias("value")).select(F.lit(0).cast("long").alias("ord"), "value")
+    body = row_texts(cells, row, col, F.col("n").cast("string"), "0", "\t", places).join(positions(pan, row), row)
+    return head.unionByName(body.select((F.col("pos") + 1).alias("ord"), F.concat_ws("\t", row, "text").alias("value")))
 
 
 def gene_lines(genes: DataFrame, source: str) -> DataFrame:
     """genes(taxon, cluster, gene): cells `a,b,` or `-`."""
     cells = genes.groupBy("taxon", "cluster").agg(F.concat(F.array_join(F.sort_array(F.collect_list("gene")), ","), F.lit(",")).alias("cell"))
-    t, c = cells.select("taxon").distinct(), cells.select("cluster").distinct()
-    grid = t.crossJoin(c).join(cells, ["taxon", "cluster"], "left").na.fill("-", ["cell"])
-    head = c.agg(F.concat(F.lit(f"source:{source}\t"), _ordered("cluster", F.col("cluster"), "\t")).alias("value")).select(F.lit(0).alias("ord"), "value")
-    body = grid.groupBy("taxon").agg(_ordered("cluster", F.col("cell"), "\t").alias("v")).select(F.row_number().over(W.orderBy("taxon")).alias("ord"), F.concat_ws("\t", "taxon", "v").alias("value"))
-    return head.unionByName(body)
+    places = positions(genes, "cluster")
+    head = places.agg(F.concat(F.lit(f"source:{source}\t"), _heading(places, "cluster", "\t")).alias("value")).select(F.lit(0).cast("long").alias("ord"), "value")
+    body = row_texts(cells, "taxon", "cluster", F.col("cell"), "-", "\t", places).join(positions(genes, "taxon"), "taxon")
+    return head.unionByName(body.select((F.col("pos") + 1).alias("ord"), F.concat_ws("\t", "taxon", "text").alias("value")))
+
+
+def _bits(pan: DataFrame, row: str = "taxon", col: str = "cluster", sep: str = "") -> DataFrame:
+    """(row, pos, text): presence as 0/1 and the row's place."""
+    cells = pan.groupBy("taxon", "cluster").agg(F.sum("n").alias("n"))
+    return row_texts(cells, row, col, F.when(F.col("n") > 0, "1").otherwise("0"), "0", sep, positions(pan, col)).join(positions(pan, row), row)
 
 
 def phylip_lines(pan: DataFrame) -> DataFrame:
     """Discrete PHYLIP: counts in fixed width, then ten-digit numbers for names and 0/1 characters."""
-    grid = _grid(pan)
-    size = grid.agg(F.count_distinct("taxon").alias("t"), F.count_distinct("cluster").alias("c")).select(F.lit(0).alias("ord"), F.format_string("%10d %6d", "t", "c").alias("value"))
-    rows = grid.groupBy("taxon").agg(_ordered("cluster", F.when(F.col("n") > 0, "1").otherwise("0"), "").alias("bits")).withColumn("ord", F.row_number().over(W.orderBy("taxon")))
-    return size.unionByName(rows.select("ord", F.concat(F.format_string("%010d", F.col("ord") - 1), F.lit("    "), "bits").alias("value")))
+    size = pan.agg(F.count_distinct("taxon").alias("t"), F.count_distinct("cluster").alias("c")).select(F.lit(0).cast("long").alias("ord"), F.format_string("%10d %6d", "t", "c").alias("value"))
+    return size.unionByName(_bits(pan).select((F.col("pos") + 1).alias("ord"), F.concat(F.format_string("%010d", "pos"), F.lit("    "), "text").alias("value")))
 
 
 def binary_fasta(pan: DataFrame) -> DataFrame:
-    rows = _grid(pan).groupBy("taxon").agg(_ordered("cluster", F.when(F.col("n") > 0, "1").otherwise("0"), "").alias("bits"))
-    return rows.select(F.row_number().over(W.orderBy("taxon")).alias("ord"), F.concat(F.lit(">"), F.col("taxon").cast("string"), F.lit("\n"), "bits").alias("value"))
+    return _bits(pan).select((F.col("pos") + 1).alias("ord"), F.concat(F.lit(">"), F.col("taxon").cast("string"), F.lit("\n"), "text").alias("value"))
 
 
 # The leading columns of the gene-presence table.
@@ -59,11 +62,13 @@ PRESENCE_COLUMNS = ("Gene", "Non-unique Gene name", "Annotation", "No. isolates"
 
 def presence_csv(pan: DataFrame) -> DataFrame:
     """Fourteen fixed columns, then 0/1 for every taxon, as CSV lines."""
-    grid = _grid(pan)
-    head = grid.select("taxon").distinct().agg(_ordered("taxon", F.col("taxon").cast("string"), ",").alias("t")).select(F.lit(0).alias("ord"), F.concat(F.lit(",".join(PRESENCE_COLUMNS) + ","), "t").alias("value"))
-    body = grid.groupBy("cluster").agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("iso"), F.sum("n").alias("seqs"), _ordered("taxon", F.when(F.col("n") > 0, "1").otherwise("0"), ",").alias("bits"))
-    line = F.concat_ws(",", F.col("cluster").cast("string"), F.lit(""), F.lit(""), "iso", "seqs", F.format_string("%.2f", F.bround(F.col("seqs") / F.col("iso"), 2)), F.lit(",,,,,,,"), "bits")
-    return head.unionByName(body.select(F.row_number().over(W.orderBy("cluster")).alias("ord"), line.alias("value")))
+    places = positions(pan, "taxon")
+    head = places.agg(_heading(places, "taxon", ",").alias("t")).select(F.lit(0).cast("long").alias("ord"), F.concat(F.lit(",".join(PRESENCE_COLUMNS) + ","), "t").alias("value"))
+    counts = pan.groupBy("cluster").agg(F.count_distinct(F.when(F.col("n") > 0, F.col("taxon"))).alias("iso"), F.sum("n").alias("seqs"))
+    mean = F.format_string("%.2f", F.bround(F.col("seqs") / F.col("iso"), 2))
+    line = F.concat_ws(",", F.col("cluster").cast("string"), F.lit(""), F.lit(""), "iso", "seqs", mean, F.lit(",,,,,,,"), "text")
+    body = _bits(pan, "cluster", "taxon", ",").join(counts, "cluster")
+    return head.unionByName(body.select((F.col("pos") + 1).alias("ord"), line.alias("value")))
 
 
 def cluster_list_lines(clusters: DataFrame) -> DataFrame:

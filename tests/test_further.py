@@ -159,3 +159,26 @@ def test_pairs_of_a_gene_with_itself(spark):
 def test_a_cluster_has_nucleotides_only_if_all_members_have(spark):
     m = spark.createDataFrame([("x", 1, "h1", "MK", "ACGT"), ("x", 2, "h2", "MK", None), ("y", 3, "h3", "MK", "AC")], "name string, seq_id long, header string, protein string, dna string")
     assert values(sinks.cluster_files(m)) == [("x.faa", 1, ">h1\nMK"), ("x.faa", 2, ">h2\nMK"), ("y.faa", 3, ">h3\nMK"), ("y.fna", 3, ">h3\nAC")]
+
+
+def test_sparse_markov_clusters(spark):
+    """Dense blobs with weak bridges: matrices in memory and joins over cells give the same clusters."""
+    rng = random.Random(9)
+    links = []
+    for blob in range(6):
+        own = range(100 * blob, 100 * blob + 12)
+        links += [(a, b, 5.0 + rng.random()) for a, b in itertools.combinations(own, 2) if rng.random() < 0.8]
+        links.append((100 * blob, 100 * ((blob + 1) % 6) + 5, 0.5))
+    df = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in links] + [(9000, 9001, 1.0)], "a long, b long, w double")
+    dense = values(graph.mcl(Tables(spark, "m"), df, dense=1000))
+    assert len({c for _, c in dense}) == 7 and values(graph.mcl(Tables(spark, "m"), df, dense=10)) == dense
+
+
+def test_row_texts_fill_the_gaps(spark):
+    rows = [("a", "c2", 3), ("a", "c5", 1), ("b", "c1", 2), ("c", "c3", 4), ("c", "c1", 0)]
+    pan = spark.createDataFrame(rows, "taxon string, cluster string, n long")
+    assert values(matrix.positions(pan, "cluster")) == [("c1", 0), ("c2", 1), ("c3", 2), ("c5", 3)]
+    assert values(matrix.binary_strings(pan)) == [("a", "0101"), ("b", "1000"), ("c", "0010")]
+    assert [r["value"] for r in sinks.matrix_lines(pan, "x").orderBy("ord").collect()] == ["source:x\tc1\tc2\tc3\tc5", "a\t0\t3\t0\t1", "b\t2\t0\t0\t0", "c\t0\t0\t4\t0"]
+    many = spark.range(5000, numPartitions=7).selectExpr("lpad(id * 7919 % 5000, 5, '0') AS k")
+    assert [r["pos"] for r in matrix.positions(many, "k").orderBy("k").collect()] == list(range(5000))
