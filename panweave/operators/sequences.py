@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panweave.functions import sequences as S
+from panweave.tables import Tables
 
 
 def number(records: DataFrame, order: list[str]) -> DataFrame:
@@ -37,44 +38,72 @@ def dedup_identical(seqs: DataFrame) -> DataFrame:
     return seqs.select("seq_id", h.alias("h")).join(first, "h").select("seq_id", "rep_id", "copies")
 
 
-def contained(seqs: DataFrame, gram: int = 12, window: int = 12) -> DataFrame:
-    """(seq_id, container): sequences that are a proper substring of another, with the smallest id of those that contain them.
+#: (gram, window, shortest, longest text in bytes): which minimisers find the containers of texts of which length.
+SCHEMES = ((12, 12, 23, 255), (24, 232, 255, 1 << 62))
 
-    Of every `window` successive grams the one with the smallest hash is kept (its minimiser). A text shares the minimisers
-    of its own windows with every text that contains it, so one of them finds all containers by an equi-join, and only
-    about 2 in window + 1 positions of the longer texts are shuffled. Hits are confirmed on the texts. Texts of less than
-    gram + window - 1 bytes have no whole window: the distinct ones are few and are tried against all texts.
-    """
-    least = gram + window - 1
 
+def _minimisers(gram: int, window: int):
+    """Rows (node, seq) -> (node, mark): the distinct minimisers of all windows of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(gram)], np.uint64)
         for batch in batches:
-            owner, marks, firsts = [], [], []
+            owner, marks = [], []
             for i, text in enumerate(batch.column(1)):
                 data = np.frombuffer(text.as_py().encode(), np.uint8).astype(np.uint64)
-                if len(data) < least:
+                if len(data) < gram + window - 1:
                     continue
                 h = sum((data[k : len(data) - gram + 1 + k] * power[k] for k in range(gram)), np.zeros(len(data) - gram + 1, np.uint64))
                 h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                low = np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1)
+                low, reach = h, 1
+                while reach < window:  # the least of 1, 2, 4, ... successive grams, then of exactly `window`
+                    step = min(reach, window - reach)
+                    low = np.minimum(low[:-step], low[step:])
+                    reach += step
                 kept = np.unique(low)
                 owner.append(np.full(len(kept), i))
                 marks.append(kept)
-                firsts.append(kept == low[0])
             if owner:
-                at = np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(firsts))], names=["seq_id", "mark", "first"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(marks).view(np.int64))], names=["node", "mark"])
+    return run
+
 
-    marks = seqs.select(F.col("seq_id").cast("long").alias("seq_id"), "seq").filter("seq IS NOT NULL").mapInArrow(run, "seq_id long, mark long, first boolean")
-    pairs = marks.filter("first").select("seq_id", "mark").join(marks.select(F.col("seq_id").alias("container"), "mark"), "mark").filter("seq_id <> container").select("seq_id", "container").distinct()
-    text = seqs.select("seq_id", "seq")
-    both = pairs.join(text.select("seq_id", F.col("seq").alias("s")), "seq_id").join(text.select(F.col("seq_id").alias("container"), F.col("seq").alias("t")), "container")
+def contained(seqs: DataFrame, schemes: tuple[tuple[int, int, int, int], ...] = SCHEMES) -> DataFrame:
+    """(seq_id, container): sequences that are a proper substring of another, with the smallest id of those that contain them.
+
+    Copies are one class with its smallest id. Of every `window` successive grams the one with the smallest hash is kept
+    (its minimiser). A text shares all minimisers of its windows with every text that contains it, so the rarest of them
+    alone finds all containers by an equi-join, however common the others are; hits are confirmed on the texts. Long
+    texts are found by minimisers of wide windows, of which there are few; short ones by those of narrow windows, of
+    which only the short texts' own are moved. Texts too short for a window are tried against all others: the distinct
+    ones are few. Null texts are in nothing and contain nothing; an empty one is in every other.
+    """
+    tables = Tables(seqs.sparkSession, "contained")
+    own = seqs.filter("seq IS NOT NULL").select(F.col("seq_id").cast("long").alias("seq_id"), "seq", F.xxhash64("seq").alias("h1"), F.xxhash64(F.lit(7), "seq").alias("h2"))
+    classes = tables.save(own.groupBy("h1", "h2").agg(F.min("seq_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    heads = own.join(classes.select("h1", "h2", F.col("rep").alias("seq_id"), "node"), ["h1", "h2", "seq_id"]).dropDuplicates(["node"])
+    texts = tables.save(heads.select("node", F.col("seq_id").alias("rep"), "seq"))
+    size = F.octet_length("seq")
+    pairs = []
+    for gram, window, least, most in schemes:
+        wanted = texts.filter(size.between(least, most)).select("node", "seq")
+        asks = tables.save(wanted.mapInArrow(_minimisers(gram, window), "node long, mark long"))
+        known = tables.save(asks.select("mark").distinct())
+        answers = texts.filter(size > least).select("node", "seq").mapInArrow(_minimisers(gram, window), "node long, mark long").join(known, "mark", "left_semi")
+        answers = tables.save(answers.select("node", "mark"))
+        often = answers.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+        rarest = asks.join(often, "mark").groupBy("node").agg(F.min(F.struct("n", "mark")).alias("m")).select("node", F.col("m.mark").alias("mark"))
+        pairs.append(rarest.join(answers.withColumnRenamed("node", "other"), "mark").filter("node <> other").select("node", "other"))
+    found = pairs[0]
+    for more in pairs[1:]:
+        found = found.unionByName(more)
+    found = tables.save(found)
     inside = (F.length("t") > F.length("s")) & F.contains(F.col("t"), F.col("s"))
-    found = both.filter(inside).groupBy("seq_id").agg(F.min("container").alias("container"))
-    short = text.filter(F.octet_length("seq") < least)
-    holds = text.select(F.col("seq_id").alias("container"), F.col("seq").alias("t")).join(short.select(F.col("seq").alias("s")).distinct(), inside)
-    return found.unionByName(short.join(holds.groupBy(F.col("s").alias("seq")).agg(F.min("container").alias("container")), "seq").select("seq_id", "container"))
+    both = found.join(texts.select("node", F.col("seq").alias("s")), "node").join(texts.select(F.col("node").alias("other"), F.col("rep").alias("container"), F.col("seq").alias("t")), "other")
+    held = both.filter(inside).select("node", "container")
+    short = texts.filter(size < min(x[2] for x in schemes)).select("node", F.col("seq").alias("s"))
+    tried = texts.select(F.col("rep").alias("container"), F.col("seq").alias("t")).join(short, inside).select("node", "container")
+    first = tables.save(held.unionByName(tried).groupBy("node").agg(F.min("container").alias("container")))
+    return own.join(classes.join(first, "node").select("h1", "h2", "container"), ["h1", "h2"]).select("seq_id", "container")
 
 
 def longest_per_group(rows: DataFrame, group: str, used: str | None = None) -> DataFrame:
