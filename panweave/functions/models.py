@@ -199,3 +199,65 @@ def silhouette(distance: np.ndarray, label: np.ndarray) -> float:
         b = min((distance[i, label == k].mean() for k in set(label) - {label[i]}), default=0.0)
         out.append((b - a) / max(a, b, 1e-300))
     return float(np.mean(out))
+
+
+def bionj(names: list[str], distance: np.ndarray) -> str:
+    """Neighbour joining with variance weights, an unrooted tree as Newick; negative branches are kept as they come.
+
+    The pair with the least corrected distance joins; distances to the new node weigh its two sides so that their
+    variance (taken as proportional to the distance itself) is least.
+    """
+    d = np.array(distance, float)
+    v, node = d.copy(), list(names)
+    while len(node) > 3:
+        m = len(node)
+        total = d.sum(axis=1)
+        score = (m - 2) * d - total[:, None] - total[None]
+        np.fill_diagonal(score, np.inf)
+        i, j = sorted(map(int, np.unravel_index(np.argmin(score), score.shape)))
+        left = d[i, j] / 2 + (total[i] - total[j]) / (2 * (m - 2))
+        right = d[i, j] - left
+        rest = [k for k in range(m) if k not in (i, j)]
+        share = 0.5 if v[i, j] == 0 else float(np.clip(0.5 + (v[j, rest] - v[i, rest]).sum() / (2 * (m - 2) * v[i, j]), 0, 1))
+        new_d = share * (d[i, rest] - left) + (1 - share) * (d[j, rest] - right)
+        new_v = share * v[i, rest] + (1 - share) * v[j, rest] - share * (1 - share) * v[i, j]
+        joined = f"({node[i]}:{left:.6g},{node[j]}:{right:.6g})"
+        d, v = (np.vstack((np.column_stack((a[np.ix_(rest, rest)], b)), np.append(b, 0.0))) for a, b in ((d, new_d), (v, new_v)))
+        node = [node[k] for k in rest] + [joined]
+    if len(node) < 3:
+        return f"({','.join(f'{n}:{d[0, -1] / 2:.6g}' for n in node)});"
+    ends = [(d[0, 1] + d[0, 2] - d[1, 2]) / 2, (d[0, 1] + d[1, 2] - d[0, 2]) / 2, (d[0, 2] + d[1, 2] - d[0, 1]) / 2]
+    return "(" + ",".join(f"{n}:{x:.6g}" for n, x in zip(node, ends, strict=True)) + ");"
+
+
+def gap_statistic(points: np.ndarray, most: int = 8, references: int = 50, seed: int = 0, method: str = "average") -> list[tuple[int, float, float]]:
+    """(k, gap, standard error) for k = 1..most clusters of the rows of `points`, cut from their hierarchical tree.
+
+    The gap is how much lower the log of the pooled within-cluster spread is than that of points drawn evenly from the
+    box that the points fill. points holds a row a taxon, so the caller brings it to a handful of columns first.
+    """
+    rng, points = np.random.default_rng(seed), np.asarray(points, float)
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        distance = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        out = []
+        for k in range(1, most + 1):
+            label = cut_tree(distance, k, method)
+            out.append(sum((distance[np.ix_(label == c, label == c)] ** 2).sum() / (2 * (label == c).sum()) for c in np.unique(label)))
+        return np.log(np.maximum(out, 1e-300))
+
+    low, high, own = points.min(axis=0), points.max(axis=0), spread(points)
+    drawn = np.array([spread(rng.uniform(low, high, points.shape)) for _ in range(references)])
+    error = drawn.std(axis=0) * math.sqrt(1 + 1 / references)
+    return [(k + 1, float(drawn[:, k].mean() - own[k]), float(error[k])) for k in range(most)]
+
+
+def cut_tree(distance: np.ndarray, k: int, method: str = "average") -> np.ndarray:
+    """Labels of k clusters by agglomeration: average, complete or single linkage."""
+    label = np.arange(len(distance))
+    pick = {"average": np.mean, "complete": np.max, "single": np.min}[method]
+    while len(np.unique(label)) > k:
+        kinds = np.unique(label)
+        _, a, b = min((pick(distance[np.ix_(label == a, label == b)]), a, b) for i, a in enumerate(kinds) for b in kinds[i + 1 :])
+        label[label == b] = a
+    return label

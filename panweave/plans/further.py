@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -337,3 +338,38 @@ def collapsed_fragments(spark, d):
     half = lambda a, b: F.concat(F.repeat(F.lit("-"), F.lit(a)), F.substring("seq", a + 1, b - a), F.repeat(F.lit("-"), F.length("seq") - b))
     parts = m.select("aln", F.col("name").alias("taxon"), F.explode(F.array(F.struct(F.lit("1").alias("name"), half(0, 54).alias("seq")), F.struct(F.lit("2").alias("name"), half(10, 64).alias("seq")))).alias("x")).select("aln", "taxon", "x.name", "x.seq")
     return A.collapse_fragments(parts)
+
+
+# --- trees ------------------------------------------------------------------------------------------------------------
+
+def _taxa_matrix(spark, d):
+    """Names and Manhattan distances of the taxa: taxa squared numbers, whatever the pangenome's size."""
+    cells = M.distances(V.pangenome(spark, d)).select("t1", "t2", "manhattan").collect()
+    names = sorted({r["t1"] for r in cells} | {r["t2"] for r in cells})
+    out = np.zeros((len(names), len(names)))
+    for r in cells:
+        i, j = names.index(r["t1"]), names.index(r["t2"])
+        out[i, j] = out[j, i] = r["manhattan"]
+    return names, out
+
+
+@query()
+def taxon_trees(spark, d):
+    """Newick trees of the taxa by their distances: linkage trees and neighbour joining, and the silhouette's best cut."""
+    names, distance = _taxa_matrix(spark, d)
+    label = [str(n) for n in names]
+    rows = [(m, models.linkage(label, distance, m)) for m in ("average", "complete", "single", "ward")] + [("bionj", models.bionj(label, distance))]
+    width = {k: models.silhouette(distance, models.cut_tree(distance, k)) for k in range(2, len(names))}
+    rows.append(("silhouette", ",".join(map(str, models.cut_tree(distance, max(width, key=width.get))))))
+    return spark.createDataFrame(rows, "method string, value string")
+
+
+@query()
+def gap_statistic(spark, d):
+    """Gap statistic of the taxa, as points in the plane of their first principal coordinates."""
+    _, distance = _taxa_matrix(spark, d)
+    n = len(distance)
+    centre = np.eye(n) - 1 / n
+    value, vector = np.linalg.eigh(-centre @ distance**2 @ centre / 2)
+    points = vector[:, -2:] * np.sqrt(np.maximum(value[-2:], 0))
+    return spark.createDataFrame(models.gap_statistic(points, min(8, n - 1)), "k int, gap double, error double")
