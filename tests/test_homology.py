@@ -74,9 +74,11 @@ def test_graphs(spark):
     e = spark.createDataFrame([(1, 2, "A", "B"), (2, 3, "B", "C"), (1, 3, "A", "C"), (2, 4, "B", "D"), (3, 4, "C", "D"), (4, 5, "D", "A")], "a long, b long, ta string, tb string")
     assert values(graph.triangles(e)) == [(1, 2, 3), (2, 3, 4)]
     got = graph.triangle_clusters(t, e)
-    assert values(got) == [(1, 1), (1, 2), (1, 3), (1, 4)] and values(graph.allot(got)) == values(got)
+    taxa = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (4, "D"), (5, "A")], "seq_id long, taxon string")
+    assert got.select("cluster_id").distinct().count() == 1 and values(got.select("seq_id")) == [(1,), (2,), (3,), (4,)]
+    assert values(graph.allot(got, taxa)) == [(1, 1), (1, 2), (1, 3), (1, 4)]
     two = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3)], "cluster_id long, seq_id long")
-    assert values(graph.allot(two)) == [(1, 1), (2, 3)]
+    assert values(graph.allot(two, taxa)) == [(1, 1), (3, 3)]
 
 
 def test_absorption(spark):
