@@ -113,16 +113,13 @@ def _sign(bands: int, rows: int, width: int):
 
 
 def _sets(width: int):
-    """Rows (node, text, k1, k2) -> the full sets of those texts that are of the node's class."""
+    """Rows (doc_id, text) -> the id, the two sums of the text's set, and the full set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, want1, want2 = (batch.column(i).to_numpy() for i in (0, 2, 3))
             for chunk in _text.chunks(batch.column(1)):
                 sets, _ = _text.shingle_sets(chunk, width)
-                own = slice(chunk.rows.start, chunk.rows.start + len(chunk))
                 k1, k2 = _sums(sets)
-                some = np.flatnonzero((k1 == want1[own]) & (k2 == want2[own]))
-                yield pa.RecordBatch.from_arrays([pa.array(node[own][some]), pa.array([sets[i].tobytes() for i in some], pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.rows.start, len(chunk)), pa.array(k1), pa.array(k2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "k1", "k2", "shingles"])
     return run
 
 
@@ -227,10 +224,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = tables.save(spots.join(centres, "bucket").filter("member <> centre").select("centre", "member").distinct())
 
     # Full sets of the documents in a star; confirmation of every centre-member pair.
+    # The join with the texts takes the ids alone, the narrowest table there is, written so that its size is known. Which
+    # of an id's texts is a class's own is settled on the sets' sums.
     wanted = stars.select(F.explode(F.array("centre", "member")).alias("node")).distinct()
-    wanted = classes.join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node", "k1", "k2")
-    held = texts.join(wanted, "doc_id").select("node", "text", "k1", "k2")
-    sets = tables.save(held.mapInArrow(tidy(_sets(width)), "node long, shingles binary").dropDuplicates(["node"]))
+    wanted = tables.save(classes.join(wanted, "node", "left_semi").select("rep", "node", "k1", "k2"))
+    ids = tables.save(wanted.select(F.col("rep").alias("doc_id")).distinct())
+    held = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(_sets(width)), "rep long, k1 long, k2 long, shingles binary")
+    sets = tables.save(held.dropDuplicates(["rep", "k1", "k2"]).join(wanted, ["rep", "k1", "k2"]).select("node", "shingles"))
     member_sets = sets.select(F.col("node").alias("member"), "shingles")
     centre_sets = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("centre_shingles"))
     pairs = stars.join(member_sets, "member").join(centre_sets, "centre").select("centre", "member", "shingles", "centre_shingles")
