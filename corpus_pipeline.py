@@ -39,17 +39,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     tables = Tables(spark, "dedup")
     found = minhash.near_duplicates(docs, **NEAR).filter("doc_id IS NOT NULL")
-    texts = tables.save(found.groupBy("doc_id", "text_hash").agg(F.min("group_id").alias("group_id"), F.count(F.lit(1)).alias("n")))
-    first = texts.filter("group_id IS NOT NULL").groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    stays = F.coalesce(F.struct("doc_id", "text_hash") == F.col("first"), F.lit(True))
-    marked = tables.save(texts.join(first, "group_id", "left").select("doc_id", "text_hash", stays.alias("stays"), "n").filter("NOT stays OR n > 1"))
-    # docs has the caller's column names, so the two keys get names of their own
+    texts = tables.save(found.groupBy("doc_id", "text_hash").agg(F.min("group_id").alias("group_id"), F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    # only texts of a group's smallest id are joined by group, so a group of very many copies is no single task's work
+    kept = texts.filter("kept")
+    first = kept.filter("group_id IS NOT NULL").groupBy("group_id").agg(F.min("text_hash").alias("first"))
+    heads = kept.join(first, "group_id", "left").withColumn("stays", F.coalesce(F.col("text_hash") == F.col("first"), F.lit(True)))
+    marked = texts.filter("NOT kept").withColumn("stays", F.lit(False)).select("doc_id", "text_hash", "stays", "n").unionByName(heads.select("doc_id", "text_hash", "stays", "n"))
+    per_id = marked.groupBy("doc_id").agg(F.max("stays").alias("some"), F.min("stays").alias("all"), F.max("n").alias("n"))
+    per_id = tables.save(per_id.filter("NOT some OR NOT all OR n > 1"))
+    gone = tables.save(per_id.filter("NOT some").select(F.col("doc_id").alias("near_id")))
+    split = per_id.filter("some").select("doc_id")
+    # docs has the caller's column names, so the keys get names of their own
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("near_id"), F.xxhash64(F.col("text").cast("string")).alias("near_hash"))
+    rows = rows.join(gone, "near_id", "left_anti")
+    if split.isEmpty():
+        return rows.select("row.*")
+    # ids of which some rows stay, or one of repeated rows
+    parts = tables.save(marked.join(split, "doc_id", "left_semi").filter("NOT stays OR n > 1"))
     key = (F.col("near_id") == F.col("doc_id")) & (F.col("near_hash") == F.col("text_hash"))
-    once, repeated = rows.join(marked, key, "left_anti").select("row"), marked.filter("stays")
-    if repeated.isEmpty():
-        return once.select("row.*")
-    again = rows.join(repeated, key, "left_semi").groupBy("near_id", "near_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    once = rows.join(parts, key, "left_anti").select("row")
+    again = rows.join(parts.filter("stays"), key, "left_semi").groupBy("near_id", "near_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return once.unionByName(again.select("row")).select("row.*")
 
 
