@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panweave.llm import chat, embed, langid, minhash, mixing, packing, quality, rules, secrets, sharding
+from panweave.llm import chat, embed, langid, minhash, mixing, negatives, packing, quality, rules, secrets, sharding, topk
 
 QUERIES = {
     "op1_embedding_neardup": embed.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_secret_scans": secrets.query,
     "op9_quality_rules": rules.query,
     "op10_chat_formatting": chat.query,
+    "op11_hard_negatives": negatives.query,
+    "op13_exact_topk": topk.query,
 }
 ORACLES = {
     "op1_embedding_neardup": embed.ORACLE_SQL,
@@ -23,4 +25,6 @@ ORACLES = {
     "op8_secret_scans": secrets.ORACLE_SQL,
     "op9_quality_rules": rules.ORACLE_SQL,
     "op10_chat_formatting": chat.ORACLE_SQL,
+    "op11_hard_negatives": negatives.ORACLE_SQL,
+    "op13_exact_topk": topk.ORACLE_SQL,
 }
