@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panweave.llm import chat, embed, langid, minhash, mixing, negatives, packing, quality, rules, secrets, sharding, topk
+from panweave.llm import chat, embed, langid, minhash, mixing, negatives, packing, periodic, quality, rules, secrets, sharding, topk
 
 QUERIES = {
     "op1_embedding_neardup": embed.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": rules.query,
     "op10_chat_formatting": chat.query,
     "op11_hard_negatives": negatives.query,
+    "op12_periodic_runs": periodic.query,
     "op13_exact_topk": topk.query,
 }
 ORACLES = {
@@ -26,5 +27,6 @@ ORACLES = {
     "op9_quality_rules": rules.ORACLE_SQL,
     "op10_chat_formatting": chat.ORACLE_SQL,
     "op11_hard_negatives": negatives.ORACLE_SQL,
+    "op12_periodic_runs": periodic.ORACLE_SQL,
     "op13_exact_topk": topk.ORACLE_SQL,
 }
