@@ -2,50 +2,63 @@
 
 A chunk is a run of whole documents laid end to end in one byte array. Words are maximal runs of bytes other than
 0x20 and 0x09-0x0D inside one document, which is the same as runs of code points, since UTF-8 uses none of these bytes
-within a longer character. Every word and line gets a 64-bit hash from one prefix sum over the bytes, so no Python
-object is made per word.
+within a longer character. Every word and line gets a hash from prefix sums over the bytes, so no Python object is
+made per word. A very long document is a chunk of its own, in which words are found and hashed piece by piece.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_SEED = 20_240_131
+#: Spans are hashed as polynomials over the field of this prime at a fixed base drawn at random: two unlike spans of at
+#: most n bytes have one hash for at most n of the 2**61 bases, however regular they are.
+_PRIME = (1 << 61) - 1
+_BASE = 1_318_271_440_092_874_693
+#: Bytes hashed at a time; tables of powers have this length.
+_PIECE = 1 << 18
 
-#: One random value a byte, so that sums over powers of an odd base do not collide on regular texts.
-_BYTE_VALUE = np.random.default_rng(_SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[65:91] += 32
 
-_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+_P, _30, _31, _61 = np.uint64(_PRIME), np.uint64(30), np.uint64(31), np.uint64(61)
+_LOW30, _LOW31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least; kept for the life of the worker up to 2M entries."""
-    if len(_POWERS[0]) >= n:
-        return _POWERS[0], _POWERS[1]
-    size = max(1 << 20, 1 << (n - 1).bit_length())
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _shift31(x: np.ndarray) -> np.ndarray:
+    """x * 2**31 of any 64-bit x, below 2**62 and equal to it modulo the prime."""
+    return ((x & _LOW30) << _31) + (x >> _30)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it: products of halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    return _reduce(a1 * b1 * np.uint64(2) + _shift31(a1 * b0 + a0 * b1) + a0 * b0)
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base**i for i < _PIECE, as halves of 31 and 30 bits, and base**-i; kept for the life of the worker."""
     out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.empty(size, np.uint64)
-        p[0] = 1
+    for base in (_BASE, pow(_BASE, -1, _PRIME)):
+        p = np.ones(_PIECE, np.uint64)
         done = 1
-        while done < size:
-            step = min(done, size - done)
-            p[done : done + step] = p[:step] * np.uint64(pow(base, done, 1 << 64))
-            done += step
+        while done < _PIECE:
+            p[done : 2 * done] = _times(p[:done], np.uint64(pow(base, done, _PRIME)))
+            done *= 2
         out.append(p)
-    if size <= 1 << 21:
-        _POWERS[:] = out
-    return out[0], out[1]
+    return out[0] & _LOW31, out[0] >> _31, out[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -115,19 +128,80 @@ def words(data: np.ndarray, bounds: np.ndarray) -> Words:
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand in the chunk."""
-    power, inverse = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_VALUE[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start])
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand in the chunk; starts and ends rise.
+
+    Prefix sums are taken over pieces of bounded size; only spans over a border between pieces need the sums before it.
+    """
+    low, high, inverse = _powers()
+    size, n = np.uint64(_PIECE), -(-len(data) // _PIECE)
+    at_start, at_end = np.zeros(len(start), np.uint64), np.zeros(len(end), np.uint64)
+    before = [0]  # the sum of all earlier pieces
+    for k in range(n):
+        a, b = k * _PIECE, min(len(data), (k + 1) * _PIECE)
+        value = data[a:b].astype(np.uint64) + np.uint64(1)
+        sums = []
+        for half in (low, high):  # at most 2**8 * 2**31 * 2**18
+            s = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(value * half[: b - a], out=s[1:])
+            sums.append(s)
+        starts, ends = slice(*np.searchsorted(start, (a, b))), slice(*np.searchsorted(end, (a, b), side="right"))
+        for out, places, some in ((at_start, start, starts), (at_end, end, ends)):
+            here = places[some] - a
+            out[some] = _reduce(_shift31(sums[1][here]) + sums[0][here])
+        whole = int(sums[0][-1]) + (int(sums[1][-1]) << 31)
+        before.append((before[-1] + whole * pow(_BASE, a, _PRIME)) % _PRIME)
+    first, last = start.astype(np.uint64) // size, np.maximum(end - 1, 0).astype(np.uint64) // size
+    over = np.flatnonzero(first != last)
+    out = _times(_reduce(at_end + _P - at_start), inverse[start % _PIECE]) if len(start) else at_start
+    if len(over):
+        base = np.array([pow(_BASE, k * _PIECE, _PRIME) for k in range(n)], np.uint64)
+        back = np.array([pow(_BASE, -k * _PIECE, _PRIME) for k in range(n)], np.uint64)
+        sums = np.array(before, np.uint64)
+        i, j = first[over], last[over]
+        far = _reduce(_times(at_end[over], base[j]) + sums[j] + (_P - _times(at_start[over], base[i])) + (_P - sums[i]))
+        out[over] = _times(_times(far, back[i]), inverse[start[over] % _PIECE])
+    return mix(out)
 
 
 _SHINGLE = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(64)]
 
 
+def pieces(data: np.ndarray, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of about `limit` bytes that end behind a separator, so that no word comes apart."""
+    a = 0
+    while a < len(data):
+        b = a + limit
+        while b < len(data):  # on to the next separator
+            gap = np.flatnonzero(_IS_SPACE[data[b : b + 4096]])
+            if len(gap):
+                b += int(gap[0]) + 1
+                break
+            b += 4096
+        b = min(b, len(data))
+        yield a, b
+        a = b
+
+
+def word_hashes(chunk: Chunk, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word, and the word offsets of the documents."""
+    if len(chunk) > 1:
+        data = LOWER_ASCII[chunk.data] if lower else chunk.data
+        w = words(data, chunk.bounds)
+        return span_hash(data, w.start, w.end), w.bounds
+    out = [np.zeros(0, np.uint64)]
+    for a, b in pieces(chunk.data):
+        data = LOWER_ASCII[chunk.data[a:b]] if lower else chunk.data[a:b]
+        w = words(data, np.array([0, b - a]))
+        out.append(span_hash(data, w.start, w.end))
+    hashed = np.concatenate(out)
+    return hashed, np.array([0, len(hashed)])
+
+
 def window_hash(word: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of `width` words in a chunk; callers keep those inside one document."""
+    """Hashes of all runs of `width` words in a chunk; callers keep those inside one document.
+
+    Sums of hashes that mix() has spread, at odd factors; meant for windows of a few words.
+    """
     m = max(0, len(word) - width + 1)
     total = np.zeros(m, np.uint64)
     for k in range(width):
@@ -149,12 +223,10 @@ def shingle_sets(chunk: Chunk, width: int = 5, lower: bool = True) -> tuple[list
 
     A document with 1 to width - 1 words has its whole sequence as its one shingle; one without words has none.
     """
-    data = LOWER_ASCII[chunk.data] if lower else chunk.data
-    w = words(data, chunk.bounds)
-    hashed = span_hash(data, w.start, w.end)
+    hashed, bounds = word_hashes(chunk, lower)
     windows = window_hash(hashed, width)
-    out, per_doc = [], w.per_doc
-    for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+    out, per_doc = [], np.diff(bounds)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= width:
             s = np.sort(windows[a : b - width + 1])
             keep = np.empty(len(s), bool)

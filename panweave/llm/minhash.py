@@ -12,8 +12,10 @@
 5. Components of the links.
 
 With 21 bands of 6 rows a pair at the threshold 0.85 shares a bucket with probability 1 - (1 - 0.85**6)**21 > 0.9999.
-Full sets are sets of 64-bit hashes: two sets of n and m shingles have a false match with a probability of at most
-n * m / 2**64 (2e-11 for 20,000 shingles each); sets count as equal if their sizes and 128 bits of sums agree.
+Full sets are sets of 64-bit hashes. Words are hashed as polynomials over the field of 2**61 - 1 at a random base, so two
+unlike words of b bytes meet with a probability of b / 2**61, however regular; windows of five are sums of such hashes
+spread over 64 bits. Two sets of n and m shingles have a false match with a probability of about n * m * 5b / 2**61 (1e-8
+for 20,000 shingles each of words of ten bytes); sets count as equal if their sizes and 128 bits of sums agree.
 
 Defined cases: a null, empty or wordless text has an empty set, links with nothing and is kept; fewer than five words
 make one shingle; a null id can't be named in a component, so its row is never compared, has a null component and is

@@ -93,6 +93,8 @@ class Features:
         return self._word_keys
 
     def _per_doc(self, marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        if len(bounds) == 2:  # a very long text is alone
+            return np.array([np.count_nonzero(marks[bounds[0] : bounds[1]])])
         sums = np.concatenate(([0], np.cumsum(marks, dtype=np.int64)))
         return sums[bounds[1:]] - sums[bounds[:-1]]
 
@@ -148,18 +150,23 @@ class Features:
 
     def _n_repeat_words(self) -> np.ndarray:
         w = self.words
-        key = _text.window_hash(self.word_keys, WINDOW)
-        at = np.flatnonzero(_text.inside(w.bounds, WINDOW, len(w.start)))
-        doc = np.searchsorted(w.bounds, at, side="right") - 1
-        key = _text.mix(key[at] ^ _text.mix(doc.astype(np.uint64) + np.uint64(1)))
+        key, at = _text.window_hash(self.word_keys, WINDOW), None
+        if len(self) > 1:
+            at = np.flatnonzero(_text.inside(w.bounds, WINDOW, len(w.start)))
+            doc = np.searchsorted(w.bounds, at, side="right") - 1
+            key = _text.mix(key[at] ^ _text.mix(doc.astype(np.uint64) + np.uint64(1)))
         ordered = np.sort(key)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        del ordered
+        twice = np.unique(twice)
         if not len(twice):
             return np.zeros(len(self), np.int64)
         place = np.searchsorted(twice, key)
         place[place == len(twice)] = 0
-        hit = at[twice[place] == key]
-        cover = np.zeros(len(w.start) + 1, np.int64)
+        hit = np.flatnonzero(twice[place] == key)
+        del place, key
+        hit = hit if at is None else at[hit]
+        cover = np.zeros(len(w.start) + 1, np.int32)
         cover[hit] += 1
         cover[hit + WINDOW] -= 1  # starts are distinct, so plain indexing adds once each
         return self._per_doc(np.cumsum(cover[:-1]) > 0, w.bounds)

@@ -1,7 +1,10 @@
 import random
 import re
 
-from panweave.llm import minhash
+import numpy as np
+import pyarrow as pa
+
+from panweave.llm import _text, minhash
 from tests.llm.conftest import edge_rows, make, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,3 +80,43 @@ def test_one_id_with_unlike_texts(spark):
 
 def test_empty(empty):
     assert result(empty) == []
+
+
+def thue_morse(bits=10):
+    """Two texts of 2 ** bits letters that differ everywhere and that sums over powers modulo 2 ** 64 can't tell apart."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_words_are_told_apart(spark):
+    one, two = thue_morse()
+    rows = [(1, one, "en", "a"), (2, two, "en", "a"), (3, f"a {one} b c {two} d e", "en", "a"), (4, f"a {two} b c {one} d e", "en", "a"), (5, one, "en", "b")]
+    assert result(make(spark, rows)) == brute(rows) == [(1, 1, 1, True), (2, 1, 2, True), (3, 3, 3, True), (4, 3, 4, True), (5, 1, 1, False)]
+
+
+def test_span_hashes_are_polynomials_modulo_the_prime(monkeypatch):
+    rng = random.Random(2)
+    data = np.frombuffer(bytes(rng.randrange(256) for _ in range(2000)), np.uint8)
+    start = np.sort(np.array([rng.randrange(1900) for _ in range(200)]))
+    end = np.sort(start + np.array([rng.randrange(1, 100) for _ in start]))
+    end = np.maximum(end, start + 1)
+    want = []
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        h = sum((int(c) + 1) * pow(_text._BASE, i, _text._PRIME) for i, c in enumerate(data[a:b])) % _text._PRIME
+        want.append(int(_text.mix(np.array([h], np.uint64))[0]))
+    for piece in (64, 1 << 18):  # spans over many borders, and over none
+        monkeypatch.setattr(_text, "_PIECE", piece)
+        _text._powers.cache_clear()
+        assert _text.span_hash(data, start, end).tolist() == want
+    _text._powers.cache_clear()
+
+
+def test_a_very_long_text_is_hashed_piece_by_piece(monkeypatch):
+    rng = random.Random(3)
+    text = words(rng, 4000, 900) + " " + "x" * 30_000 + " end"
+    column = pa.array([text])
+    want = _text.word_hashes(next(_text.chunks(column)))[0].tolist()
+    cut = _text.pieces
+    monkeypatch.setattr(_text, "pieces", lambda data: cut(data, 1000))
+    got, bounds = _text.word_hashes(next(_text.chunks(column)))
+    assert got.tolist() == want and bounds.tolist() == [0, len(want)] and len(want) == 4002

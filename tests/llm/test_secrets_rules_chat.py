@@ -5,6 +5,7 @@ from collections import Counter
 
 from panweave.llm import chat, rules, secrets
 from tests.llm.conftest import edge_rows, make
+from tests.llm.test_minhash import thue_morse
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -101,6 +102,13 @@ def test_rules(spark, edge, empty):
     assert rules.judge(empty).collect() == []
 
 
+def test_regular_lines_are_told_apart(spark):
+    one, two = thue_morse()
+    rows = [(1, f"{one}\n{two}", "en", "a"), (2, f"{one}\n{two}\n{one}", "en", "a"), (3, f"a b c {one} d\na b c {two} d", "en", "a")]
+    got = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in rules.judge(make(spark, rows)).collect()}
+    assert got == {1: (0, 0), 2: (1, 0), 3: (0, 0)}
+
+
 def test_cascade_order_never_changes_the_verdict():
     import pyarrow as pa
 
