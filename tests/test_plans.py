@@ -30,11 +30,6 @@ def test_search_to_clusters(spark):
     assert all(r["core"] <= r["soft"] <= r["pan"] for r in g.collect())
 
 
-def test_alignment():
-    assert search.local_alignment("AAGCTTCC", "GGGCTTAA") == (20, 3, 6, 3, 6, 4, 4)
-    assert search.local_alignment("ACGTACGTACGT", "ACGTACTACGT")[5] == 11
-
-
 def test_pairs_in_order(spark):
     p = spark.createDataFrame([(1, "a", "b"), (2, "c", "d"), (3, "b", "c"), (4, "e", "a"), (5, "x", "y")], "ord int, a string, b string")
     assert values(pipelines.pairs_to_clusters(Tables(spark, "p"), p)) == [("a", "a"), ("a", "b"), ("a", "e"), ("c", "c"), ("c", "d"), ("x", "x"), ("x", "y")]
