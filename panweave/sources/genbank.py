@@ -1,4 +1,4 @@
-"""GenBank flat files: features with spliced sequence and qualifiers, one file a row, parsed where it is read."""
+"""GenBank flat files: features with spliced sequence and qualifiers; a record is a piece, parsed where it is read."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panweave.functions import sequences as S
-from panweave.sources.text import base_name
+from panweave.sources.text import base_name, blocks
 
 SCHEMA = ("file string, contig string, organism string, size int, ord int, type string, start int, end int, strand int, "
           "parts array<struct<a:int,b:int,strand:int>>, quals map<string,string>, dna string")
@@ -43,7 +43,7 @@ def _spliced(dna: str, parts: list[tuple[int, int, int]]) -> str:
 
 
 def parse(text: str) -> Iterator[dict]:
-    """Features of every record of a file, in order; qualifiers join continued lines, translations without blanks."""
+    """Features of every record of a text, in order; qualifiers join continued lines, translations without blanks."""
     for record in re.split(r"(?m)^//\s*$", text):
         locus = re.search(r"(?m)^LOCUS\s+(\S+)\s+(\d+) bp", record)
         if not locus:
@@ -88,8 +88,7 @@ def features(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 if len(rows):
                     yield rows.assign(file=name)[["file", "contig", "organism", "size", "ord", "type", "start", "end", "strand", "parts", "quals", "dna"]]
 
-    whole = spark.read.text(path, wholetext=True).select(base_name(F.col("_metadata.file_path")).alias("file"), "value")
-    return whole.mapInPandas(run, SCHEMA)
+    return blocks(spark, path, "\n//").select(base_name(F.col("file")).alias("file"), "value").mapInPandas(run, SCHEMA)
 
 
 def contains_cds(spark: SparkSession, path: str) -> DataFrame:

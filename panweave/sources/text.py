@@ -1,11 +1,13 @@
 """Text sources: FASTA, ordered small reports, and fixed-schema tables.
 
-Large files are split by Spark's own readers (records by separator, tables by line). Reports whose lines depend on those
-before them are read one file a row; they are small by nature, and a fill-down window or a fold restores the state.
+Files are split by Spark's own readers: tables by line, and reports whose lines depend on those before them by what ends
+or begins a record (blocks()), so a state never reaches over a border and one file of any size is many tasks' work. Only
+lists of names and growth tables, a line a taxon or a sample, are read one file a row.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +23,18 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)$", 1)
 
 
+def blocks(spark: SparkSession, path: str | list[str], separator: str, begins: str = "") -> DataFrame:
+    """(file, split, row, value): the pieces of files between separators, which the reader finds again in every split.
+
+    file is the whole path; (split, row) orders the pieces of a file. begins: what the separator takes from the beginning
+    of a piece; it is given back.
+    """
+    value = F.regexp_replace("value", "\r", "")
+    if begins:
+        value = F.when(value.startswith(begins), value).otherwise(F.concat(F.lit(begins), value))
+    return spark.read.text(path, lineSep=separator).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), value.alias("value"))
+
+
 def fasta(spark: SparkSession, path: str | list[str], skip_peptides: bool = False, keep_gaps: bool = False) -> DataFrame:
     """(file, pos, header, seq); compressed files by their extension. Blank and # lines go, case stays.
 
@@ -151,9 +165,11 @@ def input_order(found: DataFrame, stored: DataFrame) -> DataFrame:
     return stored.select("file", F.col("ord").cast("long").alias("ord")).unionByName(new.crossJoin(F.broadcast(last)).select("file", (F.col("k") + F.col("m")).cast("long").alias("ord")))
 
 
-def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Names in a folder that match, sorted by the caller; contents aren't read."""
-    return spark.read.format("binaryFile").load(path).select(base_name(F.col("path")).alias("file"), "length").filter(F.col("file").rlike(pattern))
+def files(spark: SparkSession, path: str, pattern: str, name: str = r"([^/]+)$") -> DataFrame:
+    """(file, length): names in a folder that match; contents aren't read. name: the group of a path that is its name; the
+    parts that have one name are one file."""
+    found = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", name, 1).alias("file"), "length").filter(F.col("file").rlike(pattern))
+    return found.groupBy("file").agg(F.sum("length").alias("length"))
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -177,9 +193,10 @@ def gene_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, path: str, value: Column, name: str) -> DataFrame:
-    rows = _lines(spark, path).filter("value <> '' AND NOT value LIKE '#%'").select("file", F.split(F.regexp_replace("value", "\t+$", ""), "\t").alias("c"))
+    lines = blocks(spark, path, "\n").select("file", "value").filter("value <> '' AND NOT value LIKE '#%'")
+    rows = lines.select("file", F.split(F.regexp_replace("value", "\t+$", ""), "\t").alias("c"))
     first = F.col("c")[0]
-    head = rows.filter(first.rlike("^(source:|non-redundant)")).select("file", F.transform("c", lambda x: F.regexp_replace(x, r"\+\d+$", "")).alias("names"))
+    head = rows.filter(first.rlike("^(source:|non-redundant)")).select("file", F.transform("c", lambda x: F.regexp_replace(x, r"\+\d+$", "")).alias("names"))  # a row a file
     body = rows.filter(~first.rlike("^(source:|non-redundant|reference|redundant)"))
     cells = body.join(head, "file").select(first.alias("taxon"), F.posexplode("c").alias("i", "cell"), "names").filter("i > 0")
     return cells.withColumn("cluster", F.get("names", F.col("i"))).filter("cluster IS NOT NULL").withColumn("value", value).select("taxon", "cluster", F.col("value").alias(name))
@@ -193,26 +210,28 @@ def drop_separators(pan: DataFrame) -> DataFrame:
 def cluster_list(spark: SparkSession, path: str) -> DataFrame:
     """(name, size, taxa, domains, file, dnafile, taxon, place): one row a member, all dialects of the header line.
 
-    Header lines name one to three files (file, aminofile, pepfile; dnafile, cdsfile); members follow as `: taxon`.
+    Header lines name one to three files (file, aminofile, pepfile; dnafile, cdsfile); members follow as `: taxon`. place
+    (split, row, line) orders the lines of a file. A cluster is a piece; comments and blank lines go.
     """
-    t = _lines(spark, path)
+    own = blocks(spark, path, "\ncluster ", "cluster ").select("split", "row", F.split("value", "\n").alias("lines"))
+    t = own.select("split", "row", F.get("lines", F.lit(0)).alias("value"), "lines").filter(F.col("value").rlike(r"^cluster \S+ .*="))
     get = lambda p: F.when(F.col("value").rlike(p), F.regexp_extract("value", p, 1))
     amino = F.coalesce(get(r"aminofile: (\S+)"), get(r"pepfile: (\S+)"), F.when(~F.col("value").contains("aminofile:"), get(r"(?<![a-z])file: (\S+)")))
     dna = F.coalesce(get(r"(?<![a-z])dnafile: (\S+)"), get(r"cdsfile: (\S+)"), F.when(F.col("value").contains("aminofile:"), get(r"(?<![a-z])file: (\S+)")))
-    head = F.when(F.col("value").startswith("cluster "), F.struct(
-        F.regexp_extract("value", r"^cluster (\S+)", 1).alias("name"), F.regexp_extract("value", r"size=(\d+)", 1).cast("int").alias("size"), F.regexp_extract("value", r"taxa=(\d+)", 1).cast("int").alias("taxa"),
-        F.filter(F.split(F.coalesce(get(r"Pfam=(\S+)"), F.lit("")), ","), lambda x: x != "").alias("domains"), F.nullif(amino, F.lit("void")).alias("file"), F.nullif(dna, F.lit("void")).alias("dnafile")))
-    down = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    t = t.withColumn("h", F.last(head, ignorenulls=True).over(down)).filter("value LIKE ': %' AND h IS NOT NULL")
-    return t.select("h.*", F.regexp_extract("value", r"^: (\S+)", 1).alias("taxon"), F.col("line").alias("place"))
+    head = t.select(
+        F.regexp_extract("value", r"^cluster (\S+)", 1).alias("name"), F.regexp_extract("value", r"size=(\d+)", 1).try_cast("int").alias("size"), F.regexp_extract("value", r"taxa=(\d+)", 1).try_cast("int").alias("taxa"),
+        F.filter(F.split(F.coalesce(get(r"Pfam=(\S+)"), F.lit("")), ","), lambda x: x != "").alias("domains"), F.nullif(amino, F.lit("void")).alias("file"), F.nullif(dna, F.lit("void")).alias("dnafile"), "split", "row", F.posexplode("lines").alias("n", "line"))
+    return head.filter("line LIKE ': %'").select("name", "size", "taxa", "domains", "file", "dnafile", F.regexp_extract("line", r"^: (\S+)", 1).alias("taxon"), F.struct("split", "row", F.col("n").alias("line")).alias("place"))
 
 
 def mcl_clusters(spark: SparkSession, path: str) -> DataFrame:
-    """(cluster, seq_id) from the native cluster format: lines may continue, `$` ends a cluster, `)` the list."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r", "").alias("v"))
-    body = F.regexp_extract("v", r"(?s)\nbegin\s*\n(.*?)\n\)", 1)
-    parts = F.filter(F.transform(F.split(F.when(body != "", body).otherwise(F.col("v")), r"\$"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x.rlike(r"^\d+ \d"))
-    rows = whole.select(F.explode(parts).alias("p")).select(F.split("p", " ").alias("x"))
+    """(cluster, seq_id) from the native cluster format: lines may continue, `$` ends a cluster, `)` the list.
+
+    What stands before `begin` (header, domains) is left out. A cluster is a piece.
+    """
+    flat = F.trim(F.regexp_replace("value", r"\s+", " "))
+    own = blocks(spark, path, "$").select(flat.alias("v")).select(F.when(F.col("v").rlike(r"\bbegin\b"), F.regexp_replace("v", r"^.*\bbegin ?", "")).otherwise(F.col("v")).alias("v"))
+    rows = own.filter(F.col("v").rlike(r"^\d+ \d")).select(F.split("v", " ").alias("x"))
     return rows.select(F.get("x", F.lit(0)).cast("long").alias("cluster"), F.explode(F.slice("x", 2, F.size("x") - 1)).alias("seq_id")).withColumn("seq_id", F.col("seq_id").cast("long"))
 
 
@@ -244,33 +263,49 @@ def gtf_genes(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.regexp_extract("attributes", r'gene_id "([^"]+)"', 1).alias("gene"), "chr", "start", "end", F.when(F.col("strand") == "-", -1).otherwise(1).alias("strand"))
 
 
+def _domains(report: str) -> Iterator[tuple]:
+    """Domains of a piece of a report: the query and the family are states that later lines refer to."""
+    query, name, descr = None, None, None
+    for line in report.split("\n"):
+        if m := re.match(r"Query(?: sequence)?:\s+(\d+)", line):
+            query, name, descr = int(m[1]), "", ""
+        elif line.startswith("Query"):
+            name, descr = "", ""
+        elif line.startswith(">> "):
+            m = re.match(r">> (\S+)(?:\s+(.*))?$", line)
+            name, descr = (re.match(r"\w*", m[1])[0], (m[2] or "").strip()) if m else ("", "")
+        elif re.match(r"\s+\d+\s+[!?]\s+", line):
+            x = line.split()
+            yield query, name, descr, float(x[5]), int(x[9]), int(x[10])
+        elif "No hits detected that satisfy" in line or "no hits above thresholds" in line:
+            yield query, None, None, None, None, None
+
+
 def hmmer(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(seq_id, name, descr, evalue, start, end) of the domains in hmmscan reports; one row with nulls for no hits.
 
-    The query and the family are states that lines refer back to, restored by fill-down windows; for choose_domains().
+    `//` ends a query; every query is a piece of its own, with its own states; for choose_domains().
     """
-    t = _lines(spark, path)
-    down = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    get = lambda p, i: F.when(F.col("value").rlike(p), F.regexp_extract("value", p, i))
-    t = t.withColumn("seq_id", F.last(get(r"^Query(?: sequence)?:\s+(\d+)", 1), ignorenulls=True).over(down))
-    t = t.withColumn("fam", F.last(F.when(F.col("value").rlike(r"^(>> |Query)"), F.struct(F.regexp_extract("value", r"^>> (\w+)", 1).alias("name"), F.trim(F.regexp_extract("value", r"^>> \S+\s+(.*)$", 1)).alias("descr"))), ignorenulls=True).over(down))
-    x = F.split(F.trim("value"), r"\s+")
-    hit = t.filter(F.col("value").rlike(r"^\s+\d+\s+[!?]\s+")).select("seq_id", "fam.name", "fam.descr", x[5].cast("double").alias("evalue"), x[9].cast("int").alias("start"), x[10].cast("int").alias("end"))
-    none = t.filter(F.col("value").rlike("No hits detected that satisfy|no hits above thresholds")).select("seq_id", *[F.lit(None).cast(k).alias(c) for c, k in (("name", "string"), ("descr", "string"), ("evalue", "double"), ("start", "int"), ("end", "int"))])
-    return hit.unionByName(none).withColumn("seq_id", F.col("seq_id").cast("long"))
+    schema = "seq_id long, name string, descr string, evalue double, start int, end int"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = pd.DataFrame([r for v in part["value"] for r in _domains(v)], columns=["seq_id", "name", "descr", "evalue", "start", "end"])
+            yield rows.astype({"seq_id": "Int64", "start": "Int32", "end": "Int32", "evalue": "float64"})
+
+    found = blocks(spark, path, "\n//").select("value").mapInPandas(run, schema)
+    return found.withColumn("evalue", F.nanvl("evalue", F.lit(None).cast("double")))
 
 
 def gmap(spark: SparkSession, path: str, transcripts: DataFrame) -> DataFrame:
     """Spliced coding sequences from a genome mapping report: (id, hit, median_intron, seq).
 
     transcripts(id, seq). Exons are cut from the transcript by the coordinates in the report, turned on the - strand;
-    transcripts without a path come through as they are. A report is one fold per file over its lines.
+    transcripts without a path come through as they are. A transcript's part of the report is a piece.
     """
     schema = "id string, hit string, strand string, exons array<struct<a:int,b:int>>, introns array<int>"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         for part in parts:
             rows = []
             for text in part["value"]:
@@ -292,7 +327,7 @@ def gmap(spark: SparkSession, path: str, transcripts: DataFrame) -> DataFrame:
                             row[4].append(int(m[3]))
             yield pd.DataFrame([r[:5] for r in rows], columns=["id", "hit", "strand", "exons", "introns"])
 
-    found = spark.read.text(path, wholetext=True).mapInPandas(run, schema).filter("hit IS NOT NULL")
+    found = blocks(spark, path, "\n>", ">").select("value").mapInPandas(run, schema).filter("hit IS NOT NULL")
     joined = transcripts.join(found, "id", "left")
     pieces = F.transform("exons", lambda e: F.substr("seq", e["a"], e["b"] - e["a"] + 1))
     forward = F.array_join(pieces, "")
