@@ -108,6 +108,13 @@ def binomial_mixture(histogram: list[int], components: int, core_detection: floa
     return {"components": components, "log_likelihood": ll, "bic": -2 * ll + math.log(y.sum()) * (2 * components - 1), "core": round(pan * mix[-1]), "pan": round(pan)}
 
 
+def binomial_mixtures(histogram: list[int], core_detection: float = 1.0) -> list[dict[str, float]]:
+    """Mixtures of 2 to min(n, 10) components, each marked with whether its BIC is the least of them (the first on ties)."""
+    fits = [binomial_mixture(histogram, k, core_detection) for k in range(2, max(2, min(len(histogram), 10)) + 1)]
+    best = min(fits, key=lambda f: f["bic"])
+    return [f | {"chosen": float(f is best)} for f in fits]
+
+
 def gauss_newton(f, x: np.ndarray, y: np.ndarray, start: list[float], rounds: int = 200) -> tuple[np.ndarray, float]:
     """Least squares with a damped Gauss-Newton step; returns the parameters and the residual standard error."""
     p, lam = np.array(start, float), 1e-3

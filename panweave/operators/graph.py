@@ -53,28 +53,37 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return r["n"], int(r["s"] or 0)
 
 
-def markov_clusters(links: pd.DataFrame, inflation: float, rounds: int = 100) -> pd.DataFrame:
+#: Markov clustering: cells below PRUNE leave a column (its largest stays), and it has settled when no column's largest
+#: cell is more than STILL above the sum of its squares, that is when all of its cells are alike.
+PRUNE, STILL, MCL_ROUNDS = 1e-4, 1e-6, 100
+
+
+def markov_clusters(links: pd.DataFrame, inflation: float, prune: float = PRUNE, rounds: int = MCL_ROUNDS) -> pd.DataFrame:
     """Markov clustering of one component: links(a, b, w) -> (node, cluster). Expansion, inflation, pruning."""
     import pandas as pd
 
     nodes, flat = np.unique(np.concatenate((links["a"], links["b"])), return_inverse=True)
     a, b = flat[: len(links)], flat[len(links) :]
     m = np.zeros((len(nodes), len(nodes)))
-    m[a, b] = m[b, a] = links["w"]
+    np.maximum.at(m, (a, b), links["w"])
+    m = np.maximum(m, m.T)
     np.fill_diagonal(m, np.maximum(m.max(axis=0), 1e-12))
-    m /= m.sum(axis=0)
+
+    def pruned(x: np.ndarray) -> np.ndarray:
+        x = x / x.sum(axis=0)
+        x[(x < prune) & (x < x.max(axis=0))] = 0
+        return x / x.sum(axis=0)
+
+    m = pruned(m)
     for _ in range(rounds):
-        nxt = (m @ m) ** inflation
-        nxt[nxt < 1e-9] = 0
-        nxt /= nxt.sum(axis=0)
-        if np.abs(nxt - m).max() < 1e-8:
-            m = nxt
+        m = pruned((m @ m) ** inflation)
+        if (m.max(axis=0) - (m * m).sum(axis=0)).max() < STILL:
             break
-        m = nxt
-    strong = m > 1e-6
+    else:
+        raise RuntimeError(f"Markov clustering did not settle in {rounds} rounds")
     label = np.arange(len(nodes))
-    for row in np.flatnonzero(strong.any(axis=1)):  # nodes drawn to one attractor are one cluster
-        label[np.isin(label, label[strong[row]])] = label[strong[row]].min()
+    for row in np.flatnonzero(m.any(axis=1)):  # nodes drawn to one attractor are one cluster
+        label[np.isin(label, label[m[row] > 0])] = label[m[row] > 0].min()
     first = {v: nodes[np.flatnonzero(label == v)].min() for v in np.unique(label)}
     return pd.DataFrame({"node": nodes, "cluster": [first[v] for v in label]})
 
@@ -83,53 +92,56 @@ def markov_clusters(links: pd.DataFrame, inflation: float, rounds: int = 100) ->
 DENSE = 2000
 
 
-def mcl(tables: Tables, links: DataFrame, inflation: float = 1.5, dense: int = DENSE, select: int = 64) -> DataFrame:
+def mcl(tables: Tables, links: DataFrame, inflation: float = 1.5, dense: int = DENSE) -> DataFrame:
     """links(a, b, w) -> (node, cluster). Flow never leaves a component, so components are clustered apart.
 
-    Those of up to `dense` nodes are matrices in memory, one a call; larger ones go through sparse_mcl() together.
+    Those of up to `dense` nodes are matrices in memory, one a call; larger ones go through sparse_mcl() together. Both
+    take the same steps with the same limit of pruning, so the size decides where a component is clustered, not how.
     """
     parts = tables.save(components(tables, links))
     big = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("big", F.col("n") > dense).select("component", "big")
-    placed = tables.save(links.join(parts.withColumnRenamed("node", "a"), "a").join(big, "component").select("component", "big", "a", "b", "w"))
+    placed = tables.save(links.filter("a <> b").join(parts.withColumnRenamed("node", "a"), "a").join(big, "component").select("component", "big", "a", "b", "w"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return markov_clusters(part.sort_values(["a", "b"]), inflation)
 
     small = placed.filter("NOT big").groupBy("component").applyInPandas(run, "node long, cluster long")
     large = placed.filter("big").select("a", "b", "w")
-    return small if large.isEmpty() else small.unionByName(sparse_mcl(tables, large, inflation, select))
+    return small if large.isEmpty() else small.unionByName(sparse_mcl(tables, large, inflation))
 
 
-def sparse_mcl(tables: Tables, links: DataFrame, inflation: float = 1.5, select: int = 64, prune: float = 1e-4, rounds: int = 60, still: float = 1e-3) -> DataFrame:
+def sparse_mcl(tables: Tables, links: DataFrame, inflation: float = 1.5, prune: float = PRUNE, rounds: int = MCL_ROUNDS) -> DataFrame:
     """Markov clustering of graphs of any size as joins over cells (row, col, p): (node, cluster).
 
-    A round squares the matrix by an equi-join and an aggregate, inflates, and keeps the `select` largest cells of a
-    column from `prune` on, as sparse implementations do; so a column has at most `select` cells and a round at most
-    select ** 2 products a node. It ends when every column is all but one value repeated (largest cell against sum of
-    squares). Nodes drawn to one attractor are one cluster, named by its smallest node.
+    A round squares the matrix by an equi-join and a partial aggregate, inflates, normalises, and takes out the cells below
+    `prune`; the largest of a column stay. No other cell is ever left out: a column has as many as its mass allows, 1 /
+    prune at most. Nodes drawn to one attractor are one cluster, named by its smallest node.
     """
-    column = W.partitionBy("col")
     both = links.select(F.col("a").alias("row"), F.col("b").alias("col"), F.col("w").alias("p")).unionByName(links.select(F.col("b").alias("row"), F.col("a").alias("col"), F.col("w").alias("p")))
     both = both.groupBy("row", "col").agg(F.max("p").alias("p"))
-    loops = both.groupBy("col").agg(F.max("p").alias("p")).select(F.col("col").alias("row"), "col", "p")
-    cells = both.unionByName(loops).withColumn("p", F.col("p") / F.sum("p").over(column))
-
-    def kept(c: DataFrame) -> DataFrame:
-        ranked = c.withColumn("r", F.row_number().over(column.orderBy(F.desc("p"), "row"))).filter((F.col("r") <= select) & ((F.col("p") >= prune) | (F.col("r") == 1)))
-        return tables.save(ranked.select("row", "col", (F.col("p") / F.sum("p").over(column)).alias("p")))
-
-    m = kept(cells)
+    loops = both.groupBy("col").agg(F.greatest(F.max("p"), F.lit(1e-12)).alias("p")).select(F.col("col").alias("row"), "col", "p")
+
+    def pruned(c: DataFrame) -> DataFrame:
+        whole = tables.save(c)
+        sums = whole.groupBy("col").agg(F.sum("p").alias("s"), F.max("p").alias("m"))
+        kept = whole.join(sums, "col").filter((F.col("p") / F.col("s") >= prune) | (F.col("p") == F.col("m")))
+        left = kept.groupBy("col").agg(F.sum("p").alias("left"))
+        out = tables.save(kept.join(left, "col").select("row", "col", (F.col("p") / F.col("left")).alias("p")))
+        tables.drop(whole)
+        return out
+
+    m = pruned(both.unionByName(loops))
     for _ in range(rounds):
         left, right = m.select("row", F.col("col").alias("via"), F.col("p").alias("x")), m.select(F.col("row").alias("via"), "col", F.col("p").alias("y"))
-        squared = left.join(right, "via").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
-        powered = squared.withColumn("p", F.pow("p", F.lit(inflation)))
-        old, m = m, kept(powered.withColumn("p", F.col("p") / F.sum("p").over(column)))
+        squared = left.join(right, "via").groupBy("row", "col").agg(F.pow(F.sum(F.col("x") * F.col("y")), F.lit(inflation)).alias("p"))
+        old, m = m, pruned(squared)
         tables.drop(old)
         chaos = m.groupBy("col").agg((F.max("p") - F.sum(F.col("p") * F.col("p"))).alias("c")).agg(F.max("c")).first()[0]
-        if chaos is None or chaos < still:
+        if chaos is None or chaos < STILL:
             break
-    pull = m.filter(F.col("p") > 1e-6).select(F.col("row").alias("a"), F.col("col").alias("b"))
-    joined = components(tables, pull)
+    else:
+        raise RuntimeError(f"Markov clustering did not settle in {rounds} rounds")
+    joined = components(tables, m.select(F.col("row").alias("a"), F.col("col").alias("b")))
     nodes = m.select(F.col("col").alias("node")).distinct()
     return nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
 
@@ -202,18 +214,29 @@ def split_by_attribute(clusters: DataFrame, attributes: DataFrame) -> DataFrame:
 def greedy_absorb(pairs: DataFrame, group_col: str) -> DataFrame:
     """pairs(group, q, s): by ascending q, an unabsorbed q absorbs its s; absorbed ones absorb nothing -> (seq_id, rep_id).
 
-    The order makes it sequential, so each group (a taxon) is one fold over its own pairs.
+    Who is absorbed at its own turn is the complement of the lexicographically first independent set of the pairs from a
+    smaller to a larger sequence. It is found in rounds: a sequence that no undecided one before it could absorb stays,
+    what those absorb goes, and pairs of decided sequences leave the table. rep_id is the first that stays of those that
+    could absorb a sequence. Pairs of a sequence with itself mean nothing. A group (a taxon) is no unit of work.
     """
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        import pandas as pd
-
-        rep: dict[int, int] = {}
-        for q, s in part.sort_values(["q", "s"])[["q", "s"]].itertuples(index=False):
-            if q not in rep and s not in rep:
-                rep[s] = q
-        return pd.DataFrame({"seq_id": list(rep), "rep_id": list(rep.values())}, dtype="int64")
-
-    return pairs.select(group_col, "q", "s").groupBy(group_col).applyInPandas(run, "seq_id long, rep_id long")
+    tables = Tables(pairs.sparkSession, "absorb")
+    key = [group_col, "q", "s"]
+    own = tables.save(pairs.select(*key).filter("q <> s").distinct())
+    open_ = own.filter("q < s")
+    empty = own.select(group_col, "s").limit(0)
+    gone, n = empty, 0
+    while not open_.isEmpty():
+        held = open_.select(group_col, F.col("s").alias("q")).distinct()
+        stays = open_.select(group_col, "q").distinct().join(held, [group_col, "q"], "left_anti")
+        struck = tables.save(open_.join(stays, [group_col, "q"], "left_semi").select(group_col, "s").distinct())
+        rest = open_.join(stays, [group_col, "q"], "left_anti").join(struck, [group_col, "s"], "left_anti")
+        rest = tables.save(rest.join(struck.withColumnRenamed("s", "q"), [group_col, "q"], "left_anti"))
+        gone, n = gone.unionByName(struck), n + 1
+        if n % 20 == 0:
+            gone = tables.save(gone)
+        open_ = rest
+    able = own.join(gone.withColumnRenamed("s", "q"), [group_col, "q"], "left_anti")
+    return able.groupBy(group_col, "s").agg(F.min("q").alias("rep_id")).select(F.col("s").cast("long").alias("seq_id"), F.col("rep_id").cast("long").alias("rep_id"))
 
 
 def absorb_clusters(tables: Tables, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

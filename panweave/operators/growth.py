@@ -6,26 +6,42 @@ the pangenome may be large: the join multiplies the pangenome by the number of s
 
 from __future__ import annotations
 
-import random
+import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Ranks of orders are spread by this prime, which divides no n! - 1 of up to 20 taxa.
+SPREAD = (1 << 61) - 1
+
+
+def order_of(taxa: Column, digits: Column) -> Column:
+    """The permutation of an array that factorial digits name: digit i takes the (digit + 1)-th of those that are left."""
+    kind = "array<string>"
+    start = F.struct(F.array().cast(kind).alias("out"), taxa.cast(kind).alias("rest"))
+    take = lambda s, d: F.struct(F.concat(s["out"], F.slice(s["rest"], d + 1, F.lit(1))).alias("out"), F.concat(F.slice(s["rest"], F.lit(1), d), F.slice(s["rest"], d + 2, F.size(s["rest"]))).alias("rest"))
+    return F.aggregate(digits, start, take)["out"]
+
+
 def permutations(spark: SparkSession, taxa: list[str], samples: int = 10, seed: int = 0) -> DataFrame:
-    """Sample 0 keeps the given order, the others are distinct shuffles; at most as many as there are orders."""
-    most = 1
-    for k in range(2, len(taxa) + 1):
-        most = min(samples, most * k)
-    rng, orders, seen = random.Random(seed), [list(taxa)], set()
-    while len(orders) < min(samples, most):
-        order = list(taxa)
-        rng.shuffle(order)
-        if tuple(order) not in seen:
-            seen.add(tuple(order))
-            orders.append(order)
-    return spark.createDataFrame([(s, g, t) for s, o in enumerate(orders) for g, t in enumerate(o)], "sample int, g int, taxon string")
+    """(sample, g, taxon): sample 0 keeps the given order, the others are distinct; at most as many as there are orders.
+
+    A sample is a rank below n!, and its digits in the factorial number system are the order. Ranks go round in equal
+    steps of a prime from a start that the seed names, so no two are equal. Of more than 20 taxa the last 20 are placed by
+    the rank and those before them by hashes, with sample 0 as it is.
+    """
+    n, low = len(taxa), min(len(taxa), 20)
+    whole = math.factorial(low)
+    others = max(1, whole - 1)
+    number = lambda v: f"cast('{v}' as decimal(20, 0))"
+    rank = f"CASE WHEN sample = 0 THEN 0L ELSE 1L + cast(pmod(cast(sample - 1 as decimal(16, 0)) * {number(SPREAD % others)} + {number(seed * 1_000_003 % others)}, {number(others)}) as bigint) END"
+    rows = spark.range(min(samples, whole)).withColumnRenamed("id", "sample").withColumn("rank", F.expr(rank))
+    far = [F.when(F.col("sample") == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "sample"), F.lit(n - i)).cast("int")) for i in range(n - low)]
+    near = [F.expr(f"cast((rank div {math.factorial(low - 1 - i)}L) % {low - i} as int)") for i in range(low)]
+    own = rows.select(F.col("sample").cast("int").alias("sample"), order_of(F.array(*[F.lit(t) for t in taxa]), F.array(*far, *near)).alias("o"))
+    return own.select("sample", F.posexplode("o").alias("g", "taxon"))
 
 
 def growth(pan: DataFrame, orders: DataFrame, soft_core: float | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -44,17 +44,51 @@ def blunt(msa: DataFrame) -> DataFrame:
     return msa.join(cut, "aln").select("aln", "name", F.substr("seq", F.col("lead") + 1, F.greatest(F.length("seq") - F.col("lead") - F.col("tail"), F.lit(0))).alias("seq"))
 
 
-def common_block(msa: DataFrame, least: int = 100) -> DataFrame:
-    """Each alignment cut to the block that all of its sequences reach; equal blocks of a taxon count once, by the first name.
+def _reach(seq: Column, low: Column, high: Column) -> Column:
+    """(low, high) moved inwards past the gaps that a sequence has there: places from 0, both inclusive."""
+    lead = F.length(F.regexp_extract(F.substr(seq, low + 1), "^(-*)", 1))
+    tail = F.length(F.regexp_extract(F.substr(seq, F.lit(1), high + 1), "(-*)$", 1))
+    return F.struct((low + lead).cast("int").alias("low"), (high - tail).cast("int").alias("high"))
 
-    msa(aln, taxon, name, seq). Of each taxon the sequence with most residues sets the block.
+
+def diploid_block(msa: DataFrame, roles: DataFrame, min_weight: float = 3, min_length: int = 100, max_gaps: int = 100, min_cover: float = 0.5, isoform: str | None = None) -> DataFrame:
+    """Alignments cut to the block of their diploids: (aln, taxon, role, name, seq).
+
+    msa(aln, taxon, name, seq) of equal lengths; roles(taxon, role, weight, ord): diploid, outgroup or polyploid. The
+    sequence with most bases (the first by name on ties) stands for a diploid or an outgroup. The block runs from the first
+    place to the last that the diploids reach, taken in order of ord, each moving a border past the gaps that it has there.
+    An alignment goes as a whole if its diploids' weights don't add up to more than min_weight, the block is shorter than
+    min_length, a diploid has more than max_gaps gaps in it, or an outgroup that is there covers less than min_cover of it.
+    Of a polyploid every sequence that covers min_cover stays, by falling number of bases, unless one of its taxon that
+    stays already has the same columns where it reaches; with isoform, a pattern in names, only the first of each match.
     """
-    n = F.length(F.regexp_replace("seq", "-", ""))
-    long = msa.withColumn("_n", F.row_number().over(W.partitionBy("aln", "taxon").orderBy(F.desc(n), "name"))).filter("_n = 1")
-    lead, tail = F.length(F.regexp_extract("seq", "^(-*)", 1)), F.length(F.regexp_extract("seq", "(-*)$", 1))
-    block = long.groupBy("aln").agg(F.max(lead).alias("lo"), F.min(F.length("seq") - tail).alias("hi")).filter(F.col("hi") - F.col("lo") >= least)
-    cut = msa.join(block, "aln").withColumn("seq", F.substr("seq", F.col("lo") + 1, F.col("hi") - F.col("lo")))
-    return cut.filter(2 * F.length(F.regexp_replace("seq", "-", "")) >= F.length("seq")).groupBy("aln", "taxon", "seq").agg(F.min("name").alias("name")).select("aln", "taxon", "name", "seq")
+    bases = F.length(F.regexp_replace("seq", "[^ACGTN]", ""))
+    own = msa.join(roles, "taxon").withColumn("bases", bases)
+    order = W.partitionBy("aln", "taxon").orderBy(F.desc("bases"), "name")
+    lead = own.filter("role <> 'polyploid'").withColumn("n", F.row_number().over(order)).filter("n = 1")
+    diploid = lead.filter("role = 'diploid'").groupBy("aln").agg(F.sort_array(F.collect_list(F.struct("ord", "taxon", "seq"))).alias("d"), F.sum("weight").alias("weight"), F.max(F.length("seq")).alias("width"))
+    start = F.struct(F.lit(0).alias("low"), (F.col("width") - 1).cast("int").alias("high"))
+    block = diploid.filter(F.col("weight") > min_weight).select("aln", F.aggregate("d", start, lambda s, x: _reach(x["seq"], s["low"], s["high"])).alias("b"), "d").select("aln", "b.low", "b.high", "d")
+    block = block.withColumn("size", F.col("high") - F.col("low") + 1).filter(F.col("size") >= min_length)
+    cut = lambda seq: F.substr(seq, F.col("low") + 1, F.col("size"))
+    gaps = lambda seq: F.length(cut(seq)) - F.length(F.replace(cut(seq), F.lit("-"), F.lit("")))
+    block = block.filter(~F.exists("d", lambda x: gaps(x["seq"]) > max_gaps)).drop("d")
+
+    placed = own.join(block, "aln").withColumn("r", _reach(F.col("seq"), F.col("low"), F.col("high"))).withColumn("covers", (F.col("r.high") - F.col("r.low") + 1) / F.col("size") >= min_cover)
+    heads = placed.join(lead.select("aln", "taxon", "name"), ["aln", "taxon", "name"], "left_semi").filter("role <> 'polyploid'")
+    poor = heads.filter("role = 'outgroup' AND NOT covers").select("aln").distinct()
+    many = placed.filter("role = 'polyploid'")
+    if isoform is not None:
+        found = F.regexp_extract("name", isoform, 0)
+        key = F.when(found == "", F.concat(F.lit("="), "name")).otherwise(found)
+        many = many.withColumn("n", F.row_number().over(W.partitionBy("aln", "taxon", key).orderBy(F.desc("bases"), "name"))).filter("n = 1")
+    # the sequences of one taxon in one alignment, in order; each is held against those that stay before it
+    listed = many.filter("covers").groupBy("aln", "taxon", "role", "low", "size").agg(F.sort_array(F.collect_list(F.struct((-F.col("bases")).alias("k"), "name", "seq", F.col("r.low").alias("a"), F.col("r.high").alias("b")))).alias("s"))
+    same = lambda x, y: F.substr(x["seq"], y["a"] + 1, y["b"] - y["a"] + 1) == F.substr(y["seq"], y["a"] + 1, y["b"] - y["a"] + 1)
+    none = F.array().cast(listed.schema["s"].dataType)
+    stay = F.aggregate("s", none, lambda kept, y: F.when(F.exists(kept, lambda x: same(x, y)), kept).otherwise(F.concat(kept, F.array(y))))
+    kept = listed.select("aln", "taxon", "role", "low", "size", F.explode(stay).alias("x")).select("aln", "taxon", "role", "x.name", cut(F.col("x.seq")).alias("seq"))
+    return heads.select("aln", "taxon", "role", "name", cut(F.col("seq")).alias("seq")).unionByName(kept).join(poor, "aln", "left_anti")
 
 
 def collapse_fragments(msa: DataFrame, min_overlap: int = 40, max_mismatches: int = 0, max_gaps: int = 2) -> DataFrame:

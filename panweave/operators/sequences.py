@@ -148,16 +148,19 @@ def intergenic(genes: DataFrame, contigs: DataFrame, least: int = 200, most: int
     return g.filter(ok).join(contigs, "contig").select("contig", F.col("seq_id").alias("left_id"), "r_id", F.col("strand").alias("left_strand"), "r_strand", gap.alias("size"), text.alias("seq"))
 
 
-def twins_agree(nt: DataFrame, aa: DataFrame) -> DataFrame:
-    """One row: whether each translated nucleotide sequence matches the protein at the same place (place, seq).
+def twins_agree(nt: DataFrame, aa: DataFrame, *by: str) -> DataFrame:
+    """One row (of every pair of files, named by the columns `by`): whether each translated nucleotide sequence matches the
+    protein at the same place (place, seq).
 
-    Sequences with N are skipped, and containment is accepted.
+    Sequences with N are skipped; either side may hold the other, without its last stop. A place that one side alone has,
+    or an empty protein of a sequence that is not, does not match.
     """
-    p = nt.select("place", F.col("seq").alias("dna")).join(aa.select("place", F.col("seq").alias("protein")), "place", "full")
+    p = nt.select(*by, "place", F.col("seq").alias("dna")).join(aa.select(*by, "place", F.col("seq").alias("protein")), [*by, "place"], "full")
     made = F.regexp_replace(S.translate(F.col("dna")), r"\*$", "")
-    given = F.regexp_replace(F.upper("protein"), r"\*$", "")
-    same = F.contains(made, given) | F.contains(given, made) | F.upper("dna").rlike("N")
-    return p.agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("agree"))
+    given = F.regexp_replace("protein", r"\*$", "")
+    held = (F.contains(made, given) & (given != "")) | (F.contains(given, made) & (made != "")) | (made == given)
+    same = (held | F.upper("dna").rlike("N")) & F.col("protein").isNotNull()
+    return p.groupBy(*by).agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("agree"))
 
 
 def remove_gap_columns(msa: DataFrame) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,31 +130,23 @@ def simulate_growth(spark: SparkSession, pan: DataFrame, cfg: Config, seed: int
 def pairs_to_clusters(tables: Tables, pairs: DataFrame) -> DataFrame:
     """pairs(ord, a, b) in file order -> (cluster_id, member): a pair joins its second gene to the first one's cluster.
 
-    Two clusters that exist already never merge, so this isn't a component; the fold runs inside each component, which
-    holds every pair that could matter to it. Components lie together and in order in their partition and are folded one
-    after the other, so memory holds one at a time.
+    Two clusters that exist already never merge, so a gene's cluster is settled by the first pair that names it: it hangs
+    on the other gene of that pair if that one was named before, else both hang on the pair's first gene, which is a
+    cluster's root. Those parents are a forest, and jumping from parents to their parents finds all roots in as many rounds
+    as the logarithm of its depth. ord is unique.
     """
-    numbered = pairs.select("ord", F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"), "a", "b")
-    parts = graph.components(tables, numbered.select(F.col("x").alias("a"), F.col("y").alias("b")))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        home: dict[str, str] = {}
-        current = None
-        for batch in batches:
-            done: list[tuple[str, str]] = []
-            for part, a, b in batch[["component", "a", "b"]].itertuples(index=False):
-                if part != current:
-                    done += [(c, m) for m, c in home.items()]
-                    home, current = {}, part
-                if a not in home and b in home:
-                    home[a] = home[b]
-                else:
-                    home.setdefault(a, a)
-                    home.setdefault(b, home[a])
-            yield pd.DataFrame(done, columns=["cluster_id", "member"], dtype=object)
-        yield pd.DataFrame([(c, m) for m, c in home.items()], columns=["cluster_id", "member"], dtype=object)
-
-    # a gene that is paired with itself alone has no link, and is a part of its own
-    joined = numbered.join(parts.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    together = joined.select("component", "ord", "a", "b").repartition("component").sortWithinPartitions("component", "ord")
-    return together.mapInPandas(fold, "cluster_id string, member string")
+    pair = F.struct("ord", "a", "b")
+    named = pairs.select(pair.alias("pair"), F.explode(F.array("a", "b")).alias("gene")).groupBy("gene").agg(F.min("pair").alias("pair"))
+    first = tables.save(named.select("gene", "pair.*").withColumn("other", F.when(F.col("gene") == F.col("a"), F.col("b")).otherwise(F.col("a"))))
+    others = first.select(F.col("gene").alias("other"), F.col("ord").alias("other_ord"))
+    met = first.join(others, "other")
+    up = tables.save(met.select("gene", F.when(F.col("other_ord") == F.col("ord"), F.col("a")).otherwise(F.col("other")).alias("root")))
+    for _ in range(graph.MAX_ROUNDS):
+        above = up.select(F.col("gene").alias("root"), F.col("root").alias("next"))
+        new = tables.save(up.join(above, "root").select("gene", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        settled = new.filter("moved").isEmpty()
+        tables.drop(up)
+        up = new
+        if settled:
+            return up.select(F.col("root").cast("string").alias("cluster_id"), F.col("gene").cast("string").alias("member"))
+    raise RuntimeError(f"the forest of first pairs is deeper than 2 ** {graph.MAX_ROUNDS}")
