@@ -111,9 +111,16 @@ def stored_input_order(spark, d):
     return text.input_order(found, stored)
 
 
-@query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS file")
+@query("""WITH f AS (SELECT coalesce(source, 'none') || CASE WHEN hash % 2 = 0 THEN '.faa' ELSE '.txt' END AS file, value FROM (
+    SELECT source, ascii(right(coalesce(source, 'none'), 1)) AS hash, 'd' || doc_id AS value FROM documents))
+  SELECT file, sum(length(value) + 1)::BIGINT AS length FROM f WHERE file LIKE '%.faa' GROUP BY file""")
 def input_files(spark, d):
-    return text.files(spark, f"{d}/*", r"\.parquet$").select("file")
+    """Documents written to a file a source, of two kinds; the files of one kind are found again, with their sizes."""
+    source = F.coalesce("source", F.lit("none"))
+    kind = F.when(F.ascii(F.right(source, F.lit(1))) % 2 == 0, ".faa").otherwise(".txt")
+    rows = V.table(spark, d, "documents").select(F.concat(source, kind).alias("file"), F.col("doc_id").alias("ord"), F.concat(F.lit("d"), "doc_id").alias("value"))
+    folder = sinks.write_reports(rows, _folder(spark, "inputs"))
+    return text.files(spark, folder, r"\.faa$", r"/file=([^/]+)/[^/]+$")
 
 
 @query("""WITH l AS (SELECT * FROM (VALUES (1, 'fr'), (2, 'en'), (3, 'es')) AS t(ord, taxon))
@@ -146,11 +153,23 @@ def coding_sequence_check(spark, d):
     return s.select("seq_id", text.whole_codons(F.col("dna")).alias("whole"), S.translate(F.col("dna")).alias("protein"), text.bad_cds(F.col("dna")).alias("bad"))
 
 
-@query(f"""WITH s AS (SELECT p_partkey AS seq_id, {_DNA.format("p_partkey")} AS dna FROM part), p AS (SELECT *, array_to_string(list_transform(range(0, 10), lambda i: ({R.CODON_MAP})[substr(dna, 3 * i + 1, 3)]), '') AS protein FROM s)
-  SELECT bool_and(protein = rtrim(protein, '*') OR protein <> '') AS agree FROM p""")
+_TWIN_SQL = f"""s AS (SELECT p_partkey AS i, p_size AS file, {_DNA.format("p_partkey")} AS dna FROM part), p AS (SELECT *, array_to_string(list_transform(range(0, 10), lambda i: ({R.CODON_MAP})[substr(dna, 3 * i + 1, 3)]), '') AS made FROM s),
+  t AS (SELECT i, file, CASE WHEN i % 211 = 7 THEN 'N' || substr(dna, 2) ELSE dna END AS dna, regexp_replace(made, '\\*$', '') AS made,
+        CASE WHEN i % 197 = 5 THEN reverse(made) WHEN i % 211 = 7 THEN 'WWW' WHEN i % 13 = 3 THEN substr(made, 3, 6) WHEN i % 13 = 4 THEN 'MK' || regexp_replace(made, '\\*$', '') || 'K' WHEN i % 1999 = 9 THEN '' ELSE made END AS given FROM p),
+  u AS (SELECT *, regexp_replace(given, '\\*$', '') AS g FROM t WHERE i % 1801 <> 11)"""
+
+
+@query(f"""WITH {_TWIN_SQL}, k AS (SELECT s.file, coalesce((contains(u.made, g) AND g <> '') OR (contains(g, u.made) AND u.made <> '') OR u.made = g OR contains(u.dna, 'N'), false) AS same FROM s LEFT JOIN u ON u.i = s.i)
+  SELECT file, bool_and(same) AS agree FROM k GROUP BY file""")
 def twin_files_agree(spark, d):
-    s = V.table(spark, d, "part").select(F.col("p_partkey").alias("place"), _dna(F.col("p_partkey")).alias("seq"))
-    return Q.twins_agree(s, s.select("place", S.translate(F.col("seq")).alias("seq")))
+    """Files of coding sequences by size, and of proteins: some turned round, cut, longer, empty or missing, some with N."""
+    i = F.col("place")
+    s = V.table(spark, d, "part").select(F.col("p_size").alias("file"), F.col("p_partkey").alias("place"), _dna(F.col("p_partkey")).alias("dna"))
+    made = S.translate(F.col("dna"))
+    bare = F.regexp_replace(made, r"\*$", "")
+    given = F.when(i % 197 == 5, F.reverse(made)).when(i % 211 == 7, "WWW").when(i % 13 == 3, F.substring(made, 3, 6)).when(i % 13 == 4, F.concat(F.lit("MK"), bare, F.lit("K"))).when(i % 1999 == 9, "").otherwise(made)
+    nt = s.select("file", "place", F.when(i % 211 == 7, F.concat(F.lit("N"), F.substring("dna", 2, 40))).otherwise(F.col("dna")).alias("seq"))
+    return Q.twins_agree(nt, s.filter(i % 1801 != 11).select("file", "place", given.alias("seq")), "file")
 
 
 @query(f"""WITH m AS (SELECT l_orderkey AS gene, l_linenumber AS isoform, string_agg({_DNA.format("l_partkey")}, '' ORDER BY l_partkey) AS seq FROM lineitem GROUP BY ALL)

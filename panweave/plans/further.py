@@ -300,9 +300,11 @@ def growth_fits(spark, d):
 
 @query()
 def occupancy_mixture(spark, d):
-    """Binomial mixtures of two to four components over the occupancy histogram (one row a taxon)."""
+    """Binomial mixtures of two to ten components (or as many as taxa) over the occupancy histogram (one row a taxon); the
+    one of the least BIC is chosen."""
     hist = [r["n"] for r in M.occupancy_histogram(V.pangenome(spark, d)).orderBy("occ").collect()]
-    rows = [(k, name, float(v)) for k in (2, 3, 4) for name, v in models.binomial_mixture(hist, k).items()]
+    fits = models.binomial_mixtures(hist)
+    rows = [(f["components"], name, float(v)) for f in fits for name, v in f.items()]
     return spark.createDataFrame(rows, "components int, parameter string, value double")
 
 
@@ -322,15 +324,6 @@ def private_variants(spark, d):
     return A.private_variants(_sixes(spark, d), ["0", "1", "2"], ["3", "4", "5"])
 
 
-@query(f"""WITH {_SIX_SQL}, t AS (SELECT *, name::INT % 3 AS taxon, length(replace(seq, '-', '')) AS n, length(regexp_extract(seq, '^(-*)', 1)) AS lead, length(regexp_extract(seq, '(-*)$', 1)) AS tail FROM msa),
-  l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aln, taxon ORDER BY n DESC, name) AS k FROM t) WHERE k = 1), b AS (SELECT aln, max(lead) AS lo, min(length(seq) - tail) AS hi FROM l GROUP BY aln HAVING min(length(seq) - tail) - max(lead) >= 20),
-  c AS (SELECT t.aln, taxon, name, substr(seq, lo + 1, hi - lo) AS seq FROM t JOIN b ON b.aln = t.aln)
-  SELECT aln, taxon::VARCHAR AS taxon, min(name) AS name, seq FROM c WHERE 2 * length(replace(seq, '-', '')) >= length(seq) GROUP BY ALL""")
-def common_blocks(spark, d):
-    m = _sixes(spark, d).withColumn("taxon", (F.col("name").cast("int") % 3).cast("string"))
-    return A.common_block(m, 20).select("aln", "taxon", "name", "seq")
-
-
 @query()
 def collapsed_fragments(spark, d):
     """Fragments of one taxon in one alignment, joined where they overlap: halves of each sequence come together again."""
@@ -366,10 +359,11 @@ def taxon_trees(spark, d):
 
 @query()
 def gap_statistic(spark, d):
-    """Gap statistic of the taxa, as points in the plane of their first principal coordinates."""
+    """Gap statistic of the taxa, as points of all their principal coordinates."""
     _, distance = _taxa_matrix(spark, d)
     n = len(distance)
     centre = np.eye(n) - 1 / n
     value, vector = np.linalg.eigh(-centre @ distance**2 @ centre / 2)
-    points = vector[:, -2:] * np.sqrt(np.maximum(value[-2:], 0))
+    real = value > 1e-9 * max(value.max(), 1e-300)
+    points = vector[:, real] * np.sqrt(value[real])
     return spark.createDataFrame(models.gap_statistic(points, min(8, n - 1)), "k int, gap double, error double")
