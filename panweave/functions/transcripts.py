@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -54,31 +55,92 @@ def orfs(seqs: DataFrame, least: int = 50, longest_only: bool = False) -> DataFr
     return seqs.select("seq_id", "seq").mapInPandas(run, "seq_id long, strand int, start int, end int, type string, protein string")
 
 
-def longest_common(a: str, b: str) -> tuple[int, int, int]:
-    """(length, start in a, start in b) of the longest common substring, the first in a on ties."""
-    best, before = (0, 0, 0), [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        row = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            if x == y:
-                row[j] = before[j - 1] + 1
-                if row[j] > best[0]:
-                    best = row[j], i - row[j], j - row[j]
-        before = row
+def _codes(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int64) for x in (a, b))
+
+
+def _by_cells(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """A row of the table of common suffixes at a time, with wildcards: * in the first, N in the second."""
+    best, row = (0, 0, 0), np.zeros(len(y) + 1, np.int64)
+    free = y == ord("N")
+    for i, c in enumerate(x.tolist()):
+        row[1:] = np.where((y == c) | free | (c == ord("*")), row[:-1] + 1, 0)
+        j = int(row.argmax())
+        if row[j] > best[0]:
+            best = int(row[j]), i + 1 - int(row[j]), j - int(row[j])
     return best
 
 
+def longest_common(a: str, b: str, wild: bool = False) -> tuple[int, int, int]:
+    """(length, start in a, start in b) of the longest common substring, the first in a, then in b, on ties.
+
+    Both are numbered together by prefix doubling: runs of 2 ** k letters are equal if their numbers are, so runs of any
+    length are equal if two overlapping ones are, and the length is found by bisection. wild: * in a and N in b stand for
+    any letter; then the table of common suffixes is gone through a row at a time.
+    """
+    if not a or not b:
+        return 0, 0, 0
+    x, y = _codes(a, b)
+    if wild and ("*" in a or "N" in b):
+        return _by_cells(x, y)
+    text = np.concatenate((x, [-1], y, [-2]))
+    ranks, n = [np.unique(text, return_inverse=True)[1]], len(x)
+    most = min(n, len(y))
+    while 2 << (len(ranks) - 1) <= most:
+        half, w = ranks[-1], 1 << (len(ranks) - 1)
+        key = half[:-w] * (len(text) + 1) + half[w:]
+        ranks.append(np.unique(key, return_inverse=True)[1])
+
+    def places(length: int) -> tuple[np.ndarray, np.ndarray]:
+        k = length.bit_length() - 1
+        r = ranks[k]
+        end = len(text) - length + 1
+        key = r[:end] * (len(text) + 1) + r[length - (1 << k) : length - (1 << k) + end]
+        return key[: n - length + 1], key[n + 1 : n + 1 + len(y) - length + 1]
+
+    low, high = 0, most
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if np.isin(*places(mid)).any() else (low, mid - 1)
+    if not low:
+        return 0, 0, 0
+    left, right = places(low)
+    i = int(np.flatnonzero(np.isin(left, right))[0])
+    return low, i, int(np.flatnonzero(right == left[i])[0])
+
+
+def cds_consensus(first: str, second: str, labels: tuple[str, str] = ("first", "second"), priority: int = 1, overlap: int = 90) -> tuple[str, str]:
+    """Two predictions of one coding sequence as one, and how it came about.
+
+    With a common stretch of at least `overlap` letters: one goes on where the other ends (`a.b`), or holds the other
+    (`a<b`), or they differ beside it (`-mismatches`); without, `-noover`. In the last two cases the one of priority (1 or
+    2) stands. N in the second and * in the first match any letter.
+    """
+    n, i, j = longest_common(first, second, True)
+    one, two = labels
+    if n >= overlap and n:
+        if i + n == len(first) and j == 0:
+            return first[:i] + second, f"{one}.{two}"
+        if i == 0 and j + n == len(second):
+            return second + first[n:], f"{two}.{one}"
+        if j == 0 and j + n == len(second):
+            return first, f"{one}<{two}"
+        if i == 0 and i + n == len(first):
+            return second, f"{two}<{one}"
+    note = "mismatches" if n >= overlap and n else "noover"
+    return (first, f"{one}-{note}") if priority == 1 else (second, f"{two}-{note}")
+
+
 def consensus(first: str, second: str, overlap: int) -> str:
-    """Two predictions of one coding sequence merged: one inside the other gives the longer, an overlap of at least
-    `overlap` at their ends joins them, and else the first, which has priority, stands."""
-    if not first or not second:
-        return first or second
-    if first in second:
-        return second
-    if second in first:
-        return first
-    for a, b in ((first, second), (second, first)):
-        n, i, j = longest_common(a, b)
-        if n >= overlap and i + n == len(a) and j == 0:
-            return a + b[n:]
-    return first
+    """The sequence of cds_consensus() in which the first has priority; one that is empty gives way to the other."""
+    return cds_consensus(first, second, overlap=overlap)[0] if first and second else first or second
+
+
+def consensus_of(pairs: DataFrame, labels: tuple[str, str] = ("transdecoder", "blastx"), priority: int = 2, overlap: int = 90) -> DataFrame:
+    """pairs(id, first, second) -> (id, seq, evidence); a null prediction leaves the other as it is, without evidence."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(i, *(cds_consensus(a, b, labels, priority, overlap) if a and b else (a or b, None))) for i, a, b in zip(p.id, p["first"], p["second"], strict=True)]
+            yield pd.DataFrame(rows, columns=["id", "seq", "evidence"])
+
+    return pairs.select("id", "first", "second").mapInPandas(run, f"id {pairs.schema['id'].dataType.simpleString()}, seq string, evidence string")

@@ -11,15 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panweave.functions import sequences as S
+from panweave.operators.ranks import ranked
 from panweave.tables import Tables
 
 
 def number(records: DataFrame, order: list[str]) -> DataFrame:
-    """seq_id 1..N in input order. Two levels: a row number inside a file plus the records of the files before it."""
-    inside = F.row_number().over(W.partitionBy("file").orderBy(*order))
-    sizes = records.groupBy("file", "ord").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("file", F.coalesce(F.sum("n").over(W.orderBy("ord", "file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    return records.withColumn("_i", inside).join(before, "file").withColumn("seq_id", (F.col("begin") + F.col("_i")).cast("long")).drop("_i", "begin")
+    """seq_id 1..N in input order: by ord and file, then by `order` inside a file, which may be of any size."""
+    return ranked(Tables(records.sparkSession, "numbers"), records, [], ["ord", "file", *order], "seq_id")
 
 
 def taxon_ranges(seqs: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panweave.functions.models import fisher
+from panweave.operators.ranks import ranked
+from panweave.tables import Tables
 
 
 def enrichment_counts(experiment: DataFrame, control: DataFrame, per: str = "cluster") -> DataFrame:
@@ -50,18 +52,13 @@ def enrichment(counts: DataFrame, alternative: str = "greater", cutoff: float =
 
 
 def score_bins(first: DataFrame, bin_size: int, top_percent: float) -> DataFrame:
-    """Per bin of `bin_size` hits in order of length product, the best top_percent by bits."""
-    # a global rank in two levels: counts of narrow ranges of the product give offsets, row numbers the rest
-    ranged = first.withColumn("_range", F.floor(F.log("lp") * 32))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    place = F.row_number().over(W.partitionBy("_range").orderBy("lp", "q", "s")) - 1
-    ranked = ranged.withColumn("_place", place).join(starts, "_range").withColumn("_place", F.col("_place") + F.col("_begin"))
-    binned = ranked.withColumn("bin", F.floor(F.col("_place") / bin_size)).drop("_range", "_begin", "_place")
+    """Per bin of `bin_size` hits in order of length product, the best top_percent by bits; however many products are equal,
+    no task holds more than a range of hits."""
+    placed = ranked(Tables(first.sparkSession, "bins"), first, [], ["lp", "q", "s"], "_place")
+    binned = placed.withColumn("bin", F.floor((F.col("_place") - 1) / bin_size)).drop("_place")
     inside = W.partitionBy("bin")
-    ranked = binned.withColumns({"r": F.row_number().over(inside.orderBy(F.desc("bits"), "q", "s")), "k": F.count(F.lit(1)).over(inside)})
-    return ranked.filter(F.col("r") <= F.greatest(F.floor(F.col("k") * top_percent / 100), F.lit(1))).drop("r", "k")
+    top = binned.withColumns({"r": F.row_number().over(inside.orderBy(F.desc("bits"), "q", "s")), "k": F.count(F.lit(1)).over(inside)})
+    return top.filter(F.col("r") <= F.greatest(F.floor(F.col("k") * top_percent / 100), F.lit(1))).drop("r", "k")
 
 
 def bin_size(hits: int) -> int:

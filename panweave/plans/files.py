@@ -18,6 +18,7 @@ from panweave.operators import intervals as I
 from panweave.operators import matrix as M
 from panweave.operators import sequences as Q
 from panweave.plans import registry as R
+from panweave.operators.ranks import ranked
 from panweave.plans import views as V
 from panweave.plans.registry import query
 from panweave.sources import genbank, sinks, text
@@ -444,20 +445,28 @@ def presence_csv_lines(spark, d):
     return sinks.presence_csv(V.pangenome(spark, d)).select("value")
 
 
-@query(f"""WITH {_C}, n AS (SELECT DISTINCT seq_id, taxon FROM clusters), s AS (SELECT taxon, string_agg('<gene id="' || seq_id || '" protId="p&amp;' || seq_id || '"/>', '' ORDER BY seq_id) AS g FROM n GROUP BY taxon),
-  r AS (SELECT cluster_id, string_agg('<geneRef id="' || seq_id || '"/>', '' ORDER BY seq_id) AS r FROM clusters GROUP BY cluster_id)
-  SELECT sha256('<?xml version="1.0" encoding="utf-8"?><orthoXML xmlns="http://orthoXML.org/2011/" version="0.3" origin="panweave" originVersion="1">' || (SELECT string_agg('<species name="' || taxon || '"><database name="' || taxon || '"><genes>' || g || '</genes></database></species>', '' ORDER BY taxon) FROM s)
-    || '<groups>' || (SELECT string_agg('<orthologGroup id="' || cluster_id || '">' || r || '</orthologGroup>', '' ORDER BY cluster_id) FROM r) || '</groups></orthoXML>') AS digest""")
+@query(f"""WITH {_C}, n AS (SELECT DISTINCT seq_id, taxon FROM clusters), t AS (SELECT DISTINCT taxon FROM n), g AS (SELECT DISTINCT cluster_id FROM clusters),
+  x AS (SELECT 0 AS section, '' AS taxon, 0 AS cluster, 0 AS step, 0 AS seq, '<?xml version="1.0" encoding="utf-8"?><orthoXML xmlns="http://orthoXML.org/2011/" version="0.3" origin="panweave" originVersion="1">' AS value
+    UNION ALL SELECT 1, taxon, 0, 0, 0, '<species name="' || taxon || '"><database name="' || taxon || '"><genes>' FROM t
+    UNION ALL SELECT 1, taxon, 0, 1, seq_id, '<gene id="' || seq_id || '" protId="p&amp;' || seq_id || '"/>' FROM n
+    UNION ALL SELECT 1, taxon, 0, 2, 0, '</genes></database></species>' FROM t
+    UNION ALL SELECT 2, '', 0, 0, 0, '<groups>'
+    UNION ALL SELECT 3, '', cluster_id, 0, 0, '<orthologGroup id="' || cluster_id || '">' FROM g
+    UNION ALL SELECT 3, '', cluster_id, 1, seq_id, '<geneRef id="' || seq_id || '"/>' FROM clusters
+    UNION ALL SELECT 3, '', cluster_id, 2, 0, '</orthologGroup>' FROM g
+    UNION ALL SELECT 4, '', 0, 0, 0, '</groups></orthoXML>')
+  SELECT row_number() OVER (ORDER BY section, taxon, cluster, step, seq) AS place, value FROM x""")
 def ortholog_xml(spark, d):
-    c = V.order_clusters(spark, d).withColumn("name", F.concat(F.lit("p&"), "seq_id"))
-    return sinks.orthoxml(c).select(F.sha2("value", 256).alias("digest"))
+    c = Tables(spark, "orthologs").save(V.order_clusters(spark, d).withColumn("name", F.concat(F.lit("p&"), "seq_id")))
+    return ranked(Tables(spark, "lines"), sinks.orthoxml(c), [], ["ord", "value"], "place").select("place", "value")
 
 
-@query(f"""WITH s AS (SELECT p_partkey AS i, p_brand AS taxon, {_DNA.format("p_partkey")} AS seq FROM part)
-  SELECT taxon, '<seqXML seqXMLversion="0.4" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:noNamespaceSchemaLocation="http://www.seqxml.org/0.4/seqxml.xsd">' || string_agg('<entry id="&lt;' || i || '" source="' || taxon || '"><DNAseq>' || seq || '</DNAseq></entry>', '' ORDER BY i) || '</seqXML>' AS value FROM s GROUP BY taxon""")
+@query(f"""WITH s AS (SELECT p_partkey AS i, p_brand AS taxon, {_DNA.format("p_partkey")} AS seq FROM part), t AS (SELECT DISTINCT taxon FROM s)
+  SELECT taxon, 0 AS step, 0 AS seq, '<seqXML seqXMLversion="0.4" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:noNamespaceSchemaLocation="http://www.seqxml.org/0.4/seqxml.xsd">' AS value FROM t
+  UNION ALL SELECT taxon, 1, i, '<entry id="&lt;' || i || '" source="' || taxon || '"><DNAseq>' || seq || '</DNAseq></entry>' FROM s UNION ALL SELECT taxon, 2, 0, '</seqXML>' FROM t""")
 def sequence_xml(spark, d):
     p = V.table(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_brand").alias("taxon"), F.concat(F.lit("<"), "p_partkey").alias("name"), _dna(F.col("p_partkey")).alias("seq"))
-    return sinks.seqxml(p, "DNAseq")
+    return sinks.seqxml(p, "DNAseq").select("taxon", "ord.step", "ord.seq", "value")
 
 
 @query(f"""WITH {V.PAN_SQL}, t AS (SELECT DISTINCT taxon FROM pan), z AS (SELECT taxon, sum(n) AS total FROM pan GROUP BY ALL),

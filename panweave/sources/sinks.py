@@ -122,23 +122,47 @@ def _xml(c: Column) -> Column:
 
 
 def orthoxml(clusters: DataFrame, origin: str = "panweave") -> DataFrame:
-    """One XML text: species with their genes, then ortholog groups. clusters(cluster_id, seq_id, taxon, name)."""
-    esc = _xml
-    gene = F.concat(F.lit('<gene id="'), F.col("seq_id").cast("string"), F.lit('" protId="'), esc(F.col("name")), F.lit('"/>'))
-    species = clusters.select("seq_id", "taxon", "name").distinct().groupBy("taxon").agg(_ordered("seq_id", gene, "").alias("g")).agg(
-        _ordered("taxon", F.concat(F.lit('<species name="'), esc(F.col("taxon")), F.lit('"><database name="'), esc(F.col("taxon")), F.lit('"><genes>'), "g", F.lit("</genes></database></species>")), "").alias("species"))
-    ref = F.concat(F.lit('<geneRef id="'), F.col("seq_id").cast("string"), F.lit('"/>'))
-    groups = clusters.groupBy("cluster_id").agg(_ordered("seq_id", ref, "").alias("r")).agg(
-        _ordered("cluster_id", F.concat(F.lit('<orthologGroup id="'), F.col("cluster_id").cast("string"), F.lit('">'), "r", F.lit("</orthologGroup>")), "").alias("groups"))
-    return species.crossJoin(groups).select(F.lit(0).alias("ord"), F.concat(F.lit(f'<?xml version="1.0" encoding="utf-8"?><orthoXML xmlns="http://orthoXML.org/2011/" version="0.3" origin="{origin}" originVersion="1">'), "species", F.lit("<groups>"), "groups", F.lit("</groups></orthoXML>")).alias("value"))
+    """Lines of one XML text, ord and value: species with their genes, then ortholog groups with theirs, a gene a line.
+
+    clusters(cluster_id, seq_id, taxon, name). ord is (section, taxon, cluster, step, seq), so write_lines() sorts the text
+    by ranges and its parts, of any number, make it in their order; no row holds more than one gene.
+    """
+    def line(section: int, step: int, value: Column, taxon: str | None = None, cluster: str | None = None, seq: str | None = None) -> list[Column]:
+        at = F.struct(F.lit(section).alias("section"), (F.col(taxon) if taxon else F.lit("")).alias("taxon"), (F.col(cluster) if cluster else F.lit(0)).cast("long").alias("cluster"), F.lit(step).alias("step"), (F.col(seq) if seq else F.lit(0)).cast("long").alias("seq"))
+        return [at.alias("ord"), value.alias("value")]
+
+    genes = clusters.select("seq_id", "taxon", "name").distinct()
+    taxa, groups = genes.select("taxon").distinct(), clusters.select("cluster_id").distinct()
+    one = clusters.sparkSession.range(1)
+    id_ = F.col("seq_id").cast("string")
+    parts = [
+        one.select(*line(0, 0, F.lit(f'<?xml version="1.0" encoding="utf-8"?><orthoXML xmlns="http://orthoXML.org/2011/" version="0.3" origin="{origin}" originVersion="1">'))),
+        taxa.select(*line(1, 0, F.concat(F.lit('<species name="'), _xml(F.col("taxon")), F.lit('"><database name="'), _xml(F.col("taxon")), F.lit('"><genes>')), "taxon")),
+        genes.select(*line(1, 1, F.concat(F.lit('<gene id="'), id_, F.lit('" protId="'), _xml(F.col("name")), F.lit('"/>')), "taxon", seq="seq_id")),
+        taxa.select(*line(1, 2, F.lit("</genes></database></species>"), "taxon")),
+        one.select(*line(2, 0, F.lit("<groups>"))),
+        groups.select(*line(3, 0, F.concat(F.lit('<orthologGroup id="'), F.col("cluster_id").cast("string"), F.lit('">')), cluster="cluster_id")),
+        clusters.select(*line(3, 1, F.concat(F.lit('<geneRef id="'), id_, F.lit('"/>')), cluster="cluster_id", seq="seq_id")),
+        groups.select(*line(3, 2, F.lit("</orthologGroup>"), cluster="cluster_id")),
+        one.select(*line(4, 0, F.lit("</groups></orthoXML>"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def seqxml(members: DataFrame, tag: str = "AAseq") -> DataFrame:
-    """One SeqXML text a taxon: members(seq_id, taxon, name, seq) as entries in order of their ids."""
+    """Lines of a SeqXML text a taxon, (taxon, ord, value): members(seq_id, taxon, name, seq) as an entry a line, by ids.
+
+    ord is (step, seq_id); a taxon's lines in its order are its text.
+    """
     entry = F.concat(F.lit('<entry id="'), _xml(F.col("name")), F.lit('" source="'), _xml(F.col("taxon")), F.lit(f'"><{tag}>'), "seq", F.lit(f"</{tag}></entry>"))
-    body = members.groupBy("taxon").agg(_ordered("seq_id", entry, "").alias("v"))
     head = '<seqXML seqXMLversion="0.4" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:noNamespaceSchemaLocation="http://www.seqxml.org/0.4/seqxml.xsd">'
-    return body.select("taxon", F.concat(F.lit(head), "v", F.lit("</seqXML>")).alias("value"))
+    taxa = members.select("taxon").distinct()
+    at = lambda step, seq: F.struct(F.lit(step).alias("step"), seq.cast("long").alias("seq")).alias("ord")
+    ends = [taxa.select("taxon", at(k, F.lit(0)), F.lit(v).alias("value")) for k, v in ((0, head), (2, "</seqXML>"))]
+    return members.select("taxon", at(1, F.col("seq_id")), entry.alias("value")).unionByName(ends[0]).unionByName(ends[1])
 
 
 def genbank_lines(features: DataFrame, contigs: DataFrame) -> DataFrame:

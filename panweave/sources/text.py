@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 
 from panweave.config import HSPS
 from panweave.functions import sequences as S
+from panweave.operators.ranks import ranked
+from panweave.tables import Tables
 
 
 def base_name(path: Column) -> Column:
@@ -88,11 +90,9 @@ def by_taxon(records: DataFrame) -> DataFrame:
     one word. Nucleotide sequences are left out.
     """
     own = records.withColumn("taxon", S.taxon_of(F.col("header"), True)).filter(F.col("taxon").isNotNull() & ~S.is_nucleotide(F.col("seq")))
-    sizes = own.groupBy("taxon").agg(F.count(F.lit(1)).alias("n"))  # one row a taxon
-    along = W.orderBy("taxon")
-    sizes = sizes.select("taxon", F.row_number().over(along).alias("ord"), (F.sum("n").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("begin"))
-    inside = F.row_number().over(W.partitionBy("taxon").orderBy("pos", "header"))
-    return own.withColumn("i", inside).join(sizes, "taxon").select("taxon", "ord", (F.col("begin") + F.col("i")).cast("long").alias("seq_id"), "header", "seq")
+    taxa = own.select("taxon").distinct().select("taxon", F.row_number().over(W.orderBy("taxon")).alias("ord"))  # one row a taxon
+    placed = ranked(Tables(records.sparkSession, "taxa"), own, [], ["taxon", "pos", "header"], "seq_id")
+    return placed.join(taxa, "taxon").select("taxon", "ord", "seq_id", "header", "seq")
 
 
 def isoforms(spark: SparkSession, path: str | list[str]) -> DataFrame:

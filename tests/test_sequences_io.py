@@ -1,5 +1,7 @@
 """Sequence functions, alignments, sources and sinks."""
 
+from xml.etree import ElementTree
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,7 +171,13 @@ def test_input_order_and_sinks(spark, tmp_path):
     sinks.write_cluster_fasta(members, f"file://{tmp_path}/fa")
     assert (tmp_path / "fa" / "name=c1").is_dir()
     c = spark.createDataFrame([(1, 1, "A & B", "x<y")], "cluster_id long, seq_id long, taxon string, name string")
-    assert "A &amp; B" in sinks.orthoxml(c).first()["value"]
+    sinks.write_lines(sinks.orthoxml(c.unionByName(c.selectExpr("2L AS cluster_id", "2L AS seq_id", "'B' AS taxon", "'z' AS name"))), f"file://{tmp_path}/xml")
+    whole = ElementTree.fromstring("".join(f.read_text() for f in sorted((tmp_path / "xml").glob("part-*"))))
+    name = "{http://orthoXML.org/2011/}"
+    assert [s.get("name") for s in whole.iter(f"{name}species")] == ["A & B", "B"] and [g.get("protId") for g in whole.iter(f"{name}gene")] == ["x<y", "z"]
+    assert [[r.get("id") for r in g] for g in whole.iter(f"{name}orthologGroup")] == [["1"], ["2"]]
+    rows = sinks.seqxml(spark.createDataFrame([(2, "A", "b", "MK"), (1, "A", "a", "WW")], "seq_id long, taxon string, name string, seq string")).orderBy("taxon", "ord").collect()
+    assert [e.get("id") for e in ElementTree.fromstring("".join(r["value"] for r in rows))] == ["a", "b"]
 
 
 def test_statistics(spark):
