@@ -361,10 +361,14 @@ def interval_union_length(spark, d):
   SELECT q, s, 1.0::DOUBLE / (kept[1].id + 1) AS evalue, round(list_sum(list_transform(kept, lambda k: (k.b - k.a)::DOUBLE)) / len(kept), 2) AS pident, round_even(100.0::DOUBLE * span / 2700000, 0) AS qcov, round_even(100.0::DOUBLE * span / 2700000, 0) AS scov,
     2700000 AS qlen, 2700000 AS slen, array_to_string(list_transform(kept, lambda k, i: i || ':' || k.a || '-' || k.b || ':' || k.a || '-' || k.b || '.'), '') AS simspan, list_sum(list_transform(kept, lambda k: k.id::DOUBLE)) AS bits FROM z""")
 def hsp_fold(spark, d):
+    return I.fold_hsps(segments(spark, d))
+
+
+def segments(spark, d):
+    """Events as segments: users as queries, residues of five as subjects."""
     iv = V.intervals(spark, d)
-    seg = iv.select(F.col("user_id").alias("q"), (F.col("event_id") % 5).alias("s"), (F.col("end") - F.col("start")).cast("double").alias("pident"), F.lit(0).alias("alen"), F.lit(2_700_000).alias("qlen"), F.lit(2_700_000).alias("slen"),
+    return iv.select(F.col("user_id").alias("q"), (F.col("event_id") % 5).alias("s"), (F.col("end") - F.col("start")).cast("double").alias("pident"), F.lit(0).alias("alen"), F.lit(2_700_000).alias("qlen"), F.lit(2_700_000).alias("slen"),
                     F.col("start").cast("int").alias("qs"), F.col("end").cast("int").alias("qe"), F.col("start").cast("int").alias("ss"), F.col("end").cast("int").alias("se"), (F.lit(1.0) / (F.col("event_id") + 1)).alias("evalue"), F.col("event_id").cast("double").alias("bits"))
-    return I.fold_hsps(seg)
 
 
 @query(f"""WITH {V.ALIGNMENT_SQL}, n AS (SELECT aln, pos, ch, count(*) AS n FROM ch GROUP BY ALL)
