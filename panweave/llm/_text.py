@@ -19,8 +19,9 @@ import pyarrow as pa
 #: most n bytes have one hash for at most n of the 2**61 bases, however regular they are.
 _PRIME = (1 << 61) - 1
 _BASE = 1_318_271_440_092_874_693
-#: Bytes hashed at a time; tables of powers have this length.
+#: Bytes hashed at a time; tables of powers have this length. Longer documents are cut into pieces.
 _PIECE = 1 << 18
+_LONG = 1 << 23
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -64,10 +65,11 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (murmur style): spreads the sum over all bits."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 @dataclass
@@ -112,6 +114,11 @@ def chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[Chunk]:
 
 
 def words(data: np.ndarray, bounds: np.ndarray) -> Words:
+    """The words of a chunk; those of a long document that is alone in it are found piece by piece."""
+    if len(bounds) == 2 and len(data) > _LONG:
+        parts = [(a, words(data[a:b], np.array([0, b - a]))) for a, b in pieces(data)]
+        start, end = (np.concatenate([getattr(w, side) + a for a, w in parts]) for side in ("start", "end"))
+        return Words(start, end, np.array([0, len(start)]))
     n = len(data)
     ink = np.empty(n + 2, bool)
     ink[0] = ink[-1] = False
@@ -133,7 +140,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     Prefix sums are taken over pieces of bounded size; only spans over a border between pieces need the sums before it.
     """
     low, high, inverse = _powers()
-    size, n = np.uint64(_PIECE), -(-len(data) // _PIECE)
+    n = -(-len(data) // _PIECE)
     at_start, at_end = np.zeros(len(start), np.uint64), np.zeros(len(end), np.uint64)
     before = [0]  # the sum of all earlier pieces
     for k in range(n):
@@ -150,17 +157,21 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
             out[some] = _reduce(_shift31(sums[1][here]) + sums[0][here])
         whole = int(sums[0][-1]) + (int(sums[1][-1]) << 31)
         before.append((before[-1] + whole * pow(_BASE, a, _PRIME)) % _PRIME)
-    first, last = start.astype(np.uint64) // size, np.maximum(end - 1, 0).astype(np.uint64) // size
-    over = np.flatnonzero(first != last)
-    out = _times(_reduce(at_end + _P - at_start), inverse[start % _PIECE]) if len(start) else at_start
-    if len(over):
-        base = np.array([pow(_BASE, k * _PIECE, _PRIME) for k in range(n)], np.uint64)
-        back = np.array([pow(_BASE, -k * _PIECE, _PRIME) for k in range(n)], np.uint64)
-        sums = np.array(before, np.uint64)
-        i, j = first[over], last[over]
-        far = _reduce(_times(at_end[over], base[j]) + sums[j] + (_P - _times(at_start[over], base[i])) + (_P - sums[i]))
-        out[over] = _times(_times(far, back[i]), inverse[start[over] % _PIECE])
-    return mix(out)
+    base = np.array([pow(_BASE, k * _PIECE, _PRIME) for k in range(n)], np.uint64)
+    back = np.array([pow(_BASE, -k * _PIECE, _PRIME) for k in range(n)], np.uint64)
+    sums = np.array(before, np.uint64)
+    out = np.empty(len(start), np.uint64)
+    for a in range(0, len(start), _PIECE):
+        b, e, s, t = start[a : a + _PIECE], end[a : a + _PIECE], at_start[a : a + _PIECE], at_end[a : a + _PIECE]
+        h = _times(_reduce(t + _P - s), inverse[b % _PIECE])
+        i, j = b // _PIECE, np.maximum(e - 1, 0) // _PIECE
+        over = np.flatnonzero(i != j)
+        if len(over):
+            i, j = i[over], j[over]
+            far = _reduce(_times(t[over], base[j]) + sums[j] + (_P - _times(s[over], base[i])) + (_P - sums[i]))
+            h[over] = _times(_times(far, back[i]), inverse[b[over] % _PIECE])
+        out[a : a + _PIECE] = mix(h)
+    return out
 
 
 _SHINGLE = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(64)]

@@ -15,7 +15,7 @@ come twice, known after four doublings, have no run and no tree.
 
 Defined cases: a null, empty or wordless text has no words and no run; with a null id nothing is planted by the query;
 repeated rows are judged alike; of runs with the greatest exponent the first is returned, then the shorter period; other
-columns are ignored. A very long text is a chunk of its own and takes about 60 bytes a word.
+columns are ignored. A very long text is a chunk of its own and takes about 190 bytes a word (40 MB of text: 1.3 GB).
 """
 
 from __future__ import annotations

@@ -57,6 +57,8 @@ class Features:
 
     def take(self, keep: np.ndarray) -> Features:
         """The documents at `keep`; places of words and lines move down by the bytes left out before them."""
+        if keep.all():
+            return self
         sizes = np.diff(self.bounds)
         out = Features(self.data[np.repeat(keep, sizes)], np.concatenate(([0], np.cumsum(sizes[keep]))), {k: v[keep] for k, v in self.known.items()})
         gone = np.cumsum(np.where(keep, 0, sizes))  # up to and with each document
@@ -108,8 +110,11 @@ class Features:
         return self._per_doc(_SYMBOL[self.data], self.bounds)
 
     def _n_alpha_words(self) -> np.ndarray:
-        sums = np.concatenate(([0], np.cumsum(_LETTER[self.data], dtype=np.int64)))
-        return self._per_doc(sums[self.words.end] > sums[self.words.start], self.words.bounds)
+        w = self.words
+        edges = np.empty(2 * len(w.start), np.int64)
+        edges[::2], edges[1::2] = w.start, w.end
+        some = np.logical_or.reduceat(np.append(_LETTER[self.data], False), edges)[::2] if len(edges) else np.zeros(0, bool)
+        return self._per_doc(some, w.bounds)
 
     def _n_stutter_words(self) -> np.ndarray:
         """Words equal to the word before them in the same document."""
@@ -156,20 +161,21 @@ class Features:
             doc = np.searchsorted(w.bounds, at, side="right") - 1
             key = _text.mix(key[at] ^ _text.mix(doc.astype(np.uint64) + np.uint64(1)))
         ordered = np.sort(key)
-        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         del ordered
-        twice = np.unique(twice)
         if not len(twice):
             return np.zeros(len(self), np.int64)
-        place = np.searchsorted(twice, key)
-        place[place == len(twice)] = 0
-        hit = np.flatnonzero(twice[place] == key)
-        del place, key
+        held = np.empty(len(key), bool)
+        for a in range(0, len(key), 1 << 18):
+            part = key[a : a + (1 << 18)]
+            held[a : a + len(part)] = twice[np.minimum(np.searchsorted(twice, part), len(twice) - 1)] == part
+        hit = np.flatnonzero(held)
+        del key, held
         hit = hit if at is None else at[hit]
         cover = np.zeros(len(w.start) + 1, np.int32)
         cover[hit] += 1
         cover[hit + WINDOW] -= 1  # starts are distinct, so plain indexing adds once each
-        return self._per_doc(np.cumsum(cover[:-1]) > 0, w.bounds)
+        return self._per_doc(np.cumsum(cover[:-1], dtype=np.int32) > 0, w.bounds)
 
 
 @dataclass(frozen=True)
