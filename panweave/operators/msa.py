@@ -63,6 +63,7 @@ def diploid_block(msa: DataFrame, roles: DataFrame, min_weight: float = 3, min_l
     stays already has the same columns where it reaches; with isoform, a pattern in names, only the first of each match.
     """
     bases = F.length(F.regexp_replace("seq", "[^ACGTN]", ""))
+    roles = F.broadcast(roles) if roles.count() <= 10_000 else roles  # a row a taxon; a join by taxon would have few tasks
     own = msa.join(roles, "taxon").withColumn("bases", bases)
     order = W.partitionBy("aln", "taxon").orderBy(F.desc("bases"), "name")
     lead = own.filter("role <> 'polyploid'").withColumn("n", F.row_number().over(order)).filter("n = 1")
