@@ -414,7 +414,7 @@ def score_normalisation(spark, d):
 
 
 def _load() -> None:
-    from panweave.plans import analyses, files, filters_and_sinks, further  # noqa: F401  register their queries
+    from panweave.plans import analyses, arrivals, files, filters_and_sinks, further  # noqa: F401  register their queries
 
 
 _load()

@@ -64,6 +64,10 @@ class Tables:
         for t in tables:
             _remove(self.spark, t._panweave_path)
 
+    def clear(self) -> None:
+        """Removes all tables and folders of this label; for work whose result lies elsewhere."""
+        _remove(self.spark, self.root)
+
 
 def _clean() -> None:
     for spark, root in _written:
