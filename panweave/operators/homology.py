@@ -162,16 +162,32 @@ def omcl_edges(hits: DataFrame, cfg: Config) -> DataFrame:
 
 
 def neighbour_correlation(hits: DataFrame, pairs: DataFrame, cfg: Config) -> DataFrame:
-    """Pearson correlation of the rounded log bits of two sequences' hits over the union of their subjects."""
-    base = F.lit(float(cfg.min_bits))
-    scores = hits.groupBy("q", "s").agg(F.max("bits").alias("bits")).select("q", "s", F.bround(F.log10("bits"), 0).alias("v"))
-    left = pairs.select("a", "b").join(scores.withColumnRenamed("q", "a"), "a").withColumnRenamed("v", "va")
-    right = pairs.select("a", "b").join(scores.withColumnRenamed("q", "b"), "b").withColumnRenamed("v", "vb")
-    both = left.join(right, ["a", "b", "s"], "full")
-    missing = F.bround(F.log10(base), 0)
-    both = both.withColumns({"va": F.coalesce("va", missing), "vb": F.coalesce("vb", missing)})
-    r = F.corr("va", "vb")
-    return both.groupBy("a", "b").agg(F.when(r.isNull() | F.isnan(r), F.lit(1.0)).otherwise(r).alias("r"))
+    """Pearson correlation of the rounded log bits of two sequences' hits over the union of their subjects.
+
+    Scores are taken from that of a missing hit on, which moves no correlation and makes the missing ones 0: sums a sequence
+    and the sum of products over shared subjects are all it takes. The shorter profile of a pair is looked up in the other,
+    so a sequence with very many hits is never spread over its pairs with small ones. 1 where a profile doesn't vary; pairs
+    without any hit are left out.
+    """
+    tables = Tables(hits.sparkSession, "profiles")
+    missing = F.bround(F.log10(F.lit(float(cfg.min_bits))), 0)
+    v = F.coalesce(F.bround(F.log10(F.max("bits")), 0) - missing, F.lit(0.0))
+    scores = tables.save(hits.groupBy("q", "s").agg(v.alias("v")))
+    sums = tables.save(scores.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("x"), F.sum(F.col("v") * F.col("v")).alias("xx")))
+    ends = pairs.select("a", "b").distinct()
+    for side in ("a", "b"):
+        ends = ends.join(sums.select(F.col("q").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "x", "xx")]), side, "left")
+    ends = tables.save(ends.na.fill(0).filter("n_a + n_b > 0"))
+    first = F.col("n_a") <= F.col("n_b")
+    asks = ends.filter("n_a > 0 AND n_b > 0").select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("q"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("r"))
+    spread = asks.join(scores.select("q", "s", F.col("v").alias("v1")), "q")
+    met = spread.join(scores.select(F.col("q").alias("r"), "s", F.col("v").alias("v2")), ["r", "s"])
+    shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.sum(F.col("v1") * F.col("v2")).alias("xy"))
+    full = ends.join(shared, ["a", "b"], "left").na.fill(0)
+    n = F.col("n_a") + F.col("n_b") - F.col("both")
+    spread_of = lambda side: n * F.col(f"xx_{side}") - F.col(f"x_{side}") * F.col(f"x_{side}")
+    top, flat = n * F.col("xy") - F.col("x_a") * F.col("x_b"), (spread_of("a") <= 0) | (spread_of("b") <= 0)
+    return full.select("a", "b", F.when(flat, F.lit(1.0)).otherwise(top / F.sqrt(F.greatest(spread_of("a"), F.lit(1.0))) / F.sqrt(F.greatest(spread_of("b"), F.lit(1.0)))).alias("r"))
 
 
 def isoform_pairs(hits: DataFrame, cfg: Config) -> DataFrame:
