@@ -65,6 +65,69 @@ def _minimisers(gram: int, window: int):
     return run
 
 
+#: Bits of the filter that tells which grams of a text are worth a row: 1 MB in 256 rows of bits, whatever the input.
+FILTER_BITS = 1 << 23
+
+
+def _gram_hashes(data: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hash of every gram of that length) for lengths 1 to `longest` bytes; each follows from the one before."""
+    h = np.zeros(len(data) + 1, np.uint64)
+    for length in range(1, min(longest, len(data)) + 1):
+        h = h[: len(data) - length + 1] * np.uint64(0x9E3779B97F4A7C15) + data[length - 1 :] + np.uint64(1)
+        yield length, ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(41)
+
+
+def _whole_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (seq) -> (bit): the place in the filter of each text as one gram."""
+    for batch in batches:
+        bits = []
+        for text in batch.column(0):
+            data = np.frombuffer(text.as_py().encode(), np.uint8).astype(np.uint64)
+            bits.append(int([h for _, h in _gram_hashes(data, len(data))][-1][0]))
+        yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int64())], names=["bit"])
+
+
+def _grams_of(lengths: list[int], wanted: bytes, piece: int = 1 << 20):
+    """Rows (rep, seq) -> (rep, gram): the distinct grams shorter than the text that the filter lets through, a piece at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, longest = np.frombuffer(wanted, np.uint8), max(lengths)
+        for batch in batches:
+            for rep, text in zip(batch.column(0), batch.column(1)):
+                whole = np.frombuffer(text.as_py().encode(), np.uint8)
+                for begin in range(0, len(whole), piece):
+                    part = whole[begin : begin + piece + longest - 1]
+                    grams = []
+                    for length, h in _gram_hashes(part.astype(np.uint64), min(longest, len(whole) - 1)):
+                        if length in lengths:
+                            at = np.flatnonzero((filled[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)
+                            rows = np.lib.stride_tricks.sliding_window_view(part, length)[at]
+                            grams += [g.tobytes() for g in np.unique(np.ascontiguousarray(rows).view(f"V{length}").ravel())]
+                    if grams:
+                        yield pa.RecordBatch.from_arrays([pa.array([rep.as_py()] * len(grams), pa.int64()), pa.array(grams, pa.binary())], names=["rep", "gram"])
+    return run
+
+
+def _containers_of_short(short: DataFrame, texts: DataFrame) -> DataFrame:
+    """short(node, seq), distinct, not empty, below some 23 bytes -> (node, container): an equi-join on grams of their own lengths.
+
+    A filter of fixed size over the short texts leaves out grams that none of them is; the join decides on the bytes. No
+    text leaves its task but for such grams, and minima are taken before the shuffle.
+    """
+    bits = short.select("seq").mapInArrow(_whole_hash, "bit long").distinct()
+    rows = bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    lengths = sorted(r[0] for r in short.select(F.octet_length("seq")).distinct().collect())  # at most 22
+    if not lengths:
+        return short.select("node", F.col("node").alias("container"))
+    filled = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    for r in rows:  # bit k of the filter is in bucket k // 32768 + 1 (0 for k = 0), at (k - 1) % 32768
+        place = np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")).astype(np.int64)
+        k = (r["bucket"] - 1) * 32768 + place + 1 if r["bucket"] > 0 else np.zeros(1, np.int64)
+        np.bitwise_or.at(filled, k >> 3, (1 << (k & 7)).astype(np.uint8))
+    grams = texts.filter(F.octet_length("seq") > lengths[0]).select("rep", "seq").mapInArrow(_grams_of(lengths, filled.tobytes()), "rep long, gram binary")
+    keys = short.select("node", F.encode("seq", "UTF-8").alias("gram"))
+    return grams.join(keys, "gram").groupBy("node").agg(F.min("rep").alias("container"))
+
+
 def contained(seqs: DataFrame, schemes: tuple[tuple[int, int, int, int], ...] = SCHEMES) -> DataFrame:
     """(seq_id, container): sequences that are a proper substring of another, with the smallest id of those that contain them.
 
@@ -72,8 +135,7 @@ def contained(seqs: DataFrame, schemes: tuple[tuple[int, int, int, int], ...] =
     (its minimiser). A text shares all minimisers of its windows with every text that contains it, so the rarest of them
     alone finds all containers by an equi-join, however common the others are; hits are confirmed on the texts. Long
     texts are found by minimisers of wide windows, of which there are few; short ones by those of narrow windows, of
-    which only the short texts' own are moved. Texts too short for a window are tried against all others: the distinct
-    ones are few. Null texts are in nothing and contain nothing; an empty one is in every other.
+    which only the short texts' own are moved. Texts too short for a window meet the grams of their own length. Null texts are in nothing and contain nothing; an empty one is in every other.
     """
     tables = Tables(seqs.sparkSession, "contained")
     own = seqs.filter("seq IS NOT NULL").select(F.col("seq_id").cast("long").alias("seq_id"), "seq", F.xxhash64("seq").alias("h1"), F.xxhash64(F.lit(7), "seq").alias("h2"))
@@ -98,8 +160,9 @@ def contained(seqs: DataFrame, schemes: tuple[tuple[int, int, int, int], ...] =
     inside = (F.length("t") > F.length("s")) & F.contains(F.col("t"), F.col("s"))
     both = found.join(texts.select("node", F.col("seq").alias("s")), "node").join(texts.select(F.col("node").alias("other"), F.col("rep").alias("container"), F.col("seq").alias("t")), "other")
     held = both.filter(inside).select("node", "container")
-    short = texts.filter(size < min(x[2] for x in schemes)).select("node", F.col("seq").alias("s"))
-    tried = texts.select(F.col("rep").alias("container"), F.col("seq").alias("t")).join(short, inside).select("node", "container")
+    short = tables.save(texts.filter((size > 0) & (size < min(x[2] for x in schemes))).select("node", "seq"))
+    empty = texts.filter(size > 0).agg(F.min("rep").alias("container")).filter("container IS NOT NULL")  # one row
+    tried = _containers_of_short(short, texts).unionByName(texts.filter(size == 0).select("node").crossJoin(F.broadcast(empty)))
     first = tables.save(held.unionByName(tried).groupBy("node").agg(F.min("container").alias("container")))
     return own.join(classes.join(first, "node").select("h1", "h2", "container"), ["h1", "h2"]).select("seq_id", "container")
 
