@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +15,10 @@ from panweave.sources.text import base_name, blocks
 
 SCHEMA = ("file string, contig string, organism string, size int, ord int, type string, start int, end int, strand int, "
           "parts array<struct<a:int,b:int,strand:int>>, quals map<string,string>, dna string")
+ARROW = pa.schema([("file", pa.string()), ("contig", pa.string()), ("organism", pa.string()), ("size", pa.int32()), ("ord", pa.int32()), ("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("strand", pa.int32()),
+                   ("parts", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("strand", pa.int32())]))), ("quals", pa.map_(pa.string(), pa.string())), ("dna", pa.string())])
+#: Features, and letters of their sequences, that go back to Spark at a time.
+ROWS, LETTERS = 8192, 1 << 24
 _COMPLEMENT = str.maketrans("acgtACGT", "tgcaTGCA")
 
 
@@ -81,14 +85,20 @@ def parse(text: str) -> Iterator[dict]:
 
 def features(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row a feature; dna is spliced in the order and on the strand of the location, strand -1 if all of it is."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, text in zip(batch["file"], batch["value"], strict=True):
-                rows = pd.DataFrame(parse(text))
-                if len(rows):
-                    yield rows.assign(file=name)[["file", "contig", "organism", "size", "ord", "type", "start", "end", "strand", "parts", "quals", "dna"]]
-
-    return blocks(spark, path, "\n//").select(base_name(F.col("file")).alias("file"), "value").mapInPandas(run, SCHEMA)
+            rows, size = [], 0
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for feature in parse(text):
+                    rows.append({"file": name, **feature, "quals": list(feature["quals"].items())})
+                    size += len(feature["dna"])
+                    if len(rows) >= ROWS or size >= LETTERS:
+                        yield pa.RecordBatch.from_pylist(rows, ARROW)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, ARROW)
+
+    return blocks(spark, path, "\n//").select(base_name(F.col("file")).alias("file"), "value").mapInArrow(run, SCHEMA)
 
 
 def contains_cds(spark: SparkSession, path: str) -> DataFrame:
