@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from panweave.tables import Tables
+
 
 def copy_number(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster_id", "taxon").agg(F.count(F.lit(1)).alias("n"))
@@ -95,11 +97,27 @@ def syntenic(clusters: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 
 def contained_in_one(reference: DataFrame, clusters: DataFrame, member: str = "seq_id") -> DataFrame:
-    """Reference clusters all of whose members are in exactly one cluster: (ref_id, cluster_id)."""
-    size = reference.groupBy("ref_id").agg(F.count_distinct(member).alias("size"))
-    hit = reference.join(clusters.select(member, "cluster_id"), member).groupBy("ref_id", "cluster_id").agg(F.count_distinct(member).alias("n"))
-    full = hit.join(size, "ref_id").filter("n = size")
-    return full.groupBy("ref_id").agg(F.count(F.lit(1)).alias("k"), F.min("cluster_id").alias("cluster_id")).filter("k = 1").drop("k")
+    """Reference clusters all of whose members are in exactly one cluster: (ref_id, cluster_id).
+
+    A cluster that holds them all holds the two that the fewest clusters have, so only the clusters of the rarest member are
+    looked at, those of them that have the next one go on, and the other members are counted in these alone.
+    """
+    tables = Tables(reference.sparkSession, "held")
+    held = tables.save(clusters.select(member, "cluster_id").filter(F.col(member).isNotNull()).distinct())
+    often = held.groupBy(member).agg(F.count(F.lit(1)).alias("_often"))
+    own = reference.select("ref_id", member).filter(F.col(member).isNotNull()).distinct().join(often, member, "left")
+    own = tables.save(own.select("ref_id", member, F.struct(F.coalesce("_often", F.lit(0)).alias("n"), F.col(member).alias("m")).alias("_place")))
+    first = own.groupBy("ref_id").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("size"))
+    later = tables.save(own.join(first, "ref_id"))
+    second = later.filter("_place <> _first").groupBy("ref_id").agg(F.min("_place").alias("_second"))
+    chosen = tables.save(first.join(second, "ref_id", "left").select("ref_id", "size", F.col("_first.m").alias("_one"), F.col("_second.m").alias("_two")))
+    found = chosen.join(held.withColumnRenamed(member, "_one"), "_one").select("ref_id", "size", "_two", "cluster_id")
+    both = tables.save(found.filter("size > 1").join(held.withColumnRenamed(member, "_two"), ["_two", "cluster_id"], "left_semi").select("ref_id", "size", "cluster_id"))
+    rest = later.join(chosen.select("ref_id", "_one", "_two"), "ref_id").filter((F.col(member) != F.col("_one")) & (F.col(member) != F.col("_two"))).select("ref_id", member)
+    asked = both.filter("size > 2").join(rest, "ref_id").join(held, [member, "cluster_id"], "left_semi")
+    full = asked.groupBy("ref_id", "cluster_id", "size").agg(F.count(F.lit(1)).alias("n")).filter("n = size - 2")
+    whole = found.filter("size = 1").select("ref_id", "cluster_id").unionByName(both.filter("size = 2").select("ref_id", "cluster_id")).unionByName(full.select("ref_id", "cluster_id"))
+    return whole.groupBy("ref_id").agg(F.count(F.lit(1)).alias("k"), F.min("cluster_id").alias("cluster_id")).filter("k = 1").drop("k")
 
 
 def intergenic_clusters(segments: DataFrame, clusters: DataFrame) -> DataFrame:
