@@ -197,10 +197,12 @@ def _wide(spark: SparkSession, path: str, value: Column, name: str) -> DataFrame
     lines = blocks(spark, path, "\n").select("file", "value").filter("value <> '' AND NOT value LIKE '#%'")
     rows = lines.select("file", F.split(F.regexp_replace("value", "\t+$", ""), "\t").alias("c"))
     first = F.col("c")[0]
-    head = rows.filter(first.rlike("^(source:|non-redundant)")).select("file", F.transform("c", lambda x: F.regexp_replace(x, r"\+\d+$", "")).alias("names"))  # a row a file
+    head = rows.filter(first.rlike("^(source:|non-redundant)")).select("file", F.posexplode("c").alias("i", "cluster")).filter("i > 0")
+    head = head.select("file", "i", F.regexp_replace("cluster", r"\+\d+$", "").alias("cluster"))
     body = rows.filter(~first.rlike("^(source:|non-redundant|reference|redundant)"))
-    cells = body.join(head, "file").select(first.alias("taxon"), F.posexplode("c").alias("i", "cell"), "names").filter("i > 0")
-    return cells.withColumn("cluster", F.get("names", F.col("i"))).filter("cluster IS NOT NULL").withColumn("value", value).select("taxon", "cluster", F.col("value").alias(name))
+    # neither a line nor the header may stand beside each of its cells, which would square its length: names join by place
+    cells = body.select("file", first.alias("taxon"), "c").select("file", "taxon", F.posexplode("c").alias("i", "cell")).filter("i > 0")
+    return cells.join(head, ["file", "i"]).withColumn("value", value).select("taxon", "cluster", F.col("value").alias(name))
 
 
 def drop_separators(pan: DataFrame) -> DataFrame:
