@@ -54,9 +54,13 @@ def set_key(member: Column, trim: int = 0) -> Column:
 
 
 def keyed(sets: DataFrame, member: Column, trim: int = 0) -> DataFrame:
-    """sets(dir, cluster_id, ...) -> (dir, cluster_id, key, size); keys that repeat within a dir are dropped."""
+    """sets(dir, cluster_id, ...) -> (dir, cluster_id, key, size); keys that repeat within a dir are dropped.
+
+    A key that very many clusters have is counted in partial aggregates, so its clusters never meet in one task.
+    """
     keys = sets.groupBy("dir", "cluster_id").agg(set_key(member, trim).alias("key"), F.count(F.lit(1)).alias("size"))
-    return keys.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("dir", "key"))).filter("_n = 1").drop("_n")
+    once = keys.groupBy("dir", "key").agg(F.min("cluster_id").alias("cluster_id"), F.min("size").alias("size"), F.count(F.lit(1)).alias("_n")).filter("_n = 1")
+    return once.select("dir", "cluster_id", "key", "size")
 
 
 def intersection(keys: DataFrame, n_dirs: int, exactly: bool = True) -> DataFrame:
