@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panweave.functions import sequences as S
+from panweave.functions import frames
 from panweave.operators import clusters as C
 from panweave.operators import graph as G
 from panweave.operators import growth as GR
@@ -211,4 +211,4 @@ def taxon_by_range(spark, d):
   g AS (SELECT seq_id, frame, substr(translate(x, 'acgtuU', 'ACGTTT'), o) AS x FROM f)
   SELECT seq_id, frame, array_to_string(list_transform(range(0, length(x) // 3), lambda i: coalesce(({R.CODON_MAP})[substr(x, 3 * i + 1, 3)], 'X')), '') AS protein FROM g""")
 def six_frame_translation(spark, d):
-    return V.sequences(spark, d).select("seq_id", F.explode(S.six_frames(F.col("seq"))).alias("f")).select("seq_id", "f.frame", "f.protein")
+    return V.sequences(spark, d).select("seq_id", "seq").mapInArrow(frames.six_frames, frames.FRAMES)
