@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -51,35 +52,54 @@ def fasta(spark: SparkSession, path: str | list[str], skip_peptides: bool = Fals
     return out.filter(~F.col("seq").rlike("(?i)[QEIPDFHLV]")) if skip_peptides else out
 
 
+#: Letters of records that a batch of packed_fasta() holds, about.
+RECORDS = 4 << 20
+
+
+def _packed_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, content) -> (file, pos, header, seq): files are unpacked as streams over Arrow's own bytes, and records
+    leave in batches of bounded size, so a task holds what Spark hands it of packed files and a batch."""
+    import bz2
+    import gzip
+    import io
+
+    def rows(name: str, first: int, headers: list[str], bodies: list[str]) -> pa.RecordBatch:
+        n = len(headers)
+        return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(first, first + n), pa.int64()), pa.array(headers, pa.string()), pa.array(bodies, pa.string())], names=["file", "pos", "header", "seq"])
+
+    for batch in batches:
+        for name, content in zip(batch.column(0), batch.column(1)):
+            raw = pa.BufferReader(content.as_buffer())
+            start = content.as_buffer().slice(0, min(3, len(content.as_buffer()))).to_pybytes()
+            stream = gzip.GzipFile(fileobj=raw) if start[:2] == b"\x1f\x8b" else bz2.BZ2File(raw) if start == b"BZh" else raw
+            headers, bodies, first, held, header, lines = [], [], 0, 0, None, []
+            for line in io.TextIOWrapper(stream, encoding="utf-8", errors="replace"):
+                if not line.startswith(">"):
+                    if not line.startswith("#"):
+                        lines.append(line)
+                        held += len(line)
+                    continue
+                if header is not None:
+                    headers.append(header)
+                    bodies.append("".join(lines))
+                if held > RECORDS:
+                    yield rows(name.as_py(), first, headers, bodies)
+                    first, held, headers, bodies = first + len(headers), 0, [], []
+                header, lines = line[1:].strip(), []
+                held += len(header)
+            if header is not None:
+                headers.append(header)
+                bodies.append("".join(lines))
+            if headers:
+                yield rows(name.as_py(), first, headers, bodies)
+
+
 def packed_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """fasta() for files whose names don't tell that they are compressed: gzip and bzip2 by their first bytes.
 
     A file of this kind can't be split, so one task reads it as a stream of records. pos orders the records of a file.
     """
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import bz2
-        import gzip
-        import io
-
-        for part in parts:
-            for name, content in zip(part["file"], part["content"], strict=True):
-                raw = io.BytesIO(content)
-                stream = gzip.open(raw) if content[:2] == b"\x1f\x8b" else bz2.open(raw) if content[:3] == b"BZh" else raw
-                rows, header, lines = [], None, []
-                for line in io.TextIOWrapper(stream, encoding="utf-8", errors="replace"):
-                    if not line.startswith(">"):
-                        if not line.startswith("#"):
-                            lines.append(line)
-                        continue
-                    if header is not None:
-                        rows.append((name, len(rows), header, "".join(lines)))
-                    header, lines = line[1:].strip(), []
-                if header is not None:
-                    rows.append((name, len(rows), header, "".join(lines)))
-                for at in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[at : at + 10_000], columns=["file", "pos", "header", "seq"])
-
-    found = spark.read.format("binaryFile").load(path).select(base_name(F.col("path")).alias("file"), "content").mapInPandas(run, "file string, pos long, header string, seq string")
+    found = spark.read.format("binaryFile").load(path).select(base_name(F.col("path")).alias("file"), "content").mapInArrow(_packed_records, "file string, pos long, header string, seq string")
     return found.withColumn("seq", S.clean(F.col("seq"))).filter("header <> '' AND NOT header LIKE '#%' AND seq <> ''")
 
 
