@@ -41,9 +41,9 @@ def _write(lines: DataFrame, name: str) -> str:
     return path
 
 
-def _tsv(rows: DataFrame, name: str, header: bool = False) -> str:
+def _tsv(rows: DataFrame, name: str, header: bool = False, compression: str = "none") -> str:
     path = _folder(rows.sparkSession, name)
-    rows.write.csv(path, sep="\t", header=header, nullValue="NULL", quote="")
+    rows.write.csv(path, sep="\t", header=header, nullValue="NULL", quote="", compression=compression)
     return path
 
 
@@ -194,7 +194,8 @@ def _hsps(spark, d) -> DataFrame:
 
 @query(f"WITH {V.HITS_SQL}, {_HSP_SQL} SELECT * FROM hsp")
 def hsp_table(spark, d):
-    return text.hsps(spark, _tsv(_hsps(spark, d), "hsps"))
+    """All hits as an aligner's table, written in compressed parts and read back."""
+    return text.hsps(spark, _tsv(_hsps(spark, d), "hsps", compression="snappy"))
 
 
 @query(f"""WITH {V.HITS_SQL}, {_HSP_SQL} SELECT q, s, evalue, pident, qcov::INT AS qcov, scov::INT AS scov, qlen, slen, 1 AS h, qs, qe, ss, se, bits FROM hsp JOIN (SELECT q, s, qcov, scov FROM hits) USING (q, s)
