@@ -40,7 +40,11 @@ def lanes(tables: Tables, spans: DataFrame, by: list[str], start: str, end: str,
     A sweep by start opens a lane only where every one is taken, and else goes on in the lane that became free first: the
     k-th span that finds a free lane follows the span with the k-th end. So each span knows the one before it in its lane
     by its ranks, and jumping from those to theirs finds the lanes' first spans in a round a doubling.
+
+    Ranks lie in few bytes of a file, so a table of very many spans looks small enough to broadcast, which takes all of it
+    through the driver: tables that grow with the spans are joined by merging.
     """
+    meet = lambda left, right, how="inner", on=("_s",): left.join(right.hint("merge"), [*by, *on], how)
     begun = tables.save(ranked(tables, spans, by, [start, end, key], "_s"))  # from here on a span is its rank
     ends = tables.save(ranked(tables, begun.select(*by, start, end, "_s"), by, [end, start, "_s"], "_e").select(*by, end, "_s", "_e"))
     # how many ends lie before a start: both in one order, ends at a place after starts at it
@@ -54,22 +58,21 @@ def lanes(tables: Tables, spans: DataFrame, by: list[str], start: str, end: str,
     tops = tops.withColumn("_before", F.coalesce(F.max("_top").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(*by, "_part", "_before")
     run = W.partitionBy(*by, "_part").orderBy("_s").rowsBetween(W.unboundedPreceding, 0)
     most = F.greatest("_before", F.max("_depth").over(run))
-    chain = tables.save(laid.join(tops, [*by, "_part"]).select(*by, "_s", most.alias("_most")))
+    chain = tables.save(meet(laid, tops, on=["_part"]).select(*by, "_s", most.alias("_most")))
     heads = tables.save(chain.groupBy(*by, "_most").agg(F.min("_s").alias("_s")).select(*by, "_s", (F.col("_most") - 1).alias("lane")))  # the first span of every lane
     # all spans so far but the lanes' first ones have followed an end each
-    after = chain.join(heads.select(*by, "_s"), [*by, "_s"], "left_anti").select(*by, "_s", (F.col("_s") - F.col("_most")).alias("_e"))
-    up = after.join(ends.select(*by, "_e", F.col("_s").alias("_up")), [*by, "_e"]).select(*by, "_s", "_up")
+    after = meet(chain, heads.select(*by, "_s"), "left_anti").select(*by, "_s", (F.col("_s") - F.col("_most")).alias("_e"))
+    up = meet(after, ends.select(*by, "_e", F.col("_s").alias("_up")), on=["_e"]).select(*by, "_s", "_up")
     up = tables.save(up.unionByName(heads.select(*by, "_s", F.col("_s").alias("_up"))))
     for _ in range(MAX_ROUNDS):
         above = up.select(*by, F.col("_s").alias("_up"), F.col("_up").alias("_next"))
-        new = tables.save(up.join(above, [*by, "_up"]).select(*by, "_s", F.col("_next").alias("_up"), (F.col("_next") != F.col("_up")).alias("_moved")))
+        new = tables.save(meet(up, above, on=["_up"]).select(*by, "_s", F.col("_next").alias("_up"), (F.col("_next") != F.col("_up")).alias("_moved")))
         settled = new.filter("_moved").isEmpty()
         tables.drop(up)
         if settled:
-            found = new.select(*by, "_s", "_up").join(heads.withColumnRenamed("_s", "_up"), [*by, "_up"]).select(*by, "_s", F.col("lane").cast("long").alias("lane"))
-            return begun.join(found, [*by, "_s"]).select(*spans.columns, "lane")
-        up = tables.save(new.drop("_moved"))
-        tables.drop(new)
+            found = meet(new.select(*by, "_s", "_up"), heads.withColumnRenamed("_s", "_up"), on=["_up"]).select(*by, "_s", F.col("lane").cast("long").alias("lane"))
+            return meet(begun, found).select(*spans.columns, "lane")
+        up = new
     raise RuntimeError(f"a lane is longer than 2 ** {MAX_ROUNDS} spans")
 
 
@@ -79,6 +82,6 @@ def genome_map(tables: Tables, genes: DataFrame, clusters: DataFrame, compartmen
     genes(seq_id, taxon, contig, start, end, strand), clusters(cluster, seq_id), compartments(cluster, compartment). Genes
     of the reference that are in a cluster are placed on their contigs, in lanes in which no two of them touch.
     """
-    own = genes.filter(F.col("taxon") == reference).join(clusters.select("cluster", "seq_id"), "seq_id").join(compartments.select("cluster", "compartment"), "cluster", "left")
+    own = genes.filter(F.col("taxon") == reference).join(clusters.select("cluster", "seq_id").hint("merge"), "seq_id").join(compartments.select("cluster", "compartment"), "cluster", "left")
     own = tables.save(own.select("contig", "cluster", "seq_id", "start", "end", "strand", "compartment"))
     return lanes(tables, own, ["contig"], "start", "end", "seq_id").select("contig", "cluster", "seq_id", "start", "end", "strand", "compartment", "lane")
