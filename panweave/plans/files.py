@@ -355,11 +355,13 @@ gb AS (SELECT o, r, p, f, a, b, 'o' || o AS contig, length(dna)::INT AS size, CA
 
 
 def _genbank(spark, d) -> str:
-    """Orders as contigs of 32 bases a line, lines as features in six forms of location; 16 files of many records."""
-    li = V.table(spark, d, "lineitem")
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = li.select(F.col("l_orderkey").alias("o"), F.row_number().over(w).alias("r"), F.col("l_partkey").alias("p"), (F.col("l_quantity").cast("int") % 6).alias("f"))
-    rows = Tables(spark, "lines").save(rows.withColumn("dna", _dna(F.concat("o", F.lit("/"), "r"))))
+    """Orders as contigs of 32 bases a line, lines as features in six forms of location; compressed files of many records.
+
+    Lines are dealt by their contig once, and tables of features, sequences and the records made of both keep to that.
+    """
+    li = V.table(spark, d, "lineitem").withColumn("contig", F.concat(F.lit("o"), "l_orderkey"))
+    w = W.partitionBy("contig").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = li.select("contig", F.substring("contig", 2, 20).alias("o"), F.row_number().over(w).alias("r"), F.col("l_partkey").alias("p"), (F.col("l_quantity").cast("int") % 6).alias("f"))
     a = 32 * (F.col("r") - 1) + 1
     one, two = F.concat(a, F.lit(".."), a + 29), F.concat(a, F.lit(".."), a + 8, F.lit(","), a + 12, F.lit(".."), a + 29)
     wrap = lambda head, x: F.concat(F.lit(f"{head}("), x, F.lit(")"))
@@ -369,10 +371,10 @@ def _genbank(spark, d) -> str:
     kind = F.when(F.col("p") % 5 == 0, "gene").otherwise("CDS")
     qual = lambda k, v: F.struct(F.lit(k).alias("name"), v.alias("value"))
     quals = F.array(qual("locus_tag", F.concat(F.lit("L"), "o", F.lit("_"), "r")), qual("product", F.concat(F.lit("part "), "p")))
-    features = rows.select(F.concat(F.lit("o"), "o").alias("contig"), F.col("r").alias("ord"), kind.alias("type"), place.alias("place"), quals.alias("quals"))
-    contigs = rows.groupBy("o").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "dna"))), lambda x: x["dna"]), "").alias("dna")).select(F.concat(F.lit("o"), "o").alias("contig"), F.lit("Ordo ordo").alias("organism"), "dna")
-    key = F.substring("contig", 2, 18).cast("long")
-    return sinks.write_reports(sinks.genbank_lines(features, contigs).select((key % 16).alias("file"), key.alias("ord"), "value"), _folder(spark, "genbank"))
+    features = rows.select("contig", F.col("r").alias("ord"), kind.alias("type"), place.alias("place"), quals.alias("quals"))
+    dna = F.transform(F.sequence(F.lit(1), F.max("r")), lambda r: _dna(F.concat(F.substring("contig", 2, 20), F.lit("/"), r)))
+    contigs = rows.groupBy("contig").agg(F.array_join(dna, "").alias("dna")).select("contig", F.lit("Ordo ordo").alias("organism"), "dna")
+    return sinks.write_records(sinks.genbank_lines(features, contigs), _folder(spark, "genbank"))
 
 
 @query(f"WITH {_GB_SQL} SELECT contig, size, CASE WHEN p % 5 = 0 THEN 'gene' ELSE 'CDS' END AS type, a::INT AS \"start\", b::INT AS \"end\", strand, dna, 'part ' || p AS product FROM gb")

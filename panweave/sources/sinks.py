@@ -187,6 +187,12 @@ def write_reports(lines: DataFrame, path: str) -> str:
     return f"{path}/*"
 
 
+def write_records(lines: DataFrame, path: str) -> str:
+    """lines(value): records in no order, written where they lie, a compressed text a task; returns the folder."""
+    lines.select("value").write.mode("overwrite").text(path, compression="gzip")
+    return path
+
+
 def enriched_fasta(members: DataFrame, enriched: DataFrame) -> DataFrame:
     """members(cluster, seq_id, header, seq, domains) that carry an enriched domain, with cluster and domains in the header."""
     hit = members.select("*", F.explode(F.array_distinct("domains")).alias("domain")).join(enriched.select("domain").distinct(), "domain", "left_semi")
