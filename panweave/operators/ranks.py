@@ -19,17 +19,20 @@ def ranked(tables: Tables, rows: DataFrame, by: list[str], order: list[Column |
     callers end the order with what tells rows apart, such as an id.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not by:  # a range is one partition's rows in their order, so they are numbered as they are written
+        laid = tables.save(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+        laid = laid.withColumns({"_part": F.shiftright("_at", 33), "_i": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
+        sizes = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+        begins = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_begin"))  # one row a range
+        return laid.join(begins, "_part").select(*rows.columns, (F.col("_begin") + F.col("_i")).cast("long").alias(name))
     laid = tables.save(rows.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()))
     sizes = laid.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     begins = sizes.withColumn("_begin", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))
     placed = laid.withColumn("_i", inside)
-    if by:
-        same = [placed[c].eqNullSafe(begins[c]) for c in by] + [placed["_part"] == begins["_part"]]
-        met = placed.join(begins, same).select(*[placed[c] for c in placed.columns if c != "_part"], begins["_begin"])
-    else:
-        met = placed.join(begins, "_part").drop("_part")
+    same = [placed[c].eqNullSafe(begins[c]) for c in by] + [placed["_part"] == begins["_part"]]
+    met = placed.join(begins, same).select(*[placed[c] for c in placed.columns if c != "_part"], begins["_begin"])
     return met.withColumn(name, (F.col("_begin") + F.col("_i")).cast("long")).drop("_begin", "_i")
 
 

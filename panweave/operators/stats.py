@@ -56,9 +56,12 @@ def score_bins(first: DataFrame, bin_size: int, top_percent: float) -> DataFrame
     no task holds more than a range of hits."""
     placed = ranked(Tables(first.sparkSession, "bins"), first, [], ["lp", "q", "s"], "_place")
     binned = placed.withColumn("bin", F.floor((F.col("_place") - 1) / bin_size)).drop("_place")
-    inside = W.partitionBy("bin")
-    top = binned.withColumns({"r": F.row_number().over(inside.orderBy(F.desc("bits"), "q", "s")), "k": F.count(F.lit(1)).over(inside)})
-    return top.filter(F.col("r") <= F.greatest(F.floor(F.col("k") * top_percent / 100), F.lit(1))).drop("r", "k")
+    # no bin keeps more than a full one: a limit that each task can set before rows move
+    most = max(int(bin_size * top_percent // 100), 1)
+    top = binned.withColumn("r", F.row_number().over(W.partitionBy("bin").orderBy(F.desc("bits"), "q", "s"))).filter(F.col("r") <= most)
+    held = F.least(F.lit(bin_size), F.col("_all") - F.col("bin") * bin_size)
+    total = first.agg(F.count(F.lit(1)).alias("_all"))
+    return top.crossJoin(F.broadcast(total)).filter(F.col("r") <= F.greatest(F.floor(held * top_percent / 100), F.lit(1))).drop("r", "_all")
 
 
 def bin_size(hits: int) -> int:
@@ -72,7 +75,7 @@ def normalise_scores(hits: DataFrame, min_bits: float = 100, keep_percent: float
     The line log10(bits) ~ log10(length product) is fitted on the best hits of each bin by regr_slope and regr_intercept.
     """
     lp = (F.col("qlen") * F.col("slen")).cast("double")
-    strong = hits.filter(F.col("bits") >= min_bits).withColumn("lp", lp)
+    strong = hits.filter(F.col("bits") >= min_bits).select("q", "s", "bits", lp.alias("lp"))
     top = score_bins(strong, bin_size(strong.count()), keep_percent)
     line = top.agg(F.regr_slope(F.log10("bits"), F.log10("lp")).alias("m"), F.regr_intercept(F.log10("bits"), F.log10("lp")).alias("b"))
     norm = F.lit(scale) * F.col("bits") / (F.pow(F.lit(10.0), F.col("b")) * F.pow(lp, F.col("m")))

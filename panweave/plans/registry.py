@@ -409,7 +409,7 @@ def set_enrichment_fisher(spark, d):
   f AS (SELECT regr_slope(log10(bits), log10(lp)) AS m, regr_intercept(log10(bits), log10(lp)) AS i FROM r WHERE r <= greatest(floor(n * 5 / 100), 1))
   SELECT q, s, round(100 * bits / (pow(10, i) * pow((q % 97 + 50)::DOUBLE * (s % 89 + 50), m)), 4) AS norm FROM hits, f""")
 def score_normalisation(spark, d):
-    h = V.saved_hits(spark, d).select("q", "s", "bits", (F.col("q") % 97 + 50).alias("qlen"), (F.col("s") % 89 + 50).alias("slen"))
+    h = Tables(spark, "hits").save(V.hits(spark, d).select("q", "s", "bits")).select("q", "s", "bits", (F.col("q") % 97 + 50).alias("qlen"), (F.col("s") % 89 + 50).alias("slen"))
     return ST.normalise_scores(h).select("q", "s", F.round("norm", 4).alias("norm"))
 
 
