@@ -107,9 +107,7 @@ def aligned_span(spark, d):
   f AS (SELECT coalesce(l.a, r.a) AS a, coalesce(l.b, r.b) AS b, coalesce(va, round_even(log10(28.0), 0)) AS va, coalesce(vb, round_even(log10(28.0), 0)) AS vb FROM l FULL JOIN r ON l.a = r.a AND l.b = r.b AND l.s = r.s)
   SELECT a, b, round(CASE WHEN corr(va, vb) IS NULL OR isnan(corr(va, vb)) THEN 1 ELSE corr(va, vb) END, 7) AS r FROM f GROUP BY ALL""")
 def neighbour_correlation(spark, d):
-    h = Tables(spark, "nc").save(V.hits(spark, d))
-    pairs = h.select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b")).distinct()
-    return H.neighbour_correlation(h, pairs, R.CFG).select("a", "b", F.round("r", 7).alias("r"))
+    return H.neighbour_correlation(V.hits(spark, d), None, R.CFG).select("a", "b", F.round("r", 7).alias("r"))
 
 
 @query("""WITH d AS (SELECT DISTINCT p_partkey AS g, p_partkey - p_partkey % 3 AS k FROM part WHERE p_partkey % 3 <> 0)
