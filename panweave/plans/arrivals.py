@@ -21,6 +21,6 @@ def incremental_clusters(spark, d):
     hits = tables.save(V.hits(spark, d))
     source, target, checkpoint = (tables.folder(name) for name in ("in", "state", "progress"))
     for part in range(3):
-        hits.filter((7 * F.col("q") + F.col("s")) % 3 == part).write.mode("append").parquet(source)
+        hits.filter((7 * F.col("q") + F.col("s")) % 3 == part).write.mode("append").parquet(source, compression="zstd")
         incremental.follow_clusters(spark, source, target, checkpoint, R.CFG).awaitTermination()
     return incremental.current_clusters(spark, target)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 
 from panweave.config import HITS, HSPS, Config
@@ -76,8 +77,11 @@ class ClusterState:
         rows = self._rows("members", MEMBERS, before)
         return rows.groupBy("node").agg(F.max_by("component", "batch").alias("component")).filter("component IS NOT NULL")
 
-    def put(self, name: str, rows: DataFrame, batch: int, whole: bool) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.target}/{name}/whole={int(whole)}/batch={batch}")
+    def put(self, name: str, rows: DataFrame, batch: int, whole: bool) -> DataFrame:
+        """Writes a batch's rows and returns them as they were written."""
+        path = f"{self.target}/{name}/whole={int(whole)}/batch={batch}"
+        rows.write.mode("overwrite").parquet(path, compression="zstd")
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _links(ties: DataFrame, cfg: Config) -> DataFrame:
@@ -88,28 +92,30 @@ def _links(ties: DataFrame, cfg: Config) -> DataFrame:
 def update_clusters(state: ClusterState, batch: DataFrame, batch_id: int, cfg: Config, whole: bool = False) -> None:
     """Takes one batch of hits into the state.
 
-    Only keys (q, ts) of the batch can change their best hits, so a link that comes or goes has both ends among the old and
-    new ties of those keys. The old components of these nodes are taken apart and put together again from the present ties
-    of their members; no link leaves them, so all other components stay as they are and are not read as links.
+    Only keys (q, ts) of the batch can change their best hits, so a link that comes has both ends among the new ties of those
+    keys, and one that goes lies in the old component of such a q. The old components of these nodes are taken apart and put
+    together again from the present ties of their members; no link leaves them, so all other components stay as they are and
+    are not read as links.
     """
     spark = batch.sparkSession
     tables, state = Tables(spark, "arrival"), ClusterState(spark, state.target)
     usable = F.col("q").isNotNull() & F.col("s").isNotNull() & (F.col("evalue") >= 0) & ~F.isnan("evalue")
     columns = [c.split()[0] for c in TIES.split(", ")]
-    fresh = tables.save(homology.top_ties(batch.select(*columns).filter(usable)))
-    before = state.ties(batch_id).join(fresh.select("q", "ts").distinct(), ["q", "ts"], "left_semi").select(*columns)
-    before = tables.save(homology.top_ties(before))
-    known = before.groupBy("q", "ts").agg(F.min("evalue").alias("known"))
-    added = fresh.join(known, ["q", "ts"], "left").filter("known IS NULL OR evalue <= known").drop("known").dropDuplicates()
-    added = tables.save(added.select(*columns).join(before, columns, "left_anti"))
-    state.put("ties", homology.top_ties(state.ties(batch_id).unionByName(added)).dropDuplicates() if whole else added, batch_id, whole)
-    changed = added.select("q", "ts").distinct()
-    seen = added.unionByName(before.join(changed, ["q", "ts"], "left_semi").select(*columns))
-    touched = seen.select(F.explode(F.array("q", "s")).alias("node")).distinct()
+    # the batch meets the known ties of its keys in one move; what is worse than another row of its key leaves before it
+    met = batch.select(*columns).filter(usable).withColumn("_new", F.lit(True)).unionByName(state.ties(batch_id).select(*columns).withColumn("_new", F.lit(False)))
+    row = W.partitionBy("q", "ts", *[c for c in columns if c not in ("q", "ts")]).orderBy("_new")  # a row that is known comes first
+    added = homology.top_ties(met).withColumn("_n", F.row_number().over(row)).filter("_n = 1 AND _new").select(*columns)
+    if whole:
+        added = tables.save(added)
+        state.put("ties", homology.top_ties(state.ties(batch_id).unionByName(added)).dropDuplicates(), batch_id, whole)
+    else:
+        added = state.put("ties", added, batch_id, whole)
+    # a tie that is no longer the best was a link only inside the component of its query, which is taken apart anyway
+    touched = added.select(F.explode(F.array("q", "s")).alias("node")).distinct()
     members = state.members(batch_id)
     opened = members.join(touched, "node", "left_semi").select("component").distinct()
     nodes = tables.save(members.join(opened, "component", "left_semi").select("node").unionByName(touched).distinct())
-    now = tables.save(state.ties(batch_id).unionByName(added).join(nodes.withColumnRenamed("node", "q"), "q", "left_semi").select(*columns))
+    now = state.ties(batch_id).unionByName(added).join(nodes.withColumnRenamed("node", "q"), "q", "left_semi").select(*columns)
     found = graph.components(tables, _links(now, cfg))
     rows = nodes.join(found, "node", "left").select("node", "component")
     if whole:
